@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 400_000  # words remembered by a worker; the cache starts anew beyond that
+CACHE_WORDS = 300_000  # words a worker remembers in each of two generations
 CACHE_CHARS = 64  # longer words are encoded each time
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _SAFE_CUT = re.compile(r" (?=\S)")
@@ -21,8 +21,9 @@ class Encoder:
     """Encodes whole texts through the library, word by word.
 
     Byte-level BPE never merges across the boundary before a space that a non-space follows (its pre-tokenizer starts
-    a new unit there), so the ids of a text are the ids of its space-led words put together.  Words repeat; each is
-    encoded once and remembered, in a cache of bounded size.
+    a new unit there), so the ids of a text are the ids of its space-led words put together.  Words repeat: each is
+    remembered in a cache of two generations of bounded size.  New words are encoded many in one string and cut apart
+    at the ids that begin with the space, of which each word has one.
     """
 
     def __init__(self, path: str) -> None:
@@ -30,30 +31,45 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocab = self.tok.get_vocab()
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)  # ids whose token begins with the space, written U+0120
+        self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids of the whole text; null counts as empty."""
-        if not text:
-            return b""
-        parts = _SAFE_CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        head, rest = parts[0], parts[1:]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if new := list(set(rest).difference(known)):
-            fresh = dict(zip(new, self._ids([" " + w for w in new])))
-            long = {w: b for w, b in fresh.items() if len(w) > CACHE_CHARS}
-            known.update(fresh)
-            out = b"".join(map(known.__getitem__, rest))
-            for w in long:
-                del known[w]
-        else:
-            out = b"".join(map(known.__getitem__, rest))
-        return (self._ids([head])[0] if head else b"") + out
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        fresh = []
+        for w in new:
+            if (b := self.older.get(w)) is not None:
+                self.known[w] = b
+            elif " " in w or len(w) > CACHE_CHARS:
+                self.known[w] = self._ids(" " + w)
+            else:
+                fresh.append(w)
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            ids = np.asarray(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.leads[ids]) * 4
+            assert len(cuts) == len(part)
+            raw, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
+        parts = [_SAFE_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+        rest = [p[1:] for p in parts]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        new = set().union(*rest).difference(self.known)
+        self._learn(new)
+        out = [(self._ids(p[0]) if p[0] else b"") + b"".join(map(self.known.__getitem__, r)) for p, r in zip(parts, rest)]
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                self.known.pop(w, None)
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -79,8 +95,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, separator: in
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 256):
                 src, piece, start, length, crc, raw = [], [], [], [], [], []
-                for i, text in enumerate(texts.slice(at, 256).to_pylist(), at):
-                    b = memoryview(enc.encode(text) + sep)
+                for i, raw_ids in enumerate(enc.encode_many(texts.slice(at, 256).to_pylist()), at):
+                    b = memoryview(raw_ids + sep)
                     n = len(b) // 4
                     first = n % capacity or capacity
                     for k, s in enumerate([0, *range(first, n, capacity)]):
