@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BPE = "byte_bpe_50k.json"
+PII_KEY = "graphloom-demo-key"  # a deployment passes its own
+# The rules of the url query.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,3 +25,59 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    m = mix(_read(spark, sf_dir, "documents"))
+    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    v = judge(_read(spark, sf_dir, "documents"))
+    return v.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_digits, near_duplicates
+
+    d = near_duplicates(_read(spark, sf_dir, "documents"))
+    return d.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    d = pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, found_col="found")
+    return d.select("doc_id", "text", F.size("found").alias("n_replaced"))
+
+
+def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge_urls
+
+    labels = _read(spark, sf_dir, "labels")
+    bad = labels.groupBy(F.col("doc_id").alias("id")).agg(F.bool_or((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return judge_urls(_read(spark, sf_dir, "pages"), bad, URL_RULES)
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op3_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scoring import cross_entropy_difference
+
+    good = _read(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+    return cross_entropy_difference(_read(spark, sf_dir, "documents"), good, tokenizer_path())
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_spans
+
+    d = repeated_spans(_read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
