@@ -81,3 +81,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = repeated_spans(_read(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import resolve, sequences, store
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    page = F.format_string('<p>Document %s</p><figure><img src="sha256:%s"><figcaption>payload of document %s</figcaption></figure>', F.col("doc_id").cast("string"), digest, F.col("doc_id").cast("string"))
+    pages = sequences(docs.select("doc_id", page.alias("html")))
+    found = resolve(pages, store(docs, "text"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
