@@ -1,0 +1,117 @@
+"""Scalar functions as column expressions: identifiers, similarity, scores, hashes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Words that carry no meaning in a search query.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "which", "will", "with")
+
+
+def severity(priority: Column) -> Column:
+    return F.when(priority.isin("1-URGENT", "2-HIGH"), "high").when(priority == "3-MEDIUM", "medium").otherwise("low")
+
+
+def severity_weight(sev: Column) -> Column:
+    return F.when(sev == "high", 1.0).when(sev == "medium", 0.6).otherwise(0.3)
+
+
+def grade(high: Column, medium: Column) -> Column:
+    return F.when((high == 0) & (medium == 0), "A").when((high == 0) & (medium <= 2), "B").when(high <= 1, "C").when(high <= 3, "D").otherwise("F")
+
+
+def entity_id(repo: Column, path: Column, kind: Column, name: Column, signature: Column) -> Column:
+    """Deterministic entity id: 16 hex digits over the fields between NULs; a null signature is an empty one."""
+    return F.substring(F.sha2(F.concat_ws("\0", repo, path, kind, name, F.coalesce(signature, F.lit(""))), 256), 1, 16)
+
+
+def edge_id(src: Column, dst: Column, kind: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("\0", src, dst, kind), 256), 1, 16)
+
+
+def body_hash(signature: Column, body: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("\n", F.coalesce(signature, F.lit("")), F.coalesce(body, F.lit(""))), 256), 1, 16)
+
+
+def round_half_up(x: Column, digits: int) -> Column:
+    k = 10**digits
+    return F.floor(x * k + 0.5) / k
+
+
+def split_identifier(name: Column) -> Column:
+    """Lower-case parts of a camelCase, snake_case or kebab-case name."""
+    cut = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.filter(F.split(F.lower(F.regexp_replace(cut, "[^A-Za-z0-9]+", " ")), " "), lambda x: x != "")
+
+
+def query_tokens(text: Column) -> Column:
+    """Words of a search query without stop words and single letters."""
+    parts = F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " ")
+    return F.array_distinct(F.filter(parts, lambda x: (F.length(x) > 1) & ~x.isin(*STOP_WORDS)))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two sets; two empty ones are equal."""
+    n = F.size(F.array_union(a, b))
+    return F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / n)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """0 for empty vectors, different lengths or a zero norm."""
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
+
+
+def levenshtein_similarity(a: Column, b: Column) -> Column:
+    n = F.greatest(F.length(a), F.length(b))
+    return F.when(n == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / n)
+
+
+def strip_comments(code: Column) -> Column:
+    """Code without block and line comments, white space folded."""
+    c = F.regexp_replace(code, r"(?s)/\*.*?\*/", "")
+    c = F.regexp_replace(c, r"(?m)(//|#).*$", "")
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def estimate_tokens(text: Column) -> Column:
+    return F.ceil(F.length(text) / 3.5)
+
+
+def cyclomatic(code: Column) -> Column:
+    """1 and a point for each branch, outside comments and strings."""
+    c = F.regexp_replace(strip_comments(code), r"\"[^\"]*\"|'[^']*'", "")
+    return F.size(F.regexp_extract_all(c, F.lit(r"\b(?:if|for|while|case|catch|elif|except)\b|&&|\|\||\?(?![.?:])"), F.lit(0))) + 1
+
+
+# Formats of credentials and their names.
+SECRETS = (
+    ("aws_key", r"AKIA[0-9A-Z]{16}"),
+    ("github_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    ("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+)
+KEY_VALUE = r"(?i)\b(token|secret|password|api_?key)\b(\s*[=:]\s*)[\"']?[^\s\"']{8,}[\"']?"
+
+
+def scrub(text: Column) -> Column:
+    """Credentials replaced by the name of their kind in brackets; key-value pairs keep their key."""
+    for name, regex in SECRETS:
+        text = F.regexp_replace(text, regex, f"[{name}]")
+    return F.regexp_replace(text, KEY_VALUE, "$1$2[secret]")
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy of a text's characters in bits."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    kinds = F.array_distinct(chars)
+    n = F.size(chars)
+    share = F.transform(kinds, lambda k: F.size(F.filter(chars, lambda c: c == k)) / n)
+    return F.coalesce(F.aggregate(share, F.lit(0.0), lambda s, q: s - q * F.log2(q)), F.lit(0.0))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "J1"
+from . import aggregates, graphs, joins  # noqa: F401  (registering)
+from .base import QUERIES, SQL
+
+FLAGSHIP = "A9_cochange"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
