@@ -15,6 +15,7 @@ Whole texts that repeat an earlier text word for word are recognised by a hash o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,32 @@ _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E
 
 
 def _rolling(h: np.ndarray, width: int, odd: np.uint64) -> np.ndarray:
-    """Hash of each run of ``width`` word hashes, at its start."""
+    """Polynomial hash of each run of ``width`` word hashes, at its start; runs double, so a few passes suffice."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    done, total = 0, np.zeros(n, np.uint64)
+    part, size = h, 1  # hashes of runs of ``size`` words
     with np.errstate(over="ignore"):
-        for k in range(width):
-            out *= odd
-            out += h[k : k + n]
-    return B.mix64(out)
+        todo = width
+        while todo:
+            if todo & 1:
+                total = total * np.uint64(pow(int(odd), size, 1 << 64)) + part[done : done + n]
+                done += size
+            todo >>= 1
+            if todo:
+                part = part[: len(part) - size] * np.uint64(pow(int(odd), size, 1 << 64)) + part[size:]
+                size *= 2
+    return B.mix64(total)
+
+
+def _slide(x: np.ndarray, span: int, pick) -> np.ndarray:
+    """Least or greatest of each ``span`` neighbours, at the first of them."""
+    size = 1
+    while 2 * size <= span:
+        x = pick(x[: len(x) - size], x[size:])
+        size *= 2
+    return pick(x[: len(x) - (span - size)], x[span - size :]) if span > size else x
 
 
 class Texts:
@@ -48,34 +65,36 @@ class Texts:
     docs: bytes of the words of each document joined by one space; keep: which of them to look into."""
 
     def __init__(self, docs: list[bytes], keep: np.ndarray, width: int) -> None:
-        import xxhash
-
         self.places = np.flatnonzero(keep)
-        split = [docs[i].split() for i in self.places]
+        self.docs = [docs[i] for i in self.places]
+        split = [d.split() for d in self.docs]
         self.sizes = np.array([len(w) for w in split], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.words = [w for ws in split for w in ws]
-        known = {w: (xxhash.xxh64_intdigest(w, 1), xxhash.xxh64_intdigest(w, 2)) for w in set(self.words)}
-        pairs = np.array([known[w] for w in self.words], dtype=np.uint64).reshape(-1, 2)
-        self.h1, self.h2 = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
-        of = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        room = (self.starts + self.sizes)[of] - np.arange(len(of))
-        self.gram_ok, self.window_ok = room >= GRAM, room >= width
+        self.words = list(chain.from_iterable(split))
+        self.known = list(set(self.words))
+        number = dict(zip(self.known, range(len(self.known))))
+        self.ids = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        self.h1 = self.hashes(1)
+        room = np.repeat(self.starts + self.sizes, self.sizes) - np.arange(len(self.words))
+        self.window_ok = room >= width
+
+    def hashes(self, seed: int) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        return np.fromiter((digest(w, seed) for w in self.known), np.uint64, len(self.known))[self.ids]
 
     def anchors(self, width: int) -> np.ndarray:
-        """Word places of the anchors: within each window, the first phrase of smallest hash."""
-        g = _rolling(self.h1, GRAM, _ODD[0])
-        self.grams = g
+        """Word places of the anchors: in each window, the phrases of smallest hash."""
+        g = self.grams = _rolling(self.h1, GRAM, _ODD[0])
         span = width - GRAM + 1
         n = len(self.h1) - width + 1
         if n <= 0 or not self.window_ok.any():
             return np.empty(0, np.int64)
-        low, at = g[:n].copy(), np.arange(n)
-        for k in range(1, span):
-            less = g[k : k + n] < low
-            low[less] = g[k : k + n][less]
-            at[less] = np.flatnonzero(less) + k
-        return np.unique(at[self.window_ok[:n]])
+        low = np.where(self.window_ok[:n], _slide(g, span, np.minimum), np.uint64(0))
+        pad = np.zeros(span - 1, np.uint64)
+        return np.flatnonzero(_slide(np.concatenate([pad, low, pad]), span, np.maximum) == g)
 
 
 def _automaton(phrases: set[bytes]):
@@ -93,16 +112,15 @@ def occurrences(texts: Texts, phrases: set[bytes]) -> np.ndarray:
     if not phrases:
         return np.empty(0, np.int64)
     a = _automaton(phrases)
-    chars = [len(w.decode()) for w in texts.words]
     found = []
-    for s, n in zip(texts.starts.tolist(), texts.sizes.tolist()):
+    for s, n, d in zip(texts.starts.tolist(), texts.sizes.tolist(), texts.docs):
         if n < GRAM:
             continue
-        line = " " + b" ".join(texts.words[s : s + n]).decode() + " "
+        line = " " + d.decode() + " "
         ends = [e for e, _ in a.iter(line)]
         if ends:
-            word_ends = np.cumsum(np.array(chars[s : s + n]) + 1)  # place of the space after each word
-            found.append(s + np.searchsorted(word_ends, ends) - GRAM + 1)
+            spaces = np.cumsum(np.fromiter(map(len, line[1:-1].split(" ")), np.int64, n) + 1)  # place of the space after each word
+            found.append(s + np.searchsorted(spaces, ends) - GRAM + 1)
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
@@ -117,7 +135,7 @@ def _load(r: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return docs, meta[:, 0], meta[:, 1]
 
 
-def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Per row: id, n_words, n_removed, kept (the text that is left) and removed (spans of word places, end excluded).
 
     A word goes if a window of ``width`` words that covers it also starts earlier: in a document of smaller id, or in
@@ -129,7 +147,7 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         import xxhash
 
         pid, seq = TaskContext.get().partitionId(), 0
-        for got in B.gather(batches, lambda r: len(r[1] or "")):
+        for got in B.gather(batches, lambda r: len(r[1] or ""), block_bytes):
             block, seq = (pid << 24) + seq, seq + 1
             got.sort(key=lambda r: top if r[0] is None else r[0])
             texts = [b" ".join((r[1] or "").encode().split()) for r in got]
@@ -196,21 +214,25 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
             np.add.at(edge, places + 1, -1)
             cand = np.flatnonzero((np.cumsum(edge)[:n] > 0) & texts.window_ok[:n])
         if len(cand):
-            k1, k2 = _rolling(texts.h1, width, _ODD[1])[cand], _rolling(texts.h2, width, _ODD[2])[cand]
-            order = np.lexsort((np.arange(len(cand)), k2, k1))
+            k1, k2 = _rolling(texts.h1, width, _ODD[1])[cand], (_rolling(texts.hashes(2), width, _ODD[2])[cand] >> np.uint64(32)).astype("<u4")
+            shard = (k1 % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((k2, k1, shard))  # stable: the first occurrence in the block leads its group
             new = np.ones(len(cand), bool)
             new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
             group = np.empty(len(cand), np.int64)
             group[order] = np.cumsum(new) - 1
-            lead = order[new]  # first occurrence in the block of each distinct window
+            lead = order[new]
             again = np.ones(len(cand), bool)
             again[lead] = False
             doc = np.searchsorted(texts.starts + texts.sizes, cand, side="right")
-            rank = np.where(flags[texts.places] & 1, top, ids[texts.places])[doc]
-            for s, p in B.by_shard(k1[lead], shards):
-                out.append((own["block"], 5, s, B.pack(np.stack([k1[lead[p]], k2[lead[p]]], 1)), B.pack(rank[lead[p]]), B.pack(p.astype("<i4"))))
-            local = np.stack([texts.places[doc], cand - texts.starts[doc], group, again], 1).astype("<i4")
-            out.append((own["block"], 6, -1, out_flags, B.pack(local)))
+            ranks = np.where(flags[texts.places] & 1, top, ids[texts.places])
+            bounds = np.searchsorted(shard[lead], np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(bounds)).tolist():
+                p = lead[bounds[s] : bounds[s + 1]]
+                in_doc, at_doc = np.unique(doc[p], return_inverse=True)
+                out.append((own["block"], 5, s, k1[p].astype("<u8").tobytes(), k2[p].tobytes(), B.pack(ranks[in_doc].astype("<i8")), B.pack(at_doc.astype("<u4"))))
+            local = [np.diff(texts.places[doc], prepend=0), np.diff(cand - texts.starts[doc], prepend=0), group, again]
+            out.append((own["block"], 6, -1, out_flags, B.pack(np.concatenate([x.astype("<i4") for x in local])), B.pack(bounds[:-1].astype("<i4"))))
         else:
             out.append((own["block"], 6, -1, out_flags, None))
         return B.table(out)
@@ -219,11 +241,9 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     def confirm(t: pa.Table) -> pa.Table:
         got = B.cells(t)
-        out = []
-        for r, later in zip(got, _later([B.unpack(r["a"], "<u8").reshape(-1, 2) for r in got], [B.unpack(r["b"], "<i8") for r in got], [r["block"] for r in got])):
-            if later.any():
-                out.append((r["block"], 7, r["shard"], B.pack(B.unpack(r["c"], "<i4")[later])))
-        return B.table(out)
+        keys = [np.stack([np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<u4").astype("<u8")], 1) for r in got]
+        ranks = [B.unpack(r["c"], "<i8")[B.unpack(r["d"], "<u4")] for r in got]
+        return B.table([(r["block"], 7, r["shard"], B.pack(np.packbits(later))) for r, later in zip(got, _later(keys, ranks, [r["block"] for r in got])) if later.any()])
 
     second_replies = located.where("kind = 5").groupBy("shard").applyInArrow(confirm, B.ROW)
 
@@ -234,11 +254,14 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         copies = B.unpack(mine["a"], "u1")
         gone: dict[int, np.ndarray] = {}
         if mine["b"] is not None:
-            local = B.unpack(mine["b"], "<i4").reshape(-1, 4)
-            elsewhere = np.zeros(int(local[:, 2].max()) + 1, bool)
+            local = B.unpack(mine["b"], "<i4").reshape(4, -1)
+            local = np.stack([np.cumsum(local[0]), np.cumsum(local[1]), local[2], local[3]], 1)
+            base = B.unpack(mine["c"], "<i4")
+            elsewhere = np.zeros(int(local[:, 2].max()) + 9, bool)
             for r in got:
                 if r["kind"] == 7:
-                    elsewhere[B.unpack(r["a"], "<i4")] = True
+                    bits = np.unpackbits(B.unpack(r["a"], "u1"))
+                    elsewhere[base[r["shard"]] + np.flatnonzero(bits)] = True
             hit = local[(local[:, 3] == 1) | elsewhere[local[:, 2]]]
             order = np.lexsort((hit[:, 1], hit[:, 0]))
             hit = hit[order]
