@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, graphs, joins  # noqa: F401  (registering)
+from . import aggregates, graphs, joins, reads, search  # noqa: F401  (registering)
 from .base import QUERIES, SQL
 
 FLAGSHIP = "A9_cochange"
