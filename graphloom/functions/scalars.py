@@ -52,9 +52,9 @@ def query_tokens(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two sets; two empty ones are equal."""
+    """Similarity of two sets; 0 for two empty ones."""
     n = F.size(F.array_union(a, b))
-    return F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / n)
+    return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
 def dot(a: Column, b: Column) -> Column:
