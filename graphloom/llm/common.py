@@ -23,12 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, lost executors recompute
     nothing above, and later reads of one plan see the same rows in the same files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -70,7 +70,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source",
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS, share: float = SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
     """Per row of ``docs``: id, host, text_hash, the measures, base_failed, boilerplate (line hashes to remove),
     removed_chars and kept.  A null host is a host of its own; repeated rows are judged alike; no rows give no rows."""
-    rows = materialise(measures(docs, id_col, host_col, text_col).withColumn("row", F.monotonically_increasing_id()), "quality")
+    rows = materialise(measures(docs, id_col, host_col, text_col).withColumn("row", F.monotonically_increasing_id()), "quality", "zstd")
     held = rows.select("host", "sig", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     often = held.groupBy("host", "h").agg(F.count_distinct("sig").alias("n")).where(F.col("n") > min_docs)
     sizes = rows.groupBy(F.col("host").alias("host_of")).agg(F.count_distinct("sig").alias("docs"))

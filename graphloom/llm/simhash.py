@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BUCKET = 8192  # fingerprints of one band bucket compared within one task
-TILE = 1024
+TILE = 256
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
