@@ -24,7 +24,7 @@ from .common import materialise, maybe_broadcast
 from .tokens import encoder
 
 MU_BIGRAM, ALPHA = 5.0, 0.1
-BROADCAST_TARGETS = 2_000_000  # ids of eight bytes
+BROADCAST_TARGETS = 200_000  # ids; some 80 bytes each once broadcast
 
 
 def _keys(ids: np.ndarray, starts: np.ndarray, bos: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +35,7 @@ def _keys(ids: np.ndarray, starts: np.ndarray, bos: int) -> tuple[np.ndarray, np
     return ids.astype(np.uint32), (before + np.uint32(1)) * np.uint32(65536) + ids
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50257, bos: int = 50256, mu: float = MU_BIGRAM, alpha: float = ALPHA) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50257, bos: int = 50256, mu: float = MU_BIGRAM, alpha: float = ALPHA, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Per row: id, n_tokens, target_loss, background_loss and score.  ``target_ids``: the ids of target documents.
 
     Null or empty text has no tokens and null losses.  Without target documents the target model is uniform.  Repeated
@@ -48,7 +48,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_p
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pid, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        for docs_ in B.gather(batches, lambda r: len(r[1] or "")):
+        for docs_ in B.gather(batches, lambda r: len(r[1] or ""), block_bytes):
             block, seq = (pid << 24) + seq, seq + 1
             raw = []
             for at in range(0, len(docs_), 256):
