@@ -1,10 +1,11 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Sources get targets by weight, held to ``most`` times what they have.  A source is taken whole as often as its target
-allows; what remains of the budget is fitted from its histogram of exact document lengths: an even share of every
-length first, then a bounded-knapsack dynamic program over the lengths left, so the sum lands on the budget or next to
-it.  Documents of each length are then selected by a seeded hash.  Histograms have a row per distinct length, whatever
-the number of documents; a hot length is ranked in ``BUCKETS`` parts, of which only one needs its rows in order.
+Sources get targets by weight, held to ``most`` times what they have.  A source's target is a budget fitted from its
+histogram of exact document lengths, each document counting up to ``most`` times: an even share of every length first,
+then a bounded-knapsack dynamic program over what is left, so the sum lands on the budget or next to it.  A length's
+takes are spread evenly over its documents; who gets one more than others is selected by a seeded hash.  Histograms
+have a row per distinct length, whatever the number of documents; a hot length is ranked in ``BUCKETS`` parts, of which
+only one needs its rows in order.
 """
 
 from __future__ import annotations
@@ -113,27 +114,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     held = materialise(rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")), "lengths")
     lengths = held.groupBy("source", "size").agg(F.sum("n").alias("n"))
     goals = materialise(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most), "targets")
-    goals = goals.select(F.col("source").alias("goal_source"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int").alias("whole"))
-    rest = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
-    hist = lengths.where("size > 0").join(goals, _same("source", "goal_source")).select("source", "size", "n", F.when(F.col("whole") < most, rest).otherwise(0).alias("budget"))
+    goals = goals.select(F.col("source").alias("goal_source"), "source_size", "target")
+    hist = lengths.where("size > 0").join(goals, _same("source", "goal_source")).select("source", "size", "n", F.round("target").cast("long").alias("budget"))
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("size")
-        return p[["source", "size"]].assign(take=fit(p["size"].to_numpy(), p["n"].to_numpy(), int(p["budget"].iloc[0])))
+        n = p["n"].to_numpy()
+        take = fit(p["size"].to_numpy(), n * int(most), int(p["budget"].iloc[0]))
+        return p[["source", "size"]].assign(base=take // n, extra=take % n)
 
-    takes = materialise(hist.groupBy("source").applyInPandas(solve, "source string, size long, take long").select(F.col("source").alias("t_source"), F.col("size").alias("t_size"), "take"), "takes")
-    # Buckets in turn: all of it, none of it, or for one bucket of each length, the first few by draw.
+    takes = materialise(hist.groupBy("source").applyInPandas(solve, "source string, size long, base long, extra long").select(F.col("source").alias("t_source"), F.col("size").alias("t_size"), "base", "extra"), "takes")
+    # One more for the first few of a length: buckets in turn get it whole, not at all, or, one of them, in part.
     seen = F.coalesce(F.sum("n").over(W.partitionBy("source", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    quota = held.join(takes, _same("source", "t_source") & (F.col("size") == F.col("t_size"))).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - seen)))
-    quota = materialise(quota.where("quota > 0").select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), F.col("bucket").alias("q_bucket"), "quota", (F.col("quota") < F.col("n")).alias("part")), "quota")
+    quota = held.join(takes, _same("source", "t_source") & (F.col("size") == F.col("t_size"))).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - seen)))
+    quota = materialise(quota.select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), F.col("bucket").alias("q_bucket"), "base", "quota", ((F.col("quota") > 0) & (F.col("quota") < F.col("n"))).alias("part")), "quota")
     j = rows.join(quota, _same("source", "q_source") & (F.col("size") == F.col("q_size")) & (F.col("bucket") == F.col("q_bucket")), "left")
-    j = j.select("id", "source", "text_hash", "size", "bucket", "draw", F.coalesce("quota", F.lit(0)).alias("quota"), F.coalesce("part", F.lit(False)).alias("part"))
+    j = j.select("id", "source", "text_hash", "size", "bucket", "draw", F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("quota", F.lit(0)).alias("quota"), F.coalesce("part", F.lit(False)).alias("part"))
     ranked = j.where("part").withColumn("rn", F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("draw", "id")))
-    extra = j.where("not part").withColumn("rn", F.lit(1)).unionAll(ranked)
-    extra = extra.withColumn("extra", ((F.col("quota") > 0) & (~F.col("part") | (F.col("rn") <= F.col("quota")))).cast("int"))
-    out = extra.join(goals, _same("source", "goal_source"))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0)
-    return out.select("id", "source", "text_hash", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    both = j.where("not part").withColumn("rn", F.lit(1)).unionAll(ranked)
+    more = (F.col("quota") > 0) & (~F.col("part") | (F.col("rn") <= F.col("quota")))
+    out = both.join(goals, _same("source", "goal_source"))
+    return out.select("id", "source", "text_hash", "size", "source_size", "target", (F.col("base") + more.cast("int")).cast("int").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
