@@ -51,15 +51,12 @@ def find_similar(spark, d):
     return x.withColumn("rank", rank).where("rank <= 10").select("q_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("V3_lsh_index")
-def lsh(spark, d):
-    """Approximate neighbours through the index over every row; recall is measured in the tests."""
+@query("V3_quantised_index")
+def quantised(spark, d):
+    """Neighbours through the index over every row; recall is measured in the tests."""
     v = p.vectors(spark, d)
-    b = se.lsh_buckets(v, 64)
-    q = b.where(EVERY).select(F.col("id").alias("q_id"), F.col("v").alias("q"), "t", "b")
-    hit = b.join(q, ["t", "b"]).dropDuplicates(["q_id", "id"]).select("q_id", "id", s.cosine(F.col("v"), F.col("q")).alias("score"))
-    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "id"))
-    return hit.withColumn("rank", rank).where("rank <= 10").select("q_id", "id", "rank", F.round("score", 6).alias("score"))
+    q = v.where(EVERY).select(F.col("id").alias("q_id"), F.col("v").alias("q"))
+    return se.quantised_top(se.quantised(v), v, q, 10).select("q_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("V6_keyword_search", "select id, name, round(3.0 / length(name), 6) as score from entities where contains(lower(name), '#12') or contains(lower(signature), '#12') order by score desc, id limit 20", p.ENTITIES)
