@@ -60,7 +60,8 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     labels = _read(spark, sf_dir, "labels")
     bad = labels.groupBy(F.col("doc_id").alias("id")).agg(F.bool_or((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return judge_urls(_read(spark, sf_dir, "pages"), bad, URL_RULES)
+    v = judge_urls(_read(spark, sf_dir, "pages"), bad, URL_RULES)
+    return v.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_rate_low")})
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,55 @@
-"""DuckDB SQL for the corpus queries that SQL can express."""
+"""DuckDB SQL for the corpus queries that SQL can express.
 
-SQL: dict[str, str] = {}
+The others need a tokenizer (1, 3), a knapsack (2), XXH64 (4: the signature of a document; 7), a media container (6), a
+keyed Feistel network (8) or a markup parser (9): the tests hold them against brute force.
+"""
+
+from __future__ import annotations
+
+from .queries import URL_RULES
+from .urls import MAX_BAD, MAX_STRENGTH, MIN_STRENGTH, TWO_LABEL_SUFFIXES, Z
+
+SUBSTRINGS = r"""with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, k, array_to_string(w[k:k + 19], ' ') as words from texts, unnest(range(1, len(w) - 18)) as t(k)),
+firsts as (select words, min((doc_id, k)) as first from windows group by words having count(*) > 1),
+gone as (select distinct doc_id, p from (select x.doc_id, x.k from windows x join firsts f on f.words = x.words where (x.doc_id, x.k) > f.first), unnest(range(k, k + 20)) as t(p)),
+places as (select doc_id, p, w[p] as word from texts, unnest(range(1, len(w) + 1)) as t(p)),
+kept as (select a.doc_id, string_agg(word, ' ' order by a.p) as s from places a left join gone g on g.doc_id = a.doc_id and g.p = a.p where g.p is null group by a.doc_id)
+select t.doc_id, len(w)::bigint as n_words, (select count(*) from gone g where g.doc_id = t.doc_id) as n_removed, sha256(coalesce(s, '')) as kept_sha256 from texts t left join kept k on k.doc_id = t.doc_id"""
+
+_SUFFIX = "list_extract(string_split(host, '.'), -1)"
+_TWO = "array_to_string(string_split(host, '.')[-2:], '.')"
+_LISTED = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+
+
+def _strength(level: str) -> str:
+    """One number from groups (n, k, prior), as the operator finds it."""
+    return f"""(select case when spread is null or spread <= one or many <= one then {MAX_STRENGTH} else least({MAX_STRENGTH}, greatest({MIN_STRENGTH}, (many - one) / (spread - one) - 1)) end from
+  (select sum(n * (k / n - prior) * (k / n - prior)) as spread, sum(prior * (1 - prior)) as one, sum(n * prior * (1 - prior)) as many from {level} where n > 0))"""
+
+
+def _rules() -> str:
+    cases = []
+    for verdict, rule in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        h, _, p = rule.partition("/")
+        cases.append(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then struct_pack(verdict := '{verdict}', rule := '{rule}')")
+    return "case " + " ".join(cases) + " end"
+
+
+URLS = f"""with parsed as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+outcomes as (select doc_id, bool_or(quality = 0 or toxic = 1) as bad from labels group by doc_id),
+hosts as (select host, case when {_TWO} in ({_LISTED}) then {_TWO} else {_SUFFIX} end as suffix, case when {_TWO} in ({_LISTED}) then array_to_string(string_split(host, '.')[-3:], '.') else {_TWO} end as domain,
+  count(bad)::double as n, (count(*) filter (bad))::double as k from parsed left join outcomes on doc_id = page_id group by host),
+l1 as (select suffix, sum(n) as n, sum(k) as k, (select (sum(k) + 0.5) / (sum(n) + 1) from hosts) as prior from hosts group by suffix),
+m1 as (select suffix, (k + s * prior) / (n + s) as prior from l1, (select {_strength('l1')} as s)),
+l2 as (select h.suffix, domain, sum(n) as n, sum(k) as k, any_value(m1.prior) as prior from hosts h join m1 on m1.suffix = h.suffix group by h.suffix, domain),
+m2 as (select suffix, domain, (k + s * prior) / (n + s) as prior from l2, (select {_strength('l2')} as s)),
+l3 as (select h.host, n, k, m2.prior from hosts h join m2 on m2.suffix = h.suffix and m2.domain = h.domain),
+ab as (select host, k + s * prior as a, n - k + s * (1 - prior) as b from l3, (select {_strength('l3')} as s)),
+scored as (select host, a / (a + b) as mean, a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as low from ab),
+ruled as (select page_id, host, path, {_rules()} as m from parsed)
+select page_id, r.host, path, m.rule as rule, coalesce(m.verdict, case when low > {MAX_BAD} then 'block' else 'allow' end) as verdict, round(mean, 6) as bad_rate, round(low, 6) as bad_rate_low
+from ruled r join scored s on s.host = r.host"""
+
+SQL: dict[str, str] = {"op5_substring_dedup": SUBSTRINGS, "op10_url_reputation": URLS}
