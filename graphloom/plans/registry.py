@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, change, graphs, joins, reads, search, streams  # noqa: F401  (registering)
+from . import aggregates, change, graphs, joins, more, reads, search, streams  # noqa: F401  (registering)
 from .base import QUERIES, SQL
 
 FLAGSHIP = "A9_cochange"
