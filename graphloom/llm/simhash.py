@@ -205,3 +205,196 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id
 
 def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# Near copies by shingle similarity.  The links of a fixed small radius find what is all but equal; texts whose shingle
+# sets overlap by ``similarity`` lie further apart in bits than bands of a fingerprint can promise.  So tiles are made
+# of rows that share a band of min-hashes, are compared by exclusive-or and bit counts within a wide radius, and give a
+# minimum spanning forest of links, nearest first; each link is then checked exactly on the whole shingle sets.
+
+BANDS, ROWS = 16, 4  # a pair of similarity 0.8 shares a band with probability 0.9998, one of 0.9 with 1 - 1e-7
+WIDE = 26  # bits: five deviations above the mean distance at similarity 0.8, for short texts' sake
+_MULTIPLIERS = np.random.default_rng(20).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; fewer words than ``width``: one of all of them."""
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    grams = map(b" ".join, zip(*(w[k:] for k in range(width)))) if len(w) >= width else [b" ".join(w)]
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8")
+
+
+def text_node(text: str | None) -> int:
+    """A hash of the lower-cased words: the same for copies."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), 7)
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(id, node, fp, bands) of every row; node: a hash of the lower-cased words, the same for copies."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            nodes, fps, bands = [], [], []
+            for at in range(0, b.num_rows, 256):
+                for t in b.column(1).slice(at, 256).to_pylist():
+                    h = shingles(t, width)
+                    ones = np.zeros(64, np.int64)
+                    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+                    for s in range(0, len(h), 4096):
+                        part = h[s : s + 4096]
+                        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                        low = np.minimum(low, (part[:, None] * _MULTIPLIERS[None, :]).min(axis=0))
+                    fps.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
+                    raw = low.astype("<u8").tobytes()
+                    bands.append([xxhash.xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k) for k in range(BANDS)])
+                    nodes.append(text_node(t))
+            flat = np.array(bands, np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(fps, np.int64)), lists], names=["id", "node", "fp", "bands"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, node long, fp long, bands array<long>")
+
+
+def spanning_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of a minimum spanning forest over the links within ``radius``: each group joins its nearest other
+    group, round by round, over tiles sorted by population count."""
+    order = np.argsort(np.bitwise_count(fps), kind="stable")
+    x, n = fps[order], len(fps)
+    pops = np.bitwise_count(x).astype(np.int64)
+    label = np.arange(n)
+    out_a, out_b = [], []
+    while True:
+        best, mate = np.full(n, radius + 1), np.zeros(n, np.int64)
+        for i in range(0, n, TILE):
+            for j in range(0, n, TILE):
+                if pops[j : j + TILE].min() - pops[i : i + TILE].max() > radius or pops[i : i + TILE].min() - pops[j : j + TILE].max() > radius:
+                    continue
+                d = np.bitwise_count(x[i : i + TILE, None] ^ x[None, j : j + TILE]).astype(np.int64)
+                d[label[i : i + TILE, None] == label[None, j : j + TILE]] = radius + 1
+                at = d.argmin(axis=1)
+                low = d[np.arange(len(at)), at]
+                nearer = np.flatnonzero(low < best[i : i + TILE])
+                best[i + nearer], mate[i + nearer] = low[nearer], at[nearer] + j
+        have = np.flatnonzero(best <= radius)
+        if not len(have):
+            break
+        pick = have[np.lexsort((have, best[have], label[have]))]
+        pick = pick[np.r_[True, label[pick][1:] != label[pick][:-1]]]  # the nearest of each group
+        a, b = np.minimum(pick, mate[pick]), np.maximum(pick, mate[pick])
+        a, b = np.unique(np.stack([a, b], 1), axis=0).T
+        out_a.append(order[a])
+        out_b.append(order[b])
+        while True:
+            low = np.minimum(label[a], label[b])
+            before = label.copy()
+            top = np.arange(n)
+            np.minimum.at(top, label[a], low)
+            np.minimum.at(top, label[b], low)
+            label = top[label]
+            if (label == before).all():
+                break
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _forest_links(key: np.ndarray, node: np.ndarray, fps: np.ndarray, radius: int) -> pa.RecordBatch:
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    two = starts[sizes == 2]
+    two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius] if len(two) else two
+    a_out.append(node[two])
+    b_out.append(node[two + 1] if len(two) else node[two])
+    for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+        a, b = spanning_forest(fps[s : s + n], radius)
+        a_out.append(node[s + a])
+        b_out.append(node[s + b])
+    a, b = np.concatenate(a_out), np.concatenate(b_out)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def similar_links(nodes: DataFrame, radius: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+    """Distinct candidate links (a, b) between ``nodes`` (node, fp, bands).
+
+    A band that more than ``bucket`` nodes share is cut into tiles, of which each pair is a task: the forests of all
+    pairs hold the forest of the whole."""
+    rows = nodes.select("node", "fp", F.explode("bands").alias("key"))
+    big = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "big")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < 4 * bucket:
+                continue
+            t = pa.Table.from_batches(held)
+            key = t.column("key").to_numpy()
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            if cut:
+                yield _forest_links(key[:cut], t.column("node").to_numpy()[:cut], t.column("fp").to_numpy()[:cut].view(np.uint64), radius)
+            held = t.slice(cut).combine_chunks().to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield _forest_links(t.column("key").to_numpy(), t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64), radius)
+
+    deal = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    if not big.head(1):
+        return deal(rows).distinct()
+    crowd = rows.join(big.select("key"), "key").withColumn("pop", F.bit_count("fp"))
+    per = materialise(crowd.groupBy("key", "pop").agg(F.ceil(F.count("*") / (bucket // 2)).cast("int").alias("m")), "tiles")
+    tiles = crowd.join(per, ["key", "pop"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    other = per.select("key", F.col("pop").alias("pop2"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("sub2"))
+    pairs = tiles.join(other, "key").where(F.abs(F.col("pop") - F.col("pop2")) <= radius)
+    me, you = F.struct("pop", "sub"), F.struct(F.col("pop2").alias("pop"), F.col("sub2").alias("sub"))
+    pairs = pairs.select("key", F.least(me, you).alias("p"), F.greatest(me, you).alias("q"), "node", "fp")
+
+    def tile_pair(t):
+        node, fps = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+        return pa.Table.from_batches([_forest_links(np.zeros(len(node), np.int64), node, fps, radius)])
+
+    exact = pairs.select("key", "p.pop", "p.sub", F.col("q.pop").alias("pop2"), F.col("q.sub").alias("sub2"), "node", "fp").groupBy("key", "pop", "sub", "pop2", "sub2").applyInArrow(tile_pair, "a long, b long")
+    return deal(rows.join(big.select("key"), "key", "left_anti")).unionAll(exact).where("a <> b").distinct()
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+    """Per row: id, node (equal for copies, letter case and white space aside) and component_id, the smallest id of all
+    rows that links of ``similarity`` (Jaccard, over sets of ``width``-word shingles) reach.
+
+    Null and empty texts are copies of each other.  Texts shorter than ``width`` words link only to copies."""
+    rows = materialise(sketches(docs, id_col, text_col, width), "sketches")
+    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    links = materialise(similar_links(nodes, radius, bucket), "candidates")
+    ends = links.select(F.col("a").alias("end_")).unionAll(links.select("b")).distinct()
+    ends = materialise(ends.join(nodes.select(F.col("node").alias("end_"), "least"), "end_"), "ends")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                got = [t for n, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if n == np.array([text_node(t)], np.uint64).view(np.int64)[0]]
+                nodes_ = np.array([text_node(t) for t in got], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_), pa.array([np.unique(shingles(t, width)).view(np.int64) for t in got], pa.list_(pa.int64()))], names=["node", "s"])
+
+    # One row of each candidate text: the one with the smallest id; rows of that id with other texts are passed over.
+    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("t_")).join(ends, F.col("id_").eqNullSafe(F.col("least"))).select("end_", "t_")
+    s = texts.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"])
+    s = materialise(s, "sets", "zstd")
+    j = links.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    true = j.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    roots = components(true)
+    placed = materialise(nodes.select("node", "least").join(roots.withColumnRenamed("node", "r_"), F.col("node") == F.col("r_"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "placed")
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("id", "node").join(placed.join(names, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "node", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near copies, the one with the smallest id, whole; of rows with that id, one."""
+    kept = near_copies(docs, similarity, width, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id_")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id_")), "left_semi").dropDuplicates([id_col])

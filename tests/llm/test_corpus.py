@@ -176,6 +176,90 @@ def test_drop_near_duplicates(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+def brute_copies(rows, least=0.8, width=5):
+    """(id, text) rows to the smallest id that links of shingle sets reach."""
+    low = [re.sub("[A-Z]", lambda m: m.group().lower(), " ".join(data.words_of(t))) for _, t in rows]
+    sets = []
+    for t in low:
+        w = t.split(" ")
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or {tuple(w)})
+    part = list(range(len(rows)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i in range(len(rows)):
+        for k in range(i):
+            if len(sets[i] & sets[k]) >= least * len(sets[i] | sets[k]):
+                part[find(i)] = find(k)
+    names = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            names[find(i)] = min(names.get(find(i), d), d)
+    return [(d, names.get(find(i))) for i, (d, _) in enumerate(rows)]
+
+
+def copies_corpus(seed=11):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for n in (12, 30, 80, 200, 700):
+        for _ in range(3):
+            base = [f"{x}{rng.randrange(9)}" for x in data.prose(rng, n).split(" ")]
+            rows.append(" ".join(base))
+            for edits in (0, 1, 1, 2, 4, 9, 30):
+                w = list(base)
+                for _ in range(min(edits, n // 3)):
+                    w[rng.randrange(n)] = f"new{rng.randrange(10**6)}"
+                rows.append(" ".join(w).upper() if edits == 0 else " ".join(w))
+    rows += [None, "", "one two", "ONE  two", "one two three"]
+    rng.shuffle(rows)
+    return [(i, t) for i, t in enumerate(rows)] + [(3, rows[3]), (5, "a repeated id with another text than before it")]
+
+
+@pytest.mark.parametrize("bucket", [8192, 2])
+def test_near_copies(spark, bucket):
+    rows = copies_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(df, bucket=bucket).collect())
+    want = sorted(brute_copies(rows))
+    assert got == want and len({c for _, c in want}) < len(rows) - 30
+
+
+def test_near_copies_of_awkward_rows(spark):
+    df = data.frame(spark)
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_copies(df).collect()), key=str)
+    want = brute_copies([(r[0], r[1]) for r in data.rows()])
+    assert got == sorted(want, key=str)
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted({c for _, c in want}, key=str)
+    assert simhash.drop_near_copies(data.empty(spark)).collect() == []
+
+
+def test_forest_is_minimal():
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    fps[100:400] = fps[:1] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
+    a, b = simhash.spanning_forest(fps, 20)
+    d = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(int)
+    part = list(range(len(fps)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    total = n = 0
+    for i, k in sorted(zip(*np.nonzero(np.triu(d <= 20, 1))), key=lambda p: d[p]):
+        if find(i) != find(k):
+            part[find(i)] = find(k)
+            total, n = total + d[i, k], n + 1
+    assert len(a) == n and d[a, b].sum() == total
+
+
 def brute_measures(text):
     w = data.words_of(text)
     at = {}

@@ -1,7 +1,7 @@
 import corpus_pipeline as cp
 from graphloom.llm import queries, quality
 from tests.llm import data
-from tests.llm.test_corpus import brute_components, brute_fingerprint
+from tests.llm.test_corpus import brute_copies
 from tests.llm.test_mixing import brute_targets, nearest
 from tests.llm.test_pii import brute_value  # noqa: F401  (the stage's own test holds values)
 
@@ -23,7 +23,7 @@ def test_stages_in_turn(spark, tmp_path):
     kept = {r.id for r in quality.judge(data.frame(spark)).collect() if r.kept}
     assert {r.doc_id for r in after} == kept and len(after) < len(before)
     before, after = seen["near_dedup"]
-    want = {c for _, _, c in brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in before], 2)}
+    want = {c for _, c in brute_copies([(r.doc_id, r.text) for r in before])}
     assert sorted(r.doc_id for r in after) == sorted(want) and len(after) < len(before)
     before, after = seen["pii_pseudonyms"]
     assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before)
