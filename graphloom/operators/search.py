@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,13 +11,79 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each query (q_id, q) the ``k`` nearest vectors (id, v) by cosine, ties by id.  Exact: a stated set of
-    queries, broadcast as one array row, against all vectors in one pass; the best ``k`` of each task go on."""
-    packed = F.broadcast(queries.agg(F.collect_list(F.struct("q_id", "q")).alias("qs")))
-    pairs = vectors.join(packed, how="inner").select("id", "v", F.explode("qs").alias("x")).select("id", F.col("x.q_id").alias("q_id"), s.cosine(F.col("v"), F.col("x.q")).alias("score"))
+BLOCK = 4096  # query vectors that a task holds at once
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as rows; others count as zero vectors, as null ones do."""
+    rows = column.to_pylist()
+    n = max((len(r) for r in rows if r), default=0)
+    out = np.zeros((len(rows), n))
+    for i, r in enumerate(rows):
+        if r and len(r) == n:
+            out[i] = r
+    return out
+
+
+def _cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosine of every query (rows) and vector (columns); 0 for zero norms and other lengths."""
+    if not v.size or not q.size or v.shape[1] != q.shape[1]:
+        return np.zeros((len(q), len(v)))
+    nv, nq = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
+    d = np.outer(nq, nv)
+    return np.divide(q @ v.T, d, out=np.zeros_like(d), where=d > 0)
+
+
+def _scan(vectors: DataFrame, queries: DataFrame, k: int | None, least: float | None, block: int) -> DataFrame:
+    """(q_id, id, score) of a stated set of queries against all vectors, the best ``k`` of each batch or all above
+    ``least``.  Up to ``block`` queries (counted) go along with the tasks; more are dealt into blocks of that size, and
+    each block meets each part of the vectors in a task of its own."""
+    id_type, q_type = vectors.schema["id"].dataType.simpleString(), queries.schema["q_id"].dataType.simpleString()
+    schema = f"q_id {q_type}, id {id_type}, score double"
+
+    def pick(ids: pa.Array, v: np.ndarray, qids: list, q: np.ndarray) -> pa.RecordBatch:
+        c = _cosines(v, q)
+        if k is not None and c.shape[1] > k:
+            cut = np.partition(c, -k, axis=1)[:, -k]  # ties with the k-th stay, to be told apart by id
+            at, col = np.nonzero(c >= cut[:, None])
+        else:
+            at, col = np.nonzero(c > least) if least is not None else np.nonzero(np.ones_like(c, bool))
+        q_col = pa.array([qids[i] for i in at.tolist()])
+        return pa.RecordBatch.from_arrays([q_col, ids.take(pa.array(col)), pa.array(c[at, col])], names=["q_id", "id", "score"])
+
+    n = queries.count()
+    if n <= block:
+        held = queries.select("q_id", "q").collect()
+        qids, q = [r.q_id for r in held], _matrix(pa.array([r.q for r in held], pa.list_(pa.float64())))
+
+        def run(batches):
+            for b in batches:
+                if qids and b.num_rows:
+                    yield pick(b.column(0), _matrix(b.column(1)), qids, q)
+
+        return vectors.select("id", F.col("v").cast("array<double>")).mapInArrow(run, schema)
+    blocks = -(-n // block)
+    parts = max(1, vectors.count() // (16 * block))
+    qs = queries.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    vs = vectors.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left.column("id").combine_chunks()
+        out = [pick(ids.slice(s, 8192), _matrix(left.column("v").slice(s, 8192)), right.column("q_id").to_pylist(), _matrix(right.column("q"))) for s in range(0, left.num_rows, 8192)] if right.num_rows else []
+        return pa.Table.from_batches(out) if out else pa.table({"q_id": right.column("q_id").slice(0, 0), "id": left.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+
+    return vs.select("qb", "vb", "id", "v").groupBy("qb", "vb").cogroup(qs.select("qb", "vb", "q_id", "q").groupBy("qb", "vb")).applyInArrow(meet, schema)
+
+
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """For each query (q_id, q) the ``k`` nearest vectors (id, v) by cosine with their rank, ties by id; exact."""
     w = W.partitionBy("q_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _scan(vectors, queries, k, None, block).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def cosine_above(vectors: DataFrame, queries: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(q_id, id, score) of all vectors closer to a query than ``least``."""
+    return _scan(vectors, queries, None, least, block)
 
 
 def keyword_score(name: Column, signature: Column, query: Column) -> Column:
@@ -80,6 +148,6 @@ def quantised_top(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: i
     """The ``k`` nearest by the index: the best ``widen`` * k by codes, ranked again by their exact cosine."""
     decoded = index.select("id", F.transform("codes", lambda c: c.cast("double")).alias("v"))
     rough = cosine_top(decoded, queries, widen * k).select("q_id", "id")
-    exact = rough.join(vectors.select("id", "v"), "id").join(F.broadcast(queries), "q_id").select("q_id", "id", s.cosine(F.col("v"), F.col("q")).alias("score"))  # the stated queries
+    exact = rough.join(vectors.select("id", "v"), "id").join(queries, "q_id").select("q_id", "id", s.cosine(F.col("v"), F.col("q")).alias("score"))
     w = W.partitionBy("q_id").orderBy(F.desc("score"), "id")
     return exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -148,9 +148,8 @@ def hash_embedding(spark, d):
 @query("V17_rule_similarity", "select a.id as a, b.id as b from vectors_n a, vectors_n b where a.id % 100 = 0 and b.id <> a.id and list_dot_product(a.v, b.v) / (a.nv * b.nv) > 0.75", p.VECTORS, COS)
 def rule_similarity(spark, d):
     v = p.vectors(spark, d)
-    q = F.broadcast(v.where("id % 100 = 0").agg(F.collect_list(F.struct(F.col("id").alias("a"), F.col("v").alias("q"))).alias("qs")))
-    x = v.join(q, how="inner").select(F.col("id").alias("b"), "v", F.explode("qs").alias("x"))
-    return x.where((F.col("x.a") != F.col("b")) & (s.cosine(F.col("v"), F.col("x.q")) > 0.75)).select("x.a", "b")
+    q = v.where("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("v").alias("q"))
+    return se.cosine_above(v, q, 0.75).where("q_id <> id").select(F.col("q_id").alias("a"), F.col("id").alias("b"))
 
 
 @query("V18_drift_class", """select a.id, round(case when a.id % 5 = 0 then 1.0 else list_dot_product(a.v, b.v) / (a.nv * b.nv) end, 6) as similarity, case when a.id % 5 = 0 then 'stable' when list_dot_product(a.v, b.v) / (a.nv * b.nv) > 0.95 then 'cosmetic'

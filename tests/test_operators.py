@@ -159,6 +159,25 @@ def test_query_tokens(spark):
     assert one(spark, s.query_tokens(F.lit("functions that validate user permissions"))) == ["functions", "validate", "user", "permissions"]
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_cosine_in_blocks(spark, block):
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((60, 5)).round(1)
+    v[7] = 0
+    v[9] = v[8]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(60, None), (61, [1.0])], "id long, v array<double>")
+    q = spark.createDataFrame([(i, v[i].tolist()) for i in (0, 7, 8, 20, 30, 40, 50)], "q_id long, q array<double>")
+    n = np.linalg.norm(v, axis=1)
+    c = np.nan_to_num(v @ v.T / np.outer(n, n))
+    got = {}
+    for r in se.cosine_top(df, q, 4, block).collect():
+        got.setdefault(r.q_id, {})[r.rank] = (r.id, round(r.score, 9))
+    for i in (0, 8, 20, 30, 40, 50):
+        want = sorted(range(60), key=lambda k: (-round(c[i, k], 12), k))[:4]
+        assert [got[i][k + 1][1] for k in range(4)] == [round(c[i, k], 9) for k in want]
+    assert {(r.q_id, r.id) for r in se.cosine_above(df, q, 0.6, block).collect()} == {(i, k) for i in (0, 8, 20, 30, 40, 50) for k in range(60) if c[i, k] > 0.6}
+
+
 def test_index_recall(spark):
     """Over the queried vectors' exact ten nearest."""
     sf = "/root/testdata/sf0.01"
