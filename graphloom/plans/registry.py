@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from . import aggregates, change, graphs, joins, more, reads, search, streams, surface  # noqa: F401  (registering)
 from .base import QUERIES, SQL
+from .shipping import shipped
 
 FLAGSHIP = "A9_cochange"
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {name: shipped(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
