@@ -213,7 +213,7 @@ def hex_digits(fp):
 # minimum spanning forest of links, nearest first; each link is then checked exactly on the whole shingle sets.
 
 BANDS, ROWS = 16, 4  # a pair of similarity 0.8 shares a band with probability 0.9998, one of 0.9 with 1 - 1e-7
-WIDE = 26  # bits: five deviations above the mean distance at similarity 0.8, for short texts' sake
+WIDE = 32  # bits: far above the distances of texts at similarity 0.8, short ones too (mean ten, seen up to thirty)
 _MULTIPLIERS = np.random.default_rng(20).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -362,7 +362,74 @@ def similar_links(nodes: DataFrame, radius: int = WIDE, bucket: int = BUCKET) ->
     return deal(rows.join(big.select("key"), "key", "left_anti")).unionAll(exact).where("a <> b").distinct()
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+GROUP = 1024  # texts of one candidate group compared within one task
+
+
+def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) of ``similarity`` or more that connect whatever such links connect.  Sets are bits over the shingles
+    that two of them share; a text is compared only with texts it is not connected to yet."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    known, inv, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    width = -(-int((times > 1).sum()) // 64) * 8
+    bits = np.zeros((n, max(width, 8)), np.uint8)
+    at = 0
+    for i, x in enumerate(sets):
+        mine = inv[at : at + len(x)]
+        at += len(x)
+        mine = place[mine[times[mine] > 1]]
+        np.bitwise_or.at(bits[i], mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+    rows = bits.view(np.uint64)
+    label, out = np.arange(n), []
+    for i in range(n - 1):
+        rest = np.flatnonzero(label != label[i])
+        rest = rest[rest > i]
+        for s in range(0, len(rest), 256):
+            part = rest[s : s + 256]
+            both = np.bitwise_count(rows[part] & rows[i]).sum(axis=1, dtype=np.int64)
+            for j in part[both >= similarity * (sizes[part] + sizes[i] - both)].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def _exact(groups: DataFrame, similarity: float, group: int) -> DataFrame:
+    """Links (a, b) among the members (root, node, s) of each candidate group; a group above ``group`` texts is cut into
+    tiles, and each pair of its tiles is a task."""
+    big = materialise(groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group).select("root", F.ceil(F.col("n") * 2 / group).cast("int").alias("m")), "large")
+
+    def linked(t: pa.Table) -> pa.RecordBatch:
+        node = t.column("node").to_numpy()
+        sets = [np.asarray(x) for x in t.column("s").combine_chunks().to_numpy(zero_copy_only=False)]
+        ij = exact_links(sets, similarity) if len(sets) > 1 else []
+        a, b = node[[i for i, _ in ij]], node[[j for _, j in ij]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            root = t.column("root").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(root)) + 1]
+            for s, e in zip(cuts, cuts[1:]):
+                yield linked(t.slice(s, e - s))
+            held = t.slice(cuts[-1])
+        if held is not None:
+            yield linked(held)
+
+    deal = lambda df: df.repartition("root").sortWithinPartitions("root").mapInArrow(runs, "a long, b long")
+    if not big.head(1):
+        return deal(groups)
+    x = groups.join(big, "root").withColumn("t", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("root", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "node", "s")
+    tiles = x.groupBy("root", "t1", "t2").applyInArrow(lambda t: pa.Table.from_batches([linked(t)]), "a long, b long")
+    return deal(groups.join(big.select("root"), "root", "left_anti")).unionAll(tiles)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
     """Per row: id, node (equal for copies, letter case and white space aside) and component_id, the smallest id of all
     rows that links of ``similarity`` (Jaccard, over sets of ``width``-word shingles) reach.
 
@@ -384,10 +451,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     # One row of each candidate text: the one with the smallest id; rows of that id with other texts are passed over.
     texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("t_")).join(ends, F.col("id_").eqNullSafe(F.col("least"))).select("end_", "t_")
     s = texts.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"])
-    s = materialise(s, "sets", "zstd")
-    j = links.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    true = j.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    groups = components(links).join(s, "node").select("root", "node", "s")
+    true = _exact(materialise(groups, "groups", "zstd"), similarity, group)
     roots = components(true)
     placed = materialise(nodes.select("node", "least").join(roots.withColumnRenamed("node", "r_"), F.col("node") == F.col("r_"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "placed")
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -220,11 +220,11 @@ def copies_corpus(seed=11):
     return [(i, t) for i, t in enumerate(rows)] + [(3, rows[3]), (5, "a repeated id with another text than before it")]
 
 
-@pytest.mark.parametrize("bucket", [8192, 2])
-def test_near_copies(spark, bucket):
+@pytest.mark.parametrize("bucket,group", [(8192, 1024), (2, 4)])
+def test_near_copies(spark, bucket, group):
     rows = copies_corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(df, bucket=bucket).collect())
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(df, bucket=bucket, group=group).collect())
     want = sorted(brute_copies(rows))
     assert got == want and len({c for _, c in want}) < len(rows) - 30
 
