@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 
 CACHE_WORDS = 300_000  # words a worker remembers in each of two generations
 CACHE_CHARS = 64  # longer words are encoded each time
+# Fixed value: how byte-level BPE cuts texts into units.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _SAFE_CUT = re.compile(r" (?=\S)")
 _encoders: dict[str, "Encoder"] = {}
@@ -36,6 +38,27 @@ class Encoder:
         self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.many = self._merger(path, vocab)
+
+    def _merger(self, path: str, vocab: dict[str, int]):
+        """Encodes a string of many new words.  Where the file's merges stand in the order of their ids, the ids are
+        ranks and a faster merge loop over the same vocabulary gives the same ids; else the library itself does it."""
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
+        at = [vocab.get(a + b, -1) for a, b in merges]
+        if model.get("type") == "BPE" and at and at == sorted(at) and at[0] == 256 and len(set(at)) == len(at):
+            import tiktoken
+
+            # The printable stand-ins of bytes: themselves where they print, else code points from 256 on.
+            shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+            byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+            ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i <= at[-1] and all(c in byte for c in t)}
+            enc = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            return enc.encode_ordinary
+        return lambda text: self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
@@ -51,7 +74,7 @@ class Encoder:
                 fresh.append(w)
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
-            ids = np.asarray(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(self.many(" " + " ".join(part)), dtype="<u4")
             cuts = np.flatnonzero(self.leads[ids]) * 4
             assert len(cuts) == len(part)
             raw, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
