@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 PAD = 64
 RATE = 8000  # samples a second that the container states
 SCHEME = "sha256:"
@@ -141,6 +143,7 @@ def store(payloads: DataFrame, payload_col: str, keep_media: bool = False) -> Da
 def resolve(pages: DataFrame, stored: DataFrame, sequence_col: str = "sequence", id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per media reference: ids, position, caption, digest and the stored payload's columns (null if the store
     lacks the digest).  ``stored`` may repeat digests; equal digests are equal payloads, so one row of them counts."""
-    once = stored.dropDuplicates(["digest"]).withColumnRenamed("digest", "s_digest_")
+    # Written down, so that the join's sides come straight from their shuffles and a hot digest's partition can be split.
+    once = materialise(stored.dropDuplicates(["digest"]).withColumnRenamed("digest", "s_digest_"), "store")
     refs = pages.select(*id_cols, F.explode(sequence_col).alias("x")).where("x.kind = 'media'").select(*id_cols, "x.position", "x.caption", "x.digest")
     return refs.join(once, F.col("digest") == F.col("s_digest_"), "left").drop("s_digest_")
