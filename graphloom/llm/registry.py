@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from ..plans.shipping import shipped
 from . import queries as q
 from . import sql
 
 
 def queries() -> dict:
-    return {f: getattr(q, f) for f in dir(q) if f.startswith("op")}
+    return {f: shipped(getattr(q, f)) for f in dir(q) if f.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
