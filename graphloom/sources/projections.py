@@ -75,7 +75,7 @@ def scd(spark: SparkSession, d: str) -> DataFrame:
 def scoped(spark: SparkSession, d: str) -> DataFrame:
     """Orders as scoped facts: branch rows, tombstones and primary rows."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("kind"))
-    branch = o.where("id % 10 = 0").select("id", F.round(F.col("price") * 1.1, 2).alias("price"), "kind", F.lit("branch:x").alias("scope"))
+    branch = o.where("id % 10 = 0").select("id", (F.col("price") * 2).alias("price"), "kind", F.lit("branch:x").alias("scope"))
     dead = o.where("id % 10 = 1").select("id", F.lit(None).cast("double").alias("price"), F.lit("tombstone").alias("kind"), F.lit("branch:x").alias("scope"))
     return o.withColumn("scope", F.lit("primary")).unionByName(branch).unionByName(dead)
 
@@ -103,5 +103,5 @@ JUSTIFICATIONS = """justifications as (select d.doc_id as entity_id, case doc_id
 VECTORS = "vectors as (select vec_id as id, embedding::double[] as v, label::bigint as label from embeddings)"
 SCD = "scd as (select event_id, user_id, event_type, value, ts as valid_from, lead(ts) over (partition by user_id, event_type order by ts, event_id) as valid_to from events)"
 SCOPED = """scoped as (select o_orderkey as id, o_totalprice as price, o_orderstatus as kind, 'primary' as scope from orders
-  union all select o_orderkey, round(o_totalprice * 1.1, 2), o_orderstatus, 'branch:x' from orders where o_orderkey % 10 = 0
+  union all select o_orderkey, o_totalprice * 2, o_orderstatus, 'branch:x' from orders where o_orderkey % 10 = 0
   union all select o_orderkey, null, 'tombstone', 'branch:x' from orders where o_orderkey % 10 = 1)"""
