@@ -36,9 +36,12 @@ NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search f
 NOT_MAIN_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|banner|breadcrumbs?|byline-share|comment|comments|commentlist|consent|cookie|cookies|"
     r"disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pagination|pager|popup|promo|promoted|"
-    r"recommended|related|replies|responses|share|sharing|sidebar|signup|skip-link|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|topbar|widget)(?:$|[\s_-])",
+    r"recommended|related|replies|responses|share|sharing|sidebar|signup|skip-link|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|topbar|widget|widgets|"
+    r"cookiebar|cookiebanner|topnav|sidenav|subnav|navmenu|leftbar|rightbar|teaser|teasers|trending|rail|print-only|noprint)(?:$|[\s_-])",
     re.I,
 )
+OWN_PARTS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)  # an article has one of its own
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
 PUNCTUATION = re.compile(r"[,.;:!?…、。，！？]")
@@ -55,8 +58,10 @@ def _not_main(tag: str, attrs: str, in_article: bool) -> bool:
                 return True
             if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return True
-            if name in ("class", "id") and tag not in ("body", "html", "main", "article") and NOT_MAIN_NAMES.search(value):
-                return True
+            if name in ("class", "id") and tag not in ("body", "html", "main", "article"):
+                value = HUMP.sub("-", value)
+                if (m := NOT_MAIN_NAMES.search(value)) and not (in_article and OWN_PARTS.fullmatch(m[0])):
+                    return True
     return False
 
 

@@ -32,6 +32,9 @@ TEXT = f"On rivers\n{SENTENCE}\n{SENTENCE} And & more.\nShort."
     f"<article>{ARTICLE.replace('<p>Short.</p>', '<p>Short.<br>')}</article><div class='related-posts'><a href=x>{SENTENCE}</a></div>",
     f"<article>{ARTICLE.replace('<p>', '<p><b>', 1)}</article>",
     f"<article><h1>On  rivers\n</h1><p>{SENTENCE}<p>{SENTENCE} And <i>&#38;</i> more.<p>Short.</article>",
+    f"<div id=siteHeader><p>{SENTENCE}</p></div><article><div class='entry-header'><h1>On rivers</h1></div>{ARTICLE.replace('<h1>On rivers</h1>', '')}</article><div class=cookieBanner><p>{SENTENCE}</p></div>",
+    f"<article>{ARTICLE}<section id=comments><h2>Comments</h2><div class=comment><p>{SENTENCE} Me too.</p></div></section></article>",
+    f"<div class=wrap><div class=menu-left><ul><li>{SENTENCE}</li></ul></div><div class=post>{ARTICLE}</div><div class='newsletter signup'><p>Join us, today.</p></div></div>",
     f"<article>{ARTICLE.replace('Short.', 'Sh<span>o</span>rt<span class=ad> buy</span>.')}</article>",
 ])
 def test_templates(body):
