@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import trimmed
+
 # HTML's elements by behaviour, and names by which pages mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -176,6 +178,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     keep = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]
     schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep) + f"`{text_col}` string, n_chars long"
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):

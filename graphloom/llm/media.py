@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, trimmed
 
 PAD = 64
 RATE = 8000  # samples a second that the container states
@@ -81,6 +81,7 @@ def sequences(pages: DataFrame, html_col: str = "html", out_col: str = "sequence
     schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep) + f"`{out_col}` {SEQUENCE}"
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([sequence(h) for h in b.column(len(keep)).to_pylist()], kind)], names=[*keep, out_col])
@@ -124,6 +125,7 @@ def store(payloads: DataFrame, payload_col: str, keep_media: bool = False) -> Da
     ``keep_media`` the stored form itself.  Null payloads count as empty."""
     size = len(STORE.split(","))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):

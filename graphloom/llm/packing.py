@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, trimmed
 from .tokens import token_pieces
 
 CHUNK = 1_000_000  # items that one leaf of the tree packs at once
@@ -83,6 +83,7 @@ def pack(items: DataFrame, capacity: int, size_col: str = "length", near: int =
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", bin long, offset long, fill long, node long, done boolean"
     at = names.index(size_col)
 
+    @trimmed
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, chunk, held, rows = TaskContext.get().partitionId(), 0, [], 0
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import materialise, maybe_broadcast
+from .common import materialise, maybe_broadcast, trimmed
 from .tokens import encoder
 
 MU_BIGRAM, ALPHA = 5.0, 0.1
@@ -46,6 +46,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_p
     marked = marked.join(maybe_broadcast(ids.withColumn("t_", F.lit(True)), ids.count(), BROADCAST_TARGETS), F.col("id") == F.col("t_id_"), "left").select("id", "text", F.coalesce("t_", F.lit(False)).alias("target"))
     shards = B.shards_for(docs, text_col)
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pid, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for docs_ in B.gather(batches, lambda r: len(r[1] or ""), block_bytes):
@@ -57,10 +58,16 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_p
             sizes = np.array([len(x) // 4 for x in raw], np.int64)
             starts = np.cumsum(sizes) - sizes
             of = np.repeat(np.array([r[2] for r in docs_], bool), sizes)
-            uni, bi = _keys(tok, starts, bos)
-            keys, inv = np.unique(np.concatenate([uni, bi]), return_inverse=True)
-            all_n = np.bincount(inv, minlength=len(keys)).astype("<u4")
-            target_n = np.bincount(inv, np.concatenate([of, of]), minlength=len(keys)).astype("<u4")
+            _, bi = _keys(tok, starts, bos)
+            bi_keys, bi_n = np.unique(bi, return_counts=True)
+            hit, hit_n = np.unique(bi[of], return_counts=True)
+            bi_target = np.zeros(len(bi_keys), np.int64)
+            bi_target[np.searchsorted(bi_keys, hit)] = hit_n
+            uni_n, uni_target = (np.bincount(x, minlength=vocabulary) for x in (tok, tok[of]))
+            words = np.flatnonzero(uni_n)
+            keys = np.concatenate([words.astype(np.uint32), bi_keys])  # ids lie below any bigram's key
+            all_n = np.concatenate([uni_n[words], bi_n]).astype("<u4")
+            target_n = np.concatenate([uni_target[words], bi_target]).astype("<u4")
             meta = np.array([[-1 if r[0] is None else r[0], r[0] is None, r[2], n] for r, n in zip(docs_, sizes)], "<i8")
             out = [(block, 0, -1, B.pack(tok.astype("<u2")), B.pack(meta), np.array([len(tok), int(of.sum())], "<i8").tobytes())]
             out += [(block, 1, s, B.pack(keys[p]), B.pack(all_n[p]), B.pack(target_n[p])) for s, p in B.by_shard(B.mix64(keys.astype(np.uint64)), shards)]
@@ -69,6 +76,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_p
     held = materialise(marked.mapInArrow(count, B.ROW), "ngrams")
     total, target_total = (x or 0 for x in held.where("kind = 0").select("c").agg(F.sum(_le(F.col("c"), 0)), F.sum(_le(F.col("c"), 8))).first())
 
+    @trimmed
     def add(t: pa.Table) -> pa.Table:
         sent = B.cells(t)
         keys = [B.unpack(r["a"], "<u4") for r in sent]
@@ -79,6 +87,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_p
 
     replies = held.where("kind = 1").groupBy("shard").applyInArrow(add, B.ROW)
 
+    @trimmed
     def score(t: pa.Table) -> pa.Table:
         got = B.cells(t)
         own = next(r for r in got if r["kind"] == 0)

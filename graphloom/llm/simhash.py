@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, trimmed
 
 BUCKET = 8192  # fingerprints of one band bucket compared within one task
 TILE = 256
@@ -46,6 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id_col`` and ``fp`` (the fingerprint's bits as a signed long) of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps: list[int] = []
@@ -125,6 +126,7 @@ def near_links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataF
     rows = nodes.select("fp", F.explode(F.array(*bands)).alias("x")).select("x.band", "x.key", "fp")
     hot = materialise(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "hot")
 
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -154,6 +156,7 @@ def near_links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataF
     pairs = pairs.select("band", "key", F.least(me, you).alias("p"), F.greatest(me, you).alias("q"), (me <= you).alias("first"), "fp")
     pairs = pairs.select("band", "key", F.col("p.pop").alias("p1"), F.col("p.sub").alias("s1"), F.col("q.pop").alias("p2"), F.col("q.sub").alias("s2"), "first", "fp")
 
+    @trimmed
     def tile_pair(t):
         fps, first = t.column("fp").to_numpy().view(np.uint64), t.column("first").to_numpy(zero_copy_only=False)
         one = (t.column("p1")[0].as_py(), t.column("s1")[0].as_py()) == (t.column("p2")[0].as_py(), t.column("s2")[0].as_py())
@@ -237,6 +240,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """(id, node, fp, bands) of every row; node: a hash of the lower-cased words, the same for copies."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -327,6 +331,7 @@ def similar_links(nodes: DataFrame, radius: int = WIDE, bucket: int = BUCKET) ->
     rows = nodes.select("node", "fp", F.explode("bands").alias("key"))
     big = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "big")
 
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -354,6 +359,7 @@ def similar_links(nodes: DataFrame, radius: int = WIDE, bucket: int = BUCKET) ->
     me, you = F.struct("pop", "sub"), F.struct(F.col("pop2").alias("pop"), F.col("sub2").alias("sub"))
     pairs = pairs.select("key", F.least(me, you).alias("p"), F.greatest(me, you).alias("q"), "node", "fp")
 
+    @trimmed
     def tile_pair(t):
         node, fps = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
         return pa.Table.from_batches([_forest_links(np.zeros(len(node), np.int64), node, fps, radius)])
@@ -407,6 +413,7 @@ def _exact(groups: DataFrame, similarity: float, group: int) -> DataFrame:
         a, b = node[[i for i, _ in ij]], node[[j for _, j in ij]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
+    @trimmed
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
@@ -440,6 +447,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     ends = links.select(F.col("a").alias("end_")).unionAll(links.select("b")).distinct()
     ends = materialise(ends.join(nodes.select(F.col("node").alias("end_"), "least"), "end_"), "ends")
 
+    @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import materialise
+from .common import materialise, trimmed
 
 GRAM = 8
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
@@ -143,6 +143,7 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     shards = B.shards_for(docs, text_col)
     top = (1 << 63) - 1
 
+    @trimmed
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -170,6 +171,7 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     held = materialise(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(send, B.ROW), "anchors")
 
+    @trimmed
     def recur(t: pa.Table) -> pa.Table:
         """Which anchors recur, and which whole texts have an earlier copy in another block."""
         got = B.cells(t)
@@ -189,6 +191,7 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     first_replies = held.where("kind in (1, 2)").groupBy("shard").applyInArrow(recur, B.ROW)
 
+    @trimmed
     def locate(t: pa.Table) -> pa.Table:
         got = B.cells(t)
         own = next(r for r in got if r["kind"] == 0)
@@ -239,6 +242,7 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     located = materialise(held.where("kind = 0").unionAll(first_replies).groupBy("block").applyInArrow(locate, B.ROW), "windows")
 
+    @trimmed
     def confirm(t: pa.Table) -> pa.Table:
         got = B.cells(t)
         keys = [np.stack([np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<u4").astype("<u8")], 1) for r in got]
@@ -247,6 +251,7 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     second_replies = located.where("kind = 5").groupBy("shard").applyInArrow(confirm, B.ROW)
 
+    @trimmed
     def cut(t: pa.Table) -> pa.Table:
         got = B.cells(t)
         docs_, ids, flags = _load(next(r for r in got if r["kind"] == 0))

@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 300_000  # words a worker remembers in each of two generations
+from .common import trimmed
+
+CACHE_WORDS = 60_000  # words a worker remembers in each of two generations; more of them save no time
 CACHE_CHARS = 64  # longer words are encoded each time
 # Fixed value: how byte-level BPE cuts texts into units.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -112,6 +114,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, separator: in
     id_type = docs.schema[id_col].dataType.simpleString()
     sep = np.asarray([separator], dtype="<u4").tobytes()
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
