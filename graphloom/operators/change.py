@@ -12,11 +12,47 @@ from ..functions import scalars as s
 # Code shapes whose change is a change of meaning, and test assertions.
 ANCHORS = (r"\bif\s*\(", r"\bswitch\s*\(", r"\bthrow\s+", r"\breturn\s+", r"\bawait\s+", r"\byield\s+", r"\.emit\s*\(", r"\.dispatch\s*\(", r"\.save\s*\(", r"\.update\s*\(", r"\.delete\s*\(", r"\.insert\s*\(", r"\.create\s*\(", r"\.remove\s*\(", r"\.push\s*\(", r"\.set\s*\(")
 ASSERTIONS = (r"\bexpect\s*\(", r"\bassert\s*[.(]", r"\.toBe\s*\(", r"\.toEqual\s*\(", r"\.toThrow\s*\(", r"\.toContain\s*\(", r"\.toHaveBeenCalled", r"\.should\.")
-GENERIC_TAGS = ("unclassified", "utility", "utilities", "helpers", "misc", "other", "general", "common")
-PROGRAMMING_TERMS = ("function", "class", "method", "interface", "type", "variable", "module", "object", "string", "number", "array", "api", "data", "code")
-NON_DESCRIPTIVE = ("data", "item", "temp", "tmp", "val", "value", "obj", "foo", "bar", "test", "handler", "callback", "fn", "func", "util", "helper", "process", "run", "do", "main", "index", "default")
+# Wording that lowers or raises a justification's score.
+GENERIC_PHRASES = ("handles operations", "manages data", "performs operations", "handles processing", "manages the", "provides functionality", "utility function", "helper function", "does various", "general purpose", "handles various")
+GENERIC_TAGS = ("utility", "misc", "other", "general", "unknown")
+PROGRAMMING_TERMS = tuple(
+    "function class string number boolean object array variable parameter argument return void null undefined interface type method property constructor instance"
+    " module import export async await promise callback".split()
+)
+DOMAIN_TERMS = (
+    r"(?i)\b(auth|authenticat|authoriz|session|credential|login|signup|oauth|sso|rbac|permission)\b",
+    r"(?i)\b(payment|billing|invoice|subscription|checkout|refund|pricing|revenue|charge)\b",
+    r"(?i)\b(order|cart|shipment|inventory|catalog|warehouse|fulfillment|sku)\b",
+    r"(?i)\b(patient|diagnosis|prescription|clinical|medical|health|treatment|pharmacy)\b",
+    r"(?i)\b(workflow|pipeline|orchestrat|queue|job|scheduler|dispatch|routing)\b",
+    r"(?i)\b(notification|alert|email|webhook|event|publish|subscribe|broadcast)\b",
+    r"(?i)\b(cache|index|search|query|filter|aggregat|pagination|shard|replica)\b",
+    r"(?i)\b(encrypt|decrypt|hash|sign|verify|certificate|tls|ssl|vault|secret)\b",
+    r"(?i)\b(deploy|ci/cd|migration|rollback|release|canary|feature.?flag|toggle)\b",
+    r"(?i)\b(compliance|audit|gdpr|hipaa|pci|regulation|retention|consent)\b",
+    r"(?i)\b(analytics|metrics|telemetry|tracing|logging|monitoring|dashboard|report)\b",
+    r"(?i)\b(tenant|organization|workspace|team|role|policy|access.?control)\b",
+)
+LAZY_PHRASING = r"(?i)^(a |the |this )(function|class|method|interface|type|variable)"
+CODE_SIGNALS = (
+    r"(?i)\bnam(e|ing|ed)\b|\bpattern\b|\bsignat|\bimport|\bcall(s|ed|ing)?\b|\breturn|\bimplement|\bextend|\bfile\b|\bmodule\b|\bclass\b|\bfunction\b|\binterface\b|\bmethod\b|\bparam"
+    r"|\basync\b|\bdependen|\binherit|\bexport|\btest"
+)
+EVIDENCE = (r"[A-Z][a-z]+[A-Z]", r"\b\w+\.\w+\.\w+", r"\b\w+_\w+\b", r"`[^`]+`", r"(?i)\b\d+\s*(call|import|depend|reference|usage)")
+# Names that say nothing, weights of model tiers, what always goes to the best model, commit subjects.
+NON_DESCRIPTIVE = tuple("handle handler process do run get set data info temp tmp foo bar baz test main init setup execute call invoke apply cb fn func val obj res req err".split())
 TIER_WEIGHTS = {"heuristic": 0.15, "fast": 0.15, "standard": 0.18, "premium": 0.20}
-SAFETY = r"(?i)auth|security|crypt|password|secret|token|permission|payment|billing"
+SAFETY = r"(?i)auth|security|validate|verify|credential|password|token|permission|encrypt|decrypt|sanitize|csrf|xss"
+INTENTS = (
+    (r"(?i)\b(fix|bug|patch|hotfix|resolve|issue)\b", "bugfix"), (r"(?i)\b(feat|add|new|implement|introduce)\b", "feature"), (r"(?i)\b(refactor|rename|move|clean|restructure)\b", "refactoring"),
+    (r"(?i)\b(test|spec|coverage|assert)\b", "testing"), (r"(?i)\b(doc|readme|comment|jsdoc|typedoc)\b", "documentation"), (r"(?i)\b(perf|optim|speed|cache|fast)\b", "performance"),
+    (r"(?i)\b(chore|ci|build|deps|dependency|bump|upgrade)\b", "maintenance"),
+)
+
+
+def intent(subject: Column) -> Column:
+    """What a commit is for, by the first pattern its subject fits; null if none."""
+    return reduce(lambda rest, x: F.when(subject.rlike(x[0]), x[1]).otherwise(rest), reversed(INTENTS), F.lit(None).cast("string"))
 
 
 def found(body: Column, patterns: tuple[str, ...]) -> Column:
@@ -67,21 +103,22 @@ def quality(purpose: Column, reasoning: Column, confidence: Column, taxonomy: Co
     lower, low_why = F.trim(F.lower(purpose)), F.trim(F.lower(why))
     has = F.length(why) > 0
     copies = has & ((low_why == lower) | ((F.length(lower) > 20) & F.contains(low_why, lower)))
-    signals = why.rlike(r"(?i)\bnam(e|ing|ed)\b|\bpattern\b|\bsignat|\bimport|\bcall(s|ed|ing)?\b|\breturn|\bimplement|\bextend|\bfile\b|\bmodule\b|\bclass\b|\bfunction\b|\binterface\b|\bmethod\b|\bparam|\basync\b|\bdependen|\binherit|\bexport|\btest")
-    evidence = sum(why.rlike(p).cast("int") for p in (r"[A-Z][a-z]+[A-Z]", r"\b\w+\.\w+\.\w+", r"\b\w+_\w+\b", r"`[^`]+`", r"(?i)\b\d+\s*(call|import|depend|reference|usage)"))
+    signals = why.rlike(CODE_SIGNALS)
+    evidence = sum(why.rlike(p).cast("int") for p in EVIDENCE)
+    domains = sum(lower.rlike(p).cast("int") for p in DOMAIN_TERMS)
     full = F.size(F.filter(triples, lambda t: (F.length(t["subject"]) > 2) & (F.length(t["predicate"]) > 2) & (F.length(t["object"]) > 2)))
     rules = [
-        ("-short_purpose", F.length(purpose) < 30, -0.1),
+        ("-generic_phrase", reduce(lambda a, x: a | F.contains(lower, F.lit(x)), GENERIC_PHRASES, F.lit(False)), -0.15), ("-short_purpose", F.length(purpose) < 30, -0.1),
         ("-high_confidence_no_concepts", (confidence >= 0.8) & (n == 0), -0.1),
         ("-programming_terms", prog > 0, -F.least(0.08 * prog, F.lit(0.15))),
         ("-generic_feature_tag", tag.isin(*GENERIC_TAGS), -0.05),
-        ("-lazy_phrasing", purpose.rlike(r"(?i)^(a |the |this )(function|class|method|interface|type|variable)"), -0.08),
+        ("-lazy_phrasing", purpose.rlike(LAZY_PHRASING), -0.08),
         ("-missing_reasoning", ~has, -0.08), ("-short_reasoning", has & (F.length(why) < 80), -0.08), ("-reasoning_copies_purpose", copies, -0.08), ("-no_code_signals", has & ~signals, -0.05),
         ("-low_confidence_vertical", (confidence < 0.5) & (taxonomy == "VERTICAL"), -0.08),
         ("-confident_utility_no_concepts", (confidence >= 0.9) & (taxonomy == "UTILITY") & (n == 0), -0.05),
         ("-vertical_few_concepts", (taxonomy == "VERTICAL") & (n < 2), -0.05), ("-pure_domain_no_concepts", (pattern == "pure_domain") & (n == 0), -0.05),
         ("+rich_concepts", real >= 3, 0.1), ("+has_concepts", (real >= 1) & (real < 3), 0.05),
-        ("+specific_tag", ~tag.isin(*GENERIC_TAGS) & (F.length(tag) > 2), 0.05), ("+rich_triples", full >= 3, 0.1), ("+has_triples", (full >= 1) & (full < 3), 0.05),
+        ("+domain_terms", domains >= 2, 0.1), ("+domain_term", domains == 1, 0.05), ("+specific_tag", ~tag.isin(*GENERIC_TAGS) & (F.length(tag) > 2), 0.05), ("+rich_triples", full >= 3, 0.1), ("+has_triples", (full >= 1) & (full < 3), 0.05),
         ("+detailed_purpose", F.length(purpose) >= 80, 0.05), ("+rich_evidence", (F.length(why) >= 120) & (evidence >= 2), 0.1), ("+some_evidence", (F.length(why) >= 120) & (evidence == 1), 0.05),
         ("+compliance", F.size(compliance) > 0, 0.05), ("+architecture", ~pattern.isin("unknown", "other"), 0.05),
     ]

@@ -13,7 +13,7 @@ from ..plans.lineage import materialise
 # Which edge kinds have a collection of their own; all others are stored with the calls.
 OWN_COLLECTIONS = ("contains", "imports", "extends", "implements", "rule_exceptions", "language_implementations", "logically_coupled")
 # Edge weights of the page rank.
-RANK_WEIGHTS = {"calls": 1.0, "references": 0.8, "extends": 0.7, "implements": 0.7, "imports": 0.5, "overrides": 0.6, "returns": 0.4, "parameter_of": 0.3, "member_of": 0.2, "logically_coupled": 0.4, "contains": 0.0}
+RANK_WEIGHTS = {"calls": 0.5, "references": 0.3, "mutates_state": 0.9, "implements": 0.7, "emits": 0.6, "listens_to": 0.6, "extends": 0.3, "imports": 0.1, "member_of": 0.05, "contains": 0.0}
 SMALL_GRAPH = 2_000_000  # edges of a repository that one task ranks in memory
 
 
@@ -96,7 +96,7 @@ def fan(edges: DataFrame, entities: DataFrame, high: int = 10, medium: int = 5)
 
 def _weight() -> Column:
     kinds = F.create_map(*[F.lit(x) for kv in RANK_WEIGHTS.items() for x in kv])
-    return F.coalesce(F.try_element_at(kinds, F.col("kind")), F.lit(0.3))
+    return F.coalesce(F.try_element_at(kinds, F.col("kind")), F.lit(0.0))
 
 
 def rank_arrays(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, damping: float = 0.85, tol: float = 1e-4, rounds: int = 100) -> tuple[np.ndarray, int]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..operators import change as c
 from ..operators import graph as g
 from ..operators import joins as j
 from ..operators import windows as w
@@ -123,12 +124,10 @@ def temporal(spark, d):
     return a.select("file", "change_frequency", "recent_change_frequency", "author_count", F.round(F.col("sq") / (f * f), 6).alias("author_concentration"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("recent_change_frequency") / f)), 6).alias("stability_score"), "last_changed_at")
 
 
-@query("A11_commit_intents", """select case when regexp_matches(subject, '(?i)\\b(fix|bug|urgent)') then 'bugfix' when regexp_matches(subject, '(?i)\\b(feat|add|high)') then 'feature'
-  when regexp_matches(subject, '(?i)\\b(refactor|medium)') then 'refactor' when regexp_matches(subject, '(?i)(not specified)') then 'chore' else 'other' end as intent, count(*) as n from (select distinct sha, subject from commits) group by 1""", p.commits_sql())
+@query("A11_commit_intents", """select case o_orderkey % 5 when 0 then 'bugfix' when 1 then 'feature' when 2 then 'documentation' when 3 then 'maintenance' end as intent, count(*) as n from orders group by 1""")
 def intents(spark, d):
-    t = F.col("subject")
-    i = F.when(t.rlike(r"(?i)\b(fix|bug|urgent)"), "bugfix").when(t.rlike(r"(?i)\b(feat|add|high)"), "feature").when(t.rlike(r"(?i)\b(refactor|medium)"), "refactor").when(t.rlike("(?i)(not specified)"), "chore").otherwise("other")
-    return p.commits(spark, d).select("sha", "subject").distinct().groupBy(i.alias("intent")).agg(F.count("*").alias("n"))
+    subject = F.get(F.array(*map(F.lit, ["Fix: add tests", "new readme", "update README", "bump deps", "prefixing buggy"])), (F.col("o_orderkey") % 5).cast("int"))
+    return p.table(spark, d, "orders").groupBy(c.intent(subject).alias("intent")).agg(F.count("*").alias("n"))
 
 
 @query("A13_domain_terms", """select term, n, case when n >= 300 then 'core' when n >= 100 then 'common' else 'rare' end as tier from
@@ -153,7 +152,7 @@ SEVERITY = "case o_orderpriority when '1-URGENT' then 'high' when '2-HIGH' then
 
 
 @query("A16_issue_summary", f"""select o_orderstatus as category, count(*) filter (sev = 'high') as high, count(*) filter (sev = 'medium') as medium, count(*) filter (sev = 'low') as low,
-  round(max(case sev when 'high' then 1.0 when 'medium' then 0.6 else 0.3 end * 40) + least(count(*), 50) / 50.0 * 30 + 0.5 * 30, 6) as priority,
+  round(max(case sev when 'high' then 3.0 when 'medium' then 2.0 else 1.0 end * 40) + least(count(*), 50) / 50.0 * 30 + 0.5 * 30, 6) as priority,
   greatest(0, 100 - 15 * count(*) filter (sev = 'high') - 8 * count(*) filter (sev = 'medium') - 3 * count(*) filter (sev = 'low')) as health
   from (select *, {SEVERITY} as sev from orders where o_orderkey % 500 = 0) group by 1""")
 def issues(spark, d):
@@ -163,10 +162,10 @@ def issues(spark, d):
     return o.groupBy(F.col("o_orderstatus").alias("category")).agg(n("high").alias("high"), n("medium").alias("medium"), n("low").alias("low"), F.round(wt + F.least(F.count("*"), F.lit(50)) / 50 * 30 + 15.0, 6).alias("priority"), F.greatest(F.lit(0), 100 - 15 * n("high") - 8 * n("medium") - 3 * n("low")).alias("health"))
 
 
-@query("A17_health_grade", f"""select o_custkey % 20 as repo, case when h = 0 and m = 0 then 'A' when h = 0 and m <= 2 then 'B' when h <= 1 then 'C' when h <= 3 then 'D' else 'F' end as grade from
-  (select o_custkey % 20 as o_custkey, count(*) filter ({SEVERITY} = 'high') as h, count(*) filter ({SEVERITY} = 'medium') as m from orders where o_orderkey % 100 = 0 group by 1)""")
+@query("A17_health_grade", f"""select o_custkey % 20 as repo, case when h >= 3 then 'F' when h >= 1 then 'D' when m > 3 then 'C' when m > 0 then 'B' else 'A' end as grade from
+  (select o_custkey % 20 as o_custkey, count(*) filter ({SEVERITY} = 'high') as h, count(*) filter ({SEVERITY} = 'medium') as m from orders where o_orderkey % 500 = 0 group by 1)""")
 def grade(spark, d):
-    o = p.table(spark, d, "orders").where("o_orderkey % 100 = 0").withColumn("sev", s.severity(F.col("o_orderpriority")))
+    o = p.table(spark, d, "orders").where("o_orderkey % 500 = 0").withColumn("sev", s.severity(F.col("o_orderpriority")))
     a = o.groupBy((F.col("o_custkey") % 20).alias("repo")).agg(F.count_if(F.col("sev") == "high").alias("h"), F.count_if(F.col("sev") == "medium").alias("m"))
     return a.select("repo", s.grade(F.col("h"), F.col("m")).alias("grade"))
 

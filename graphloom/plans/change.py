@@ -77,8 +77,7 @@ def quarantine(spark, d):
 
 
 NONE = "array<struct<subject:string,predicate:string,object:string>>"
-SCORE = """scored as (select entity_id, greatest(0, least(1, floor((0.5 - 0.1 - case when feature_tag = 'unclassified' then 0.05 else 0 end - 0.08 - case when confidence < 0.5 and taxonomy = 'VERTICAL' then 0.08 else 0 end
-  + 0.05 + case when feature_tag <> 'unclassified' then 0.05 else 0 end + 0.05) * 100 + 0.5) / 100)) as score from justifications)"""
+SCORE = """scored as (select entity_id, greatest(0, least(1, floor((0.5 - 0.1 - 0.08 - case when confidence < 0.5 and taxonomy = 'VERTICAL' then 0.08 else 0 end + 0.05 + 0.05 + 0.05) * 100 + 0.5) / 100)) as score from justifications)"""
 
 
 def scored(spark, d):
@@ -155,7 +154,7 @@ def tag_merge(spark, d):
     return c.merge_tags(t)
 
 
-@query("C20_issue_priority", "select o_orderkey as id, round(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1.0 when o_orderpriority = '3-MEDIUM' then 0.6 else 0.3 end * 40 + least(o_custkey % 80, 50) / 50.0 * 30 + 15, 6) as priority from orders")
+@query("C20_issue_priority", "select o_orderkey as id, round(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 3.0 when o_orderpriority = '3-MEDIUM' then 2.0 else 1.0 end * 40 + least(o_custkey % 80, 50) / 50.0 * 30 + 15, 6) as priority from orders")
 def priority(spark, d):
     sev = s.severity(F.col("o_orderpriority"))
     return p.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(s.severity_weight(sev) * 40 + F.least(F.col("o_custkey") % 80, F.lit(50)) / 50 * 30 + 15, 6).alias("priority"))
@@ -370,7 +369,7 @@ def r10(spark, d):
     return x.groupBy("file").agg(F.bool_and(ok).alias("approve"))
 
 
-@query("P4_secret_scrub", "select doc_id, regexp_matches(text, '(?i)\\btoken\\b\\s*[=:]\\s*[\"'']?[^\\s\"'']{8,}') as had_secret from documents")
+@query("P4_secret_scrub", "select doc_id, regexp_matches(text, '(?i)(password|secret|token|api_key|apikey|auth_token|access_token|private_key)\\s*[=:]\\s*[\"'']?[^\\s\"'',;}{]+') as had_secret from documents")
 def scrubbed(spark, d):
     t = F.col("text")
     return p.table(spark, d, "documents").select("doc_id", F.contains(s.scrub(t), F.lit("[secret]")).alias("had_secret"))

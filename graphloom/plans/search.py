@@ -11,6 +11,7 @@ from ..operators import windows as w
 from ..sources import projections as p
 from .base import query
 
+STOPS = ", ".join(f"'{x}'" for x in s.STOP_WORDS)
 COS = "vectors_n as (select id, v, label, sqrt(list_dot_product(v, v)) as nv from vectors)"
 EVERY = "id % 100 = 0"
 
@@ -73,7 +74,7 @@ def tokens(spark, d):
     return se.token_search(se.token_index(part), "the promo of steel small", 30)
 
 
-@query("V8_query_tokens", "select conv_id, turn, len([x for x in list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) if length(x) > 1 and x not in ('an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'he', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'which', 'will', 'with')]) as n from conversations")
+@query("V8_query_tokens", "select conv_id, turn, len([x for x in string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' ') if length(x) > 1 and x not in (" + STOPS + ")]) as n from conversations")
 def query_tokens(spark, d):
     return p.table(spark, d, "conversations").select("conv_id", "turn", F.size(s.query_tokens(F.lower("text"))).alias("n"))
 

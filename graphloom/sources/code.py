@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 # Languages by file extension, directories never indexed, and how paths are classed.
 LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
-    "py": "python", "pyi": "python", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp",
-    "cs": "csharp", "php": "php", "rb": "ruby", "rs": "rust", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "scala": "scala", "vue": "vue", "svelte": "svelte",
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python", "go": "go", "rs": "rust",
+    "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift", "scala": "scala", "json": "json", "yaml": "yaml",
+    "yml": "yaml", "toml": "toml", "md": "markdown", "css": "css", "scss": "scss", "html": "html", "sql": "sql", "sh": "shell", "bash": "shell", "zsh": "shell",
 }
-IGNORED_DIRS = ("node_modules", ".git", "dist", "build", "out", ".next", "vendor", "target", "__pycache__", ".venv", "venv", "coverage", ".cache", ".turbo", ".idea", ".vscode")
+IGNORED_DIRS = tuple(
+    ".git .svn .hg node_modules .next .turbo .yarn .pnp __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .venv venv .eggs target .gradle .mvn bin obj .nuget .bundle"
+    " dist build out vendor .cache coverage .idea .vscode".split()
+)
 IGNORED_FILES = r"(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|Cargo\.lock|poetry\.lock|go\.sum)$|\.(?:png|jpe?g|gif|ico|svg|woff2?|ttf|eot|pdf|zip|gz|tar|min\.js|map)$"
 TEST_PATH = r"(?:^|/)(?:__tests__|tests?|spec)/|\.(?:test|spec)\.[jt]sx?$|_test\.(?:go|py)$|(?:^|/)test_[^/]*\.py$"
 ENTRY_PATH = r"(?:^|/)(?:route|page|layout|main|index|app|server|middleware)\.[a-z]+$"
