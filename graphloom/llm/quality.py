@@ -3,9 +3,9 @@
 Base rules judge a text by itself.  The method judges it against its host's other documents: lines are normalised
 and hashed, the distinct documents that hold each line are counted per host, lines held by more than ``share`` of
 the host's documents (and more than ``min_docs``) go, and a document of which more than ``max_removed`` of the
-characters went is depleted and rejected.  Documents count as distinct by their smallest 8-word window hash (short
-texts: by their own hash), so the copies and near copies of one document, which are another operator's business,
-do not make its lines look like boilerplate.
+characters went is depleted and rejected.  Documents count as distinct by the hash of their whole text, for a line's
+holders and for the host's size, so exact copies of one document, and only these, do not make its lines look like
+boilerplate.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def _covered(wins: Column) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per document: the base measures, its signature and its lines' hashes and lengths.  Null text: empty."""
+    """One row per document: the base measures, its text's hash and its lines' hashes and lengths.  Null text: empty."""
     a = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.coalesce(text_col, F.lit("")).alias("t"))
     b = a.select("id", "host", "t", words(F.col("t")).alias("w"))
     c = b.select("id", "host", "t", "w", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("hs"))
@@ -62,7 +62,6 @@ def measures(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source",
         symbols.cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("wins")).alias("n_repeat_words"),
-        F.coalesce(F.array_min("wins"), F.xxhash64("t")).alias("sig"),
         F.transform("l", lambda x: F.struct(line_hash(x).alias("h"), F.length(x).alias("c"))).alias("lines"),
     )
 
@@ -71,9 +70,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     """Per row of ``docs``: id, host, text_hash, the measures, base_failed, boilerplate (line hashes to remove),
     removed_chars and kept.  A null host is a host of its own; repeated rows are judged alike; no rows give no rows."""
     rows = materialise(measures(docs, id_col, host_col, text_col).withColumn("row", F.monotonically_increasing_id()), "quality", "zstd")
-    held = rows.select("host", "sig", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    often = held.groupBy("host", "h").agg(F.count_distinct("sig").alias("n")).where(F.col("n") > min_docs)
-    sizes = rows.groupBy(F.col("host").alias("host_of")).agg(F.count_distinct("sig").alias("docs"))
+    held = rows.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    often = held.groupBy("host", "h").agg(F.count_distinct("text_hash").alias("n")).where(F.col("n") > min_docs)
+    sizes = rows.groupBy(F.col("host").alias("host_of")).agg(F.count_distinct("text_hash").alias("docs"))
     above = often.join(sizes, F.col("host").eqNullSafe(F.col("host_of")) & (F.col("n") > share * F.col("docs"))).select(F.col("host").alias("b_host"), F.col("h").alias("b_h"))
     above = materialise(above, "boilerplate")
     lines = rows.where(F.size("lines") > 0).select("row", "host", F.explode("lines").alias("x")).select("row", "host", F.col("x.h").alias("h"), F.col("x.c").alias("c"))

@@ -1,6 +1,6 @@
 """DuckDB SQL for the corpus queries that SQL can express.
 
-The others need a tokenizer (1, 3), a knapsack (2), XXH64 (4: the signature of a document; 7), a media container (6), a
+The others need a tokenizer (1, 3), a knapsack (2), XXH64 (4: the windows and lines of a document; 7), a media container (6), a
 keyed Feistel network (8) or a markup parser (9): the tests hold them against brute force.
 """
 

@@ -303,6 +303,18 @@ def test_line_frequency(spark):
     assert all("Home" not in out[i] for i in range(60)) and out[200] == copied
 
 
+def test_documents_of_mostly_shared_lines_are_distinct(spark):
+    import random
+
+    rng = random.Random(3)
+    shared = "\n".join(data.prose(rng, 30) for _ in range(9))
+    docs = [(i, (shared + "\n" if i < 40 else "") + data.prose(rng, 30) + f" {i}", "h") for i in range(200)]
+    v = {r.id: r for r in quality.judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert all(not v[i].base_failed for i in range(200))
+    assert all(not v[i].kept and v[i].removed_chars == len(shared) - 8 for i in range(40))  # held by 40 of 200
+    assert all(v[i].kept and v[i].removed_chars == 0 for i in range(40, 200))
+
+
 def test_quality_filter_keeps_columns(spark):
     df = data.frame(spark)
     out = quality.quality_filter(df)
