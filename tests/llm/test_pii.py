@@ -133,3 +133,14 @@ def test_feistel_any_radix(spark):
     out = df.select("v", "m", pii.feistel(F.col("v"), F.col("m"), KEY + "|k").alias("e"))
     for r in out.select("v", "m", "e", pii.feistel(F.col("e"), F.col("m"), KEY + "|k", reverse=True).alias("d")).collect():
         assert r.e == brute("k", r.v, r.m) and r.d == r.v
+
+
+def test_values_without_two_digits_in_a_row(spark):
+    secret = "a1b2c3d4e5f6a7b8" * 2
+    letters = "abcdefabcdefabcd" * 2
+    texts = ["ask 8.8.8.8 now", "1.2.3.4", "8.8.8.8 in 2024", f"key {secret}", letters, "version 1.2.3 of a thing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k", found_col="found").collect()}
+    assert [(f.kind, f.value) for i in range(5) for f in got[i].found] == [("ipv4", "8.8.8.8"), ("ipv4", "1.2.3.4"), ("ipv4", "8.8.8.8"), ("secret", secret), ("secret", letters)]
+    assert all(f.value not in got[i].text for i in range(5) for f in got[i].found)
+    assert got[0].found[0].pseudonym == got[2].found[0].pseudonym and got[5].text == texts[5]
