@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from ..plans.lineage import materialise
 OWN_COLLECTIONS = ("contains", "imports", "extends", "implements", "rule_exceptions", "language_implementations", "logically_coupled")
 # Edge weights of the page rank.
 RANK_WEIGHTS = {"calls": 0.5, "references": 0.3, "mutates_state": 0.9, "implements": 0.7, "emits": 0.6, "listens_to": 0.6, "extends": 0.3, "imports": 0.1, "member_of": 0.05, "contains": 0.0}
-SMALL_GRAPH = 2_000_000  # edges of a repository that one task ranks in memory
+SMALL_GRAPH = 2_000_000  # edges that one task ranks or peels in memory
 
 
 def collection(kind: Column) -> Column:
@@ -191,24 +193,74 @@ def communities(edges: DataFrame, entities: DataFrame, rounds: int = 20) -> Data
     return labels
 
 
-def levels(edges: DataFrame, entities: DataFrame, rounds: int = 200) -> DataFrame:
+def peel(src: np.ndarray, dst: np.ndarray, n: int, first: int = 0) -> np.ndarray:
+    """Levels of vertices 0..n-1 in memory: all without remaining edges out, or the one of least (out-degree, number).
+
+    ``first``: the level at which a break of a cycle may come at the earliest."""
+    degree = np.bincount(src, minlength=n).tolist()
+    into: list[list[int]] = [[] for _ in range(n)]
+    for a, b in zip(src.tolist(), dst.tolist()):
+        into[b].append(a)
+    level, at, left = [-1] * n, 0, n
+    heap = [(d, v) for v, d in enumerate(degree)]
+    heapq.heapify(heap)
+    now = [v for v, d in enumerate(degree) if d == 0]
+    at = 0 if now else first
+    while left:
+        while not now:
+            d, v = heapq.heappop(heap)  # stale where the vertex has gone or its degree fell
+            if level[v] < 0 and degree[v] == d:
+                now = [v]
+        for v in now:
+            level[v] = at
+        left -= len(now)
+        freed = []
+        for v in now:
+            for u in into[v]:
+                degree[u] -= 1
+                if level[u] < 0:
+                    if degree[u]:
+                        heapq.heappush(heap, (degree[u], u))
+                    else:
+                        freed.append(u)
+        now, at = freed, at + 1
+    return np.array(level, np.int32)
+
+
+def levels(edges: DataFrame, entities: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(id, level): leaves (no calls or references to others) first, then whatever only depends on lower levels.
 
-    In a cycle the vertices of least remaining out-degree go next, so every vertex gets a level."""
+    Where only cycles are left, the one vertex of least remaining out-degree (ties: the smallest id) is a level of its
+    own, so every vertex gets a level.  Up to ``small`` edges one task peels them in memory; above, rounds of joins."""
     e = edges.where(F.col("kind").isin("calls", "references")).select("src", "dst").where("src <> dst").distinct()
     known = entities.select("id").distinct()
     e = materialise(e.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi"), "depends")
-    left, out = materialise(known, "left"), None
-    for level in range(rounds):
-        if not left.head(1):
-            break
+    if e.count() <= small:
+        ends = e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct()
+        lone = materialise(known.join(ends, "id", "left_anti").select("id", F.lit(0).alias("level")), "lone")
+        first = 1 if lone.head(1) else 0  # they make up the first level where the others are all in or above cycles
+
+        def solve(x: pd.DataFrame) -> pd.DataFrame:
+            ids = sorted(set(x["src"]) | set(x["dst"]))
+            at = {v: i for i, v in enumerate(ids)}
+            got = peel(x["src"].map(at).to_numpy(np.int64), x["dst"].map(at).to_numpy(np.int64), len(ids), first)
+            return pd.DataFrame({"id": ids, "level": got})
+
+        schema = f"id {entities.schema['id'].dataType.simpleString()}, level int"
+        return lone.unionAll(e.groupBy(F.lit(0).alias("all")).applyInPandas(solve, schema))
+    left, level = materialise(known, "left"), 0
+    out = left.limit(0).select("id", F.lit(0).alias("level"))
+    while left.head(1):
         degree = left.join(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "id", "left").fillna(0, ["d"])
         degree = materialise(degree, "degree")
-        least = degree.agg(F.min("d")).first()[0]
-        now = degree.where(F.col("d") == least).select("id", F.lit(level).alias("level"))
-        out = now if out is None else out.unionAll(now)
+        least = degree.agg(F.min(F.struct("d", "id")).alias("x")).first()["x"]
+        now = degree.where(F.col("d") == 0 if least["d"] == 0 else F.col("id") == F.lit(least["id"])).select("id", F.lit(level).alias("level"))
+        out = out.unionAll(now)
+        if level % 50 == 49:
+            out = materialise(out, "levels")
         left = materialise(left.join(now.select("id"), "id", "left_anti"), "left")
         e = materialise(e.join(now.select(F.col("id").alias("dst")), "dst", "left_anti").join(now.select(F.col("id").alias("src")), "src", "left_anti"), "depends")
+        level += 1
     return out
 
 

@@ -82,6 +82,31 @@ def test_levels(spark):
     assert lv(edges(spark, ("a", "b"), kind="imports"), "ab") == {"a": 0, "b": 0}
 
 
+def brute_levels(pairs, ids):
+    out, left, level = {}, set(ids), 0
+    while left:
+        degree = {v: len({b for a, b in pairs if a == v and b != v and b in left}) for v in left}
+        now = [v for v in left if degree[v] == 0] or [min(left, key=lambda v: (degree[v], v))]
+        out |= dict.fromkeys(now, level)
+        left, level = left - set(now), level + 1
+    return out
+
+
+def test_levels_of_long_chains_and_cycles(spark):
+    lv = lambda e, ids, **k: {x.id: x.level for x in g.levels(edges(spark, *e), vertices(spark, ids), **k).collect()}
+    ids = [f"v{i:03}" for i in range(300)]
+    assert lv(list(zip(ids[1:], ids)), ids) == {v: i for i, v in enumerate(ids)}
+    assert lv([("a", "b"), ("b", "a")], "abz") == {"z": 0, "a": 1, "b": 2}
+    rng = random.Random(6)
+    for n in (8, 30):
+        ids = [f"v{i:02}" for i in range(n)]
+        e = sorted({(rng.choice(ids), rng.choice(ids)) for _ in range(2 * n)})
+        assert lv(e, ids) == brute_levels(e, ids)
+    ids, e = list("abcdef"), [("a", "b"), ("b", "a"), ("c", "a"), ("c", "d"), ("d", "c")]
+    assert lv(e, ids) == lv(e, ids, small=0) == brute_levels(e, ids)
+    assert lv([], []) == {}
+
+
 def test_communities_of_two_cliques(spark):
     cl = lambda ids: [(a, b) for a in ids for b in ids if a < b]
     got = {x.id: x.community for x in g.communities(edges(spark, *cl("abcd"), *cl("wxyz")), vertices(spark, "abcdwxyz")).collect()}

@@ -69,6 +69,12 @@ def test_propagate(spark):
     assert got["lone"].propagated_tag is None
 
 
+def test_propagate_as_deep_as_the_tree_is(spark):
+    rows = [(i, i - 1 if i else None, "misc" if i else "pay", [], i / 10) for i in range(11)]
+    got = {r.id: r for r in h.propagate(spark.createDataFrame(rows, "id long, parent long, tag string, concepts array<string>, confidence double")).collect()}
+    assert sorted(got) == list(range(11)) and got[9].propagated_confidence == 1.0
+
+
 def field(n, v):
     def vint(x):
         out = b""
