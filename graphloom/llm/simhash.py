@@ -237,7 +237,8 @@ def text_node(text: str | None) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, node, fp, bands) of every row; node: a hash of the lower-cased words, the same for copies."""
+    """(id, text_hash, node, fp, bands) of every row; text_hash: of the text as it is (null: empty); node: a hash of the
+    lower-cased words, the same for copies."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     @trimmed
@@ -261,9 +262,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     nodes.append(text_node(t))
             flat = np.array(bands, np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(fps, np.int64)), lists], names=["id", "node", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(fps, np.int64)), lists], names=["id", "text_hash", "node", "fp", "bands"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, node long, fp long, bands array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(F.coalesce(text_col, F.lit("")))).mapInArrow(run, f"id {id_type}, text_hash long, node long, fp long, bands array<long>")
 
 
 def spanning_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -436,11 +437,8 @@ def _exact(groups: DataFrame, similarity: float, group: int) -> DataFrame:
     return deal(groups.join(big.select("root"), "root", "left_anti")).unionAll(tiles)
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
-    """Per row: id, node (equal for copies, letter case and white space aside) and component_id, the smallest id of all
-    rows that links of ``similarity`` (Jaccard, over sets of ``width``-word shingles) reach.
-
-    Null and empty texts are copies of each other.  Texts shorter than ``width`` words link only to copies."""
+def _placed(docs: DataFrame, similarity: float, width: int, id_col: str, text_col: str, radius: int, bucket: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and (node, least, root): each node's smallest id and the component it is in."""
     rows = materialise(sketches(docs, id_col, text_col, width), "sketches")
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     links = materialise(similar_links(nodes, radius, bucket), "candidates")
@@ -462,12 +460,29 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     groups = components(links).join(s, "node").select("root", "node", "s")
     true = _exact(materialise(groups, "groups", "zstd"), similarity, group)
     roots = components(true)
-    placed = materialise(nodes.select("node", "least").join(roots.withColumnRenamed("node", "r_"), F.col("node") == F.col("r_"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "placed")
+    placed = nodes.select("node", "least").join(roots.withColumnRenamed("node", "r_"), F.col("node") == F.col("r_"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return rows, materialise(placed, "placed")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
+    """Per row: id, node (equal for copies, letter case and white space aside) and component_id, the smallest id of all
+    rows that links of ``similarity`` (Jaccard, over sets of ``width``-word shingles) reach.
+
+    Null and empty texts are copies of each other.  Texts shorter than ``width`` words link only to copies."""
+    rows, placed = _placed(docs, similarity, width, id_col, text_col, radius, bucket, group)
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("id", "node").join(placed.join(names, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "node", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of near copies, the one with the smallest id, whole; of rows with that id, one."""
-    kept = near_copies(docs, similarity, width, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id_")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id_")), "left_semi").dropDuplicates([id_col])
+    """One row of each component of near copies, whole: the one with the smallest id (null ids last), of several texts
+    with that id the one of the smallest node and hash, of repeated rows one.  Components never share a row, whatever
+    their ids."""
+    rows, placed = _placed(docs, similarity, width, id_col, text_col, WIDE, BUCKET, GROUP)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "node", "text_hash")
+    firsts = rows.groupBy("node").agg(F.min(order).alias("first"))
+    kept = firsts.join(placed.select("node", "root"), "node").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.id").alias("kept_id_"), F.col("first.text_hash").alias("kept_hash_"))
+    hashed = docs.withColumn("kept_text_hash_", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    same = F.col(id_col).eqNullSafe(F.col("kept_id_")) & (F.col("kept_text_hash_") == F.col("kept_hash_"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, "kept_text_hash_"]).drop("kept_text_hash_")

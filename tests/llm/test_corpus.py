@@ -270,6 +270,19 @@ def brute_measures(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover)
 
 
+def test_one_row_of_every_component_whatever_the_ids(spark):
+    import random
+
+    rng = random.Random(8)
+    t = [data.prose(rng, 40) for _ in range(9)]
+    near = t[3] + " end"
+    rows = [(None, t[0]), (None, t[1]), (None, t[1].title()), (None, t[2]), (None, near), (7, t[3]), (7, t[3]), (7, t[4]), (7, t[5]), (8, t[5]), (9, None), (None, ""), (None, t[6]), (3, t[6])]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    got = [(r.doc_id, (r.text or "").lower()) for r in simhash.drop_near_copies(df).collect()]
+    want = [(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (7, t[4]), (7, t[5]), (9, ""), (3, t[6])]
+    assert sorted(got, key=str) == sorted(((i, x.lower()) for i, x in want), key=str)
+
+
 def test_quality_measures(spark):
     extra = ["# a & b <c>", "p q r s t u v w " * 6, "one line\n one line\none line\n\n", "x y z w v u t s r q " * 3 + "end"]
     df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(data.texts() + extra)], "doc_id long, text string, source string")
