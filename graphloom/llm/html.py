@@ -4,7 +4,8 @@ A page is parsed once into blocks, each with its root-to-leaf tag path.  Text le
 path; the ratios (characters per node, times punctuation per node) are smoothed along the page, fused, and paths above
 the spread of the fused values are content.  The main text is the smallest subtree that holds the content paths'
 blocks: everything in it counts, so short paragraphs and headings of the article are kept.  Regions that announce
-themselves as something else (menus, headers, footers, sidebars, notices, adverts, forms, comments) never count.
+themselves as something else (menus, headers, footers, sidebars, notices, adverts, forms, comments) never count; where
+only a class or id says so, they do if the page's sole article or nearly all of its text is inside.
 """
 
 from __future__ import annotations
@@ -50,27 +51,33 @@ PUNCTUATION = re.compile(r"[,.;:!?…、。，！？]")
 SPACE = re.compile(r"\s+")
 
 
-def _not_main(tag: str, attrs: str, in_article: bool) -> bool:
+NAMED_WEIGHT = 0.25  # of the characters in a region that is not main by its names alone
+
+
+def _not_main(tag: str, attrs: str, in_article: bool) -> int:
+    """0: may be main; 1: is not; 2: is not by its names alone."""
+    named = 0
     if tag in NOT_MAIN_TAGS:
-        return not (tag == "header" and in_article)  # an article's own heading
+        return int(not (tag == "header" and in_article))  # an article's own heading
     if attrs and len(attrs) > 3:
         for name, value in ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in NOT_MAIN_ROLES:
-                return True
+                return 1
             if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
+                return 1
             if name in ("class", "id") and tag not in ("body", "html", "main", "article"):
                 value = HUMP.sub("-", value)
                 if (m := NOT_MAIN_NAMES.search(value)) and not (in_article and OWN_PARTS.fullmatch(m[0])):
-                    return True
-    return False
+                    named = 2
+    return named
 
 
-def blocks(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
+def blocks(page: str) -> list[tuple[str, tuple[int, ...], bool, str, tuple[int, ...], int]]:
     """Blocks in page order: text (references decoded, white space inside as one space, trimmed), the numbers of the
-    elements from the root down, and whether some element around it is not main; and the tag path of each number."""
-    stack: list[tuple[str, int, bool, str, int]] = [("", 0, False, "", -1)]  # last: where the text of a hidden inline element begins
+    elements from the root down, whether some element around it is not main, the tag path, the numbers of the elements
+    around it that are not main by their names alone, and the number of the innermost article or main (0: none)."""
+    stack: list[tuple[str, int, bool, str, int, tuple[int, ...], int]] = [("", 0, False, "", -1, (), 0)]  # fifth: where the text of a hidden inline element begins
     out: list[tuple[str, tuple[int, ...], bool, str]] = []
     text: list[str] = []
     number, at, end = 0, 0, len(page)
@@ -81,7 +88,7 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
             text.clear()
             if s:
                 top = [e for e in stack if e[0] in BLOCKS or not e[0]]
-                out.append((s, tuple(e[1] for e in top), stack[-1][2], top[-1][3]))
+                out.append((s, tuple(e[1] for e in top), stack[-1][2], top[-1][3], stack[-1][5], stack[-1][6]))
 
     def pop_to(i: int) -> None:
         if any(e[0] in BLOCKS for e in stack[i:]):
@@ -131,9 +138,10 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
                 continue
         number += 1
         above = stack[-1]
-        hidden = above[2] or _not_main(tag, m[3], any(e[0] in ("article", "main") for e in stack))
-        inline = len(text) if hidden and not above[2] and tag not in BLOCKS else -1
-        stack.append((tag, number, hidden, f"{above[3]}/{tag}" if tag in BLOCKS else above[3], inline))
+        why = _not_main(tag, m[3], above[6] > 0)
+        inline = len(text) if why and not above[2] and not above[5] and tag not in BLOCKS else -1
+        named = (*above[5], number) if why == 2 else above[5]
+        stack.append((tag, number, above[2] or why == 1, f"{above[3]}/{tag}" if tag in BLOCKS else above[3], inline, named, number if tag in ("article", "main") else above[6]))
     pop_to(1)
     flush()
     return out
@@ -146,11 +154,33 @@ def _smooth(v: np.ndarray, reach: int = 2) -> np.ndarray:
     return np.convolve(padded, k / k.sum(), mode="valid")
 
 
+def _shown(found: list[tuple]) -> list[tuple]:
+    """Blocks outside regions that are not main by their names alone.  The largest such region counts nevertheless
+    while it holds an article and none is outside, or while its weighted text exceeds all that is outside."""
+    released: set[int] = set()
+    while True:
+        shown, inside, articles = [], {}, {}
+        for b in found:
+            around = next((n for n in b[4] if n not in released), 0)
+            if not around:
+                shown.append(b)
+                continue
+            inside[around] = inside.get(around, 0) + len(b[0])
+            if b[5] > around:
+                articles[around] = articles.get(around, 0) + len(b[0])
+        if articles and not any(b[5] for b in shown):
+            released.add(max(articles, key=articles.get))
+        elif inside and NAMED_WEIGHT * max(inside.values()) > sum(len(b[0]) for b in shown):
+            released.add(max(inside, key=inside.get))
+        else:
+            return shown
+
+
 def content(page: str | None) -> str:
     """The page's main text: its blocks joined by \\n; empty for null, empty or textless pages."""
     if not page:
         return ""
-    found = [b for b in blocks(page) if not b[2]]
+    found = _shown([b for b in blocks(page) if not b[2]])
     if not found:
         return ""
     paths: dict[str, int] = {}

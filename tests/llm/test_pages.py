@@ -41,6 +41,17 @@ def test_templates(body):
     assert html.content(page(body)) == TEXT
 
 
+@pytest.mark.parametrize("body", [
+    f"<div class='content has-sidebar'><article>{ARTICLE}</article><div class=sidebar><p>{SENTENCE}</p></div></div>",
+    f"<div class='with-sidebar'><div class=post>{ARTICLE}</div></div><footer>All rights.</footer>",
+    f"<div id='page-header-layout'><div class='content has-sidebar'><main>{ARTICLE}</main></div></div><p>Elsewhere.</p>",
+    f"<section class='post tags-visible'>{ARTICLE}</section><div class=related><p>{SENTENCE}</p></div>",
+    f"<div class=has-sidebar><div class=sidebar><article><p>{SENTENCE}</p></article></div><article>{ARTICLE}</article></div>",
+])
+def test_layout_names_do_not_hide_the_article(body):
+    assert html.content(page(body)) == TEXT
+
+
 def test_odd_pages():
     assert html.content(None) == html.content("") == html.content("<html><body></body></html>") == html.content(page("<nav>Menu</nav>")) == ""
     assert html.content("just text, no markup") == "just text, no markup"
