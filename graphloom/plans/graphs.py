@@ -78,12 +78,12 @@ def entry_depth(spark, d):
 
 @query("G9_label_propagation")
 def label_propagation(spark, d):
-    return g.communities(p.edges(spark, d).where("kind = 'extends'"), p.entities(spark, d), 10)
+    return g.communities(p.edges(spark, d), p.entities(spark, d))
 
 
 @query("G11_topological_levels")
 def levels(spark, d):
-    return g.levels(p.edges(spark, d).where("kind = 'references'"), p.entities(spark, d))
+    return g.levels(p.edges(spark, d), p.entities(spark, d))
 
 
 CYC = """ce as (select distinct src, dst from edges where kind = 'imports'),

@@ -107,6 +107,24 @@ def test_levels_of_long_chains_and_cycles(spark):
     assert lv([], []) == {}
 
 
+def test_graph_queries_read_the_whole_graph(spark):
+    sf, q = "/root/testdata/sf0.001", registry.queries()
+    e, v = p.edges(spark, sf), p.entities(spark, sf)
+    depends = [tuple(x) for x in e.where("kind in ('calls', 'references')").select("src", "dst").distinct().collect()]
+    got = {x.id: x.level for x in q["G11_topological_levels"](spark, sf).collect()}
+    assert got == brute_levels(depends, [x.id for x in v.select("id").collect()])
+
+
+def test_graph_queries_take_all_kinds_and_ten_steps(spark, monkeypatch):
+    q = registry.queries()
+    chain = spark.createDataFrame([(i, i + 1, "calls") for i in range(1, 12)], "src long, dst long, kind string")
+    monkeypatch.setattr(p, "edges", lambda *_: chain)
+    monkeypatch.setattr(p, "entities", lambda *_: spark.createDataFrame([(i, "function", "repo") for i in range(1, 13)], "id long, kind string, repo_id string"))
+    monkeypatch.setattr(p, "justifications", lambda *_: spark.createDataFrame([(i, "pay") for i in range(1, 13)], "entity_id long, feature_tag string"))
+    assert [x.path for x in q["G17_hot_paths"](spark, "").collect()] == [",".join(map(str, range(1, 11)))]
+    assert all(len({x.community for x in q[n](spark, "").collect()}) < 12 for n in ("G9_label_propagation", "G10_louvain"))
+
+
 def test_communities_of_two_cliques(spark):
     cl = lambda ids: [(a, b) for a in ids for b in ids if a < b]
     got = {x.id: x.community for x in g.communities(edges(spark, *cl("abcd"), *cl("wxyz")), vertices(spark, "abcdwxyz")).collect()}
