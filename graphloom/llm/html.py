@@ -1,17 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-A page is parsed once into blocks, each with its root-to-leaf tag path.  Text length and punctuation are summed per
-path; the ratios (characters per node, times punctuation per node) are smoothed along the page, fused, and paths above
-the spread of the fused values are content.  The main text is the smallest subtree that holds the content paths'
-blocks: everything in it counts, so short paragraphs and headings of the article are kept.  Regions that announce
-themselves as something else (menus, headers, footers, sidebars, notices, adverts, forms, comments) never count; where
-only a class or id says so, they do if the page's sole article or nearly all of its text is inside.
+A page is parsed once, in time linear in its length, into blocks, each with its root-to-leaf tag path.  Text length
+and punctuation are summed per path; the ratios (characters per node, marks per node, each by the path's share of the
+page) are smoothed along the page and fused, and the paths above the spread of the fused values are content.  The main
+text is the smallest subtree that holds the content paths' blocks: everything in it counts, short paragraphs and
+headings too, but for regions announced as something else (menus, adverts, comments, ...) that the ratios did not
+choose.  Announcements are weights, never verdicts: a tag, role, class or id scales its blocks' characters and marks
+before the ratios are formed, and class or id names set apart the paths of grouping elements that bear them.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,108 +45,150 @@ NOT_MAIN_NAMES = re.compile(
     r"cookiebar|cookiebanner|topnav|sidenav|subnav|navmenu|leftbar|rightbar|teaser|teasers|trending|rail|print-only|noprint)(?:$|[\s_-])",
     re.I,
 )
+ADVERTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|promo|promoted|sponsor|sponsored)(?:$|[\s_-])", re.I)
 OWN_PARTS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)  # an article has one of its own
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th address".split())
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
 PUNCTUATION = re.compile(r"[,.;:!?…、。，！？]")
 SPACE = re.compile(r"\s+")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 
+# Weights of a block's characters and marks, multiplied: inside an element that announces other things by its tag or
+# role, by its names, and inside an article or main element.
+MARKED, NAMED, ARTICLE = 0.05, 0.25, 4.0
+PLAIN, BY_NAME, BY_TAG, HIDDEN = range(4)
 
-NAMED_WEIGHT = 0.25  # of the characters in a region that is not main by its names alone
 
-
-def _not_main(tag: str, attrs: str, in_article: bool) -> int:
-    """0: may be main; 1: is not; 2: is not by its names alone."""
-    named = 0
-    if tag in NOT_MAIN_TAGS:
-        return int(not (tag == "header" and in_article))  # an article's own heading
-    if attrs and len(attrs) > 3:
+def _announced(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
+    """What an element says of itself, PLAIN to HIDDEN, and whether its names are those of adverts."""
+    said, advert = PLAIN, False
+    if tag in NOT_MAIN_TAGS and not (tag == "header" and in_article):  # an article's own heading
+        said = BY_TAG
+    if len(attrs) > 3:
         for name, value in ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in NOT_MAIN_ROLES:
-                return 1
-            if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return 1
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                return HIDDEN, False
+            if name == "role" and value.lower() in NOT_MAIN_ROLES:
+                said = BY_TAG
             if name in ("class", "id") and tag not in ("body", "html", "main", "article"):
                 value = HUMP.sub("-", value)
                 if (m := NOT_MAIN_NAMES.search(value)) and not (in_article and OWN_PARTS.fullmatch(m[0])):
-                    named = 2
-    return named
-
-
-def blocks(page: str) -> list[tuple[str, tuple[int, ...], bool, str, tuple[int, ...], int]]:
-    """Blocks in page order: text (references decoded, white space inside as one space, trimmed), the numbers of the
-    elements from the root down, whether some element around it is not main, the tag path, the numbers of the elements
-    around it that are not main by their names alone, and the number of the innermost article or main (0: none)."""
-    stack: list[tuple[str, int, bool, str, int, tuple[int, ...], int]] = [("", 0, False, "", -1, (), 0)]  # fifth: where the text of a hidden inline element begins
-    out: list[tuple[str, tuple[int, ...], bool, str]] = []
-    text: list[str] = []
-    number, at, end = 0, 0, len(page)
-
-    def flush() -> None:
-        if text:
-            s = SPACE.sub(" ", entities.unescape("".join(text))).strip()
-            text.clear()
-            if s:
-                top = [e for e in stack if e[0] in BLOCKS or not e[0]]
-                out.append((s, tuple(e[1] for e in top), stack[-1][2], top[-1][3], stack[-1][5], stack[-1][6]))
-
-    def pop_to(i: int) -> None:
-        if any(e[0] in BLOCKS for e in stack[i:]):
-            flush()
-        for e in stack[i:]:
-            if e[4] >= 0:
-                del text[e[4] :]
-        del stack[i:]
-
-    while at < end:
-        m = TAG.search(page, at)
-        if not m:
-            text.append(page[at:])
-            break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if stack[i][0] in FENCES and tag not in BLOCKS:
-                    break
-            continue
-        if tag == "br":
-            text.append(" ")
-            continue
-        if tag in BLOCKS:
-            flush()
-        if tag in VOID:
-            continue
-        if tag in ENDS_P or tag in SIBLINGS:
-            close = {"p"} if tag in ENDS_P else SIBLINGS[tag] | {"p"}
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in close:
-                    pop_to(i)
-                elif stack[i][0] in FENCES:
-                    break
-        if tag in RAW:  # its content is not markup; what the page cuts off ends with the page
-            e = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            if tag not in ("noscript", "template", "svg", "math"):
-                at = e.end() if e else end
+                    said, advert = max(said, BY_NAME), advert or bool(ADVERTS.search(value))
+    return said, advert
+
+
+class Page:
+    """A parsed page.  Elements are numbered in page order, 0 being the page; only elements that break lines count.
+
+    parent, end: of each element, its parent and the number after its last descendant.
+    texts, at, path, region, article: of each block its text (references decoded, white space as one space, trimmed),
+    element, tag path, innermost announced region and whether an article or main is around it.
+    regions: of each (element, region around it, announcement, text level); the first stands for none."""
+
+    def __init__(self, page: str) -> None:
+        self.parent, self.end = [0], [0]
+        self.texts: list[str] = []
+        self.at: list[int] = []
+        self.path: list[int] = []
+        self.region: list[int] = []
+        self.article: list[bool] = []
+        self.regions: list[tuple[int, int, int, bool]] = [(0, 0, PLAIN, False)]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.has_article = False
+        self._parse(page)
+
+    def _parse(self, page: str) -> None:
+        # An entry: tag, element, path, region, in an article, where hidden text begins (-1: shown), nearest fence below
+        stack: list[tuple[str, int, int, int, bool, int, int]] = [("", 0, 0, 0, False, -1, 0)]
+        where: dict[str, list[int]] = {}  # places of open elements by tag
+        text: list[str] = []
+        at, size = 0, len(page)
+
+        def flush() -> None:
+            _, number, path, region, article, hidden, _ = stack[-1]
+            if hidden >= 0:
+                del text[hidden:]
+            elif text:
+                s = SPACE.sub(" ", entities.unescape("".join(text))).strip()
+                text.clear()
+                if s:
+                    self.texts.append(s)
+                    self.at.append(number)
+                    self.path.append(path)
+                    self.region.append(region)
+                    self.article.append(article)
+
+        def pop_to(i: int) -> None:
+            while len(stack) > i:
+                tag, number, _, _, _, hidden, _ = stack[-1]
+                if hidden >= 0:
+                    del text[hidden:]
+                if tag in BLOCKS:
+                    flush()
+                    self.end[number] = len(self.parent)
+                stack.pop()
+                where[tag].pop()
+
+        while at < size:
+            m = TAG.search(page, at)
+            if not m:
+                text.append(page[at:])
+                break
+            if m.start() > at:
+                text.append(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
                 continue
-        number += 1
-        above = stack[-1]
-        why = _not_main(tag, m[3], above[6] > 0)
-        inline = len(text) if why and not above[2] and not above[5] and tag not in BLOCKS else -1
-        named = (*above[5], number) if why == 2 else above[5]
-        stack.append((tag, number, above[2] or why == 1, f"{above[3]}/{tag}" if tag in BLOCKS else above[3], inline, named, number if tag in ("article", "main") else above[6]))
-    pop_to(1)
-    flush()
-    return out
+            tag = m[2].lower()
+            fence = stack[-1][6]
+            if m[1]:
+                open_ = where.get(tag)
+                if open_ and (tag in BLOCKS or open_[-1] >= fence):
+                    pop_to(open_[-1])
+                continue
+            if tag == "br":
+                text.append(" ")
+                continue
+            if tag in BLOCKS:
+                flush()
+            if tag in VOID:
+                continue
+            if tag in ENDS_P or tag in SIBLINGS:
+                lowest = len(stack)
+                for t in ("p",) if tag in ENDS_P else ("p", *SIBLINGS[tag]):
+                    open_ = where.get(t)
+                    if open_ and open_[-1] > fence:
+                        lowest = min(lowest, open_[bisect_right(open_, fence)])
+                pop_to(lowest)
+            if tag in RAW:  # its content is not markup; what the page cuts off ends with the page
+                e = RAW_END[tag].search(page, at)
+                if tag not in ("noscript", "template", "svg", "math"):
+                    at = e.end() if e else size
+                    continue
+            _, above, path, region, article, hidden, fence = stack[-1]
+            said, advert = _announced(tag, m[3], article)
+            number, block = above, tag in BLOCKS
+            if block:
+                number = len(self.parent)
+                self.parent.append(above)
+                self.end.append(0)
+                label = tag if said != BY_NAME or tag in TEXT_LEVEL else f"{tag}*"
+                path = self.paths.setdefault((path, label), len(self.paths) + 1)
+                if said in (BY_NAME, BY_TAG):
+                    self.regions.append((number, region, said, tag in TEXT_LEVEL))
+                    region = len(self.regions) - 1
+            if hidden < 0 and (said == HIDDEN or not block and (said == BY_TAG or advert)):
+                hidden = len(text)
+            article = article or tag in ("article", "main")
+            self.has_article = self.has_article or article
+            where.setdefault(tag, []).append(len(stack))
+            stack.append((tag, number, path, region, article, hidden, len(stack) if tag in FENCES else fence))
+        pop_to(1)
+        flush()
+        self.end[0] = len(self.parent)
 
 
 def _smooth(v: np.ndarray, reach: int = 2) -> np.ndarray:
@@ -154,58 +198,83 @@ def _smooth(v: np.ndarray, reach: int = 2) -> np.ndarray:
     return np.convolve(padded, k / k.sum(), mode="valid")
 
 
-def _shown(found: list[tuple]) -> list[tuple]:
-    """Blocks outside regions that are not main by their names alone.  The largest such region counts nevertheless
-    while it holds an article and none is outside, or while its weighted text exceeds all that is outside."""
-    released: set[int] = set()
-    while True:
-        shown, inside, articles = [], {}, {}
-        for b in found:
-            around = next((n for n in b[4] if n not in released), 0)
-            if not around:
-                shown.append(b)
-                continue
-            inside[around] = inside.get(around, 0) + len(b[0])
-            if b[5] > around:
-                articles[around] = articles.get(around, 0) + len(b[0])
-        if articles and not any(b[5] for b in shown):
-            released.add(max(articles, key=articles.get))
-        elif inside and NAMED_WEIGHT * max(inside.values()) > sum(len(b[0]) for b in shown):
-            released.add(max(inside, key=inside.get))
-        else:
-            return shown
+def path_ratios(at: np.ndarray, chars: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The fused ratio of each tag path, from each block's path, characters and punctuation marks (both weighted).
+
+    A path's share of the page weighs its ratio: many long nodes with sentences in them are content.  A node's value is
+    the geometric mean of its path's own and the smoothed one, so neighbours of content do not pass for it."""
+    nodes, text, points = np.bincount(at), np.bincount(at, chars), np.bincount(at, marks + 1)
+    length, sentences = (text / nodes * text / text.sum())[at], (points / nodes * points / points.sum())[at]
+    length, sentences = np.sqrt(length * _smooth(length)), np.sqrt(sentences * _smooth(sentences))
+    return np.bincount(at, length * sentences) / nodes
+
+
+def content_paths(fused: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which paths are content: at or above the spread of the fused ratios along the page; the greatest always is."""
+    return fused >= min(fused.max(), fused[at].std())
+
+
+def _weights(p: Page) -> np.ndarray:
+    """Each block's weight by what is announced around it."""
+    per = [1.0]
+    for _, around, said, _ in p.regions[1:]:
+        per.append(per[around] * (NAMED if said == BY_NAME else MARKED))
+    return np.maximum(np.array(per)[p.region], 1e-6) * np.where(p.article, ARTICLE, 1.0)
+
+
+def _dropped(p: Page, use: np.ndarray, chars: np.ndarray, marks: np.ndarray, chosen: np.ndarray, root: int) -> list[bool]:
+    """Which announced regions inside ``root`` go: those of which most text is on paths that are not content, and text
+    level ones (whose path their names do not set apart) that are much shorter or plainer than the content around."""
+    total, on_path, nodes, points = (np.zeros(len(p.regions)) for _ in range(4))
+    for i, n, m, c in zip(use.tolist(), chars.tolist(), marks.tolist(), chosen.tolist()):
+        r = p.region[i]
+        while r:  # regions around a block: few, as each is an announcement inside another
+            total[r], on_path[r], nodes[r], points[r] = total[r] + n, on_path[r] + n * c, nodes[r] + 1, points[r] + m
+            r = p.regions[r][1]
+    plain = [k for k, i in enumerate(use.tolist()) if chosen[k] and not p.region[i]] or np.flatnonzero(chosen).tolist()
+    usual, usual_marks = chars[plain].mean(), marks[plain].mean()
+    out = [False]
+    for r, (element, around, said, text_level) in enumerate(p.regions[1:], 1):
+        inside = root < element < p.end[root]
+        short = text_level and said == BY_NAME and (2 * total[r] < usual * nodes[r] or 2 * points[r] < usual_marks * nodes[r])
+        out.append(out[around] or inside and (short or 2 * on_path[r] < total[r]))
+    return out
 
 
 def content(page: str | None) -> str:
-    """The page's main text: its blocks joined by \\n; empty for null, empty or textless pages."""
+    """The page's main text: its blocks joined by \\n; empty for null, empty or textless pages, and for pages that hold
+    nothing but announced regions (without an article or main element: nothing but those announced by tag or role)."""
     if not page:
         return ""
-    found = _shown([b for b in blocks(page) if not b[2]])
-    if not found:
+    p = Page(page)
+    use = np.arange(len(p.texts))
+    if not any(r == 0 for r in p.region):
+        by_tag = [False]
+        for _, around, said, _ in p.regions[1:]:
+            by_tag.append(by_tag[around] or said == BY_TAG)
+        use = np.array([i for i, r in enumerate(p.region) if not by_tag[r] and (p.article[i] or not p.has_article)], np.int64)
+    if not len(use):
         return ""
-    paths: dict[str, int] = {}
-    at = np.array([paths.setdefault(b[3], len(paths)) for b in found])
-    chars = np.bincount(at, [len(b[0]) for b in found])
-    marks = np.bincount(at, [len(PUNCTUATION.findall(b[0])) for b in found])
-    nodes = np.bincount(at)
-    # A path's share of the page's text weighs its ratio: many long nodes with sentences in them are content.
-    length, sentences = _smooth((chars / nodes * chars / chars.sum())[at]), _smooth(((marks + 1) / nodes * (marks + 1) / (marks + 1).sum())[at])
-    fused = length * sentences
-    per_path = np.bincount(at, fused) / nodes
-    chosen = per_path >= min(per_path.max(), fused.std())
-    main = [b[1] for b, p in zip(found, at) if chosen[p]]
+    _, at = np.unique(np.array(p.path)[use], return_inverse=True)
+    chars = np.array([len(p.texts[i]) for i in use.tolist()], float)
+    marks = np.array([len(PUNCTUATION.findall(p.texts[i])) for i in use.tolist()], float)
+    weight = _weights(p)[use]
+    chosen = content_paths(path_ratios(at, chars * weight, marks * weight), at)[at]
+    main = [p.at[i] for i in use[chosen].tolist()]
     low, high = min(main), max(main)
-    depth = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-    root = low[:depth]
-    if len(main) == 1 and len(root) > 1 and len(root) == len(main[0]):
-        root = root[:-1]  # a single block: what stands beside it in its parent
-    return "\n".join(b[0] for b in found if b[1][: len(root)] == root)
+    while low != high:  # to the smallest element around both; what is around comes first in page order
+        if low > high:
+            low, high = high, low
+        high = p.parent[high]
+    root = p.parent[low] if len(main) == 1 else low  # a single block: what stands beside it in its parent
+    gone = _dropped(p, use, chars, marks, chosen, root)
+    return "\n".join(p.texts[i] for i in use.tolist() if root <= p.at[i] < p.end[root] and not gone[p.region[i]])
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """``pages`` without ``html_col``, with ``text_col`` (replacing a column of that name) and n_chars, its code
-    points.  Rows and all other columns stay, nulls and repeated rows included."""
-    keep = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]
+    """``pages`` without ``html_col``, with ``text_col`` and n_chars, its code points; columns of these names, letter
+    case aside, are replaced.  Rows and all other columns stay, nulls and repeated rows included."""
+    keep = [c for c in pages.columns if c.lower() not in (html_col.lower(), text_col.lower(), "n_chars")]
     schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep) + f"`{text_col}` string, n_chars long"
 
     @trimmed

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import time
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,8 +61,56 @@ def test_odd_pages():
     assert html.content(f"<article><p>{SENTENCE}</p><p>cut <a hre") == f"{SENTENCE}\ncut"
     long = "<article>" + f"<p>{SENTENCE}</p>" * 5000 + "</article>"
     assert html.content(page(long)).count("\n") == 4999
-    deep = "<div>" * 3000 + SENTENCE + "</div>" * 3000
-    assert html.content(page(deep)) == SENTENCE
+    assert html.content(page("<form><p>Search.</p></form>")) == ""
+    assert html.content(page(f"<article></article><div class=ad>{SENTENCE}</div>")) == ""
+    assert html.content(page(f"<p hidden>{SENTENCE}</p><p>A <span style='display: none'>b <i>c</i></span>d.</p>")) == "A d."
+
+
+@pytest.mark.parametrize("body", [
+    "<{0}>" * 200_000 + SENTENCE + "</{0}>" * 200_000, "<{0}>" * 200_000 + SENTENCE,
+    "<p>" + "<{0}>" * 50_000 + f"<p>{SENTENCE}" * 100, "<{0}><li>" * 50_000 + SENTENCE,
+])
+@pytest.mark.parametrize("tag", ["div", "span", "section"])
+def test_deep_pages_take_linear_time(tag, body):
+    start = time.process_time()
+    assert SENTENCE in html.content(page(body.format(tag)))
+    assert time.process_time() - start < 5
+
+
+# No element says what it is: only the ratios tell the article from what surrounds it.
+PLAIN = "<div><div><ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8)) + "</ul></div><div>{}</div><div><b>Call us</b></div></div><table><tr><td>Contact</td><td>Imprint</td></tr></table>"
+
+
+@pytest.mark.parametrize("body", [
+    PLAIN.format(ARTICLE),
+    f"<table><tr><td><a href=/>Home</a></td><td><a href=/n>News</a></td></tr></table><div><div>{ARTICLE}</div></div><div><span>All rights reserved</span></div>",
+    f"<ul><li>One</li><li>Two</li><li>Three</li></ul><div><section>{ARTICLE}</section><section><a href=/more>More</a></section></div>",
+])
+def test_ratios_decide_without_telling_names(body, monkeypatch):
+    assert html.content(page(body)) == TEXT
+    monkeypatch.setattr(html, "path_ratios", lambda at, chars, marks: np.ones(at.max() + 1))
+    assert html.content(page(body)) != TEXT
+
+
+def test_ratios_decide_on_the_pages_table(monkeypatch):
+    """Neither lists nor names are needed for most pages; without the ratios, no page comes out right."""
+    import pyarrow.parquet as pq
+
+    pages = [h for h in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if h]
+    want = [html.content(h) for h in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html, "_weights", lambda p: np.ones(len(p.texts)))
+        assert sum(html.content(h) == w for h, w in zip(pages, want)) > 0.9 * len(pages)
+    monkeypatch.setattr(html, "path_ratios", lambda at, chars, marks: np.ones(at.max() + 1))
+    assert sum(html.content(h) == w for h, w in zip(pages, want)) == 0
+
+
+@pytest.mark.parametrize("name", ["social notice", "tags-of-war", "share", "related header"])
+def test_names_do_not_outweigh_an_articles_paragraph(name):
+    body = f"<nav><a href=/>Home</a></nav><article>{ARTICLE.replace('<p>', f'<p class={chr(39)}{name}{chr(39)}>', 1)}</article>"
+    assert html.content(page(body)) == TEXT
+    short = f"<nav><a href=/>Home</a></nav><article>{ARTICLE}<p class='{name}'>Rivers</p></article>"
+    assert html.content(page(short)) == TEXT
 
 
 @settings(max_examples=200, deadline=None)
@@ -71,7 +121,7 @@ def test_any_markup(text):
 
 
 def test_extract_columns(spark):
-    df = spark.createDataFrame([(1, "u", page(f"<article>{ARTICLE}</article>"), "mine", 3), (2, None, None, "x", 4), (2, None, None, "x", 4)], "page_id long, url string, html string, text string, text_no int")
+    df = spark.createDataFrame([(1, "u", page(f"<article>{ARTICLE}</article>"), "mine", 3), (2, None, None, "x", 4), (2, None, None, "x", 4)], "page_id long, url string, html string, Text string, text_no int")
     out = html.extract(df)
     assert out.columns == ["page_id", "url", "text_no", "text", "n_chars"]
     assert sorted(out.select("page_id", "text", "n_chars").collect()) == [(1, TEXT, len(TEXT)), (2, "", 0), (2, "", 0)]
