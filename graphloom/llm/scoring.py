@@ -25,6 +25,7 @@ from .tokens import encoder
 
 MU_BIGRAM, ALPHA = 5.0, 0.1
 BROADCAST_TARGETS = 200_000  # ids; some 80 bytes each once broadcast
+COUNTS = B.sums(1, "<u4", lambda keys: B.mix64(keys.astype(np.uint64)))
 
 
 def _keys(ids: np.ndarray, starts: np.ndarray, bos: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,16 +36,19 @@ def _keys(ids: np.ndarray, starts: np.ndarray, bos: int) -> tuple[np.ndarray, np
     return ids.astype(np.uint32), (before + np.uint32(1)) * np.uint32(65536) + ids
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50257, bos: int = 50256, mu: float = MU_BIGRAM, alpha: float = ALPHA, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50257, bos: int = 50256, mu: float = MU_BIGRAM, alpha: float = ALPHA, block_bytes: int = B.BLOCK_BYTES, fan: int = B.FAN, bundle: int = B.BUNDLE, shards: int | None = None) -> DataFrame:
     """Per row: id, n_tokens, target_loss, background_loss and score.  ``target_ids``: the ids of target documents.
 
-    Null or empty text has no tokens and null losses.  Without target documents the target model is uniform.  Repeated
-    rows count as often as they occur."""
-    ids = target_ids.select(F.col(target_ids.columns[0]).alias("t_id_")).distinct()
+    Integer ids; ids that are no integers count as null.  Null or empty text has no tokens and null losses.  Without
+    target documents the target model is uniform.  Repeated rows count as often as they occur."""
+    ids = target_ids.select(F.expr(f"try_cast(`{target_ids.columns[0]}` as bigint)").alias("t_id_")).where("t_id_ is not null").distinct()
     ids = materialise(ids, "targets")
-    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marked = docs.select(F.expr(f"try_cast(`{id_col}` as bigint)").alias("id"), F.col(text_col).alias("text"))
     marked = marked.join(maybe_broadcast(ids.withColumn("t_", F.lit(True)), ids.count(), BROADCAST_TARGETS), F.col("id") == F.col("t_id_"), "left").select("id", "text", F.coalesce("t_", F.lit(False)).alias("target"))
-    shards = B.shards_for(docs, text_col)
+    if vocabulary > 65_536:
+        raise ValueError("token ids are kept in 16 bits: at most 65536 of them")
+    shards = shards or B.shards_for(docs, text_col)
+    _, groups = B.depth_and_fan(shards, fan)
 
     @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,40 +70,28 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_p
             uni_n, uni_target = (np.bincount(x, minlength=vocabulary) for x in (tok, tok[of]))
             words = np.flatnonzero(uni_n)
             keys = np.concatenate([words.astype(np.uint32), bi_keys])  # ids lie below any bigram's key
-            all_n = np.concatenate([uni_n[words], bi_n]).astype("<u4")
-            target_n = np.concatenate([uni_target[words], bi_target]).astype("<u4")
+            all_n, target_n = np.concatenate([uni_n[words], bi_n]), np.concatenate([uni_target[words], bi_target])
             meta = np.array([[-1 if r[0] is None else r[0], r[0] is None, r[2], n] for r, n in zip(docs_, sizes)], "<i8")
             out = [(block, 0, -1, B.pack(tok.astype("<u2")), B.pack(meta), np.array([len(tok), int(of.sum())], "<i8").tobytes())]
-            out += [(block, 1, s, B.pack(keys[p]), B.pack(all_n[p]), B.pack(target_n[p])) for s, p in B.by_shard(B.mix64(keys.astype(np.uint64)), shards)]
-            yield B.rows(out)
+            yield B.rows(out + COUNTS.send(block, [keys, all_n, target_n], groups))
 
     held = materialise(marked.mapInArrow(count, B.ROW), "ngrams")
     total, target_total = (x or 0 for x in held.where("kind = 0").select("c").agg(F.sum(_le(F.col("c"), 0)), F.sum(_le(F.col("c"), 8))).first())
 
-    @trimmed
-    def add(t: pa.Table) -> pa.Table:
-        sent = B.cells(t)
-        keys = [B.unpack(r["a"], "<u4") for r in sent]
-        known, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(inv, np.concatenate([B.unpack(r[k], "<u4") for r in sent])).astype("<i8") for k in ("b", "c")]
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        return B.table([(r["block"], 2, r["shard"], r["a"], B.pack(sums[0][i]), B.pack(sums[1][i])) for r, i in zip(sent, np.split(inv, cuts))])
-
-    replies = held.where("kind = 1").groupBy("shard").applyInArrow(add, B.ROW)
-
     @trimmed
     def score(t: pa.Table) -> pa.Table:
         got = B.cells(t)
         own = next(r for r in got if r["kind"] == 0)
         tok, meta = B.unpack(own["a"], "<u2").astype(np.uint32), B.unpack(own["b"], "<i8").reshape(-1, 4)
         sizes = meta[:, 3]
-        keys = np.concatenate([np.empty(0, "<u4"), *(B.unpack(r["a"], "<u4") for r in got if r["kind"] == 2)])
-        order = np.argsort(keys)
-        keys = keys[order]
-        counts = [np.concatenate([np.empty(0, "<i8"), *(B.unpack(r[k], "<i8") for r in got if r["kind"] == 2)])[order] for k in ("c", "b")]
         doc = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
         starts = np.cumsum(sizes) - sizes
         uni, bi = _keys(tok, starts, bos)
+        keys = np.concatenate([np.unique(uni), np.unique(bi)])  # as the block sent them
+        counts = [np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)]  # target, background
+        answers = {r["shard"]: COUNTS.given(r) for r in got if r["kind"] == -COUNTS.kind}
+        for s, p in COUNTS.order(keys, groups):
+            counts[1][p], counts[0][p] = answers[s]
         pairs, times = np.unique((doc << np.uint64(32)) | bi, return_counts=True)
         of, key = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         singles, own_uni = np.unique((doc << np.uint64(32)) | uni, return_counts=True)
@@ -135,7 +127,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer_p
             "target_loss": pa.array(per[0], mask=none), "background_loss": pa.array(per[1], mask=none), "score": pa.array(per[0] - per[1], mask=none),
         })
 
-    both = held.where("kind = 0").unionAll(replies)
+    both = held.where("kind = 0").unionAll(COUNTS.ask(held, shards, fan, bundle))
     return both.groupBy("block").applyInArrow(score, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")
 
 

@@ -1,15 +1,15 @@
 """Substring deduplication with repeated-phrase automata.
 
-1. Every document names anchors: the smallest-hashed ``GRAM``-word phrase in each window (equal windows name equal
-   anchors).  Shards count the anchors over all blocks; phrases named by two different texts, or twice, recur.
-2. Each block compiles its recurring phrases into an Aho-Corasick automaton (the automata are sharded by block, so
-   each holds only phrases that its documents can contain) and streams all its documents through it: every occurrence
-   of a recurring phrase is located.  Every window that recurs contains one.
-3. An exact check follows: windows around the occurrences go to shards by a 128-bit hash of their words; a shard finds
-   where each first starts and tells every block which of its windows start earlier somewhere else.
-4. Blocks remove the words those windows cover.
-
-Whole texts that repeat an earlier text word for word are recognised by a hash of all their words and need no windows.
+1. Candidates.  Every document names anchors: the smallest-hashed ``GRAM``-word phrase in each window (equal windows
+   name equal anchors).  Shards find the anchors that recur over all blocks; every window that recurs holds one, so
+   only the windows around them are candidates.
+2. Confirmation.  Candidate windows go to shards by a 96-bit hash of their words; a shard tells each block which of its
+   windows recur and which start earlier elsewhere.  Whole texts that repeat an earlier text are confirmed by a 128-bit
+   hash of all their words instead.
+3. Automata.  Runs of confirmed windows are the recurring passages.  They are compiled into Aho-Corasick automata over
+   words, sharded so that each holds the passages of one block's documents and at most ``PATTERN_WORDS`` words.
+4. Streaming.  All documents, copies included, run through the automata of their block.  Which windows occur where is
+   known from these matches alone; of each passage's windows the first occurrence stays and the others' words go.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from . import blocks as B
 from .common import materialise, trimmed
 
 GRAM = 8
+RUN = 64  # windows of one pattern: longer passages are several, so a place ends at most as many matches
+PATTERN_WORDS = 200_000  # words of one automaton's patterns
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
@@ -97,194 +99,255 @@ class Texts:
         return np.flatnonzero(_slide(np.concatenate([pad, low, pad]), span, np.maximum) == g)
 
 
-def _automaton(phrases: set[bytes]):
+def passages(confirmed: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """(word place, words) of the runs of confirmed windows, long ones in pieces of ``RUN`` windows.
+
+    ``confirmed``: at each word place, the number of the confirmed window that starts there, or -1."""
+    at = np.flatnonzero(confirmed >= 0)
+    if not len(at):
+        return []
+    cuts = np.flatnonzero(np.diff(at) > 1)
+    out = []
+    for s, e in zip(at[np.r_[0, cuts + 1]].tolist(), at[np.r_[cuts, len(at) - 1]].tolist()):
+        out += [(p, min(RUN, e - p + 1) + width - 1) for p in range(s, e + 1, RUN)]
+    return out
+
+
+def compile_automaton(patterns: dict[str, int]):
+    """An Aho-Corasick automaton of strings with a character for each word; None without patterns."""
     import ahocorasick
 
     a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for p in phrases:
-        a.add_word(" " + p.decode() + " ", 1)
+    for text, number in patterns.items():
+        a.add_word(text, number)
+    if not len(a):
+        return None
     a.make_automaton()
     return a
 
 
-def occurrences(texts: Texts, phrases: set[bytes]) -> np.ndarray:
-    """Word places at which any of the phrases (``GRAM`` words each) starts, by an Aho-Corasick pass over all texts."""
-    if not phrases:
-        return np.empty(0, np.int64)
-    a = _automaton(phrases)
-    found = []
-    for s, n, d in zip(texts.starts.tolist(), texts.sizes.tolist(), texts.docs):
-        if n < GRAM:
-            continue
-        line = " " + d.decode() + " "
-        ends = [e for e, _ in a.iter(line)]
-        if ends:
-            spaces = np.cumsum(np.fromiter(map(len, line[1:-1].split(" ")), np.int64, n) + 1)  # place of the space after each word
-            found.append(s + np.searchsorted(spaces, ends) - GRAM + 1)
-    return np.concatenate(found) if found else np.empty(0, np.int64)
+def occurrences(ids: np.ndarray, found: list[tuple[int, int]], stream: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``stream``, place in ``ids``, words) of every occurrence of the passages ``found`` in ``ids``.
+
+    ids, stream: words as numbers below ``known``; -1 in ``stream`` stands between documents.  Words that no pattern of
+    an automaton holds are one character to it, so characters suffice however many words there are."""
+    hits: list[tuple[int, int]] = []
+    lengths = np.array([n for _, n in found], np.int64)
+    starts = np.array([p for p, _ in found], np.int64)
+    shard = np.cumsum(lengths) // PATTERN_WORDS
+    for k in np.unique(shard).tolist() if found else []:
+        mine = np.flatnonzero(shard == k)
+        used = np.unique(np.concatenate([ids[starts[i] : starts[i] + lengths[i]] for i in mine.tolist()]))
+        code = np.zeros(known + 1, "<u4")  # the last one stands for -1
+        code[used] = np.arange(1, len(used) + 1)
+        code[code >= 0xD800] += 0x800  # characters that no text may hold are passed over
+        text = lambda x: code[x].tobytes().decode("utf-32-le")
+        a = compile_automaton({text(ids[starts[i] : starts[i] + lengths[i]]): i for i in mine.tolist()})
+        if a is not None:
+            hits += a.iter(text(stream))
+    if not hits:
+        return (np.empty(0, np.int64),) * 3
+    ends, which = np.array(hits, np.int64).T
+    return ends - lengths[which] + 1, starts[which], lengths[which]
+
+
+class Block:
+    """A block's documents as runs of word numbers: each distinct text once (ids), and all documents in turn (stream).
+
+    Documents are in the order of their ranks.  text_of: of each document, the place of its text among the distinct."""
+
+    def __init__(self, docs: list[bytes], width: int) -> None:
+        self.width, self.docs = width, docs
+        place: dict[bytes, int] = {}
+        self.text_of = np.array([place.setdefault(d, len(place)) for d in docs], np.int64)
+        self.texts = list(place)
+        self.copies = np.bincount(self.text_of, minlength=len(place))
+        split = [d.split() for d in self.texts]
+        self.sizes = np.array([len(w) for w in split], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        number: dict[bytes, int] = {}
+        self.ids = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(split)), np.int64, int(self.sizes.sum()))
+        self.known = len(number)
+        runs = [x for t in self.text_of.tolist() for x in (self.ids[self.starts[t] : self.starts[t] + self.sizes[t]], _GAP)]
+        self.stream = np.concatenate(runs) if runs else np.empty(0, np.int64)
+        n = self.sizes[self.text_of]
+        self.doc_starts = np.cumsum(n + 1) - n - 1
+
+    def covered(self, windows: np.ndarray, later: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
+        """Per document the places of its windows that also start earlier.
+
+        windows: at each word place of ``ids``, the number of the recurring window there, or -1.  later: of each
+        number, whether it starts earlier in another block.  earlier: of each text, whether another block has an
+        earlier copy of it."""
+        windows = windows.copy()
+        whole = np.full(len(windows), -1, np.int64)
+        fresh = len(later)
+        for t in np.flatnonzero((earlier | (self.copies > 1)) & (self.sizes >= self.width)).tolist():
+            s, e = int(self.starts[t]), int(self.starts[t] + self.sizes[t] - self.width + 1)
+            if earlier[t]:
+                windows[s:e], whole[s:e] = -1, 0
+            else:  # copies within the block: their windows recur, whether shards were asked about them or not
+                new = s + np.flatnonzero(windows[s:e] < 0)
+                windows[new] = fresh + np.arange(len(new))
+                fresh += len(new)
+        located = np.full(len(self.stream), -1, np.int64)
+        self._locate(windows, located)
+        n = np.diff(np.append(self.doc_starts, len(self.stream)))
+        copied = np.repeat(earlier[self.text_of], n) if len(n) else np.empty(0, bool)
+        located[copied] = -1
+        again = np.full(len(self.stream), -1, np.int64)
+        self._locate(whole, again)
+        gone = copied & (again >= 0)
+        at = np.flatnonzero(located >= 0)
+        first = np.unique(located[at], return_index=True)[1]
+        stays = np.zeros(len(at), bool)
+        stays[first] = True
+        outside = np.zeros(fresh, bool)
+        outside[: len(later)] = later
+        gone[at[~stays | outside[located[at]]]] = True
+        return [np.flatnonzero(x) for x in np.split(gone, self.doc_starts[1:])] if len(self.docs) else []
+
+    def _locate(self, windows: np.ndarray, out: np.ndarray) -> None:
+        """Write the numbers of ``windows`` to all places of ``out`` at which the automata find them."""
+        to, of, words = occurrences(self.ids, passages(windows, self.width), self.stream, self.known)
+        n = words - self.width + 1
+        if len(n):
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(to, n) + step] = windows[np.repeat(of, n) + step]
+
+
+_GAP = np.array([-1], np.int64)
 
 
 def _load(r: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """A block's documents, ids and flags (null id; repeats a text of this block)."""
+    """A block's documents, ids and which ids are null."""
     meta = B.unpack(r["b"], "<i8").reshape(-1, 3)
     raw = B.unpack(r["a"], "u1").tobytes()
-    docs, at = [], 0
-    for n in meta[:, 2].tolist():
-        docs.append(raw[at : at + n])
-        at += n
-    return docs, meta[:, 0], meta[:, 1]
+    ends = np.cumsum(meta[:, 2]).tolist()
+    return [raw[s:e] for s, e in zip([0, *ends], ends)], meta[:, 0], meta[:, 1] == 1
+
+
+def _wholes(texts: list[bytes]) -> np.ndarray:
+    """128-bit hashes of texts as pairs of 64 bits."""
+    import xxhash
 
+    return np.frombuffer(b"".join(map(xxhash.xxh128_digest, texts)), "<u8").reshape(-1, 2)
 
-def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+
+ANCHORS, WHOLES, WINDOWS = B.recurring(1), B.first_holders(2, "<u8"), B.first_holders(5, "<u4")
+
+
+def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES, fan: int = B.FAN, bundle: int = B.BUNDLE, shards: int | None = None) -> DataFrame:
     """Per row: id, n_words, n_removed, kept (the text that is left) and removed (spans of word places, end excluded).
 
     A word goes if a window of ``width`` words that covers it also starts earlier: in a document of smaller id, or in
-    the same one.  Integer ids; null ids come last.  Null text has no words.  Of rows with equal ids, one comes first."""
-    shards = B.shards_for(docs, text_col)
+    the same one.  Integer ids; ids that are no integers count as null, null ids come last.  Null text has no words.
+    Of rows with equal ids, one comes first."""
+    shards = shards or B.shards_for(docs, text_col)
+    _, groups = B.depth_and_fan(shards, fan)
     top = (1 << 63) - 1
+    rank_of = lambda i: top if i is None else i
 
     @trimmed
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         pid, seq = TaskContext.get().partitionId(), 0
         for got in B.gather(batches, lambda r: len(r[1] or ""), block_bytes):
             block, seq = (pid << 24) + seq, seq + 1
-            got.sort(key=lambda r: top if r[0] is None else r[0])
+            got.sort(key=lambda r: rank_of(r[0]))
             texts = [b" ".join((r[1] or "").encode().split()) for r in got]
-            whole = np.frombuffer(b"".join(map(xxhash.xxh128_digest, texts)), "<u8").reshape(-1, 2)
-            _, first = np.unique(whole, axis=0, return_index=True)
+            meta = np.array([[0 if r[0] is None else r[0], r[0] is None, len(t)] for r, t in zip(got, texts)], "<i8")
+            out = [(block, 0, -1, B.pack(np.frombuffer(b"".join(texts), "u1")), B.pack(meta))]
+            whole, first = np.unique(_wholes(texts), axis=0, return_index=True)
             fresh = np.zeros(len(texts), bool)
             fresh[first] = True
-            meta = np.array([[0 if r[0] is None else r[0], (r[0] is None) | (int(not f) << 1), len(t)] for r, f, t in zip(got, fresh, texts)], "<i8")
-            out = [(block, 0, -1, B.pack(np.frombuffer(b"".join(texts), "u1")), B.pack(meta))]
             t = Texts(texts, fresh, width)
             at = t.anchors(width)
             if len(at):
                 keys, times = np.unique(t.grams[at], return_counts=True)
-                out += [(block, 1, s, B.pack(keys[p]), B.pack((times[p] > 1).astype("u1"))) for s, p in B.by_shard(keys, shards)]
-            order = np.array([top if r[0] is None else r[0] for r in got], "<i8")
-            for s, p in B.by_shard(whole[first, 0], shards):
-                p = first[p]
-                out.append((block, 2, s, B.pack(whole[p]), B.pack(order[p]), B.pack(p.astype("<i4"))))
-            yield B.rows(out)
-
-    held = materialise(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(send, B.ROW), "anchors")
-
-    @trimmed
-    def recur(t: pa.Table) -> pa.Table:
-        """Which anchors recur, and which whole texts have an earlier copy in another block."""
-        got = B.cells(t)
-        out = []
-        if sent := [r for r in got if r["kind"] == 1]:
-            keys = [B.unpack(r["a"], "<u8") for r in sent]
-            known, inv, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            more = (n > 1) | (np.bincount(inv, np.concatenate([B.unpack(r["b"], "u1") for r in sent])) > 0)
-            for r, k, i in zip(sent, keys, np.split(inv, np.cumsum([len(k) for k in keys])[:-1])):
-                if more[i].any():
-                    out.append((r["block"], 3, r["shard"], B.pack(k[more[i]])))
-        if sent := [r for r in got if r["kind"] == 2]:
-            for r, later in zip(sent, _later([B.unpack(r["a"], "<u8").reshape(-1, 2) for r in sent], [B.unpack(r["b"], "<i8") for r in sent], [r["block"] for r in sent])):
-                if later.any():
-                    out.append((r["block"], 4, r["shard"], B.pack(B.unpack(r["c"], "<i4")[later])))
-        return B.table(out)
+                out += ANCHORS.send(block, [keys, times > 1], groups)
+            ranks = np.array([rank_of(got[i][0]) for i in first.tolist()], "<i8")
+            yield B.rows(out + WHOLES.send(block, [whole[:, 0], whole[:, 1], ranks], groups))
 
-    first_replies = held.where("kind in (1, 2)").groupBy("shard").applyInArrow(recur, B.ROW)
+    held = materialise(docs.select(F.expr(f"try_cast(`{id_col}` as bigint)").alias(id_col), text_col).mapInArrow(send, B.ROW), "anchors")
 
     @trimmed
-    def locate(t: pa.Table) -> pa.Table:
+    def candidates(t: pa.Table) -> pa.Table:
         got = B.cells(t)
         own = next(r for r in got if r["kind"] == 0)
-        docs_, ids, flags = _load(own)
-        copies = flags >> 1 == 1
-        for r in got:
-            if r["kind"] == 4:
-                copies[B.unpack(r["a"], "<i4")] = True
-        out_flags = B.pack(copies.astype("u1"))
-        hot = np.concatenate([np.empty(0, "<u8"), *(B.unpack(r["a"], "<u8") for r in got if r["kind"] == 3)])
-        texts = Texts(docs_, ~copies, width)
-        at = texts.anchors(width)
+        docs_, ids, none = _load(own)
+        hot = {r["shard"]: r for r in got if r["kind"] == -ANCHORS.kind}
+        known = {r["shard"]: r for r in got if r["kind"] == -WHOLES.kind}
+        whole, first = np.unique(_wholes(docs_), axis=0, return_index=True)
+        fresh = np.zeros(len(docs_), bool)
+        fresh[first] = True
+        t_ = Texts(docs_, fresh, width)
+        at = t_.anchors(width)
         if len(at):
-            at = at[np.isin(texts.grams[at], hot)]
-        phrases = {b" ".join(texts.words[p : p + GRAM]) for p in at.tolist()}
-        places = occurrences(texts, phrases)
-        out = []
-        n = len(texts.h1) - width + 1
+            keys, place = np.unique(t_.grams[at], return_inverse=True)
+            more = np.zeros(len(keys), bool)
+            for s, p in ANCHORS.order(keys, groups):
+                more[p] = ANCHORS.given(hot[s])[0] > 0
+            at = at[more[place]]
+        earlier = np.zeros(len(docs_), bool)
+        for s, p in WHOLES.order(whole[:, 0], groups):
+            earlier[first[p]] = WHOLES.given(known[s])[1] > 0
+        texts_earlier = earlier[t_.places]
+        out = [(own["block"], 6, -1, B.pack(texts_earlier.astype("u1")))]
+        n = len(t_.h1) - width + 1
         cand = np.empty(0, np.int64)
-        if len(places) and n > 0:
-            edge = np.zeros(len(texts.h1) + 1, np.int32)
-            np.add.at(edge, np.maximum(places - (width - GRAM), 0), 1)
-            np.add.at(edge, places + 1, -1)
-            cand = np.flatnonzero((np.cumsum(edge)[:n] > 0) & texts.window_ok[:n])
+        if len(at) and n > 0:
+            edge = np.zeros(len(t_.h1) + 1, np.int32)
+            np.add.at(edge, np.maximum(at - (width - GRAM), 0), 1)
+            np.add.at(edge, at + 1, -1)
+            doc = np.repeat(np.arange(len(t_.sizes)), t_.sizes)
+            cand = np.flatnonzero((np.cumsum(edge)[:n] > 0) & t_.window_ok[:n] & ~texts_earlier[doc[:n]])
         if len(cand):
-            k1, k2 = _rolling(texts.h1, width, _ODD[1])[cand], (_rolling(texts.hashes(2), width, _ODD[2])[cand] >> np.uint64(32)).astype("<u4")
-            shard = (k1 % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((k2, k1, shard))  # stable: the first occurrence in the block leads its group
+            k1, k2 = _rolling(t_.h1, width, _ODD[1])[cand], (_rolling(t_.hashes(2), width, _ODD[2])[cand] >> np.uint64(32)).astype("<u4")
+            order = np.lexsort((k2, k1))  # stable: the first occurrence in the block leads its number
             new = np.ones(len(cand), bool)
             new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-            group = np.empty(len(cand), np.int64)
-            group[order] = np.cumsum(new) - 1
+            number = np.empty(len(cand), np.int64)
+            number[order] = np.cumsum(new) - 1
             lead = order[new]
-            again = np.ones(len(cand), bool)
-            again[lead] = False
-            doc = np.searchsorted(texts.starts + texts.sizes, cand, side="right")
-            ranks = np.where(flags[texts.places] & 1, top, ids[texts.places])
-            bounds = np.searchsorted(shard[lead], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(bounds)).tolist():
-                p = lead[bounds[s] : bounds[s + 1]]
-                in_doc, at_doc = np.unique(doc[p], return_inverse=True)
-                out.append((own["block"], 5, s, k1[p].astype("<u8").tobytes(), k2[p].tobytes(), B.pack(ranks[in_doc].astype("<i8")), B.pack(at_doc.astype("<u4"))))
-            local = [np.diff(texts.places[doc], prepend=0), np.diff(cand - texts.starts[doc], prepend=0), group, again]
-            out.append((own["block"], 6, -1, out_flags, B.pack(np.concatenate([x.astype("<i4") for x in local])), B.pack(bounds[:-1].astype("<i4"))))
-        else:
-            out.append((own["block"], 6, -1, out_flags, None))
+            ranks = np.where(none, top, ids)[t_.places[doc[cand[lead]]]]
+            out += WINDOWS.send(own["block"], [k1[lead], k2[lead], ranks], groups)
+            groups_of = [p for _, p in WINDOWS.order(k1[lead], groups)]
+            back = np.empty(len(lead), np.int64)
+            back[np.concatenate(groups_of)] = np.arange(len(lead))  # windows are numbered in the order of the answers
+            ends = np.cumsum([len(p) for p in groups_of])
+            which = [s for s, _ in WINDOWS.order(k1[lead], groups)]
+            local = np.stack([np.diff(cand, prepend=0), back[number]]).astype("<i4")
+            out[0] = (*out[0], B.pack(local), B.pack(np.stack([which, ends]).astype("<i8")), B.pack(np.packbits(np.bincount(back[number]) > 1)))
         return B.table(out)
 
-    located = materialise(held.where("kind = 0").unionAll(first_replies).groupBy("block").applyInArrow(locate, B.ROW), "windows")
-
-    @trimmed
-    def confirm(t: pa.Table) -> pa.Table:
-        got = B.cells(t)
-        keys = [np.stack([np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<u4").astype("<u8")], 1) for r in got]
-        ranks = [B.unpack(r["c"], "<i8")[B.unpack(r["d"], "<u4")] for r in got]
-        return B.table([(r["block"], 7, r["shard"], B.pack(np.packbits(later))) for r, later in zip(got, _later(keys, ranks, [r["block"] for r in got])) if later.any()])
-
-    second_replies = located.where("kind = 5").groupBy("shard").applyInArrow(confirm, B.ROW)
+    replies = ANCHORS.ask(held, shards, fan, bundle).unionAll(WHOLES.ask(held, shards, fan, bundle))
+    sent = materialise(held.where("kind = 0").unionAll(replies).groupBy("block").applyInArrow(candidates, B.ROW), "windows")
 
     @trimmed
     def cut(t: pa.Table) -> pa.Table:
         got = B.cells(t)
-        docs_, ids, flags = _load(next(r for r in got if r["kind"] == 0))
+        docs_, ids, none = _load(next(r for r in got if r["kind"] == 0))
         mine = next(r for r in got if r["kind"] == 6)
-        copies = B.unpack(mine["a"], "u1")
-        gone: dict[int, np.ndarray] = {}
+        block = Block(docs_, width)
+        windows, later = np.full(len(block.ids), -1, np.int64), np.empty(0, bool)
         if mine["b"] is not None:
-            local = B.unpack(mine["b"], "<i4").reshape(4, -1)
-            local = np.stack([np.cumsum(local[0]), np.cumsum(local[1]), local[2], local[3]], 1)
-            base = B.unpack(mine["c"], "<i4")
-            elsewhere = np.zeros(int(local[:, 2].max()) + 9, bool)
-            for r in got:
-                if r["kind"] == 7:
-                    bits = np.unpackbits(B.unpack(r["a"], "u1"))
-                    elsewhere[base[r["shard"]] + np.flatnonzero(bits)] = True
-            hit = local[(local[:, 3] == 1) | elsewhere[local[:, 2]]]
-            order = np.lexsort((hit[:, 1], hit[:, 0]))
-            hit = hit[order]
-            gone = {int(p[0, 0]): p[:, 1] for p in np.split(hit, np.flatnonzero(np.diff(hit[:, 0])) + 1) if len(p)}
+            cand, number = B.unpack(mine["b"], "<i4").reshape(2, -1)
+            which, ends = B.unpack(mine["c"], "<i8").reshape(2, -1)
+            recurs = np.unpackbits(B.unpack(mine["d"], "u1"))[: ends[-1]] > 0  # within the block
+            later = np.zeros(ends[-1], bool)
+            answers = {r["shard"]: WINDOWS.given(r) for r in got if r["kind"] == -WINDOWS.kind}
+            for s, a, b in zip(which.tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                recurs[a:b] |= answers[s][0] > 0
+                later[a:b] = answers[s][1] > 0
+            windows[np.cumsum(cand)] = np.where(recurs[number], number, -1)
+        gone = block.covered(windows, later, B.unpack(mine["a"], "u1") > 0)
         n_words, n_removed, kept, spans = [], [], [], []
-        for i, d in enumerate(docs_):
-            w = d.split()
-            n = len(w)
-            if copies[i] and n >= width:
-                s = [(0, n)]
-            elif i in gone:
-                p = gone[i]
+        for d, n, p in zip(docs_, block.sizes[block.text_of].tolist(), gone):
+            s = []
+            if len(p):
                 breaks = np.flatnonzero(np.diff(p) > width)
                 s = list(zip(p[np.r_[0, breaks + 1]].tolist(), (p[np.r_[breaks, len(p) - 1]] + width).tolist()))
-            else:
-                s = []
-            if s:
-                left, last = [], 0
+                w, left, last = d.split(), [], 0
                 for a, b in s:
                     left += w[last:a]
                     last = b
@@ -294,22 +357,9 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
             kept.append(d.decode())
             spans.append([{"start": a, "end": b} for a, b in s])
         return pa.table({
-            id_col: pa.array(ids, mask=flags & 1 == 1), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            id_col: pa.array(ids, mask=none), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
             "kept": pa.array(kept, pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         })
 
-    parts = held.where("kind = 0").unionAll(located.where("kind = 6")).unionAll(second_replies)
+    parts = held.where("kind = 0").unionAll(sent.where("kind = 6")).unionAll(WINDOWS.ask(sent, shards, fan, bundle))
     return parts.groupBy("block").applyInArrow(cut, f"`{id_col}` long, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>")
-
-
-def _later(keys: list[np.ndarray], ranks: list[np.ndarray], blocks: list[int]) -> list[np.ndarray]:
-    """For keys (two columns, distinct within a block) that several blocks sent: whether each has an earlier holder,
-    by rank and, among equals, by block."""
-    k = np.concatenate(keys)
-    rank = np.concatenate(ranks)
-    of = np.repeat(np.array(blocks, np.int64), [len(x) for x in keys])
-    order = np.lexsort((of, rank, k[:, 1], k[:, 0]))
-    s = k[order]
-    later = np.zeros(len(k), bool)
-    later[order[1:]] = (s[1:] == s[:-1]).all(axis=1)
-    return np.split(later, np.cumsum([len(x) for x in keys])[:-1])

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import quality, scoring, simhash, substrings
 from graphloom.llm.queries import tokenizer_path
 from tests.llm import data
@@ -44,12 +46,12 @@ def brute_scores(rows, targets, mu=scoring.MU_BIGRAM, alpha=scoring.ALPHA, vocab
     return out
 
 
-@pytest.mark.parametrize("block", [400, 1 << 22])
-def test_scores(spark, block):
+@pytest.mark.parametrize("block,how", [(400, {}), (1 << 22, {}), (400, {"shards": 9, "fan": 2, "bundle": 200})])
+def test_scores(spark, block, how):
     rows = data.rows()
     targets = {i for i in range(0, 60, 3)}
     ids = spark.createDataFrame([(i,) for i in targets] + [(3,)], "doc_id long")
-    got = scoring.cross_entropy_difference(data.frame(spark), ids, tokenizer_path(), block_bytes=block).collect()
+    got = scoring.cross_entropy_difference(data.frame(spark), ids, tokenizer_path(), block_bytes=block, **how).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     for g, w in zip(sorted([tuple(r) for r in got], key=key), sorted(brute_scores(rows, targets), key=key), strict=True):
         assert g[:2] == w[:2]
@@ -83,10 +85,10 @@ def brute_removed(rows, width=20):
     return out
 
 
-@pytest.mark.parametrize("block", [300, 2000, 1 << 22])
-def test_substrings(spark, block):
+@pytest.mark.parametrize("block,how", [(300, {}), (2000, {}), (1 << 22, {}), (300, {"shards": 7, "fan": 2, "bundle": 100}), (1000, {"shards": 30, "fan": 3, "bundle": 10_000})])
+def test_substrings(spark, block, how):
     rows = data.rows()
-    got = substrings.repeated_spans(data.frame(spark).repartition(3), block_bytes=block).collect()
+    got = substrings.repeated_spans(data.frame(spark).repartition(3), block_bytes=block, **how).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1:])
     mine = sorted([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got], key=key)
     assert mine == sorted(brute_removed(rows), key=key)
@@ -103,6 +105,71 @@ def test_substrings_within_and_overlapping(spark):
     assert got == sorted(brute_removed([(*r, None) for r in rows]))
 
 
+def test_occurrences_come_from_the_automata_alone(monkeypatch):
+    """A block finds, removes and keeps what its automata locate, in every document, copies included."""
+    passage = [f"p{i}" for i in range(100)]
+    docs = [" ".join(x).encode() for x in (["a", *passage], ["b", "c", *passage, "d"], ["a", *passage], passage[:30] + ["e"] + passage[40:70], ["z"] * 50)]
+    width, keys = 20, {}
+    block = substrings.Block(docs, width)
+    windows = np.full(len(block.ids), -1, np.int64)
+    for s, n in zip(block.starts.tolist(), block.sizes.tolist()):
+        for p in range(s, s + n - width + 1):
+            windows[p] = keys.setdefault(tuple(block.ids[p : p + width].tolist()), len(keys))
+    windows[np.bincount(windows[windows >= 0], minlength=len(keys))[windows] < 2] = -1
+    got = block.covered(windows, np.zeros(len(keys), bool), np.zeros(len(block.texts), bool))
+    want = []
+    seen = set()
+    for d in docs:
+        w = d.split()
+        want.append([p for p in range(len(w) - width + 1) if tuple(w[p : p + width]) in seen or seen.add(tuple(w[p : p + width]))])
+    assert [x.tolist() for x in got] == want and sum(map(len, want)) > 200
+    earlier = np.array([False, True, False, False])
+    got = block.covered(windows, np.zeros(len(keys), bool), earlier)
+    assert got[1].tolist() == list(range(len(docs[1].split()) - width + 1))
+    with monkeypatch.context() as m:  # many automata of few words give the same
+        m.setattr(substrings, "PATTERN_WORDS", 50)
+        assert [x.tolist() for x in block.covered(windows, np.zeros(len(keys), bool), np.zeros(len(block.texts), bool))] == want
+    monkeypatch.setattr(substrings, "compile_automaton", lambda patterns: None)
+    assert not any(len(x) for x in block.covered(windows, np.ones(len(keys), bool), earlier))
+
+
+def test_more_words_than_characters():
+    ids = np.concatenate([np.arange(1_200_000), np.arange(1_199_000, 1_199_050)])
+    to, of, n = substrings.occurrences(ids, [(1_199_000, 50)], ids, 1_200_000)
+    assert sorted(to.tolist()) == [1_199_000, 1_200_000] and of.tolist() == [1_199_000] * 2 and n.tolist() == [50] * 2
+
+
+def test_rows_between_blocks_and_shards_grow_in_proportion(spark):
+    """At ten times the blocks and shards, the rows sent, bundled and answered are about ten times as many, not a hundred."""
+    import uuid
+
+    from graphloom.llm import blocks as B
+
+    def rows_for(n):
+        q = B.recurring(1)
+        depth, fan = B.depth_and_fan(n, 4)
+        assert fan <= 4 and fan**depth >= n
+        df = spark.range(n, numPartitions=4).selectExpr("id as block")
+        one = lambda t: B.table([x for k in t.column("block").to_pylist() for x in q.send(k, [B.mix64(np.arange(k * 50, k * 50 + 100, dtype=np.uint64)), np.zeros(100)], fan)])
+        held = df.groupBy((F.col("block") % 4).alias("g")).applyInArrow(one, B.ROW)
+        from graphloom.llm.common import materialise
+
+        held = materialise(held, f"test{uuid.uuid4().hex}")
+        seen = []
+        real = B.materialise
+        B.materialise = lambda d, tag, *a: seen.append(real(d, tag, *a)) or seen[-1]
+        try:
+            got = q.ask(held, n, 4, 1000).collect()
+        finally:
+            B.materialise = real
+        assert sum(len(q.given({"a": r.a})[0]) for r in got) == 100 * n
+        assert sum(int(q.given({"a": r.a})[0].sum()) for r in got) == 100 * n - 100  # all but the first and last halves recur
+        return held.count() + sum(x.count() for x in seen), len(got)
+
+    (few, few_back), (many, many_back) = rows_for(20), rows_for(200)
+    assert many < 15 * few and many_back <= 10 * few_back
+
+
 def brute_fingerprint(text):
     import xxhash
 
