@@ -62,14 +62,14 @@ def cells(t: pa.Table) -> list[dict]:
     return t.to_pylist()
 
 
-def pack(x: np.ndarray) -> bytes:
+def pack(x: np.ndarray, level: int = 1) -> bytes:
     """Compressed bytes, those of equal weight together."""
     import zstandard
 
     x = np.ascontiguousarray(x)
     if x.itemsize > 1:
         x = np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(x.tobytes())
 
 
 def unpack(b: bytes, dtype: str) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Substring deduplication with repeated-phrase automata.
 
 1. Candidates.  Every document names anchors: the smallest-hashed ``GRAM``-word phrase in each window (equal windows
-   name equal anchors).  Shards find the anchors that recur over all blocks; every window that recurs holds one, so
-   only the windows around them are candidates.
+   name equal anchors).  Shards find the anchors that recur over all blocks; every window that recurs names one, so
+   only windows that do are candidates.
 2. Confirmation.  Candidate windows go to shards by a 96-bit hash of their words; a shard tells each block which of its
    windows recur and which start earlier elsewhere.  Whole texts that repeat an earlier text are confirmed by a 128-bit
    hash of all their words instead.
@@ -94,7 +94,8 @@ class Texts:
         n = len(self.h1) - width + 1
         if n <= 0 or not self.window_ok.any():
             return np.empty(0, np.int64)
-        low = np.where(self.window_ok[:n], _slide(g, span, np.minimum), np.uint64(0))
+        self.least = _slide(g, span, np.minimum)  # the anchor that each window names
+        low = np.where(self.window_ok[:n], self.least, np.uint64(0))
         pad = np.zeros(span - 1, np.uint64)
         return np.flatnonzero(_slide(np.concatenate([pad, low, pad]), span, np.maximum) == g)
 
@@ -165,9 +166,10 @@ class Block:
         split = [d.split() for d in self.texts]
         self.sizes = np.array([len(w) for w in split], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        number: dict[bytes, int] = {}
-        self.ids = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(split)), np.int64, int(self.sizes.sum()))
-        self.known = len(number)
+        words = list(chain.from_iterable(split))
+        known = set(words)
+        self.known = len(known)
+        self.ids = np.fromiter(map(dict(zip(known, range(len(known)))).__getitem__, words), np.int64, len(words))
         runs = [x for t in self.text_of.tolist() for x in (self.ids[self.starts[t] : self.starts[t] + self.sizes[t]], _GAP)]
         self.stream = np.concatenate(runs) if runs else np.empty(0, np.int64)
         n = self.sizes[self.text_of]
@@ -256,7 +258,7 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
             got.sort(key=lambda r: rank_of(r[0]))
             texts = [b" ".join((r[1] or "").encode().split()) for r in got]
             meta = np.array([[0 if r[0] is None else r[0], r[0] is None, len(t)] for r, t in zip(got, texts)], "<i8")
-            out = [(block, 0, -1, B.pack(np.frombuffer(b"".join(texts), "u1")), B.pack(meta))]
+            out = [(block, 0, -1, B.pack(np.frombuffer(b"".join(texts), "u1"), 4), B.pack(meta))]
             whole, first = np.unique(_wholes(texts), axis=0, return_index=True)
             fresh = np.zeros(len(texts), bool)
             fresh[first] = True
@@ -282,12 +284,10 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         fresh[first] = True
         t_ = Texts(docs_, fresh, width)
         at = t_.anchors(width)
+        known_hot = np.empty(0, np.uint64)
         if len(at):
-            keys, place = np.unique(t_.grams[at], return_inverse=True)
-            more = np.zeros(len(keys), bool)
-            for s, p in ANCHORS.order(keys, groups):
-                more[p] = ANCHORS.given(hot[s])[0] > 0
-            at = at[more[place]]
+            keys = np.unique(t_.grams[at])
+            known_hot = np.concatenate([keys[p][ANCHORS.given(hot[s])[0] > 0] for s, p in ANCHORS.order(keys, groups)])
         earlier = np.zeros(len(docs_), bool)
         for s, p in WHOLES.order(whole[:, 0], groups):
             earlier[first[p]] = WHOLES.given(known[s])[1] > 0
@@ -295,12 +295,10 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         out = [(own["block"], 6, -1, B.pack(texts_earlier.astype("u1")))]
         n = len(t_.h1) - width + 1
         cand = np.empty(0, np.int64)
-        if len(at) and n > 0:
-            edge = np.zeros(len(t_.h1) + 1, np.int32)
-            np.add.at(edge, np.maximum(at - (width - GRAM), 0), 1)
-            np.add.at(edge, at + 1, -1)
+        if len(known_hot):
             doc = np.repeat(np.arange(len(t_.sizes)), t_.sizes)
-            cand = np.flatnonzero((np.cumsum(edge)[:n] > 0) & t_.window_ok[:n] & ~texts_earlier[doc[:n]])
+            cand = np.flatnonzero(t_.window_ok[:n] & ~texts_earlier[doc[:n]])
+            cand = cand[np.isin(t_.least[cand], known_hot)]
         if len(cand):
             k1, k2 = _rolling(t_.h1, width, _ODD[1])[cand], (_rolling(t_.hashes(2), width, _ODD[2])[cand] >> np.uint64(32)).astype("<u4")
             order = np.lexsort((k2, k1))  # stable: the first occurrence in the block leads its number
