@@ -15,10 +15,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ from .common import materialise, trimmed
 GRAM = 8
 RUN = 64  # windows of one pattern: longer passages are several, so a place ends at most as many matches
 PATTERN_WORDS = 200_000  # words of one automaton's patterns
+DIGITS = 3  # characters of a coded word
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
@@ -61,6 +62,16 @@ def _slide(x: np.ndarray, span: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (span - size)], x[span - size :]) if span > size else x
 
 
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words in each text (joined by one space), all words in turn as numbers, and the words by number."""
+    some = np.array([len(t) > 0 for t in texts], bool)
+    split = pc.split_pattern(pa.array([t for t in texts if t], pa.binary()), b" ")
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[some] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    words = split.flatten().dictionary_encode()
+    return sizes, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+
+
 class Texts:
     """The documents of a block as one run of words, distinct texts only once.
 
@@ -68,16 +79,11 @@ class Texts:
 
     def __init__(self, docs: list[bytes], keep: np.ndarray, width: int) -> None:
         self.places = np.flatnonzero(keep)
-        self.docs = [docs[i] for i in self.places]
-        split = [d.split() for d in self.docs]
-        self.sizes = np.array([len(w) for w in split], np.int64)
+        self.sizes, self.ids, words = numbered([docs[i] for i in self.places])
+        self.known = words.to_pylist()
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.words = list(chain.from_iterable(split))
-        self.known = list(set(self.words))
-        number = dict(zip(self.known, range(len(self.known))))
-        self.ids = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
         self.h1 = self.hashes(1)
-        room = np.repeat(self.starts + self.sizes, self.sizes) - np.arange(len(self.words))
+        room = np.repeat(self.starts + self.sizes, self.sizes) - np.arange(len(self.ids))
         self.window_ok = room >= width
 
     def hashes(self, seed: int) -> np.ndarray:
@@ -115,7 +121,7 @@ def passages(confirmed: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 
 def compile_automaton(patterns: dict[str, int]):
-    """An Aho-Corasick automaton of strings with a character for each word; None without patterns."""
+    """An Aho-Corasick automaton of coded passages; None without patterns."""
     import ahocorasick
 
     a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -130,8 +136,9 @@ def compile_automaton(patterns: dict[str, int]):
 def occurrences(ids: np.ndarray, found: list[tuple[int, int]], stream: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place in ``stream``, place in ``ids``, words) of every occurrence of the passages ``found`` in ``ids``.
 
-    ids, stream: words as numbers below ``known``; -1 in ``stream`` stands between documents.  Words that no pattern of
-    an automaton holds are one character to it, so characters suffice however many words there are."""
+    ids, stream: words as numbers below ``known``; -1 in ``stream`` stands between documents.  To an automaton a word is
+    ``DIGITS`` characters, each from an alphabet of its own, so its nodes have few children and characters suffice for
+    any number of words; words that no pattern holds are one and the same."""
     hits: list[tuple[int, int]] = []
     lengths = np.array([n for _, n in found], np.int64)
     starts = np.array([p for p, _ in found], np.int64)
@@ -139,17 +146,20 @@ def occurrences(ids: np.ndarray, found: list[tuple[int, int]], stream: np.ndarra
     for k in np.unique(shard).tolist() if found else []:
         mine = np.flatnonzero(shard == k)
         used = np.unique(np.concatenate([ids[starts[i] : starts[i] + lengths[i]] for i in mine.tolist()]))
-        code = np.zeros(known + 1, "<u4")  # the last one stands for -1
-        code[used] = np.arange(1, len(used) + 1)
-        code[code >= 0xD800] += 0x800  # characters that no text may hold are passed over
-        text = lambda x: code[x].tobytes().decode("utf-32-le")
+        base = max(2, int(np.ceil(len(used) ** (1 / DIGITS))))
+        code = np.zeros((known + 1, DIGITS), "<u2")  # the last one stands for -1
+        rest = np.arange(len(used))
+        for digit in range(DIGITS):
+            code[used, digit] = 1 + digit * base + rest % base
+            rest //= base
+        text = lambda x: code[x].tobytes().decode("utf-16-le")
         a = compile_automaton({text(ids[starts[i] : starts[i] + lengths[i]]): i for i in mine.tolist()})
         if a is not None:
             hits += a.iter(text(stream))
     if not hits:
         return (np.empty(0, np.int64),) * 3
     ends, which = np.array(hits, np.int64).T
-    return ends - lengths[which] + 1, starts[which], lengths[which]
+    return (ends + 1) // DIGITS - lengths[which], starts[which], lengths[which]
 
 
 class Block:
@@ -163,13 +173,9 @@ class Block:
         self.text_of = np.array([place.setdefault(d, len(place)) for d in docs], np.int64)
         self.texts = list(place)
         self.copies = np.bincount(self.text_of, minlength=len(place))
-        split = [d.split() for d in self.texts]
-        self.sizes = np.array([len(w) for w in split], np.int64)
+        self.sizes, self.ids, words = numbered(self.texts)
+        self.known = len(words)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        words = list(chain.from_iterable(split))
-        known = set(words)
-        self.known = len(known)
-        self.ids = np.fromiter(map(dict(zip(known, range(len(known)))).__getitem__, words), np.int64, len(words))
         runs = [x for t in self.text_of.tolist() for x in (self.ids[self.starts[t] : self.starts[t] + self.sizes[t]], _GAP)]
         self.stream = np.concatenate(runs) if runs else np.empty(0, np.int64)
         n = self.sizes[self.text_of]
