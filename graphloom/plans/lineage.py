@@ -7,19 +7,57 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []  # folders that stand, in the order of writing
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session.  Where it is unset, a folder of our own if all runs on this machine, as in
+    tests; on a cluster that is an error, as executors could not see it."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            conf = given.get()
+        elif spark.sparkContext.master.startswith("local"):
+            conf = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as Parquet and read back: iterations stay short plans, and lost executors repeat nothing above."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.remove(path)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` wrote and that no plan will read again; other DataFrames are left alone."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if path in _written:
+            _delete(t.sparkSession, path)
+
+
+def mark() -> int:
+    """How many tables stand now, for ``release_since``."""
+    return len(_written)
+
+
+def release_since(spark: SparkSession, before: int, keep: DataFrame) -> None:
+    """Delete the tables written after ``mark`` gave ``before``, but for ``keep``: the result that came of them."""
+    for path in _written[before:]:
+        if path != getattr(keep, "_written_at", None):
+            _delete(spark, path)
