@@ -117,34 +117,46 @@ def feature(samples: bytes) -> str:
     return f"mean={mean:.4f};rms={power**0.5:.4f};zcr={crossings / len(x):.6f};entropy={float(-(p * np.log2(p)).sum()):.4f}"
 
 
-STORE = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MEASURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def store(payloads: DataFrame, payload_col: str, keep_media: bool = False) -> DataFrame:
-    """A row per payload: its digest, the stored form's measures, features of the samples read back, and with
-    ``keep_media`` the stored form itself.  Null payloads count as empty."""
-    size = len(STORE.split(","))
+def store(payloads: DataFrame, payload_col: str) -> DataFrame:
+    """A row per payload: digest, n_bytes (unpadded) and media, the stored form.  Null payloads count as empty ones."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                out: list[tuple] = []
-                for raw in b.column(0).slice(at, 256).to_pylist():
-                    raw = raw or b""
-                    media = encode(raw)
+                raw = [x or b"" for x in b.column(0).slice(at, 256).to_pylist()]
+                cols = [pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array([len(x) for x in raw], pa.int64()), pa.array([encode(x) for x in raw], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["digest", "n_bytes", "media"])
+
+    return payloads.select(F.col(payload_col).cast("binary")).mapInArrow(run, "digest string, n_bytes long, media binary")
+
+
+def measured(stored: DataFrame) -> DataFrame:
+    """``stored`` (digest, n_bytes, media) with the measures of the media, all taken from the stored bytes as they are
+    read back, in place of the media."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                out = []
+                for media in part.column(2).to_pylist():
                     back = decode(media)
-                    out.append((hashlib.sha256(raw).hexdigest(), len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature(back), media))
-                cols = list(zip(*out))[: size + keep_media]
-                types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[*(x.split()[0] for x in STORE.split(", ")), "media"][: len(cols)])
+                    out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)))
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                cols = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["digest", *(x.split()[0] for x in MEASURES.split(", "))])
 
-    return payloads.select(F.col(payload_col).cast("binary")).mapInArrow(run, STORE + ", media binary" * keep_media)
+    return stored.select("digest", "n_bytes", "media").mapInArrow(run, f"digest string, {MEASURES}")
 
 
 def resolve(pages: DataFrame, stored: DataFrame, sequence_col: str = "sequence", id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per media reference: ids, position, caption, digest and the stored payload's columns (null if the store
-    lacks the digest).  ``stored`` may repeat digests; equal digests are equal payloads, so one row of them counts."""
+    """One row per media reference: ids, position, caption, digest and the stored payload's other columns (null if the
+    store lacks the digest).  ``stored`` may repeat digests; equal digests are equal payloads, so one row of them counts."""
     # Written down, so that the join's sides come straight from their shuffles and a hot digest's partition can be split.
     once = materialise(stored.dropDuplicates(["digest"]).withColumnRenamed("digest", "s_digest_"), "store")
     refs = pages.select(*id_cols, F.explode(sequence_col).alias("x")).where("x.kind = 'media'").select(*id_cols, "x.position", "x.caption", "x.digest")

@@ -85,11 +85,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import resolve, sequences, store
-
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    page = F.format_string('<p>Document %s</p><figure><img src="sha256:%s"><figcaption>payload of document %s</figcaption></figure>', F.col("doc_id").cast("string"), digest, F.col("doc_id").cast("string"))
+    """Every document is a page of two media: the mark of its source, then, under a caption that names the document, its
+    own text as a payload.  Marks and payloads are one table of stored media; measures come from that table's bytes."""
+    from .common import materialise
+    from .media import measured, resolve, sequences, store
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("source "), F.coalesce("source", F.lit("unknown"))).alias("mark"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown"))
+    page = F.concat(
+        F.lit('<p>From <img src="sha256:'), digest("mark"), F.lit('" alt="mark"> of a corpus.</p><p>Document '), number, F.lit(':</p><figure><img src="sha256:'),
+        digest("text"), F.lit('"><figcaption>payload of document '), number, F.lit("</figcaption></figure><p>End.</p>"),
+    )
     pages = sequences(docs.select("doc_id", page.alias("html")))
-    found = resolve(pages, store(docs, "text"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    stored = materialise(store(docs.select("text"), "text").unionAll(store(docs.select("mark").distinct(), "mark")), "media", "zstd")
+    found = resolve(pages, measured(stored))
+    mine = found.where(F.col("caption") == F.concat(F.lit("payload of document "), number))
+    return mine.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

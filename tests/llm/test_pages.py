@@ -157,11 +157,31 @@ def test_stored_form(raw):
 
 def test_resolve(spark):
     pay = spark.createDataFrame([(1, b"abc"), (2, b"abc"), (3, b""), (4, None)], "k int, p binary")
-    stored = media.store(pay, "p", keep_media=True)
+    stored = media.store(pay, "p")
     dig = hashlib.sha256(b"abc").hexdigest()
     pages = spark.createDataFrame([(7, f'a<img src="sha256:{dig}">b<img src="sha256:00">'), (8, None)], "doc_id long, html string")
     got = sorted(media.resolve(media.sequences(pages), stored).select("doc_id", "position", "n_bytes", "media").collect())
     assert got == [(7, 1, 3, media.encode(b"abc")), (7, 3, None, None)]
+    assert media.measured(stored.limit(0)).collect() == media.resolve(media.sequences(pages.limit(0)), stored).collect() == []
+
+
+def test_measures_come_from_the_stored_bytes(spark):
+    pay = spark.createDataFrame([(b"abc",), (b"x" * 65,), (b"",)], "p binary")
+    stored = {r.digest: r for r in media.store(pay, "p").collect()}
+    changed = spark.createDataFrame([(r.digest, r.n_bytes, bytearray(media.encode(b"other"))) for r in stored.values()], "digest string, n_bytes long, media binary")
+    for r in media.measured(changed).collect():
+        p = b"other".ljust(64, b"\0")
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) == (64, hashlib.sha256(p).hexdigest(), zlib.crc32(p), hashlib.sha256(media.encode(b"other")).hexdigest())
+
+
+def test_order_and_captions_of_many_media(spark):
+    """Pages of many media of which some share payloads: every position keeps its own caption and its own payload."""
+    pays = [f"payload {i % 7}".encode() for i in range(40)]
+    stored = media.store(spark.createDataFrame([(p,) for p in pays], "p binary"), "p")
+    html_of = lambda k: "".join(f'<p>Text {k}-{i}</p><figure><img src="sha256:{hashlib.sha256(pays[(k + i) % 40]).hexdigest()}"><figcaption>{k}/{i}</figcaption></figure>' for i in range(5))
+    pages = spark.createDataFrame([(k, html_of(k)) for k in range(30)], "doc_id long, html string").repartition(5)
+    got = media.resolve(media.sequences(pages), stored).select("doc_id", "position", "caption", "media").collect()
+    assert sorted((r.doc_id, r.position, r.caption, media.decode(r.media).rstrip(b"\0")) for r in got) == sorted((k, 2 * i + 1, f"{k}/{i}", pays[(k + i) % 40]) for k in range(30) for i in range(5))
 
 
 def test_media_query(spark):
@@ -176,6 +196,7 @@ def test_media_query(spark):
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         m = media.encode(b)
         assert (g.media_bytes, g.media_sha256, g.feature) == (len(m), hashlib.sha256(m).hexdigest(), media.feature(p))
+        assert (g.position, g.caption) == (4, f"payload of document {r.doc_id}")
 
 
 def brute_rule(host, path):
