@@ -4,6 +4,11 @@ Each partition packs its own pieces best-fit, longest first, and emits the bins
 underfull goes up a tree: a node takes the underfull bins of up to ``fan`` nodes below it as items, packs them
 best-fit again, emits what is now full, and hands on the rest.  A node hands on at most ``keep`` bins, the emptiest
 ones, and emits the others as sequences: so no task's input grows with the corpus, and no piece is ever dropped.
+
+That bound costs no sequence while a node gets at most ``keep`` bins that are at most half full.  Best fit leaves one
+such bin a node, as two of them would fit together, so ``fan`` of them meet.  All other bins are more than half full
+and only a bin at most half full can join them; where one fits into any bin, it fits into the emptiest ones, and these
+are handed on.
 """
 
 from __future__ import annotations

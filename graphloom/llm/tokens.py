@@ -26,7 +26,8 @@ class Encoder:
 
     Byte-level BPE never merges across the boundary before a space that a non-space follows (its pre-tokenizer starts
     a new unit there), so the ids of a text are the ids of its space-led words put together.  Words repeat: each is
-    remembered in a cache of two generations of bounded size.  New words are encoded many in one string and cut apart
+    remembered in a cache of two generations of bounded size.  Texts that hold the string of an added token, which the
+    library takes for the token, go through the library whole.  New words are encoded many in one string and cut apart
     at the ids that begin with the space, of which each word has one.
     """
 
@@ -34,7 +35,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocab = self.tok.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, bool)  # ids whose token begins with the space, written U+0120
         self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
@@ -84,13 +86,17 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
-        parts = [_SAFE_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+        whole = {i: self._ids(t) for i, t in enumerate(texts) if t and self.added and self.added.search(t)}
+        texts = ["" if i in whole else t or "" for i, t in enumerate(texts)]
+        parts = [_SAFE_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
         rest = [p[1:] for p in parts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
         new = set().union(*rest).difference(self.known)
         self._learn(new)
         out = [(self._ids(p[0]) if p[0] else b"") + b"".join(map(self.known.__getitem__, r)) for p, r in zip(parts, rest)]
+        for i, ids in whole.items():
+            out[i] = ids
         for w in new:
             if len(w) > CACHE_CHARS:
                 self.known.pop(w, None)

@@ -14,18 +14,15 @@ from tests.llm import data
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="ab 1.,'\n\t  Ġé中\x1c<|>", max_size=40), max_size=5))
+@given(st.lists(st.text(alphabet="ab 1.,'\n\t  Ġé中\x1c<|>", max_size=40) | st.lists(st.sampled_from(["<|endoftext|>", "a", " ", "b c", "<|"]), max_size=6).map("".join), max_size=5))
 def test_ids_are_the_librarys(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got = tokens.encoder(tokenizer_path()).encode_many(texts)
     assert got == [np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
@@ -80,5 +77,11 @@ def test_keep_bounds_what_goes_up(spark):
     assert len(got) == 500  # nothing fits together, nothing is lost
 
 
+def test_keep_costs_no_sequence(spark):
+    items = spark.range(0, 3000, 1, 12).selectExpr("id", "cast(1 + pmod(xxhash64(id), 997) * pmod(xxhash64(id, 1), 997) / 997 as long) as length")
+    counts = [packing.pack(items, 1000, keep=keep, fan=4).select("sequence_id").distinct().count() for keep in (4, 50, 1_000_000)]
+    assert counts[0] == counts[1] == counts[2]
+
+
 def test_empty(spark):
     assert packing.pack_documents(data.empty(spark), tokenizer_path()).collect() == []
