@@ -1,9 +1,9 @@
 """SimHash fingerprints and near-duplicate groups by tiled exact comparison.
 
 Equal fingerprints are one node from the start.  Nodes are dealt out by bands: of ``radius + 1`` bands of bits, two
-fingerprints within the radius share at least one, so no link is lost.  In a band's bucket, sorted by population
-count, tiles are compared with exclusive-or and bit counts, and tile pairs whose population counts differ by more
-than the radius are skipped.  A bucket too large for one task is cut into tiles by population count and hash, and each
+fingerprints within the radius share at least one, so no link is lost.  Within buckets, sorted by population count,
+tiles are compared with exclusive-or and bit counts, and tile pairs whose population counts differ by more than the
+radius are skipped.  A bucket too large for one task is cut into tiles by population count and hash, and each
 pair of its tiles is a task of its own: exact, and bounded.  Tasks emit spanning links only, never all pairs.
 Components come from alternating large-star and small-star rounds over links, materialised in the shared folder.
 """
@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, trimmed
+from ..plans import lineage
+from .common import fresh, materialise, trimmed
 
 BUCKET = 8192  # fingerprints of one band bucket compared within one task
-TILE = 256
+TILE, SMALL = 256, 64  # fingerprints of a tile: of crowded buckets, of many buckets in turn
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -42,8 +43,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """``id_col`` and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, extra: bool = False) -> DataFrame:
+    """``id_col`` and ``fp`` (the fingerprint's bits as a signed long) of every row; ``extra`` adds text_hash."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     @trimmed
@@ -52,9 +53,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps: list[int] = []
             for at in range(0, b.num_rows, 256):
                 fps += [fingerprint(t, width, seed) for t in b.column(1).slice(at, 256).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype="<u8").view(np.int64))], names=[id_col, "fp"])
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype="<u8").view(np.int64))], names=[id_col, "fp"])
+            if extra:
+                yield pa.RecordBatch.from_arrays([*out.columns, b.column(2)], names=[id_col, "fp", "text_hash"])
+            else:
+                yield out
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp long")
+    more = [F.xxhash64(F.coalesce(text_col, F.lit("")))] if extra else []
+    return docs.select(id_col, text_col, *more).mapInArrow(run, f"`{id_col}` {id_type}, fp long" + ", text_hash long" * extra)
 
 
 def spanning_links(fps: np.ndarray, radius: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -73,46 +79,63 @@ def spanning_links(fps: np.ndarray, radius: int, left: int | None = None) -> tup
                 if int(pops[j:j2].min()) - int(pops[i:i2].max()) > radius or int(pops[i:i2].min()) - int(pops[j:j2].max()) > radius:
                     continue
                 a, b = np.nonzero(np.bitwise_count(fps[i:i2, None] ^ fps[None, j:j2]) <= radius)
-                a, b = a + i, b + j
-                while len(a):  # smallest label of each end, until both agree
-                    la, lb = label[a], label[b]
-                    if (la == lb).all():
-                        break
-                    low = np.minimum(la, lb)
-                    np.minimum.at(label, la, low)
-                    np.minimum.at(label, lb, low)
-                    label = label[label]
+                label = _joined(label, a + i, b + j)
     while (label[label] != label).any():
         label = label[label]
     at = np.flatnonzero(label != np.arange(len(fps)))
     return fps[at], fps[label[at]]
 
 
+def tile_links(run: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect, within each run of equal ``run`` (numbers from 0, ascending), what the radius connects.
+
+    Rows stand by run and population count and are cut into tiles of ``SMALL`` rows.  Tiles meet themselves and the
+    tiles after them while both hold rows of one run whose population counts lie within the radius."""
+    order = np.lexsort((np.bitwise_count(fps), run))
+    n, m = len(order), -(-len(order) // SMALL)
+    x, r = np.zeros(m * SMALL, np.uint64), np.full(m * SMALL, -1, np.int64)
+    x[:n], r[:n] = fps[order], run[order]
+    label = np.arange(n)
+    x, r = x.reshape(m, SMALL), r.reshape(m, SMALL)
+    pops = np.bitwise_count(x).astype(np.int64)
+    for d in range(m):
+        i = np.arange(m - d)
+        if d:
+            i = i[(r[i, -1] == r[i + d, 0]) & (pops[i + d, 0] - pops[i, -1] <= radius)]
+            if not len(i):
+                break
+        for s in range(0, len(i), 256):
+            p = i[s : s + 256]
+            near = (np.bitwise_count(x[p][:, :, None] ^ x[p + d][:, None, :]) <= radius) & (r[p][:, :, None] == r[p + d][:, None, :])
+            t, a, b = np.nonzero(near)
+            a, b = p[t] * SMALL + a, (p[t] + d) * SMALL + b
+            some = (a < b) & (b < n)
+            label = _joined(label, a[some], b[some])
+    while (label[label] != label).any():
+        label = label[label]
+    at = np.flatnonzero(label != np.arange(n))
+    fps = fps[order]
+    return fps[at], fps[label[at]]
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links (a, b): the smallest label of each end, until both agree."""
+    while len(a):
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            break
+        low = np.minimum(la, lb)
+        np.minimum.at(label, la, low)
+        np.minimum.at(label, lb, low)
+        label = label[label]
+    return label
+
+
 def _bucket_links(band: np.ndarray, key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the runs of equal (band, key); short runs all at once, long ones by tiles."""
-    n = len(fps)
-    new = np.ones(n, bool)
+    """Links within the runs of equal (band, key)."""
+    new = np.ones(len(fps), bool)
     new[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, n))
-    run = np.repeat(np.arange(len(starts)), sizes)
-    long = sizes > 64
-    a_out, b_out = [], []
-    at = np.flatnonzero(~long[run])
-    d = 1
-    while len(at):
-        at = at[at + d < n]
-        at = at[run[at + d] == run[at]]
-        near = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= radius]
-        a_out.append(fps[near])
-        b_out.append(fps[near + d])
-        d += 1
-    for r in np.flatnonzero(long):
-        x = fps[starts[r] : starts[r] + sizes[r]]
-        a, b = spanning_links(x[np.argsort(np.bitwise_count(x), kind="stable")], radius)
-        a_out.append(a)
-        b_out.append(b)
-    return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (fps[:0], fps[:0])
+    return tile_links(np.cumsum(new) - 1, fps, radius)
 
 
 def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -177,9 +200,11 @@ def components(links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialise(large, "large")
+        lineage.release(e)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         e = materialise(small, "small")
+        lineage.release(large)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v"), F.col("v")).distinct())
@@ -200,10 +225,23 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the smallest id, whole; of repeated rows with that id, one."""
-    kept = near_duplicates(docs, radius, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id_")).distinct()
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id_")), "left_semi")
-    return out.dropDuplicates([id_col])
+    """One row of each component, whole: the one with the smallest id (null ids last), of several texts with that id the
+    one of the smallest fingerprint and hash, of repeated rows one.  Components never share a row, whatever their ids."""
+    fps = fingerprints(docs, id_col, text_col, extra=True)
+    fps = materialise(fps.withColumnsRenamed({id_col: "id"}), "simhash")
+    roots = components(near_links(materialise(fps.select("fp").distinct(), "nodes"), radius))
+    placed = fps.join(roots, F.col("fp") == F.col("node"), "left").select("id", "fp", "text_hash", F.coalesce("root", "fp").alias("root"))
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "text_hash")).alias("first"))
+    return _only(docs, kept.select("first.id", "first.text_hash"), id_col, text_col)
+
+
+def _only(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each (id, text_hash) of ``kept``."""
+    hashed, kept_id, kept_hash = fresh(docs, "text_hash_", "kept_id_", "kept_hash_")
+    rows = docs.withColumn(hashed, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    kept = kept.toDF(kept_id, kept_hash)
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(hashed) == F.col(kept_hash))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, hashed]).drop(hashed)
 
 
 def hex_digits(fp):
@@ -482,7 +520,4 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, i
     order = F.struct(F.col("id").isNull().alias("none"), "id", "node", "text_hash")
     firsts = rows.groupBy("node").agg(F.min(order).alias("first"))
     kept = firsts.join(placed.select("node", "root"), "node").groupBy("root").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.id").alias("kept_id_"), F.col("first.text_hash").alias("kept_hash_"))
-    hashed = docs.withColumn("kept_text_hash_", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col("kept_id_")) & (F.col("kept_text_hash_") == F.col("kept_hash_"))
-    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, "kept_text_hash_"]).drop("kept_text_hash_")
+    return _only(docs, kept.select("first.id", "first.text_hash"), id_col, text_col)
