@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, materialise
+from .common import WORD_RE, fresh, materialise
 
 BUCKETS = 1024
 DP_BUDGET = 16_384  # words the dynamic program fits; a larger remainder is first brought down by whole documents
@@ -41,10 +41,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = D
             rest -= n * int(lengths[i])
     if rest <= 0:
         return take
+    unit = -(-rest // dp_budget)  # above 1 only where every length left is too long for the program: then in such units
+    rest = round(rest / unit)
     limit = (1 << (2 * rest + 1)) - 1
     reach, steps = 1, []
     for i in order[::-1]:
-        size, left = int(lengths[i]), int(counts[i] - take[i])
+        size, left = round(int(lengths[i]) / unit), int(counts[i] - take[i])
         left = min(left, 2 * rest // size if size else 0)
         part = 1
         while left > 0 and not reach >> rest & 1:
@@ -101,14 +103,15 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
-    """Per row: id, source, text_hash, size, source_size, target, copies (how often the mix takes it).
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7, row_col: str | None = None) -> DataFrame:
+    """Per row: row (``row_col``, else null), id, source, text_hash, size, source_size, target, copies (how often the mix takes it).
 
     Null or empty text has size 0 and is never taken.  Null sources are one source.  Repeated rows are rows of their
     own.  Reruns agree: the order within a length is a hash of seed, id and text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.size(F.regexp_extract_all(text, F.lit(WORD_RE), F.lit(0))).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("text_hash"), size.alias("size"))
+    number = F.col(row_col) if row_col else F.lit(None).cast("long")
+    rows = docs.select(number.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("text_hash"), size.alias("size"))
     rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.col("text_hash")))
     rows = materialise(rows.withColumn("bucket", F.pmod(F.col("draw"), F.lit(BUCKETS)).cast("int")), "sizes")
     held = materialise(rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")), "lengths")
@@ -129,24 +132,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     quota = held.join(takes, _same("source", "t_source") & (F.col("size") == F.col("t_size"))).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - seen)))
     quota = materialise(quota.select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), F.col("bucket").alias("q_bucket"), "base", "quota", ((F.col("quota") > 0) & (F.col("quota") < F.col("n"))).alias("part")), "quota")
     j = rows.join(quota, _same("source", "q_source") & (F.col("size") == F.col("q_size")) & (F.col("bucket") == F.col("q_bucket")), "left")
-    j = j.select("id", "source", "text_hash", "size", "bucket", "draw", F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("quota", F.lit(0)).alias("quota"), F.coalesce("part", F.lit(False)).alias("part"))
-    ranked = j.where("part").withColumn("rn", F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("draw", "id")))
+    j = j.select("row", "id", "source", "text_hash", "size", "bucket", "draw", F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("quota", F.lit(0)).alias("quota"), F.coalesce("part", F.lit(False)).alias("part"))
+    ranked = j.where("part").withColumn("rn", F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("draw", "id", "row")))
     both = j.where("not part").withColumn("rn", F.lit(1)).unionAll(ranked)
     more = (F.col("quota") > 0) & (~F.col("part") | (F.col("rn") <= F.col("quota")))
     out = both.join(goals, _same("source", "goal_source"))
-    return out.select("id", "source", "text_hash", "size", "source_size", "target", (F.col("base") + more.cast("int")).cast("int").alias("copies"))
+    return out.select("row", "id", "source", "text_hash", "size", "source_size", "target", (F.col("base") + more.cast("int")).cast("int").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """The mix itself: rows of ``docs`` with all their columns, each as often as the mix takes it.
-
-    Rows alike in id, source and text stand for each other: they share out what the mix takes of them."""
-    m = mix(docs, id_col, source_col, text_col, **how)
-    per = m.groupBy(F.col("id").alias("m_id_"), F.col("source").alias("m_source_"), F.col("text_hash").alias("m_hash_")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("m_copies_"))
-    per = per.where(F.get("m_copies_", F.lit(0)) > 0)
-    keyed = docs.withColumn("m_key_", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    j = keyed.join(per, F.col(id_col).eqNullSafe(F.col("m_id_")) & F.col(source_col).eqNullSafe(F.col("m_source_")) & (F.col("m_key_") == F.col("m_hash_")))
-    single = j.where(F.size("m_copies_") == 1).withColumn("m_rn_", F.lit(1))
-    several = j.where(F.size("m_copies_") > 1).withColumn("m_rn_", F.row_number().over(W.partitionBy("m_id_", "m_source_", "m_hash_").orderBy("m_key_")))
-    out = single.unionAll(several).withColumn("m_n_", F.get("m_copies_", F.col("m_rn_") - 1)).where("m_n_ > 0")
-    return out.withColumn("m_rep_", F.explode(F.sequence(F.lit(1), F.col("m_n_")))).select(*docs.columns)
+    """The mix itself: rows of ``docs`` with all their columns, each as often as the mix takes it."""
+    row, copies, turn = fresh(docs, "row_", "copies_", "turn_")
+    # Written down with a number for every row, so that each finds its own copies again, however often rows repeat.
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows", "zstd")
+    m = mix(rows, id_col, source_col, text_col, row_col=row, **how).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
+    return rows.join(m, row).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

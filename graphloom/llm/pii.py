@@ -173,8 +173,11 @@ def pseudonym(m: Column, key: str, reverse: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None, reverse: bool = False) -> DataFrame:
     """``docs`` with every valid value in ``text_col`` replaced; rows, order of columns and all other columns stay.
 
-    ``found_col`` adds the changed values as an array of (kind, value, pseudonym).  Null text stays null.  A text is cut
+    ``found_col`` adds the changed values as an array of (kind, value, pseudonym); a column of that name is an error, as
+    nothing is to be overwritten.  Null text stays null.  A text is cut
     around its matches, the matches are mapped, and both are joined again, so a text is read as a whole, once."""
+    if found_col and found_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {found_col} already")
     t = F.col(text_col)
     taken = {c.lower() for c in docs.columns}
     tmp = next(n for i in range(len(taken) + 1) if (n := f"_pii{i}") not in taken)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, materialise, maybe_broadcast, words
+from .common import ascii_lower, fresh, let, materialise, maybe_broadcast, words
 
 WINDOW = 8
 MIN_DOCS, SHARE, MAX_REMOVED = 10, 0.10, 0.7
@@ -88,11 +88,12 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sou
     """``docs`` without rejected rows; the kept rows' boilerplate lines are taken out of the text (and their length
     column follows).  All other columns stay as they are, whatever their names."""
     v = judge(docs, id_col, host_col, text_col, **limits)
-    v = v.where("kept").groupBy(F.col("id").alias("v_id_"), F.col("host").alias("v_host_"), F.col("text_hash").alias("v_hash_")).agg(F.first("boilerplate").alias("v_lines_"))
+    v_id, v_host, v_hash, v_lines = fresh(docs, "v_id_", "v_host_", "v_hash_", "v_lines_")
+    v = v.where("kept").groupBy(F.col("id").alias(v_id), F.col("host").alias(v_host), F.col("text_hash").alias(v_hash)).agg(F.first("boilerplate").alias(v_lines))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    j = docs.join(v, F.col(id_col).eqNullSafe(F.col("v_id_")) & F.col(host_col).eqNullSafe(F.col("v_host_")) & (F.xxhash64(text) == F.col("v_hash_")))
-    clean = F.when(F.size("v_lines_") == 0, F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("v_lines_"), line_hash(x))), "\n"))
+    j = docs.join(v, F.col(id_col).eqNullSafe(F.col(v_id)) & F.col(host_col).eqNullSafe(F.col(v_host)) & (F.xxhash64(text) == F.col(v_hash)))
+    clean = F.when(F.size(v_lines) == 0, F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col(v_lines), line_hash(x))), "\n"))
     new = {text_col: clean}
     if length_col and length_col in docs.columns:
-        new[length_col] = F.when(F.size("v_lines_") == 0, F.col(length_col)).otherwise(F.length(clean).cast(docs.schema[length_col].dataType))
+        new[length_col] = F.when(F.size(v_lines) == 0, F.col(length_col)).otherwise(F.length(clean).cast(docs.schema[length_col].dataType))
     return j.withColumns(new).select(*docs.columns)

@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
@@ -242,6 +244,37 @@ def test_drop_near_duplicates(spark):
     assert kept.columns == df.columns
     want = {c for _, _, c in brute_components([(r[0], brute_fingerprint(r[1])) for r in data.rows()], 2)}
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
+    unlike = [(None, "one two three four"), (None, "red green blue white"), (3, "five six seven eight"), (3, "nine ten eleven twelve"), (3, "five six seven eight")]
+    odd = spark.createDataFrame([(*r, 1) for r in unlike], "doc_id long, text string, text_hash_ int")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(odd).collect()), key=str) == sorted({(*r, 1) for r in unlike}, key=str)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 63), st.integers(0, 63)), max_size=40), st.integers(0, 5), st.integers(1, 300))
+def test_tiles_of_any_buckets(rows, radius, times):
+    rng = np.random.default_rng(times)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    rows = [(r, int(base[r]) ^ (1 << i) ^ (1 << j)) for r, i, j in rows] + [(9, int(x)) for x in rng.integers(0, 64, times)]
+    rows.sort(key=lambda x: x[0])
+    run = np.unique([r for r, _ in rows], return_inverse=True)[1] if rows else np.empty(0, np.int64)
+    fps = np.array([f for _, f in rows], np.uint64)
+    a, b = simhash.tile_links(run, fps, radius)
+
+    def parts(pairs):
+        part = {f: f for f in fps.tolist()}
+
+        def find(x):
+            while part[x] != x:
+                x = part[x]
+            return x
+
+        for x, y in pairs:
+            part[find(x)] = find(y)
+        return {f: min(g for g in part if find(g) == find(f)) for f in part}
+
+    pairs = [(x, y) for i, (r, x) in enumerate(zip(run.tolist(), fps.tolist())) for s, y in list(zip(run.tolist(), fps.tolist()))[i + 1 :] if r == s and bin(x ^ y).count("1") <= radius]
+    assert parts(zip(a.tolist(), b.tolist())) == parts(pairs)
+    assert len(a) <= len(rows)
 
 
 def brute_copies(rows, least=0.8, width=5):
@@ -396,6 +429,12 @@ def test_documents_of_mostly_shared_lines_are_distinct(spark):
     assert all(v[i].kept and v[i].removed_chars == 0 for i in range(40, 200))
 
 
+def test_quality_filter_with_clashing_columns(spark):
+    text = "\n".join(" ".join(f"word{i}x{k}" for k in range(8)) for i in range(6))
+    df = spark.createDataFrame([(1, text, "s", 7, "a")], "doc_id long, text string, source string, v_lines_ int, V_id_ string")
+    assert [tuple(r) for r in quality.quality_filter(df).collect()] == [(1, text, "s", 7, "a")]
+
+
 def test_quality_filter_keeps_columns(spark):
     df = data.frame(spark)
     out = quality.quality_filter(df)

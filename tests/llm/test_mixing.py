@@ -1,5 +1,8 @@
 from itertools import combinations
 
+import itertools
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -91,6 +94,26 @@ def test_mix(spark):
     assert n == {k: v for k, v in per.items() if v}
 
 
+def test_rows_alike_and_extra_columns(spark):
+    rows = [(1, "one two three", "a", 5, 6)] * 7 + [(None, "x y", None, 1, 2)] * 3 + [(2, None, "a", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row_ int, Copies_ int")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    got = Counter(tuple(r) for r in out.collect())
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r.id, r.source] += r.copies
+    assert {(k[0], k[2]): n for k, n in got.items()} == {k: n for k, n in want.items() if n}
+    assert all(k in rows for k in got)
+
+
+def test_fit_of_lengths_beyond_the_program():
+    lengths, counts = np.array([1_000_003, 2_000_001, 3_500_017]), np.array([3, 3, 3])
+    take = mixing.fit(lengths, counts, 5_600_000)
+    best = min(abs(5_600_000 - int((lengths * np.array(t)).sum())) for t in itertools.product(range(4), repeat=3))
+    assert abs(5_600_000 - int((lengths * take).sum())) <= best + 2000 and (take <= counts).all()
+
+
 def test_empty(spark):
     assert mixing.mix(data.empty(spark)).collect() == []
     assert mixing.mixed_documents(data.empty(spark)).collect() == []

@@ -3,6 +3,7 @@ import random
 import re
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import pii
@@ -121,6 +122,8 @@ def test_columns_and_rows(spark):
     assert out.columns == [*df.columns, "found"] and out.count() == df.count()
     assert out.where("_pii0 <> 'mine'").count() == 0
     assert pii.pseudonymise(data.empty(spark), KEY).collect() == []
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df.withColumn("Found", F.lit(1)), KEY, found_col="found")
 
 
 def test_feistel_any_radix(spark):
