@@ -35,8 +35,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, bool)  # ids whose token begins with the space, written U+0120
         self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
@@ -67,15 +66,15 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        fresh = []
-        for w in new:
-            if (b := self.older.get(w)) is not None:
-                self.known[w] = b
-            elif " " in w or len(w) > CACHE_CHARS:
-                self.known[w] = self._ids(" " + w)
-            else:
-                fresh.append(w)
+    def _learn(self, new: set[str]) -> list[str]:
+        """Make ``new`` words known; which of them are long or hold spaces."""
+        seen = new.intersection(self.older)
+        self.known.update(zip(seen, map(self.older.__getitem__, seen)))
+        fresh = new - seen
+        odd = [w for w in fresh if len(w) > CACHE_CHARS or " " in w] if fresh else []
+        for w in odd:
+            self.known[w] = self._ids(" " + w)
+        fresh = list(fresh.difference(odd))
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             ids = np.asarray(self.many(" " + " ".join(part)), dtype="<u4")
@@ -83,21 +82,22 @@ class Encoder:
             assert len(cuts) == len(part)
             raw, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
             self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        return odd
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
-        whole = {i: self._ids(t) for i, t in enumerate(texts) if t and self.added and self.added.search(t)}
+        whole = {i: self._ids(t) for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
         texts = ["" if i in whole else t or "" for i, t in enumerate(texts)]
         parts = [_SAFE_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
         rest = [p[1:] for p in parts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
         new = set().union(*rest).difference(self.known)
-        self._learn(new)
+        odd = self._learn(new)
         out = [(self._ids(p[0]) if p[0] else b"") + b"".join(map(self.known.__getitem__, r)) for p, r in zip(parts, rest)]
         for i, ids in whole.items():
             out[i] = ids
-        for w in new:
+        for w in odd:
             if len(w) > CACHE_CHARS:
                 self.known.pop(w, None)
         return out
