@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..plans.lineage import materialise
+from .graph import connected
 
 # Code shapes whose change is a change of meaning, and test assertions.
 ANCHORS = (r"\bif\s*\(", r"\bswitch\s*\(", r"\bthrow\s+", r"\breturn\s+", r"\bawait\s+", r"\byield\s+", r"\.emit\s*\(", r"\.dispatch\s*\(", r"\.save\s*\(", r"\.update\s*\(", r"\.delete\s*\(", r"\.insert\s*\(", r"\.create\s*\(", r"\.remove\s*\(", r"\.push\s*\(", r"\.set\s*\(")
@@ -55,28 +57,34 @@ def intent(subject: Column) -> Column:
     return reduce(lambda rest, x: F.when(subject.rlike(x[0]), x[1]).otherwise(rest), reversed(INTENTS), F.lit(None).cast("string"))
 
 
-def found(body: Column, patterns: tuple[str, ...]) -> Column:
-    """All matches of the patterns, trimmed and sorted: a multiset to compare."""
+def matches(body: Column, patterns: tuple[str, ...]) -> Column:
+    """All matches of the patterns in turn, trimmed."""
     hits = F.flatten(F.array(*[F.regexp_extract_all(body, F.lit(p), F.lit(0)) for p in patterns]))
-    return F.array_sort(F.transform(hits, lambda x: F.trim(x)))
+    return F.transform(hits, lambda x: F.trim(x))
+
+
+def found(body: Column, patterns: tuple[str, ...]) -> Column:
+    """All matches of the patterns, sorted: a multiset to compare."""
+    return F.array_sort(matches(body, patterns))
 
 
 def classify_change(old_sig: Column, new_sig: Column, old: Column, new: Column, path: Column) -> Column:
-    """signature_changed, comments_only, test_assertions_only, semantic_anchors or body_refactor, in that order."""
+    """signature_changed, comments_only, test_assertions (of test files), anchors_changed or body_refactor: the first
+    that holds."""
     empty = F.lit("")
     os, ns, ob, nb = (F.coalesce(x, empty) for x in (old_sig, new_sig, old, new))
     test = path.rlike(r"(?i)\.(test|spec|_test)\.[a-z]+$") | path.rlike("/__tests__/|/test/")
-    same_anchors = found(ob, ANCHORS) == found(nb, ANCHORS)
     return (
         F.when(os != ns, "signature_changed").when(s.strip_comments(ob) == s.strip_comments(nb), "comments_only")
-        .when(test & (found(ob, ASSERTIONS) != found(nb, ASSERTIONS)) & same_anchors, "test_assertions_only").when(~same_anchors, "semantic_anchors").otherwise("body_refactor")
+        .when(test & (matches(ob, ASSERTIONS) != matches(nb, ASSERTIONS)), "test_assertions").when(found(ob, ANCHORS) != found(nb, ANCHORS), "anchors_changed").otherwise("body_refactor")
     )
 
 
 def cascades(change: Column, similarity: Column | None = None) -> Column:
-    """Whether a change of that kind reaches callers; vectors that barely moved hold it back."""
-    reach = change.isin("signature_changed", "semantic_anchors")
-    return reach if similarity is None else reach & ~(F.coalesce(similarity, F.lit(0.0)) > 0.95)
+    """Whether a change of that kind reaches callers: a refactored body does unless its vector barely moved (null: not
+    known, so it does)."""
+    moved = F.lit(True) if similarity is None else ~(F.coalesce(similarity, F.lit(0.0)) > 0.95)
+    return change.isin("signature_changed", "test_assertions", "anchors_changed") | ((change == "body_refactor") & moved)
 
 
 def keywords(taxonomy: Column, tag: Column, concepts: Column, purpose: Column, pattern: Column) -> Column:
@@ -183,14 +191,34 @@ def prompt_drift(prompts: DataFrame, keys: list[str], at: str, text: str, thresh
     return g.select(*keys, F.when(enough, F.array_max(sims)).otherwise(0.0).alias("similarity"), (enough & (F.size(F.filter(sims, lambda x: x > threshold)) >= 2)).alias("drifting"))
 
 
+def similar_pairs(rows: DataFrame, col: str, least: float = 0.75) -> DataFrame:
+    """(a, b) for all distinct values a < b of ``col`` whose edit-distance similarity is ``least`` or more; exact.
+
+    Two such values differ by at most t = length of the longer * (1 - least) edits.  The longer one is cut into t + 1
+    pieces, of which one at least is whole in the other, moved by t places at most: pieces and places of the same
+    lengths are joined, and the pairs that meet are compared.  Nothing but equal pieces brings values together."""
+    x = rows.select(F.col(col).alias("v")).where("v is not null").distinct().withColumn("n", F.length("v"))
+    edits = lambda m: F.floor(m * (1 - least) + 1e-9).cast("int")
+    cut = lambda i: F.floor(i * F.col("m") / (F.col("t") + 1)).cast("int")
+    piece = lambda at: F.substring(F.col("v"), at + 1, F.col("size"))
+
+    def pieces(df: DataFrame) -> DataFrame:
+        df = df.withColumn("t", edits(F.col("m"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("t"))))
+        return df.withColumn("at", cut(F.col("i"))).withColumn("size", cut(F.col("i") + 1) - F.col("at"))
+
+    long = pieces(x.withColumn("m", F.col("n"))).select("m", "i", piece(F.col("at")).alias("p"), F.col("v").alias("y"))
+    short = pieces(x.withColumn("m", F.explode(F.sequence("n", F.floor(F.col("n") / least + 1e-9).cast("int")))))
+    low, high = F.greatest(F.lit(0), F.col("at") - F.col("t")), F.least(F.col("n") - F.col("size"), F.col("at") + F.col("t"))
+    short = short.withColumn("s", F.explode(F.when(low <= high, F.sequence(low, high)))).select("m", "i", piece(F.col("s")).alias("p"), F.col("v").alias("x")).distinct()
+    met = short.join(long, ["m", "i", "p"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.where(s.levenshtein_similarity(F.col("a"), F.col("b")) >= least)
+
+
 def merge_tags(tags: DataFrame, least: float = 0.75) -> DataFrame:
-    """(tag, canonical) for tags (tag, n): a tag joins the most frequent one (then the first by name) it resembles.
-
-    Candidates share the first or last letter and have near lengths, as any two within that similarity do that differ
-    by at most a quarter of their letters at one end; they are compared exactly."""
-    t = tags.select("tag", "n")
-    keyed = t.withColumn("b", F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.substring("tag", 1, 1)), F.concat(F.lit(">"), F.substring(F.col("tag"), -1, 1))))))
-    a, b = keyed.select(F.col("tag").alias("x"), F.col("n").alias("nx"), "b"), keyed.select(F.col("tag").alias("y"), F.col("n").alias("ny"), "b")
-    near = a.join(b, "b").where((F.abs(F.length("x") - F.length("y")) <= F.greatest(F.length("x"), F.length("y")) * (1 - least)) & (s.levenshtein_similarity(F.col("x"), F.col("y")) >= least))
-    best = near.groupBy("x").agg(F.min_by("y", F.struct(-F.col("ny"), "y")).alias("canonical"))
-    return t.join(best, F.col("tag") == F.col("x")).select("tag", "canonical")
+    """(tag, canonical) for tags (tag, n): tags that chains of similar tags connect become the most frequent of them
+    (then the first by name).  Clusters are whole, whatever the order of the tags."""
+    pairs = materialise(similar_pairs(tags, "tag", least), "similar")
+    roots = connected(pairs, "a", "b")
+    t = tags.select("tag", "n").join(roots.select(F.col("node").alias("tag"), "root"), "tag", "left").withColumn("root", F.coalesce("root", "tag"))
+    best = t.groupBy("root").agg(F.min_by("tag", F.struct(-F.col("n"), "tag")).alias("canonical"))
+    return t.join(best, "root").select("tag", "canonical")

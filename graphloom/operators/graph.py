@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialise
+from ..plans.lineage import materialise, release
 
 # Which edge kinds have a collection of their own; all others are stored with the calls.
 OWN_COLLECTIONS = ("contains", "imports", "extends", "implements", "rule_exceptions", "language_implementations", "logically_coupled")
@@ -19,6 +19,24 @@ RANK_WEIGHTS = {"calls": 0.5, "references": 0.3, "mutates_state": 0.9, "implemen
 SMALL_GRAPH = 2_000_000  # edges that one task ranks or peels in memory
 
 
+def connected(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) for every node of the undirected ``pairs``: the smallest node that is connected with it.
+
+    Rounds of smallest labels over the pairs, each label then followed to its own label, so distances fall by halves."""
+    both = pairs.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    both = materialise(both.unionAll(both.select("y", "x")).distinct(), "pairs")
+    labels = materialise(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "roots")
+    while True:
+        seen = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("root").alias("near"))
+        new = labels.join(seen, F.col("node") == F.col("x")).select("node", F.least("root", "near").alias("low"), F.col("root").alias("old"))
+        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
+        new = materialise(new.join(jump, "low").select("node", F.least("low", "far").alias("root"), "old"), "roots")
+        release(labels)
+        labels = new.select("node", "root")
+        if not new.where("root <> old").head(1):
+            return labels
+
+
 def collection(kind: Column) -> Column:
     return F.when(kind.isin(*OWN_COLLECTIONS), kind).otherwise("calls")
 
@@ -141,12 +159,14 @@ def page_rank(edges: DataFrame, entities: DataFrame, damping: float = 0.85, tol:
         out = w.groupBy("src").agg(F.sum("w").alias("total"))
         share = materialise(w.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "shares")
         ranks = known.withColumn("pagerank", F.lit(1.0 / n)).join(out.select(F.col("src").alias("id"), F.lit(True).alias("sends")), "id", "left")
-        ranks = materialise(ranks, "rank")
+        last = ranks = materialise(ranks, "rank")
         for _ in range(rounds):
             dangling = ranks.where("sends is null").agg(F.sum("pagerank")).first()[0] or 0.0
             got = share.join(ranks.select(F.col("id").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
             new = ranks.join(got, "id", "left").select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + dangling / n)).alias("pagerank"), "sends", F.col("pagerank").alias("old"))
             new = materialise(new, "rank")
+            release(last)
+            last = new
             moved = new.agg(F.max(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
             ranks = new.drop("old")
             if moved < tol:
@@ -181,13 +201,14 @@ def communities(edges: DataFrame, entities: DataFrame, rounds: int = 20) -> Data
     smallest).  Synchronous, so order plays no part; a vertex without neighbours keeps its own."""
     both = edges.select("src", "dst").where("src <> dst").distinct()
     both = materialise(both.unionAll(both.select("dst", "src")).distinct(), "both")
-    labels = entities.select("id", F.col("id").alias("community"))
+    last, labels = None, entities.select("id", F.col("id").alias("community"))
     for _ in range(rounds):
         votes = both.join(labels, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("v"), "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("v").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("new"))
         new = labels.join(best, F.col("id") == F.col("v"), "left").select("id", F.least("community", "new").alias("community"), (F.coalesce(F.least("community", "new"), "community") != F.col("community")).alias("moved"))
         new = materialise(new, "labels")
-        labels = new.select("id", "community")
+        release(last)
+        last, labels = new, new.select("id", "community")
         if not new.where("moved").head(1):
             break
     return labels

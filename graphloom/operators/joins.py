@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.lineage import materialise
+
 
 def touching(edges: DataFrame, keys: DataFrame) -> DataFrame:
     """Edges with an end in ``keys``, each once."""
@@ -76,16 +78,32 @@ def first_of_layers(keys: DataFrame, *layers: DataFrame) -> DataFrame:
     return best.select("id", *[F.col(f"r_.{c}").alias(c) for c in rest if c != "layer_"], F.col("r_.layer_").alias("layer"))
 
 
-def co_occurrence(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """(a, b, support) for items a < b that share groups, with each one's own count.
+CROWD = 1000  # items of one group whose pairs come out of one array
+
+
+def co_occurrence(rows: DataFrame, group: str, item: str, least: int = 1, crowd: int = CROWD) -> DataFrame:
+    """(a, b, support) for items a < b that share ``least`` groups or more, with each one's own count.
 
-    Groups are arrays once and pairs come out of them, so no self-join of the rows is shuffled."""
-    per = rows.select(group, item).distinct()
-    counts = per.groupBy(item).agg(F.count("*").alias("n"))
-    sets = per.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("s")).where(F.size("s") > 1)
+    Items in fewer groups go first.  Groups of up to ``crowd`` items are arrays once and pairs come out of them, so no
+    self-join of the rows is shuffled; larger ones are joined with themselves in parts, so no task holds a whole one."""
+    per = rows.select(F.col(group).alias("g_"), F.col(item).alias("i_")).where("i_ is not null").distinct()
+    counts = per.groupBy("i_").agg(F.count("*").alias("n"))
+    if least > 1:
+        per = per.join(counts.where(F.col("n") >= least).select("i_"), "i_", "left_semi")
+    large = materialise(per.groupBy("g_").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("g_", F.ceil(F.col("n") / crowd).cast("int").alias("k")), "crowds")
+    some = bool(large.head(1))
+    small = per.join(large.select("g_"), "g_", "left_anti") if some else per
+    sets = small.groupBy("g_").agg(F.array_sort(F.collect_list("i_")).alias("s")).where(F.size("s") > 1)
     pairs = sets.select(F.explode("s").alias("a"), "s").select("a", F.explode(F.filter("s", lambda x: x > F.col("a"))).alias("b"))
-    support = pairs.groupBy("a", "b").agg(F.count("*").alias("support"))
-    return support.join(counts.select(F.col(item).alias("a"), F.col("n").alias("n_a")), "a").join(counts.select(F.col(item).alias("b"), F.col("n").alias("n_b")), "b")
+    if some:
+        part = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
+        x = per.join(large, "g_")
+        one = x.select("g_", F.col("i_").alias("a"), part("i_").alias("p"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"))
+        two = x.select("g_", F.col("i_").alias("b"), part("i_").alias("q"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p"))
+        pairs = pairs.unionAll(one.join(two, ["g_", "p", "q"]).where("a < b").select("a", "b"))
+    support = pairs.groupBy("a", "b").agg(F.count("*").alias("support")).where(F.col("support") >= least)
+    out = support.join(counts.select(F.col("i_").alias("a"), F.col("n").alias("n_a")), "a").join(counts.select(F.col("i_").alias("b"), F.col("n").alias("n_b")), "b")
+    return out.select("a", "b", "support", "n_a", "n_b")
 
 
 def band_first(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, width: int) -> DataFrame:

@@ -58,6 +58,12 @@ def delete(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(keys.select(*on).distinct(), on, "left_anti")
 
 
+def purge(rows: DataFrame, at: str, since: Column, key: str, prefix: str) -> DataFrame:
+    """Rows without those older than ``since`` and those whose key begins with ``prefix``; null times and keys stay."""
+    old, overlay = F.coalesce(F.col(at) < since, F.lit(False)), F.coalesce(F.startswith(F.col(key), F.lit(prefix)), F.lit(False))
+    return rows.where(~old & ~overlay)
+
+
 def replace_edges(edges: DataFrame, sources: DataFrame, new: DataFrame) -> DataFrame:
     """The given sources' edges replaced by new ones."""
     return edges.join(sources.select("src").distinct(), "src", "left_anti").unionByName(new).distinct()

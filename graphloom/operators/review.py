@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import cut_lines
+
 # What third-party packages are for, by prefix, in order.
 CATEGORIES = (
     ("database", ("@prisma/", "prisma", "mongoose", "typeorm", "pg", "mysql", "sqlalchemy", "redis", "ioredis", "knex")),
@@ -59,3 +61,39 @@ def env_usage(lines: DataFrame, col: str = "line") -> DataFrame:
     """Environment variables that code reads."""
     found = F.regexp_extract_all(F.col(col), F.lit(r"(?:process\.env\.|os\.environ(?:\.get)?[\[(]['\"]|os\.Getenv\(\")([A-Z][A-Z0-9_]*)"), F.lit(1))
     return lines.select(F.explode(found).alias("variable")).distinct()
+
+
+# How many elements an answer's lists keep.
+LIST_CAPS = {"callers": 20, "callees": 20, "results": 50, "imports": 30, "entities": 50}
+BODIES = ("body", "source", "content", "code")
+HINT = "[truncated — call get_function with specific name for full details]"
+
+
+def cap_payload(rows: DataFrame, most: int) -> DataFrame:
+    """Rows as answers of at most about ``most`` bytes of JSON: longer ones lose the ends of their lists (and say so in
+    _<list>Truncated), then the last lines of their bodies; ``_hint`` says that one is still too long.
+
+    Shorter rows stay as they are; missing columns are passed over; null lists and bodies stay null."""
+    size = lambda df: F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    out = rows.withColumn("size_", size(rows))
+    lists = {c: n for c, n in LIST_CAPS.items() if c in rows.columns and rows.schema[c].dataType.typeName() == "array"}
+    over = F.col("size_") > most
+    for c, n in lists.items():
+        out = out.withColumn(f"_{c}Truncated", F.coalesce(over & (F.size(c) > n), F.lit(False))).withColumn(c, F.when(over, F.slice(c, 1, n)).otherwise(F.col(c)))
+    out = out.withColumn("size_", size(out))
+    for c in [x for x in BODIES if x in rows.columns and rows.schema[x].dataType.typeName() == "string"]:
+        budget = F.greatest(F.lit(most) - (F.col("size_") - F.octet_length(c)) - 200, F.lit(500))
+        out = out.withColumn(c, F.when(over & (F.col("size_") > most), cut_lines(F.col(c), budget)).otherwise(F.col(c)))
+    return out.withColumn("_hint", F.when(size(out) > most, HINT)).drop("size_")
+
+
+def review_comments(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """A comment for each review (``keys``) from findings (check, severity, file_path, line, message): verdict, count
+    by severity, and the findings as lines, errors first, then by file and line.  No findings give no comment."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    line = F.concat(F.lit("- **"), "check", F.lit("** `"), "file_path", F.when(F.col("line").isNotNull(), F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""), F.lit("`: "), "message")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "file_path", "line", "check", line.alias("text")))), lambda x: x["text"])
+    n = lambda s: F.count_if(F.col("severity") == s)
+    g = findings.groupBy(*keys).agg(n("error").alias("errors"), n("warning").alias("warnings"), F.count("*").alias("findings"), rows.alias("rows"))
+    head = F.concat(F.lit("## Review: "), F.when(F.col("errors") > 0, "changes requested").otherwise("comments"), F.lit("\n\n"), F.col("errors").cast("string"), F.lit(" errors, "), F.col("warnings").cast("string"), F.lit(" warnings\n\n"))
+    return g.select(*keys, "errors", "warnings", "findings", F.concat(head, F.array_join("rows", "\n"), F.lit("\n")).alias("body"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,14 +15,17 @@ from ..functions import scalars as s
 BLOCK = 4096  # query vectors that a task holds at once
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Vectors of one length as rows; others count as zero vectors, as null ones do."""
-    rows = column.to_pylist()
-    n = max((len(r) for r in rows if r), default=0)
-    out = np.zeros((len(rows), n))
-    for i, r in enumerate(rows):
-        if r and len(r) == n:
-            out[i] = r
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Vectors of that length as rows; each other one, and each with a null in it, counts as a zero vector by itself."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    out = np.zeros((len(a), width))
+    sizes = pc.fill_null(pc.list_value_length(a), -1).to_numpy(zero_copy_only=False)
+    fits = np.flatnonzero(sizes == width)
+    if len(fits) and width:
+        flat = a.take(pa.array(fits)).flatten()
+        rows = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(fits), width)
+        rows[np.isnan(rows).any(axis=1)] = 0
+        out[fits] = rows
     return out
 
 
@@ -41,8 +45,11 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int | None, least: float |
     id_type, q_type = vectors.schema["id"].dataType.simpleString(), queries.schema["q_id"].dataType.simpleString()
     schema = f"q_id {q_type}, id {id_type}, score double"
 
-    def pick(ids: pa.Array, v: np.ndarray, qids: list, q: np.ndarray) -> pa.RecordBatch:
-        c = _cosines(v, q)
+    def pick(ids: pa.Array, vs: pa.Array, qids: list, qs: pa.Array) -> pa.RecordBatch:
+        c = np.zeros((len(qids), len(ids)))
+        lengths = pc.fill_null(pc.list_value_length(qs), 0).to_numpy(zero_copy_only=False)
+        for n in np.unique(lengths).tolist():  # queries meet the vectors of their own length
+            c[lengths == n] = _cosines(_matrix(vs, n), _matrix(qs.filter(pa.array(lengths == n)), n))
         if k is not None and c.shape[1] > k:
             cut = np.partition(c, -k, axis=1)[:, -k]  # ties with the k-th stay, to be told apart by id
             at, col = np.nonzero(c >= cut[:, None])
@@ -54,22 +61,23 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int | None, least: float |
     n = queries.count()
     if n <= block:
         held = queries.select("q_id", "q").collect()
-        qids, q = [r.q_id for r in held], _matrix(pa.array([r.q for r in held], pa.list_(pa.float64())))
+        qids, q = [r.q_id for r in held], pa.array([r.q for r in held], pa.list_(pa.float64()))
 
         def run(batches):
             for b in batches:
                 if qids and b.num_rows:
-                    yield pick(b.column(0), _matrix(b.column(1)), qids, q)
+                    yield pick(b.column(0), b.column(1), qids, q)
 
         return vectors.select("id", F.col("v").cast("array<double>")).mapInArrow(run, schema)
     blocks = -(-n // block)
     parts = max(1, vectors.count() // (16 * block))
-    qs = queries.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    vs = vectors.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    qs = queries.withColumn("q", F.col("q").cast("array<double>")).withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    vs = vectors.withColumn("v", F.col("v").cast("array<double>")).withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("id").combine_chunks()
-        out = [pick(ids.slice(s, 8192), _matrix(left.column("v").slice(s, 8192)), right.column("q_id").to_pylist(), _matrix(right.column("q"))) for s in range(0, left.num_rows, 8192)] if right.num_rows else []
+        v, q = left.column("v").combine_chunks(), right.column("q").combine_chunks()
+        out = [pick(ids.slice(s, 8192), v.slice(s, 8192), right.column("q_id").to_pylist(), q) for s in range(0, left.num_rows, 8192)] if right.num_rows else []
         return pa.Table.from_batches(out) if out else pa.table({"q_id": right.column("q_id").slice(0, 0), "id": left.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
 
     return vs.select("qb", "vb", "id", "v").groupBy("qb", "vb").cogroup(qs.select("qb", "vb", "q_id", "q").groupBy("qb", "vb")).applyInArrow(meet, schema)

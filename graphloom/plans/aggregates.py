@@ -38,10 +38,6 @@ def paths(spark, d):
     return p.entities(spark, d).select("file_path").distinct()
 
 
-PRICES = (("A", 0.8, 4.0), ("N", 3.0, 15.0))
-DEFAULT_PRICE = (1.0, 5.0)
-
-
 @query("A4_token_usage", """select coalesce(l_returnflag, 'total') as model, sum(l_quantity) as tokens, count(*) as calls,
   round(sum(l_quantity * case l_returnflag when 'A' then 0.8 when 'N' then 3.0 else 1.0 end) / 1000000, 6) as cost from lineitem group by rollup (l_returnflag)""")
 def usage(spark, d):
@@ -94,7 +90,7 @@ def cochange_sql(conf: float) -> str:
 
 
 def cochange_of(commits, conf: float):
-    c = j.co_occurrence(commits, "sha", "file").where("support >= 3 and n_a >= 2 and n_b >= 2")
+    c = j.co_occurrence(commits, "sha", "file", 3).where("n_a >= 2 and n_b >= 2")
     c = c.withColumn("confidence", F.col("support") / F.col("n_a")).where(F.col("confidence") >= conf)
     return c.select("a", "b", "support", F.round("confidence", 9).alias("confidence"), F.round(F.col("support") / (F.col("n_a") + F.col("n_b") - F.col("support")), 9).alias("jaccard"))
 
@@ -154,19 +150,19 @@ SEVERITY = "case o_orderpriority when '1-URGENT' then 'high' when '2-HIGH' then
 @query("A16_issue_summary", f"""select o_orderstatus as category, count(*) filter (sev = 'high') as high, count(*) filter (sev = 'medium') as medium, count(*) filter (sev = 'low') as low,
   round(max(case sev when 'high' then 3.0 when 'medium' then 2.0 else 1.0 end * 40) + least(count(*), 50) / 50.0 * 30 + 0.5 * 30, 6) as priority,
   greatest(0, 100 - 15 * count(*) filter (sev = 'high') - 8 * count(*) filter (sev = 'medium') - 3 * count(*) filter (sev = 'low')) as health
-  from (select *, {SEVERITY} as sev from orders where o_orderkey % 500 = 0) group by 1""")
+  from (select *, {SEVERITY} as sev from orders) group by 1""")
 def issues(spark, d):
-    o = p.table(spark, d, "orders").where("o_orderkey % 500 = 0").withColumn("sev", s.severity(F.col("o_orderpriority")))
+    o = p.table(spark, d, "orders").withColumn("sev", s.severity(F.col("o_orderpriority")))
     n = lambda x: F.count_if(F.col("sev") == x)
     wt = F.max(s.severity_weight(F.col("sev")) * 40)
     return o.groupBy(F.col("o_orderstatus").alias("category")).agg(n("high").alias("high"), n("medium").alias("medium"), n("low").alias("low"), F.round(wt + F.least(F.count("*"), F.lit(50)) / 50 * 30 + 15.0, 6).alias("priority"), F.greatest(F.lit(0), 100 - 15 * n("high") - 8 * n("medium") - 3 * n("low")).alias("health"))
 
 
-@query("A17_health_grade", f"""select o_custkey % 20 as repo, case when h >= 3 then 'F' when h >= 1 then 'D' when m > 3 then 'C' when m > 0 then 'B' else 'A' end as grade from
-  (select o_custkey % 20 as o_custkey, count(*) filter ({SEVERITY} = 'high') as h, count(*) filter ({SEVERITY} = 'medium') as m from orders where o_orderkey % 500 = 0 group by 1)""")
+@query("A17_health_grade", f"""select o_custkey as repo, case when h >= 3 then 'F' when h >= 1 then 'D' when m > 3 then 'C' when m > 0 then 'B' else 'A' end as grade from
+  (select o_custkey, count(*) filter ({SEVERITY} = 'high') as h, count(*) filter ({SEVERITY} = 'medium') as m from orders group by 1)""")
 def grade(spark, d):
-    o = p.table(spark, d, "orders").where("o_orderkey % 500 = 0").withColumn("sev", s.severity(F.col("o_orderpriority")))
-    a = o.groupBy((F.col("o_custkey") % 20).alias("repo")).agg(F.count_if(F.col("sev") == "high").alias("h"), F.count_if(F.col("sev") == "medium").alias("m"))
+    o = p.table(spark, d, "orders").withColumn("sev", s.severity(F.col("o_orderpriority")))
+    a = o.groupBy(F.col("o_custkey").alias("repo")).agg(F.count_if(F.col("sev") == "high").alias("h"), F.count_if(F.col("sev") == "medium").alias("m"))
     return a.select("repo", s.grade(F.col("h"), F.col("m")).alias("grade"))
 
 
@@ -218,9 +214,9 @@ def top_concepts(spark, d):
     return w.first_per_group(x, ["feature_tag"], [F.desc("n"), "concept"], 3)
 
 
-@query("A24_impact_by_taxonomy", "select j.taxonomy, count(*) as n from edges e join justifications j on j.entity_id = e.src where e.kind = 'calls' and e.dst % 50 = 0 group by 1", *G, p.JUSTIFICATIONS)
+@query("A24_impact_by_taxonomy", "select j.taxonomy, count(*) as n from edges e join justifications j on j.entity_id = e.src where e.kind = 'calls' group by 1", *G, p.JUSTIFICATIONS)
 def by_taxonomy(spark, d):
-    return p.edges(spark, d).where("kind = 'calls' and dst % 50 = 0").join(p.justifications(spark, d), F.col("src") == F.col("entity_id")).groupBy("taxonomy").agg(F.count("*").alias("n"))
+    return p.edges(spark, d).where("kind = 'calls'").join(p.justifications(spark, d), F.col("src") == F.col("entity_id")).groupBy("taxonomy").agg(F.count("*").alias("n"))
 
 
 @query("A25_ledger_summary", "select user_id as branch, count(*) as entries, count(distinct event_type) as files, sum(json_extract(props, '$.k')::bigint)::bigint as lines from events group by 1")

@@ -14,16 +14,17 @@ from .base import query
 
 G = (p.ENTITIES, p.EDGES)
 VERSIONS = """versions as (select o_orderkey as id, 'f(a)' as old_sig, case when o_orderkey % 5 = 0 then 'f(a, b)' else 'f(a)' end as new_sig,
-  'if (a) { return b }' as old_body, case o_orderkey % 4 when 0 then 'if (a) { return b } // note' when 1 then 'if (a) { return c }' when 2 then 'if (a) { throw x; return b }' else 'if (a)  { return b }' end as new_body from orders)"""
+  'if (a) { return b }' as old_body, case o_orderkey % 4 when 0 then 'if (a) { return b } // note' when 1 then case when o_orderkey % 7 = 0 then 'if (a) { return b } expect(a)' else 'if (a) { return c }' end when 2 then 'if (a) { throw x; return b }' else 'if (a)  { return b }' end as new_body from orders)"""
 
 
 def versions(spark, d):
     k = F.col("o_orderkey")
     body = F.get(F.array(*map(F.lit, ["if (a) { return b } // note", "if (a) { return c }", "if (a) { throw x; return b }", "if (a)  { return b }"])), (k % 4).cast("int"))
-    return p.table(spark, d, "orders").select(k.alias("id"), F.lit("f(a)").alias("old_sig"), F.when(k % 5 == 0, "f(a, b)").otherwise("f(a)").alias("new_sig"), F.lit("if (a) { return b }").alias("old_body"), body.alias("new_body"), F.lit("src/a.ts").alias("path"))
+    body = F.when((k % 4 == 1) & (k % 7 == 0), "if (a) { return b } expect(a)").otherwise(body)
+    return p.table(spark, d, "orders").select(k.alias("id"), F.lit("f(a)").alias("old_sig"), F.when(k % 5 == 0, "f(a, b)").otherwise("f(a)").alias("new_sig"), F.lit("if (a) { return b }").alias("old_body"), body.alias("new_body"), F.when(k % 7 == 0, "src/a.test.ts").otherwise("src/a.ts").alias("path"))
 
 
-KIND = "case when old_sig <> new_sig then 'signature_changed' when id % 4 in (0, 3) then 'comments_only' when id % 4 = 2 then 'semantic_anchors' else 'body_refactor' end"
+KIND = "case when old_sig <> new_sig then 'signature_changed' when id % 4 in (0, 3) then 'comments_only' when id % 7 = 0 and id % 4 = 1 then 'test_assertions' when id % 4 = 2 then 'anchors_changed' else 'body_refactor' end"
 
 
 @query("C1_change_class", f"select id, {KIND} as change from versions", VERSIONS)
@@ -31,7 +32,7 @@ def change_class(spark, d):
     return versions(spark, d).select("id", c.classify_change(F.col("old_sig"), F.col("new_sig"), F.col("old_body"), F.col("new_body"), F.col("path")).alias("change"))
 
 
-@query("C2_cascade_decision", f"select id, ({KIND}) in ('signature_changed', 'semantic_anchors') and id % 3 <> 0 as cascade from versions", VERSIONS)
+@query("C2_cascade_decision", f"select id, ({KIND}) in ('signature_changed', 'test_assertions', 'anchors_changed') or ({KIND}) = 'body_refactor' and id % 3 <> 0 as cascade from versions", VERSIONS)
 def cascade(spark, d):
     v = versions(spark, d).withColumn("change", c.classify_change(F.col("old_sig"), F.col("new_sig"), F.col("old_body"), F.col("new_body"), F.col("path")))
     return v.select("id", c.cascades(F.col("change"), F.when(F.col("id") % 3 == 0, 0.99).otherwise(0.5)).alias("cascade"))
@@ -148,7 +149,10 @@ def rule_health(spark, d):
     return c.rule_health(rule_events(spark, d))
 
 
-@query("C19_tag_merge")
+@query("C19_tag_merge", """select x as tag, arg_min(t.tag, (-t.n, t.tag)) as canonical from closure join tags t on t.tag = y group by x""",
+  "tags as (select lower(p_type) as tag, count(*) as n from part group by 1)",
+  "near as (select a.tag as x, b.tag as y from tags a, tags b where 1 - levenshtein(a.tag, b.tag)::double / greatest(length(a.tag), length(b.tag)) >= 0.75)",
+  "closure(x, y) as (select x, y from near union select c.x, n.y from closure c join near n on n.x = c.y)")
 def tag_merge(spark, d):
     t = p.table(spark, d, "part").groupBy(F.lower("p_type").alias("tag")).agg(F.count("*").alias("n"))
     return c.merge_tags(t)
@@ -184,18 +188,18 @@ def significance(spark, d):
     return p.table(spark, d, "events").groupBy("user_id").agg(((F.count_if(F.col("event_type") == "error") >= 10) | (F.max("value") > 95)).alias("significant"))
 
 
-@query("C24_drift_alerts", "select event_id from (select *, lag(value) over (partition by user_id, event_type order by valid_from, event_id) as before from scd) where before is not null and abs(value - before) > 50 and user_id % 10 = 0", p.SCD)
+@query("C24_drift_alerts", "select event_id from (select *, lag(value) over (partition by user_id, event_type order by valid_from, event_id) as before from scd) where before is not null and abs(value - before) > 50", p.SCD)
 def drift_alerts(spark, d):
     from pyspark.sql import Window as W
 
-    x = p.scd(spark, d).where("user_id % 10 = 0").withColumn("before", F.lag("value").over(W.partitionBy("user_id", "event_type").orderBy("valid_from", "event_id")))
+    x = p.scd(spark, d).withColumn("before", F.lag("value").over(W.partitionBy("user_id", "event_type").orderBy("valid_from", "event_id")))
     return x.where("before is not null and abs(value - before) > 50").select("event_id")
 
 
-@query("C25_polyglot_rules", "select p_type as title, min(p_partkey) as id from part where p_partkey % 3 in (0, 1) group by 1")
+@query("C25_polyglot_rules", "select p_type as title, min(p_partkey) as id from part group by 1")
 def polyglot(spark, d):
     part = p.table(spark, d, "part").select(F.col("p_type").alias("title"), F.col("p_partkey").alias("id"))
-    both = part.where("id % 3 = 0").unionByName(part.where("id % 3 = 1"))
+    both = part.where("id % 3 = 0").unionByName(part.where("id % 3 <> 0"))
     return w.first_per_group(both, ["title"], ["id"])
 
 
@@ -316,9 +320,9 @@ def r2(spark, d):
     return r.complexity_check(changed(spark, d), 10).select("id", "complexity")
 
 
-@query("R3_pattern_check", "select l_orderkey as violation, l_linenumber as line, case l_returnflag when 'R' then 'error' else 'warning' end as severity from lineitem where l_orderkey % 50 = 0 and l_linenumber between 2 and 4")
+@query("R3_pattern_check", "select l_orderkey as violation, l_linenumber as line, case l_returnflag when 'R' then 'error' else 'warning' end as severity from lineitem where l_linenumber between 2 and 4")
 def r3(spark, d):
-    li = p.table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("violation"), F.col("l_linenumber").alias("line"), "l_returnflag")
+    li = p.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("violation"), F.col("l_linenumber").alias("line"), "l_returnflag")
     return r.in_changed_lines(li, [(2, 4)]).select("violation", "line", F.when(F.col("l_returnflag") == "R", "error").otherwise("warning").alias("severity"))
 
 
@@ -369,12 +373,12 @@ def r10(spark, d):
     return x.groupBy("file").agg(F.bool_and(ok).alias("approve"))
 
 
-@query("P4_secret_scrub", "select doc_id, regexp_matches(text, '(?i)(password|secret|token|api_key|apikey|auth_token|access_token|private_key)\\s*[=:]\\s*[\"'']?[^\\s\"'',;}{]+') as had_secret from documents")
+@query("P4_secret_scrub", "select doc_id, regexp_matches(text, '(?i)(password|secret|token|api_key|apikey|auth_token|access_token|private_key)\\s*[=:]\\s*[\"'']?[^\\s\"'',;}{]{3,}') as had_secret from documents")
 def scrubbed(spark, d):
     t = F.col("text")
-    return p.table(spark, d, "documents").select("doc_id", F.contains(s.scrub(t), F.lit("[secret]")).alias("had_secret"))
+    return p.table(spark, d, "documents").select("doc_id", F.contains(s.scrub(t), F.lit("[REDACTED:password]")).alias("had_secret"))
 
 
-@query("P4_entropy", "select p_brand, round(entropy, 6) as entropy from (select p_brand, (select -sum(n / 8.0 * log2(n / 8.0)) from (select count(*) as n from (select unnest(string_split(p_brand, '')) as c) group by c)) as entropy from (select distinct p_brand from part where length(p_brand) = 8))")
+@query("P4_entropy", "select p_brand, round(entropy, 6) as entropy from (select p_brand, (select -sum(n / length(p_brand) * log2(n / length(p_brand))) from (select count(*)::double as n from (select unnest(string_split(p_brand, '')) as c) group by c)) as entropy from (select distinct p_brand from part))")
 def brand_entropy(spark, d):
-    return p.table(spark, d, "part").where("length(p_brand) = 8").select("p_brand").distinct().select("p_brand", F.round(s.entropy(F.col("p_brand")), 6).alias("entropy"))
+    return p.table(spark, d, "part").select("p_brand").distinct().select("p_brand", F.round(s.entropy(F.col("p_brand")), 6).alias("entropy"))

@@ -35,9 +35,9 @@ def callees(spark, d):
     return g.callees(p.edges(spark, d), p.entities(spark, d), _seeds(spark, d), 2).select("seed", "id", "depth", "name", "kind")
 
 
-@query("G3_impact_analysis", "select seed, r.id, depth, file_path from reached r join entities e on e.id = r.id", *G, CALLS, reach(True, 4, 500))
+@query("G3_impact_analysis", "select seed, r.id, depth, file_path from reached r join entities e on e.id = r.id", *G, CALLS, reach(True, 4, 100))
 def impact(spark, d):
-    return g.impact(p.edges(spark, d), p.entities(spark, d), _seeds(spark, d, 500), 4).select("seed", "id", "depth", "file_path")
+    return g.impact(p.edges(spark, d), p.entities(spark, d), _seeds(spark, d, 100), 4).select("seed", "id", "depth", "file_path")
 
 
 ANY = """anyway as (select distinct src, dst from edges union select dst, src from edges)"""
@@ -68,12 +68,12 @@ def pagerank(spark, d):
 
 
 BFS = """dep as (select distinct src, dst from edges where kind in ('calls', 'references', 'imports')),
-bfs(id, depth) as (select id, 0 from entities where id % 200 = 0 union select e.dst, b.depth + 1 from bfs b join dep e on e.src = b.id where b.depth < 3)"""
+bfs(id, depth) as (select id, 0 from entities where id % 100 = 0 union select e.dst, b.depth + 1 from bfs b join dep e on e.src = b.id where b.depth < 3)"""
 
 
 @query("G8_entry_depth", "select e.id, coalesce(min(b.depth), 99) as depth from entities e left join bfs b on b.id = e.id group by e.id", *G, BFS)
 def entry_depth(spark, d):
-    return g.depth_from(p.edges(spark, d), p.entities(spark, d), _seeds(spark, d, 200), 3)
+    return g.depth_from(p.edges(spark, d), p.entities(spark, d), _seeds(spark, d, 100), 3)
 
 
 @query("G9_label_propagation")

@@ -47,15 +47,15 @@ def imported(spark, d):
     return x.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda v: v.cast("string")), ",").alias("members"), F.count("*").alias("n"))
 
 
-HUNKS = "hunks as (select 'src/' || p_brand as file_path, l_orderkey as hunk, (l_orderkey % 90)::int as start, (l_orderkey % 90 + l_linenumber)::int as \"end\" from lineitem join part on p_partkey = l_partkey where l_orderkey % 40 = 0)"
+HUNKS = "hunks as (select 'src/' || p_brand || '/' || p_type as file_path, l_orderkey as hunk, (l_orderkey % 90)::int as start, (l_orderkey % 90 + l_linenumber)::int as \"end\" from lineitem join part on p_partkey = l_partkey)"
 
 
-@query("J8_hunks_overlap", """select hunk, h.file_path, start, "end", e.id from hunks h join (select 'src/' || p_brand as file_path, p_partkey as id, p_partkey % 97 + 1 as s, p_partkey % 97 + 1 + p_size as t from part) e
+@query("J8_hunks_overlap", """select hunk, h.file_path, start, "end", e.id from hunks h join (select 'src/' || p_brand || '/' || p_type as file_path, p_partkey as id, p_partkey % 97 + 1 as s, p_partkey % 97 + 1 + p_size as t from part) e
   on e.file_path = h.file_path and h.start <= e.t and h."end" >= e.s""", HUNKS)
 def hunks(spark, d):
     part = p.table(spark, d, "part")
-    f = F.concat(F.lit("src/"), F.col("p_brand"))
-    h = p.table(spark, d, "lineitem").where("l_orderkey % 40 = 0").join(part, F.col("p_partkey") == F.col("l_partkey")).select(f.alias("file_path"), F.col("l_orderkey").alias("hunk"), (F.col("l_orderkey") % 90).cast("int").alias("start"), (F.col("l_orderkey") % 90 + F.col("l_linenumber")).cast("int").alias("end"))
+    f = F.concat_ws("/", F.lit("src"), "p_brand", "p_type")
+    h = p.table(spark, d, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select(f.alias("file_path"), F.col("l_orderkey").alias("hunk"), (F.col("l_orderkey") % 90).cast("int").alias("start"), (F.col("l_orderkey") % 90 + F.col("l_linenumber")).cast("int").alias("end"))
     e = part.select(f.alias("file_path"), F.col("p_partkey").alias("id"), (F.col("p_partkey") % 97 + 1).alias("start_line"), (F.col("p_partkey") % 97 + 1 + F.col("p_size")).alias("end_line"))
     return j.overlaps(h, e).select("hunk", "file_path", "start", "end", "id")
 
@@ -202,7 +202,7 @@ def pairs(spark, d):
   join (select p_type as file, p_partkey as id, row_number() over (partition by p_type order by p_partkey) as pos from part) eb on eb.file = b.file
   qualify row_number() over (partition by a.file, b.file order by ea.pos, eb.pos) <= 5""", p.commits_sql("p_type"))
 def entity_cochange(spark, d):
-    pairs_ = j.co_occurrence(p.commits(spark, d, "p_type"), "sha", "file").where("support >= 3").select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    pairs_ = j.co_occurrence(p.commits(spark, d, "p_type"), "sha", "file", 3).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
     # Five pairs in order of both places lie within the first five entities of either file.
     first = w.first_per_group(p.table(spark, d, "part").select(F.col("p_type").alias("file"), F.col("p_partkey").alias("id")), ["file"], ["id"], 5)
     a, b = first.select(F.col("file").alias("fa"), F.col("id").alias("src")), first.select(F.col("file").alias("fb"), F.col("id").alias("dst"))

@@ -37,11 +37,11 @@ def commit_log(spark, d):
     return code.parse_commit_log(o.select(F.concat(head, F.lit("\n\n"), "files", F.lit("\n")).alias("value"))).select("sha", "author", "ts", "subject", "file")
 
 
-@query("S11_diff_hunks", "select 'src/' || o_orderkey || '.ts' as file, (o_custkey % 50 + 1)::int as start, (o_custkey % 7 + 1)::int as count from orders where o_orderkey % 10 = 0")
+@query("S11_diff_hunks", "select 'src/' || o_orderkey || '.ts' as file, (o_custkey % 50 + 1)::int as start, (o_custkey % 7 + 1)::int as count from orders")
 def hunks(spark, d):
     k = F.col("o_orderkey").cast("string")
     text = F.concat(F.lit("diff --git a/x b/x\n+++ b/src/"), k, F.lit(".ts\n@@ -1,2 +"), (F.col("o_custkey") % 50 + 1).cast("string"), F.lit(","), (F.col("o_custkey") % 7 + 1).cast("string"), F.lit(" @@ fn\n+x\n"))
-    return code.diff_hunks(p.table(spark, d, "orders").where("o_orderkey % 10 = 0").select(k.alias("id"), text.alias("diff"))).select("file", "start", "count")
+    return code.diff_hunks(p.table(spark, d, "orders").select(k.alias("id"), text.alias("diff"))).select("file", "start", "count")
 
 
 @query("S12_all_entities", "select id, kind, name, file_path from entities where org_id = 'org' and repo_id = 'repo'", p.ENTITIES)
@@ -261,10 +261,10 @@ def multi_key(spark, d):
     return p.table(spark, d, "orders").orderBy(F.desc(rank), F.desc("o_totalprice"), "o_orderkey").limit(40).select(F.col("o_orderkey").alias("id"))
 
 
-@query("T4_severity_order", "select o_orderkey as id from orders where o_orderkey % 9 = 0 order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 0 when '3-MEDIUM' then 1 else 2 end, o_orderkey limit 3")
+@query("T4_severity_order", "select o_orderkey as id from orders order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 0 when '3-MEDIUM' then 1 else 2 end, o_orderkey limit 3")
 def severity_order(spark, d):
     sev = s.severity(F.col("o_orderpriority"))
-    return p.table(spark, d, "orders").where("o_orderkey % 9 = 0").orderBy(F.when(sev == "high", 0).when(sev == "medium", 1).otherwise(2), "o_orderkey").limit(3).select(F.col("o_orderkey").alias("id"))
+    return p.table(spark, d, "orders").orderBy(F.when(sev == "high", 0).when(sev == "medium", 1).otherwise(2), "o_orderkey").limit(3).select(F.col("o_orderkey").alias("id"))
 
 
 @query("T5_page", "select p_partkey as id, p_name, (select count(*) from part) as total from part order by p_name, p_partkey limit 20 offset 40")

@@ -44,7 +44,7 @@ def ttl(spark, d):
 
 @query("ST8_first_seen", "select distinct user_id, event_type from events")
 def seen(spark, d):
-    return p.table(spark, d, "events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
+    return st.first_seen(p.table(spark, d, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
 
 
 @query("ST9_change_feed", "select event_id from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as b from events) where b is null or b is distinct from event_type")
@@ -116,11 +116,11 @@ def replace_edges(spark, d):
     return m.replace_edges(e, mine, mine.select("src", (F.col("src") + 1).alias("dst"), F.lit("calls").alias("kind")))
 
 
-@query("K9_ledger_transitions", "select event_id, event_type in ('view', 'signup') as allowed from events where user_id < 20")
+@query("K9_ledger_transitions", "select event_id, event_type in ('view', 'signup') as allowed from events")
 def transitions(spark, d):
     s = F.col("event_type")
     old = F.when(s == "view", "pending").when(s == "signup", "working").otherwise("committed")
-    return p.table(spark, d, "events").where("user_id < 20").select("event_id", m.may_become(old, F.when(s == "view", "working").otherwise("committed")).alias("allowed"))
+    return p.table(spark, d, "events").select("event_id", m.may_become(old, F.when(s == "view", "working").otherwise("committed")).alias("allowed"))
 
 
 @query("K10_vector_upsert", "select vec_id % 50 as key, max(vec_id) as last from embeddings group by 1")
@@ -132,7 +132,7 @@ def vector_upsert(spark, d):
 @query("K11_orphan_vectors", "select id from vectors where id not in (select doc_id from documents where doc_id % 2 = 0)", p.VECTORS)
 def orphans(spark, d):
     docs = p.table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
-    return p.vectors(spark, d).select("id").join(docs, "id", "left_anti")
+    return m.delete(p.vectors(spark, d), docs, ["id"]).select("id")
 
 
 @query("K16_compaction", "select doc_id as id, array_to_string(string_split(text, chr(10))[1:5], chr(10)) || case when len(string_split(text, chr(10))) > 5 then chr(10) || '… ' || (len(string_split(text, chr(10))) - 5) || ' more lines' else '' end as body from documents")
@@ -142,7 +142,7 @@ def compaction(spark, d):
 
 @query("K17_purge_expired", "select event_id from events where ts >= timestamp '2024-01-15' and event_type not like 'sign%'")
 def purge(spark, d):
-    return p.table(spark, d, "events").where(~F.startswith("event_type", F.lit("sign")) & (F.col("ts") >= F.lit("2024-01-15").cast("timestamp"))).select("event_id")
+    return m.purge(p.table(spark, d, "events"), "ts", F.lit("2024-01-15").cast("timestamp"), "event_type", "sign").select("event_id")
 
 
 @query("K18_evict", "select o_orderkey as id from orders qualify o_orderdate >= timestamp '1998-01-01' or row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) = 1")

@@ -15,10 +15,10 @@ from ..tools import TOOLS, Repo
 from .base import query
 
 
-@query("S1_scan_files", "select 'region.parquet' as name")
+@query("S1_scan_files", "select unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' as name")
 def scan(spark, d):
     """The folder's own files as a workspace: their bytes are read only for the columns asked for."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "region.parquet").load(d)
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
     return f.where(~code.ignored(F.col("path"))).select(F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
@@ -47,7 +47,7 @@ def parse_imports(spark, d):
     return code.parse_imports(sources(spark, d)).select("file_path", "imported")
 
 
-@query("S10_changed_files", "select distinct 'src/' || o_orderkey || '.ts' as file from orders where o_orderkey % 10 = 0")
+@query("S10_changed_files", "select distinct 'src/' || o_orderkey || '.ts' as file from orders")
 def changed(spark, d):
     from .reads import hunks
 
@@ -79,7 +79,8 @@ def jsonl(spark, d):
 
 @query("K12_delete_repo", "select id, label from vectors where label <> 3", p.VECTORS)
 def delete_repo(spark, d):
-    return p.vectors(spark, d).where("label <> 3").select("id", "label")
+    v = p.vectors(spark, d)
+    return m.delete(v, v.where("label = 3").select("label"), ["label"]).select("id", "label")
 
 
 @query("K13_single_upsert", "select user_id as id, max(event_id) as last from events group by 1")
@@ -120,13 +121,9 @@ def env(spark, d):
     return r8(spark, d)
 
 
-@query("J27_tag_similarity", "select a.t as a, b.t as b from (select distinct lower(p_type) as t from part) a join (select distinct lower(p_type) as t from part) b on a.t < b.t and 1 - levenshtein(a.t, b.t)::double / greatest(length(a.t), length(b.t)) >= 0.75 and (left(a.t, 1) = left(b.t, 1) or right(a.t, 1) = right(b.t, 1))")
+@query("J27_tag_similarity", "select a.t as a, b.t as b from (select distinct lower(p_type) as t from part) a join (select distinct lower(p_type) as t from part) b on a.t < b.t and 1 - levenshtein(a.t, b.t)::double / greatest(length(a.t), length(b.t)) >= 0.75")
 def similar_tags(spark, d):
-    t = p.table(spark, d, "part").select(F.lower("p_type").alias("t")).distinct()
-    keys = F.explode(F.array(F.concat(F.lit("<"), F.substring("t", 1, 1)), F.concat(F.lit(">"), F.substring(F.col("t"), -1, 1))))
-    x = t.withColumn("k", keys)
-    j = x.select(F.col("t").alias("a"), "k").join(x.select(F.col("t").alias("b"), "k"), "k").where((F.col("a") < F.col("b")) & (s.levenshtein_similarity(F.col("a"), F.col("b")) >= 0.75))
-    return j.select("a", "b").distinct()
+    return c.similar_pairs(p.table(spark, d, "part").select(F.lower("p_type").alias("t")), "t", 0.75)
 
 
 @query("R5_dependency_check", "select distinct p_type as dep from part where p_partkey % 3 = 0 and p_type not in (select p_type from part where p_partkey % 50 = 1)")
@@ -160,15 +157,14 @@ def prefetch(spark, d):
 
 @query("ST10_incremental", "select o_orderkey as id, case when o_custkey % 10 = 0 then o_totalprice + 1 else o_totalprice end as price from orders where o_custkey % 10 <> 0 or o_orderkey % 2 = 0")
 def incremental(spark, d):
-    o = p.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("file"))
-    batch = o.where("file % 10 = 0 and id % 2 = 0").withColumn("price", F.col("price") + 1)
-    files = o.where("file % 10 = 0").select("file").distinct()
-    return o.join(files, "file", "left_anti").unionByName(batch).select("id", "price")
+    o = p.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("file_path"))
+    batch = o.where("file_path % 10 = 0 and id % 2 = 0").withColumn("price", F.col("price") + 1)
+    return st.changed_files(o, batch, o.where("file_path % 10 = 0").select("file_path")).select("id", "price")
 
 
-@query("V13_rerank", "select p_partkey as id from part where p_partkey <= 50 order by p_size desc, p_partkey limit 10")
+@query("V13_rerank", "select p_partkey as id from part order by p_size desc, p_partkey limit 10")
 def rerank(spark, d):
-    return providers.rerank(p.table(spark, d, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("score")), None, 10).select("id")
+    return providers.rerank(p.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("score")), None, 10).select("id")
 
 
 @query("X5_tool_get_callers", "select distinct e.src as id from edges e where e.kind in ('calls', 'references') and e.dst = (select id from entities where contains(lower(name), lower('#100')) or contains(lower(signature), lower('#100')) order by 4.0 / length(name) desc, id limit 1)", p.ENTITIES, p.EDGES)
@@ -236,6 +232,31 @@ def complexity(spark, d):
     return p.table(spark, d, "part").select(F.col("p_partkey").alias("id"), s.cyclomatic(body).alias("complexity"))
 
 
+@query("FN_cognitive", "select p_partkey as id, (p_size % 4 * (p_size % 4 + 1) / 2)::int + 2 as complexity from part")
+def cognitive(spark, d):
+    """Ifs nested as deep as asked for cost 1, 2, 3; then an else and an operator."""
+    n = (F.col("p_size") % 4).cast("int")
+    body = F.concat(F.repeat(F.lit("if (a) {\n"), n), F.repeat(F.lit("}\n"), n), F.lit("else {\n} // if (x && y)\nx = a && 'if (b)'\n"))
+    return p.table(spark, d, "part").select(F.col("p_partkey").alias("id"), s.cognitive(body).alias("complexity"))
+
+
+@query("R11_review_comments", """select l_orderkey as review, count(*) filter (l_returnflag = 'R') as errors, count(*) filter (l_returnflag <> 'R') as warnings from lineitem group by 1""")
+def review_comments(spark, d):
+    from ..operators import review
+
+    f = p.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("review"), F.lit("pattern").alias("check"), F.when(F.col("l_returnflag") == "R", "error").otherwise("warning").alias("severity"), F.col("l_partkey").cast("string").alias("file_path"), F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("message"))
+    return review.review_comments(f, ["review"]).select("review", "errors", "warnings")
+
+
+@query("FN_payload_lists", "select o_custkey as id, least(count(*), case when sum(length(o_orderkey::varchar) + 1) > 60 then 20 else count(*) end) as callers from orders group by 1")
+def payload_lists(spark, d):
+    from ..operators import review
+
+    o = p.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("callers"), F.sum(F.length(F.col("o_orderkey").cast("string")) + 1).alias("n"))
+    small, large = o.where("n <= 60").drop("n"), o.where("n > 60").drop("n")
+    return review.cap_payload(small, 10_000).unionByName(review.cap_payload(large, 60)).select("id", F.size("callers").cast("long").alias("callers"))
+
+
 @query("FN_payload_cap", "select doc_id, left(text, 200) as body, length(text) > 200 as truncated from documents")
 def payload(spark, d):
     return p.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("body"), (F.length("text") > 200).alias("truncated"))

@@ -113,8 +113,6 @@ def parse_entities(files: DataFrame, repo: str = "repo") -> DataFrame:
     lines = files.withColumn("language", language(F.col("path"))).where(F.col("language") != "unknown").select("path", "language", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     hit = None
     for lang, decls in DECLARATIONS.items():
-        for kind, rx in reversed(decls):
-            pass
         chain = None
         for kind, rx in decls:
             test = F.col("line").rlike(rx)

@@ -83,9 +83,10 @@ def alive(rows: DataFrame, at: str, as_of: Column, ttl: str) -> DataFrame:
     return rows.where(F.col(at) >= as_of - F.expr(f"interval {ttl}"))
 
 
-def first_seen(events: DataFrame, key: str) -> DataFrame:
-    """(stream) Each key once within the watermark."""
-    return events.dropDuplicatesWithinWatermark([key])
+def first_seen(events: DataFrame, keys: str | list[str]) -> DataFrame:
+    """Each key once; of a stream, once within the watermark."""
+    keys = [keys] if isinstance(keys, str) else keys
+    return events.dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def changes(rows: DataFrame, keys: list[str], order: list[str], compared: list[str]) -> DataFrame:
@@ -106,10 +107,17 @@ def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkp
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def incremental_index(store: str, full_above: int = 200) -> Callable[[DataFrame, int], None]:
-    """A batch handler that keeps a versioned entity store: rows of changed files replace those files' rows; with more
-    than ``full_above`` changed files the batch is a full index and replaces everything.  Batches are idempotent: a
-    batch that was written is not written again."""
+def changed_files(prior: DataFrame, batch: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``prior`` with the rows of changed files (``files``: file_path; else the batch's own) replaced by ``batch``.  A file
+    that changed and has no row in the batch loses all of its rows."""
+    files = (batch if files is None else files).select("file_path").distinct()
+    return prior.join(files, "file_path", "left_anti").unionByName(batch)
+
+
+def incremental_index(store: str, full_scan: Callable[[SparkSession], DataFrame] | None = None, full_above: int = 200) -> Callable[[DataFrame, int], None]:
+    """A batch handler that keeps a versioned entity store: rows of changed files replace those files' rows.  With more
+    than ``full_above`` changed files ``full_scan``, where given, indexes everything anew; rows of files that did not
+    change are never dropped otherwise.  Batches are idempotent: a batch that was written is not written again."""
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -122,10 +130,10 @@ def incremental_index(store: str, full_above: int = 200) -> Callable[[DataFrame,
         out = batch
         old = max((d for d in done if d < number), default=None)
         if old is not None:
-            files = batch.select("file_path").distinct()
-            if files.limit(full_above + 1).count() <= full_above:
-                prior = spark.read.schema(batch.schema).parquet(f"{store}/v={old}")
-                out = prior.join(files, "file_path", "left_anti").unionByName(batch)
+            if full_scan is not None and batch.select("file_path").distinct().limit(full_above + 1).count() > full_above:
+                out = full_scan(spark)
+            else:
+                out = changed_files(spark.read.schema(batch.schema).parquet(f"{store}/v={old}"), batch)
         out.write.mode("overwrite").parquet(f"{store}/v={number}")
 
     return each

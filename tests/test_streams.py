@@ -86,6 +86,13 @@ def test_incremental_index(spark, tmp_path):
     run()
     last = max(int(x[2:]) for x in os.listdir(f"{tmp_path}/store") if x.startswith("v="))
     assert sorted(tuple(r) for r in spark.read.schema(schema).parquet(f"{tmp_path}/store/v={last}").collect()) == [("a", 1, "new"), ("b", 3, "z")]
+    many = spark.createDataFrame([(f"new{i}", i, "n") for i in range(5)] + [("a", 1, "newer")], schema)
+    st.incremental_index(f"{tmp_path}/big", full_above=3)(spark.createDataFrame([("a", 1, "x"), ("b", 3, "z")], schema), 0)
+    st.incremental_index(f"{tmp_path}/big", full_above=3)(many, 1)  # many changed files and no full scan: nothing else is lost
+    assert {tuple(r) for r in spark.read.schema(schema).parquet(f"{tmp_path}/big/v=1").collect()} == {tuple(r) for r in many.collect()} | {("b", 3, "z")}
+    whole = lambda spark: spark.createDataFrame([("w", 7, "w")], schema)
+    st.incremental_index(f"{tmp_path}/big", whole, full_above=3)(many, 2)
+    assert [tuple(r) for r in spark.read.schema(schema).parquet(f"{tmp_path}/big/v=2").collect()] == [("w", 7, "w")]
     again = st.incremental_index(f"{tmp_path}/store")
     again(spark.createDataFrame([("q", 9, "q")], schema), last)  # a batch written before is not written again
     assert spark.read.parquet(f"{tmp_path}/store/v={last}").count() == 2
