@@ -407,7 +407,7 @@ def similar_links(nodes: DataFrame, radius: int = WIDE, bucket: int = BUCKET) ->
     return deal(rows.join(big.select("key"), "key", "left_anti")).unionAll(exact).where("a <> b").distinct()
 
 
-GROUP = 1024  # texts of one candidate group compared within one task
+GROUP, SHINGLES = 1024, 2_000_000  # texts of one candidate group compared within one task, and their shingles
 
 
 def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -441,9 +441,10 @@ def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
 
 
 def _exact(groups: DataFrame, similarity: float, group: int) -> DataFrame:
-    """Links (a, b) among the members (root, node, s) of each candidate group; a group above ``group`` texts is cut into
-    tiles, and each pair of its tiles is a task."""
-    big = materialise(groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group).select("root", F.ceil(F.col("n") * 2 / group).cast("int").alias("m")), "large")
+    """Links (a, b) among the members (root, node, s) of each candidate group; a group above ``group`` texts or
+    ``SHINGLES`` shingles is cut into tiles, and each pair of its tiles is a task."""
+    share = F.greatest(F.count("*") / group, F.sum(F.size("s")) / SHINGLES)
+    big = materialise(groups.groupBy("root").agg(share.alias("share")).where("share > 1").select("root", F.ceil(F.col("share") * 2).cast("int").alias("m")), "large")
 
     def linked(t: pa.Table) -> pa.RecordBatch:
         node = t.column("node").to_numpy()
