@@ -7,7 +7,7 @@ keyed Feistel network (8) or a markup parser (9): the tests hold them against br
 from __future__ import annotations
 
 from .queries import URL_RULES
-from .urls import MAX_BAD, MAX_STRENGTH, MIN_STRENGTH, TWO_LABEL_SUFFIXES, Z
+from .urls import ADDRESS, MAX_BAD, MAX_STRENGTH, MIN_STRENGTH, TWO_LABELS, Z
 
 SUBSTRINGS = r"""with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 windows as (select doc_id, k, array_to_string(w[k:k + 19], ' ') as words from texts, unnest(range(1, len(w) - 18)) as t(k)),
@@ -17,9 +17,9 @@ places as (select doc_id, p, w[p] as word from texts, unnest(range(1, len(w) + 1
 kept as (select a.doc_id, string_agg(word, ' ' order by a.p) as s from places a left join gone g on g.doc_id = a.doc_id and g.p = a.p where g.p is null group by a.doc_id)
 select t.doc_id, len(w)::bigint as n_words, (select count(*) from gone g where g.doc_id = t.doc_id) as n_removed, sha256(coalesce(s, '')) as kept_sha256 from texts t left join kept k on k.doc_id = t.doc_id"""
 
-_SUFFIX = "list_extract(string_split(host, '.'), -1)"
-_TWO = "array_to_string(string_split(host, '.')[-2:], '.')"
-_LISTED = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+_NAME = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')"
+_LAST = lambda n: f"array_to_string(string_split({_NAME}, '.')[-{n}:], '.')"
+_PART = lambda two, one: f"case when regexp_matches({_NAME}, '{ADDRESS}') then {_NAME} when regexp_matches({_LAST(2)}, '{TWO_LABELS}') then {_LAST(two)} else {_LAST(one)} end"
 
 
 def _strength(level: str) -> str:
@@ -39,7 +39,7 @@ def _rules() -> str:
 URLS = f"""with parsed as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 outcomes as (select doc_id, bool_or(quality = 0 or toxic = 1) as bad from labels group by doc_id),
-hosts as (select host, case when {_TWO} in ({_LISTED}) then {_TWO} else {_SUFFIX} end as suffix, case when {_TWO} in ({_LISTED}) then array_to_string(string_split(host, '.')[-3:], '.') else {_TWO} end as domain,
+hosts as (select host, {_PART(2, 1)} as suffix, {_PART(3, 2)} as domain,
   count(bad)::double as n, (count(*) filter (bad))::double as k from parsed left join outcomes on doc_id = page_id group by host),
 l1 as (select suffix, sum(n) as n, sum(k) as k, (select (sum(k) + 0.5) / (sum(n) + 1) from hosts) as prior from hosts group by suffix),
 m1 as (select suffix, (k + s * prior) / (n + s) as prior from l1, (select {_strength('l1')} as s)),

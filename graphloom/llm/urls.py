@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialise
 
-# Registry suffixes of two labels, under which a registered domain has three.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
+# Labels under which countries register names; with a country's two letters they are a suffix.
+SECOND_LEVEL = "ac asn co com edu go gob gouv gov gv id info ltd me mil ne net nhs nom or org plc police press pro res sch tm web".split()
+TWO_LABELS = rf"^({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"
 MAX_BAD, Z = 0.5, 1.645
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
 
@@ -32,14 +34,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """The host without user and port: what is registered."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    """The registry's part of a host: a country's two labels, else the last label; of an address, all of it."""
+    name, two = name_of(host), F.substring_index(name_of(host), ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.rlike(TWO_LABELS), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    """The suffix and the label before it."""
+    name, two = name_of(host), F.substring_index(name_of(host), ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.rlike(TWO_LABELS), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:

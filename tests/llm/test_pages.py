@@ -240,6 +240,13 @@ def test_reputation(spark):
     assert urls.reputation(df.limit(0)).collect() == []
 
 
+def test_registered_parts(spark):
+    hosts = {"a.b.example.com": ("example.com", "com"), "shop.example.co.uk": ("example.co.uk", "co.uk"), "x.org.au": ("x.org.au", "org.au"), "co.uk": ("co.uk", "co.uk"), "user:pw@h.example.net:8080": ("example.net", "net"),
+             "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[2001:db8::1]:443": ("[2001:db8::1]", "[2001:db8::1]"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.com.example": ("com.example", "example")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: (r.d, r.s) for r in df.select("host", urls.domain_of(F.col("host")).alias("d"), urls.suffix_of(F.col("host")).alias("s")).collect()} == hosts
+
+
 def test_reputation_by_hand(spark):
     """The same shrinkage in plain arithmetic, level by level."""
     rows = [(f"{'abcd'[i % 4]}.{'xy'[i % 2]}.{'com' if i % 3 else 'org'}", i % 5 == 0 or i % 4 == 1 and i % 3 == 0) for i in range(240)]
