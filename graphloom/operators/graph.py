@@ -57,9 +57,9 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int, inbound: bool = True
         step = step.withColumn("depth", F.lit(depth))
         if hops > 2:
             step = materialise(step, "hop")
-            if not step.head(1):
-                break
         seen = step if seen is None else seen.unionAll(step)
+        if hops > 2 and not step.head(1):
+            break
         front = step.select("seed", "id")
     return seen
 

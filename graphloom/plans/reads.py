@@ -237,7 +237,12 @@ def running(spark, d):
     return w.carry_forward(e, ["user_id"], ["ts", "event_id"], "v", "current").select("event_id", "current")
 
 
-@query("W9_token_batches")
+@query("W9_token_batches", "select source, doc_id, tokens, batch from walk",
+  "numbered as (select source, doc_id, ceil(length(text) / 3.5)::bigint as tokens, row_number() over (partition by source order by doc_id) as k from documents)",
+  """walk(source, doc_id, tokens, k, batch, used, n) as (select source, doc_id, tokens, k, 0, tokens, 1 from numbered where k = 1
+  union all select x.source, x.doc_id, x.tokens, x.k, case when w.used + x.tokens > 4000 or w.n >= 8 then w.batch + 1 else w.batch end,
+  case when w.used + x.tokens > 4000 or w.n >= 8 then x.tokens else w.used + x.tokens end, case when w.used + x.tokens > 4000 or w.n >= 8 then 1 else w.n + 1 end
+  from walk w join numbered x on x.source = w.source and x.k = w.k + 1)""")
 def batches(spark, d):
     docs = p.table(spark, d, "documents").select("source", "doc_id", s.estimate_tokens(F.col("text")).alias("tokens"))
     return w.token_batches(docs, ["source"], "doc_id", "tokens", 4000)

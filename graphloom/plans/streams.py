@@ -19,7 +19,15 @@ def debounce(spark, d):
     return st.debounce(p.table(spark, d, "events"), ["user_id"], "ts", ["event_id"], "3600 seconds", "event_id")
 
 
-@query("ST4_fixed_window_limit")
+def limiter(condition: str, seconds: int) -> tuple[str, str]:
+    """The fixed-window limiter as a walk over each user's events in order."""
+    numbered = f"numbered as (select user_id, event_id, epoch(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events where {condition})"
+    return numbered, f"""walk(user_id, event_id, t, k, opened, number) as (select user_id, event_id, t, k, t, 1 from numbered where k = 1
+  union all select n.user_id, n.event_id, n.t, n.k, case when n.t - w.opened >= {seconds} then n.t else w.opened end, case when n.t - w.opened >= {seconds} then 1 else w.number + 1 end
+  from walk w join numbered n on n.user_id = w.user_id and n.k = w.k + 1)"""
+
+
+@query("ST4_fixed_window_limit", "select user_id, event_id, number, number <= 2 as allowed from walk", *limiter("true", 36_000))
 def fixed(spark, d):
     return st.fixed_window_table(p.table(spark, d, "events"), ["user_id"], "ts", "event_id", 2, 36_000)
 
@@ -30,7 +38,7 @@ def sliding(spark, d):
     return x.select("event_id", "requests", F.round("used", 6).alias("used"))
 
 
-@query("ST6_circuit_breaker")
+@query("ST6_circuit_breaker", "select user_id, event_id, number, floor(t + 300)::bigint as open_until from walk where number > 1", *limiter("event_type = 'error'", 86_400))
 def breaker(spark, d):
     return st.breaker(p.table(spark, d, "events").where("event_type = 'error'"), ["user_id"], "ts", "event_id", 1, 86_400, 300)
 

@@ -172,6 +172,56 @@ def tool(spark, d):
     return TOOLS["get_callers"](Repo(entities=p.entities(spark, d), edges=p.edges(spark, d)), name="#100").select("id").distinct()
 
 
+NAMED = "named as (select id from entities where contains(lower(name), lower('#100')) or contains(lower(signature), lower('#100')) order by 4.0 / length(name) desc, id limit 1)"
+
+
+def repo(spark, d):
+    return Repo(entities=p.entities(spark, d), edges=p.edges(spark, d), justifications=p.justifications(spark, d), vectors=p.vectors(spark, d))
+
+
+@query("X5_tool_get_callees", "select distinct e.dst as id from edges e join named on e.src = named.id where e.kind in ('calls', 'references')", p.ENTITIES, p.EDGES, NAMED)
+def tool_callees(spark, d):
+    return TOOLS["get_callees"](repo(spark, d), name="#100").select("id").distinct()
+
+
+@query("X5_tool_search_code", "select id from entities where contains(lower(name), 'part#1') or contains(lower(signature), 'part#1') order by 6.0 / length(name) desc, id limit 20", p.ENTITIES)
+def tool_search(spark, d):
+    return TOOLS["search_code"](repo(spark, d), query="Part#1").select("id")
+
+
+@query("X5_tool_get_file", "select id, name from entities where file_path = (select min(file_path) from entities)", p.ENTITIES)
+def tool_file(spark, d):
+    path = p.entities(spark, d).agg(F.min("file_path")).first()[0]  # one value
+    return TOOLS["get_file"](repo(spark, d), path=path).select("id", "name")
+
+
+@query("X5_tool_project_stats", "select count(*) filter (kind in ('function', 'method')) as functions, count(*) filter (kind = 'class') as classes, count(distinct file_path) as files from entities", p.ENTITIES)
+def tool_stats(spark, d):
+    return TOOLS["get_project_stats"](repo(spark, d)).select("functions", "classes", "files")
+
+
+@query("X5_tool_find_similar", "select id from vectors where id <> 7 order by list_cosine_similarity(v, (select v from vectors where id = 7)) desc, id limit 10", p.VECTORS)
+def tool_similar(spark, d):
+    return TOOLS["find_similar"](repo(spark, d), id=7).select("id")
+
+
+@query("X5_tool_business_context", "select entity_id, feature_tag, taxonomy from justifications join named on entity_id = named.id", p.ENTITIES, p.JUSTIFICATIONS, NAMED)
+def tool_context(spark, d):
+    return TOOLS["get_business_context"](repo(spark, d), name="#100").select("entity_id", "feature_tag", "taxonomy")
+
+
+@query("X5_tool_sync_local_diff", "select id, start_line + case when start_line > 10 then 4 else 0 end as start_line from entities where file_path = (select min(file_path) from entities)", p.ENTITIES)
+def tool_diff(spark, d):
+    path = p.entities(spark, d).agg(F.min("file_path")).first()[0]  # one value
+    return TOOLS["sync_local_diff"](repo(spark, d), path=path, hunks=[(10, 4)]).select("id", "start_line")
+
+
+@query("X5_tool_analyze_impact", "select coalesce(taxonomy, 'unknown') as taxonomy, count(*) as entities from (select distinct id from hit where depth > 0) h left join justifications on entity_id = h.id group by 1", p.ENTITIES, p.EDGES, p.JUSTIFICATIONS, NAMED,
+  "hit(id, depth) as (select id, 0 from named union select e.src, h.depth + 1 from hit h join edges e on e.dst = h.id where e.kind in ('calls', 'references') and h.depth < 3)")
+def tool_impact(spark, d):
+    return TOOLS["analyze_impact"](repo(spark, d), name="#100", hops=3)
+
+
 @query("X7_batch_processing", "select p_partkey as id, upper(p_name) as result from part")
 def batches(spark, d):
     return providers.process_batches(p.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), lambda xs: [x.upper() for x in xs], "p_name")

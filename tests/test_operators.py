@@ -281,6 +281,12 @@ def test_prompt_drift(spark):
     assert got == {1: (1.0, True), 2: (0.0, False), 3: (0.0, False)}
 
 
+def test_traverse_from_a_seed_without_edges(spark):
+    e = spark.createDataFrame([(1, 2, "calls")], "src long, dst long, kind string")
+    for hops in (1, 2, 5):
+        assert g.traverse(e, spark.createDataFrame([(9,)], "id long"), hops).collect() == []
+
+
 def test_cascades(spark):
     k = lambda change, sim=None: one(spark, c.cascades(F.lit(change), F.lit(sim).cast("double")))
     assert [k(x) for x in ("signature_changed", "test_assertions", "anchors_changed", "body_refactor", "comments_only")] == [True, True, True, True, False]
