@@ -276,9 +276,10 @@ query("H10_high_fan_in", "select dst as id, count(*) as n, case when max(count(*
 query("H11_high_fan_out", "select src as id, count(*) as n, case when max(count(*)) over () >= 15 then 'high' else 'medium' end as severity from edges where kind = 'calls' group by src having count(*) >= 10", *G)(_degree("src", 15))
 
 
-@query("H12_circular_dependency", "select count(*) as n from edges a join edges b on a.src = b.dst and a.dst = b.src where a.kind = 'imports' and b.kind = 'imports' and a.src < a.dst", *G)
+@query("H12_circular_dependency", """select (select count(*) from ce a join ce b on a.src = b.dst and a.dst = b.src where a.src < a.dst) + (select count(*) from ce a join ce b on b.src = a.dst join ce c on c.src = b.dst and c.dst = a.src
+  where a.src < b.src and a.src < c.src and b.src <> c.src) as n""", *G, "ce as (select distinct src, dst from edges where kind in ('calls', 'imports') and src <> dst)")
 def h12(spark, d):
-    return g.cycles(p.edges(spark, d).where("kind = 'imports'"), 2).agg(F.count("*").alias("n"))
+    return g.cycles(p.edges(spark, d), 3).agg(F.count("*").alias("n"))
 
 
 @query("H13_taxonomy_anomaly", """select j.entity_id, taxonomy, coalesce(n, 0) as callers from justifications j left join (select dst, count(*) as n from edges where kind = 'calls' group by dst) x on x.dst = j.entity_id

@@ -86,15 +86,14 @@ def levels(spark, d):
     return g.levels(p.edges(spark, d), p.entities(spark, d))
 
 
-CYC = """ce as (select distinct src, dst from edges where kind = 'imports'),
+CYC = """ce as (select distinct src, dst from edges where kind in ('calls', 'imports')),
 paths(path, first, last, n) as (select [src, dst], src, dst, 2 from ce where src < dst
   union all select list_append(path, dst), first, dst, n + 1 from paths join ce on src = last where dst > first and not list_contains(path, dst) and n < 4)"""
 
 
 @query("G12_cycles", "select array_to_string(path, ',') as cycle from paths join ce on src = last and dst = first", *G, CYC)
 def cycles(spark, d):
-    e = p.edges(spark, d).where("kind = 'imports'")
-    return g.cycles(e, 4).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
+    return g.cycles(p.edges(spark, d), 4).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
 
 
 @query("G13_degree_centrality", """select e.id, count(x.id) as degree, round(least(count(x.id) / (2.0 * ((select count(*) from entities) - 1)), 1.0), 9) as centrality
