@@ -86,10 +86,10 @@ def co_occurrence(rows: DataFrame, group: str, item: str, least: int = 1, crowd:
 
     Items in fewer groups go first.  Groups of up to ``crowd`` items are arrays once and pairs come out of them, so no
     self-join of the rows is shuffled; larger ones are joined with themselves in parts, so no task holds a whole one."""
-    per = rows.select(F.col(group).alias("g_"), F.col(item).alias("i_")).where("i_ is not null").distinct()
-    counts = per.groupBy("i_").agg(F.count("*").alias("n"))
-    if least > 1:
-        per = per.join(counts.where(F.col("n") >= least).select("i_"), "i_", "left_semi")
+    per = materialise(rows.select(F.col(group).alias("g_"), F.col(item).alias("i_")).where("i_ is not null").distinct(), "items")
+    counts = materialise(per.groupBy("i_").agg(F.count("*").alias("n")), "items")
+    if least > 1 and (rare := counts.where(F.col("n") < least).select("i_")).head(1):
+        per = per.join(rare, "i_", "left_anti")
     large = materialise(per.groupBy("g_").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("g_", F.ceil(F.col("n") / crowd).cast("int").alias("k")), "crowds")
     some = bool(large.head(1))
     small = per.join(large.select("g_"), "g_", "left_anti") if some else per
