@@ -25,14 +25,14 @@ def connected(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Rounds of smallest labels over the pairs, each label then followed to its own label, so distances fall by halves."""
     both = pairs.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = materialise(both.unionAll(both.select("y", "x")).distinct(), "pairs")
-    labels = materialise(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "roots")
+    last = labels = materialise(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "roots")
     while True:
         seen = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("root").alias("near"))
         new = labels.join(seen, F.col("node") == F.col("x")).select("node", F.least("root", "near").alias("low"), F.col("root").alias("old"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
         new = materialise(new.join(jump, "low").select("node", F.least("low", "far").alias("root"), "old"), "roots")
-        release(labels)
-        labels = new.select("node", "root")
+        release(last)
+        last, labels = new, new.select("node", "root")
         if not new.where("root <> old").head(1):
             return labels
 

@@ -287,6 +287,22 @@ def test_traverse_from_a_seed_without_edges(spark):
         assert g.traverse(e, spark.createDataFrame([(9,)], "id long"), hops).collect() == []
 
 
+def test_tables_are_released(spark):
+    import os
+
+    from graphloom.plans import lineage
+
+    before = lineage.mark()
+    a, b, kept = (lineage.materialise(spark.range(n), "t") for n in (2, 3, 4))
+    at = [x._written_at.removeprefix("file://").removeprefix("file:") for x in (a, b, kept)]
+    lineage.release(a, None, spark.range(1))
+    assert [os.path.exists(x) for x in at] == [False, True, True]
+    lineage.release_since(spark, before, kept)
+    assert [os.path.exists(x) for x in at] == [False, False, True] and kept.count() == 4
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {(r.node, r.root) for r in g.connected(pairs, "a", "b").collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
 def test_cascades(spark):
     k = lambda change, sim=None: one(spark, c.cascades(F.lit(change), F.lit(sim).cast("double")))
     assert [k(x) for x in ("signature_changed", "test_assertions", "anchors_changed", "body_refactor", "comments_only")] == [True, True, True, True, False]
