@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
@@ -36,19 +41,38 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], col: str, ou
     return df.withColumn(out, F.last(col, ignorenulls=True).over(w))
 
 
+def ordered_fold(df: DataFrame, keys: list[str], order: list, start: Callable, step: Callable, inputs: list[str], out: str, out_type: DataType) -> DataFrame:
+    """``df`` with a column of what a fold in order says of each row: ``state, value = step(state, *inputs)``, from
+    ``start()`` at a key's first row.
+
+    Rows come sorted and pass through one by one, so a task holds one Arrow batch and one state, however many rows its
+    key has.  Null keys are one key; the order has to be total for reruns to agree."""
+    names, flag, kind = df.columns, "first_", to_arrow_type(out_type)
+    while flag in names:
+        flag += "_"
+    flagged = df.withColumn(flag, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) == 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = start()
+        for b in batches:
+            values = []
+            for first, *xs in zip(b.column(flag).to_pylist(), *[b.column(c).to_pylist() for c in inputs]):
+                state, v = step(start() if first else state, *xs)
+                values.append(v)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(values, kind)], names=[*names, out])
+
+    return flagged.mapInArrow(run, StructType([*df.schema.fields, StructField(out, out_type)]))
+
+
 def token_batches(df: DataFrame, keys: list[str], order: str, cost: str, budget: int, most: int = 8) -> DataFrame:
     """Greedy batches in order: a row opens a new batch if it would break the budget or the batch holds ``most`` rows.
+    A null cost counts as nothing; rows of one order are told apart by their cost."""
 
-    One ordered fold per key; a key's rows are its array, as batches of one caller's request are."""
-    item = F.struct(F.col(order).alias("o"), F.col(cost).alias("c"), *[F.col(x) for x in df.columns if x not in (*keys, order, cost)])
-    arr = F.array_sort(F.collect_list(item))
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = (a["n"] > 0) & ((a["used"] + x["c"] > budget) | (a["n"] >= most))
-        b = F.when(new, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), F.when(new, x["c"]).otherwise(a["used"] + x["c"]).cast("long").alias("used"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(b)).alias("out"))
+    def step(state: tuple, c) -> tuple[tuple, int]:
+        b, used, n = state
+        c = c or 0
+        if n and (used + c > budget or n >= most):
+            b, used, n = b + 1, 0, 0
+        return (b, used + c, n + 1), b
 
-    g = df.groupBy(*keys).agg(arr.alias("items")).withColumn("batches", F.aggregate("items", start, step, lambda a: a["out"]))
-    z = g.select(*keys, F.explode(F.arrays_zip("items", "batches")).alias("z"))
-    return z.select(*keys, F.col("z.items.o").alias(order), F.col("z.items.c").alias(cost), F.col("z.batches").alias("batch"))
+    return ordered_fold(df.select(*keys, order, cost), keys, [order, cost], lambda: (0, 0, 0), step, [cost], "batch", IntegerType())

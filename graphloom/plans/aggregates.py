@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import change as c
 from ..operators import graph as g
 from ..operators import joins as j
-from ..operators import windows as w
+from ..operators import reports as r
 from ..sources import projections as p
 from .base import query
 
@@ -23,33 +22,28 @@ def text_list(c):
 @query("A1_project_stats", """select count(*) filter (kind in ('function', 'method')) as functions, count(*) filter (kind = 'class') as classes, count(*) filter (kind = 'interface') as interfaces,
   count(*) filter (kind = 'variable') as variables, count(distinct file_path) as files from entities""", p.ENTITIES)
 def stats(spark, d):
-    k = F.col("kind")
-    return p.entities(spark, d).agg(F.count_if(k.isin("function", "method")).alias("functions"), F.count_if(k == "class").alias("classes"), F.count_if(k == "interface").alias("interfaces"), F.count_if(k == "variable").alias("variables"), F.count_distinct("file_path").alias("files"))
+    return r.project_stats(p.entities(spark, d))
 
 
 @query("A2_counts_by_collection", "select case kind when 'class' then 'classes' when 'interface' then 'interfaces' when 'variable' then 'variables' else 'functions' end as collection, count(*) as n from entities group by 1", p.ENTITIES)
 def counts(spark, d):
-    k = F.col("kind")
-    return p.entities(spark, d).groupBy(F.when(k == "class", "classes").when(k == "interface", "interfaces").when(k == "variable", "variables").otherwise("functions").alias("collection")).agg(F.count("*").alias("n"))
+    return r.collection_counts(p.entities(spark, d))
 
 
 @query("A3_file_paths", "select distinct file_path from entities", p.ENTITIES)
 def paths(spark, d):
-    return p.entities(spark, d).select("file_path").distinct()
+    return r.file_paths(p.entities(spark, d))
 
 
 @query("A4_token_usage", """select coalesce(l_returnflag, 'total') as model, sum(l_quantity) as tokens, count(*) as calls,
   round(sum(l_quantity * case l_returnflag when 'A' then 0.8 when 'N' then 3.0 else 1.0 end) / 1000000, 6) as cost from lineitem group by rollup (l_returnflag)""")
 def usage(spark, d):
-    m = F.col("l_returnflag")
-    price = F.when(m == "A", 0.8).when(m == "N", 3.0).otherwise(1.0)
-    li = p.table(spark, d, "lineitem").withColumn("c", F.col("l_quantity") * price)
-    return li.rollup("l_returnflag").agg(F.sum("l_quantity").alias("tokens"), F.count("*").alias("calls"), F.round(F.sum("c") / 1_000_000, 6).alias("cost")).select(F.coalesce("l_returnflag", F.lit("total")).alias("model"), "tokens", "calls", "cost")
+    return r.token_usage(p.table(spark, d, "lineitem"), {"A": 0.8, "N": 3.0}, 1.0, "l_returnflag", "l_quantity")
 
 
 @query("A5_max_branch", "select coalesce(max(user_id), 0) as branch from events where event_type = 'error'")
 def max_branch(spark, d):
-    return p.table(spark, d, "events").where("event_type = 'error'").agg(F.coalesce(F.max("user_id"), F.lit(0)).alias("branch"))
+    return r.max_branch(p.table(spark, d, "events").where("event_type = 'error'"), "user_id")
 
 
 FAN = """fan as (select e.id, e.name, coalesce(i.n, 0) as fan_in, coalesce(o.n, 0) as fan_out from entities e
@@ -62,22 +56,19 @@ def fan_risk(spark, d):
     return g.fan(p.edges(spark, d), p.entities(spark, d)).select("id", "name", "fan_in", "fan_out", "risk_level")
 
 
-@query("A7_features", """select feature_tag, count(*) as entity_count, count(*) filter (taxonomy = 'VERTICAL') as vertical, count(*) filter (taxonomy = 'HORIZONTAL') as horizontal,
-  count(*) filter (taxonomy = 'UTILITY') as utility, round(avg(confidence), 6) as average_confidence, string_agg(entity_id::varchar, ',' order by entity_id) filter (rn <= 10) as entry_points
-  from (select j.*, case when x.dst is null then row_number() over (partition by feature_tag, x.dst is null order by entity_id) end as rn from justifications j left join (select distinct dst from edges where kind = 'calls') x on x.dst = j.entity_id)
-  group by feature_tag""", *G, p.JUSTIFICATIONS)
+@query("A7_features", """select a.*, e.entry_points from (select feature_tag, count(*) as entity_count, count(*) filter (taxonomy = 'VERTICAL') as vertical, count(*) filter (taxonomy = 'HORIZONTAL') as horizontal,
+  count(*) filter (taxonomy = 'UTILITY') as utility, round(avg(confidence), 6) as average_confidence from justifications group by 1) a
+  left join (select feature_tag, string_agg(entity_id::varchar, ',' order by entity_id) as entry_points from (select feature_tag, entity_id, row_number() over (partition by feature_tag order by entity_id) as rn from justifications
+    where entity_id in (select id from entities) and (entity_id not in (select dst from edges where kind = 'calls') or entity_id in (select dst from from_outside))) where rn <= 10 group by 1) e on e.feature_tag = a.feature_tag""",
+  *G, p.JUSTIFICATIONS, "from_outside as (select e.dst from edges e join justifications t on t.entity_id = e.dst left join justifications c on c.entity_id = e.src where e.kind = 'calls' and c.feature_tag is distinct from t.feature_tag)")
 def features(spark, d):
-    called = p.edges(spark, d).where("kind = 'calls'").select(F.col("dst").alias("entity_id")).distinct()
-    js = p.justifications(spark, d)
-    entry = w.first_per_group(js.join(called, "entity_id", "left_anti"), ["feature_tag"], ["entity_id"], 10).groupBy("feature_tag").agg(text_list(F.collect_list("entity_id")).alias("entry_points"))
-    t = F.col("taxonomy")
-    a = js.groupBy("feature_tag").agg(F.count("*").alias("entity_count"), F.count_if(t == "VERTICAL").alias("vertical"), F.count_if(t == "HORIZONTAL").alias("horizontal"), F.count_if(t == "UTILITY").alias("utility"), F.round(F.avg("confidence"), 6).alias("average_confidence"))
-    return a.join(entry, "feature_tag", "left")
+    x = r.features(p.justifications(spark, d), p.entities(spark, d), p.edges(spark, d))
+    return x.withColumn("average_confidence", F.round("average_confidence", 6)).withColumn("entry_points", text_list(F.col("entry_points")))
 
 
 @query("A8_feature_counts", "select feature_tag, count(*) as entity_count, round(avg(confidence), 6) as average_confidence from justifications group by feature_tag", p.JUSTIFICATIONS)
 def feature_counts(spark, d):
-    return p.justifications(spark, d).groupBy("feature_tag").agg(F.count("*").alias("entity_count"), F.round(F.avg("confidence"), 6).alias("average_confidence"))
+    return r.feature_counts(p.justifications(spark, d)).withColumn("average_confidence", F.round("average_confidence", 6))
 
 
 COCHANGE = """per as (select file, count(*) as n from commits group by file),
@@ -129,150 +120,130 @@ def intents(spark, d):
 @query("A13_domain_terms", """select term, n, case when n >= 300 then 'core' when n >= 100 then 'common' else 'rare' end as tier from
   (select term, count(*) as n from (select distinct p_partkey, unnest(string_split(lower(p_type), ' ')) as term from part) group by term having count(*) >= 2)""")
 def terms(spark, d):
-    x = p.table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_type"), " "))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 2")
-    return x.withColumn("tier", F.when(F.col("n") >= 300, "core").when(F.col("n") >= 100, "common").otherwise("rare"))
+    return r.domain_terms(p.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.lower("p_type"), " ").alias("words")), 300, 100)
 
 
 @query("A14_new_concepts", """select concept, count(*) as n from (select unnest(domain_concepts) as concept from justifications) where concept not in ('en', 'src1') group by concept having count(*) >= 3 order by n desc, concept limit 50""", p.JUSTIFICATIONS)
 def concepts(spark, d):
-    known = ["en", "src1"]
-    return p.justifications(spark, d).select(F.explode("domain_concepts").alias("concept")).where(~F.col("concept").isin(known)).groupBy("concept").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "concept").limit(50)
+    return r.new_concepts(p.justifications(spark, d), spark.createDataFrame([("en",), ("src1",)], "term string"))
 
 
 @query("A15_drift_summary", "select event_type as category, count(*) as n, round(avg(value), 6) as mean from events group by 1")
 def drift_summary(spark, d):
-    return p.table(spark, d, "events").groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return r.category_summary(p.table(spark, d, "events"), "event_type", "value")
 
 
 SEVERITY = "case o_orderpriority when '1-URGENT' then 'high' when '2-HIGH' then 'high' when '3-MEDIUM' then 'medium' else 'low' end"
 
 
+def issues_of(spark, d):
+    return p.table(spark, d, "orders").withColumn("severity", s.severity(F.col("o_orderpriority")))
+
+
 @query("A16_issue_summary", f"""select o_orderstatus as category, count(*) filter (sev = 'high') as high, count(*) filter (sev = 'medium') as medium, count(*) filter (sev = 'low') as low,
   round(max(case sev when 'high' then 3.0 when 'medium' then 2.0 else 1.0 end * 40) + least(count(*), 50) / 50.0 * 30 + 0.5 * 30, 6) as priority,
   greatest(0, 100 - 15 * count(*) filter (sev = 'high') - 8 * count(*) filter (sev = 'medium') - 3 * count(*) filter (sev = 'low')) as health
   from (select *, {SEVERITY} as sev from orders) group by 1""")
 def issues(spark, d):
-    o = p.table(spark, d, "orders").withColumn("sev", s.severity(F.col("o_orderpriority")))
-    n = lambda x: F.count_if(F.col("sev") == x)
-    wt = F.max(s.severity_weight(F.col("sev")) * 40)
-    return o.groupBy(F.col("o_orderstatus").alias("category")).agg(n("high").alias("high"), n("medium").alias("medium"), n("low").alias("low"), F.round(wt + F.least(F.count("*"), F.lit(50)) / 50 * 30 + 15.0, 6).alias("priority"), F.greatest(F.lit(0), 100 - 15 * n("high") - 8 * n("medium") - 3 * n("low")).alias("health"))
+    return r.issue_summary(issues_of(spark, d).withColumnRenamed("o_orderstatus", "category"))
 
 
 @query("A17_health_grade", f"""select o_custkey as repo, case when h >= 3 then 'F' when h >= 1 then 'D' when m > 3 then 'C' when m > 0 then 'B' else 'A' end as grade from
   (select o_custkey, count(*) filter ({SEVERITY} = 'high') as h, count(*) filter ({SEVERITY} = 'medium') as m from orders group by 1)""")
 def grade(spark, d):
-    o = p.table(spark, d, "orders").withColumn("sev", s.severity(F.col("o_orderpriority")))
-    a = o.groupBy(F.col("o_custkey").alias("repo")).agg(F.count_if(F.col("sev") == "high").alias("h"), F.count_if(F.col("sev") == "medium").alias("m"))
-    return a.select("repo", s.grade(F.col("h"), F.col("m")).alias("grade"))
+    return r.health_grades(issues_of(spark, d).withColumnRenamed("o_custkey", "repo"), ["repo"])
 
 
 @query("A18_adherence", "select round(avg(p_retailprice), 6) as average, count(*) filter (p_size > 40) as large from part")
 def adherence(spark, d):
-    return p.table(spark, d, "part").agg(F.round(F.avg("p_retailprice"), 6).alias("average"), F.count_if(F.col("p_size") > 40).alias("large"))
+    return r.adherence(p.table(spark, d, "part"), "p_retailprice", F.col("p_size") > 40).withColumnRenamed("dead", "large")
 
 
 @query("A19_impact_report", """select l_partkey as file, count(*) as findings, count(*) filter (l_returnflag = 'R') as errors,
   case when count(*) > 40 then 'large' when count(*) > 10 then 'medium' else 'small' end as effort from lineitem group by 1 order by findings desc, file limit 50""")
 def impact_report(spark, d):
-    n = F.count("*")
-    return p.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("file")).agg(n.alias("findings"), F.count_if(F.col("l_returnflag") == "R").alias("errors"), F.when(n > 40, "large").when(n > 10, "medium").otherwise("small").alias("effort")).orderBy(F.desc("findings"), "file").limit(50)
+    severity = F.when(F.col("l_returnflag") == "R", "error").otherwise("warning")
+    return r.impact_report(p.table(spark, d, "lineitem").select(F.col("l_partkey").alias("file"), severity.alias("severity")))
+
+
+def members(spark, d, n: int):
+    return p.entities(spark, d).select("id", "kind", (F.col("id") % n).alias("community"))
 
 
 @query("A20_community_patterns", """select c as community, count(distinct id) as size, left(sha256(string_agg(id::varchar, ',' order by id::varchar)), 16) as motif, round(least(count(*) / 20.0, 1), 6) as confidence,
   (select count(*) from edges where src % 40 = c and dst % 40 = c) as internal_edges from (select id, id % 40 as c from entities) group by c having count(*) >= 3""", *G)
 def patterns(spark, d):
-    e, v = p.edges(spark, d), p.entities(spark, d)
-    inner = e.where("src % 40 = dst % 40").groupBy((F.col("src") % 40).alias("community")).agg(F.count("*").alias("internal_edges"))
-    n = F.count("*")
-    a = v.groupBy((F.col("id") % 40).alias("community")).agg(F.count_distinct("id").alias("size"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ","), 256), 1, 16).alias("motif"), F.round(F.least(n / 20.0, F.lit(1.0)), 6).alias("confidence"), n.alias("n")).where("n >= 3").drop("n")
-    return a.join(inner, "community", "left").fillna(0, ["internal_edges"])
+    return r.community_patterns(members(spark, d, 40), p.edges(spark, d))
 
 
-@query("A21_call_motifs", """select community, sk || '->' || dk as motif, count(*) as n, round(least(count(*) / total::double, 1), 6) as adherence from
-  (select s.id % 40 as community, s.kind as sk, t.kind as dk from edges e join entities s on s.id = e.src join entities t on t.id = e.dst where e.kind = 'calls' and s.id % 40 = t.id % 40)
-  join (select id % 40 as c, count(*) as total from entities where kind in ('function', 'method') group by 1 having count(*) >= 5) on c = community
-  group by community, motif, total having count(*) >= 3""", *G)
+@query("A21_call_motifs", """select community, motif, n, round(least(n / total::double, 1), 6) as adherence from
+  (select community, sk || '->' || dk as motif, count(*) as n from mine group by 1, 2 union all
+   select a.community, a.sk || '->' || a.dk || '->' || b.dk, count(*) from mine a join mine b on b.src = a.dst and b.community = a.community group by 1, 2)
+  join (select id % 2 as c, count(*) as total from entities where kind in ('function', 'method') group by 1 having count(*) >= 5) on c = community where n >= 3 and n >= 0.1 * total""",
+  *G, "mine as (select e.src, e.dst, s.id % 2 as community, s.kind as sk, t.kind as dk from edges e join entities s on s.id = e.src join entities t on t.id = e.dst where e.kind = 'calls' and s.id % 2 = t.id % 2 and s.kind in ('function', 'method') and t.kind in ('function', 'method'))")
 def motifs(spark, d):
-    v = p.entities(spark, d)
-    a, b = v.select(F.col("id").alias("src"), F.col("kind").alias("sk")), v.select(F.col("id").alias("dst"), F.col("kind").alias("dk"))
-    n = v.where("kind in ('function', 'method')").groupBy((F.col("id") % 40).alias("community")).agg(F.count("*").alias("total")).where("total >= 5")
-    x = p.edges(spark, d).where("kind = 'calls' and src % 40 = dst % 40").join(a, "src").join(b, "dst").groupBy((F.col("src") % 40).alias("community"), F.concat_ws("->", "sk", "dk").alias("motif")).agg(F.count("*").alias("n")).where("n >= 3")
-    return x.join(n, "community").select("community", "motif", "n", F.round(F.least(F.col("n") / F.col("total"), F.lit(1.0)), 6).alias("adherence"))
+    return r.call_motifs(members(spark, d, 2), p.edges(spark, d), 0.1)
 
 
 @query("A22_pattern_stats", """select l_returnflag || l_linestatus as pattern, count(*) as matches, count(distinct l_partkey) as files, round(least(count(*) / count(distinct l_partkey)::double, 1), 6) as adherence,
   round(least(count(*) / 20.0, 0.95), 6) as confidence from lineitem group by 1""")
 def pattern_stats(spark, d):
-    n, f = F.count("*"), F.count_distinct("l_partkey")
-    return p.table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("pattern")).agg(n.alias("matches"), f.alias("files"), F.round(F.least(n / f, F.lit(1.0)), 6).alias("adherence"), F.round(F.least(n / 20.0, F.lit(0.95)), 6).alias("confidence"))
+    return r.pattern_stats(p.table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("pattern"), F.col("l_partkey").alias("file")))
 
 
 @query("A23_top_concepts", """select feature_tag, concept, n from (select feature_tag, concept, count(*) as n, row_number() over (partition by feature_tag order by count(*) desc, concept) as rn
   from (select feature_tag, unnest(domain_concepts) as concept from justifications) group by 1, 2) where rn <= 3""", p.JUSTIFICATIONS)
 def top_concepts(spark, d):
-    x = p.justifications(spark, d).select("feature_tag", F.explode("domain_concepts").alias("concept")).groupBy("feature_tag", "concept").agg(F.count("*").alias("n"))
-    return w.first_per_group(x, ["feature_tag"], [F.desc("n"), "concept"], 3)
+    return r.top_concepts(p.justifications(spark, d), ["feature_tag"], 3)
 
 
 @query("A24_impact_by_taxonomy", "select j.taxonomy, count(*) as n from edges e join justifications j on j.entity_id = e.src where e.kind = 'calls' group by 1", *G, p.JUSTIFICATIONS)
 def by_taxonomy(spark, d):
-    return p.edges(spark, d).where("kind = 'calls'").join(p.justifications(spark, d), F.col("src") == F.col("entity_id")).groupBy("taxonomy").agg(F.count("*").alias("n"))
+    return r.calls_by_taxonomy(p.edges(spark, d), p.justifications(spark, d))
 
 
 @query("A25_ledger_summary", "select user_id as branch, count(*) as entries, count(distinct event_type) as files, sum(json_extract(props, '$.k')::bigint)::bigint as lines from events group by 1")
 def ledger(spark, d):
-    return p.table(spark, d, "events").groupBy(F.col("user_id").alias("branch")).agg(F.count("*").alias("entries"), F.count_distinct("event_type").alias("files"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("lines"))
+    return r.ledger_summary(p.table(spark, d, "events").select(F.col("user_id").alias("branch"), F.col("event_type").alias("file"), F.get_json_object("props", "$.k").cast("long").alias("lines")))
 
 
 @query("A26_rewind_radius", """select l_partkey as file, count(*) filter (l_orderkey > 100) as reverted, case when bool_or(l_orderkey <= 100) and bool_or(l_orderkey > 100) then 'conflicted' when bool_or(l_orderkey > 100) then 'at_risk' else 'safe' end as state from lineitem group by 1""")
 def rewind(spark, d):
-    late = F.col("l_orderkey") > 100
-    return p.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("file")).agg(F.count_if(late).alias("reverted"), F.when(F.bool_or(~late) & F.bool_or(late), "conflicted").when(F.bool_or(late), "at_risk").otherwise("safe").alias("state"))
+    return r.rewind_radius(p.table(spark, d, "lineitem").select(F.col("l_partkey").alias("file"), "l_orderkey"), F.col("l_orderkey") > 100)
 
 
 @query("A27_hotspots", "select dst as id, name, count(*) as callers from edges e join entities v on v.id = e.dst where e.kind = 'calls' group by 1, 2 order by callers desc, id limit 20", *G)
 def hotspots(spark, d):
-    n = p.edges(spark, d).where("kind = 'calls'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers")).orderBy(F.desc("callers"), "id").limit(20)
-    return n.join(p.entities(spark, d).select("id", "name"), "id").select("id", "name", "callers")
+    return r.hotspots(p.entities(spark, d), p.edges(spark, d))
 
 
 @query("A28_staleness_histogram", "select case when quality is null then 'no_label' when confidence < 0.4 then 'low_quality' when quality = 0 then 'fallback' else 'none' end as reason, count(*) as n from justifications group by 1", p.JUSTIFICATIONS)
 def staleness(spark, d):
-    r = F.when(F.col("quality").isNull(), "no_label").when(F.col("confidence") < 0.4, "low_quality").when(F.col("quality") == 0, "fallback").otherwise("none")
-    return p.justifications(spark, d).groupBy(r.alias("reason")).agg(F.count("*").alias("n"))
+    reason = F.when(F.col("quality").isNull(), "no_label").when(F.col("confidence") < 0.4, "low_quality").when(F.col("quality") == 0, "fallback").otherwise("none")
+    return r.histogram(p.justifications(spark, d), reason=reason)
 
 
 @query("A29_triples", "select distinct source as subject, 'written_in' as predicate, lang as object from documents")
 def triples(spark, d):
-    return p.table(spark, d, "documents").select(F.col("source").alias("subject"), F.lit("written_in").alias("predicate"), F.col("lang").alias("object")).distinct()
+    return r.distinct_triples(p.table(spark, d, "documents").select(F.col("source").alias("subject"), F.lit("written_in").alias("predicate"), F.col("lang").alias("object")))
 
 
 @query("A30_file_tree", """select path, max(is_dir) as is_dir, count(*) as files from (select array_to_string(string_split(file_path, '/')[1:k], '/') as path, (k < len(string_split(file_path, '/')))::int as is_dir
   from entities, unnest([1, 2, 3, 4]) as t(k)) group by path""", p.ENTITIES)
 def tree(spark, d):
-    parts = F.split("file_path", "/")
-    x = p.entities(spark, d).select(parts.alias("s")).select("s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("k"))
-    return x.groupBy(F.array_join(F.slice("s", F.lit(1), F.col("k")), "/").alias("path")).agg(F.max((F.col("k") < F.size("s")).cast("int")).alias("is_dir"), F.count("*").alias("files"))
+    return r.file_tree(p.entities(spark, d))
 
 
 @query("A31_distributions", "select kind, complexity // 10 as band, count(*) as n from entities group by 1, 2", p.ENTITIES)
 def distributions(spark, d):
-    return p.entities(spark, d).groupBy("kind", F.floor(F.col("complexity") / 10).alias("band")).agg(F.count("*").alias("n"))
+    return r.histogram(p.entities(spark, d), kind=F.col("kind"), band=F.floor(F.col("complexity") / 10))
 
 
 @query("A32_signal_quality", "select count(*) as entities, count(j.entity_id) as justified, round(count(j.entity_id) * 100.0 / count(*), 6) as coverage from entities e left join justifications j on j.entity_id = e.id", p.ENTITIES, p.JUSTIFICATIONS)
 def quality(spark, d):
-    x = p.entities(spark, d).join(p.justifications(spark, d), F.col("id") == F.col("entity_id"), "left")
-    return x.agg(F.count("*").alias("entities"), F.count("entity_id").alias("justified"), F.round(F.count("entity_id") * 100.0 / F.count("*"), 6).alias("coverage"))
+    return r.signal_quality(p.entities(spark, d), p.justifications(spark, d))
 
 
 @query("A33_import_resolution", "select (v.id is not null) as resolved, count(*) as n from edges e left join (select id from entities where kind <> 'variable') v on v.id = e.dst where e.kind = 'imports' group by 1", *G)
 def resolution(spark, d):
-    v = p.entities(spark, d).where("kind <> 'variable'").select("id")
-    return p.edges(spark, d).where("kind = 'imports'").join(v, F.col("dst") == F.col("id"), "left").groupBy(F.col("id").isNotNull().alias("resolved")).agg(F.count("*").alias("n"))
-
-
-@query("A12_health_counts", "select 'low_confidence' as risk, count(*) filter (confidence < 0.5) as n from justifications union all select 'mixed', count(*) filter (architectural_pattern = 'mixed') from justifications union all select 'utility', count(*) filter (taxonomy = 'UTILITY') from justifications", p.JUSTIFICATIONS)
-def health_counts(spark, d):
-    a = p.justifications(spark, d).agg(F.count_if(F.col("confidence") < 0.5).alias("low_confidence"), F.count_if(F.col("architectural_pattern") == "mixed").alias("mixed"), F.count_if(F.col("taxonomy") == "UTILITY").alias("utility"))
-    return a.unpivot([], ["low_confidence", "mixed", "utility"], "risk", "n")
+    return r.import_resolution(p.edges(spark, d), p.entities(spark, d).where("kind <> 'variable'"))

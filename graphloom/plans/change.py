@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 from ..operators import change as c
 from ..operators import graph as g
+from ..operators import health, reports
 from ..operators import joins as j
 from ..operators import windows as w
 from ..sources import projections as p
 from .base import query
+from .graphs import CYC
 
 G = (p.ENTITIES, p.EDGES)
 VERSIONS = """versions as (select o_orderkey as id, 'f(a)' as old_sig, case when o_orderkey % 5 = 0 then 'f(a, b)' else 'f(a)' end as new_sig,
@@ -206,70 +208,55 @@ def polyglot(spark, d):
 J = p.JUSTIFICATIONS
 
 
-def _share(df, cond, high, names=("high", "medium")):
-    n = F.count_if(cond)
-    return df.agg(n.alias("n"), F.when(n > high * F.count("*"), names[0]).otherwise(names[1]).alias("severity"))
-
-
 @query("H1_llm_failure", "select count(*) filter (confidence <= 0.3 and feature_tag = 'unclassified' and taxonomy = 'UTILITY') = count(*) as hit from justifications", J)
 def h1(spark, d):
-    bad = (F.col("confidence") <= 0.3) & (F.col("feature_tag") == "unclassified") & (F.col("taxonomy") == "UTILITY")
-    return p.justifications(spark, d).agg((F.count_if(bad) == F.count("*")).alias("hit"))
+    return health.fallbacks(p.justifications(spark, d)).select(F.col("all_fallback").alias("hit"))
 
 
 @query("H2_llm_partial_failure", "select count(*) filter (confidence <= 0.3 and feature_tag = 'unclassified' and taxonomy = 'UTILITY') > 0.8 * count(*) as hit from justifications", J)
 def h2(spark, d):
-    bad = (F.col("confidence") <= 0.3) & (F.col("feature_tag") == "unclassified") & (F.col("taxonomy") == "UTILITY")
-    return p.justifications(spark, d).agg((F.count_if(bad) > 0.8 * F.count("*")).alias("hit"))
+    return health.fallbacks(p.justifications(spark, d)).select(F.col("mostly_fallback").alias("hit"))
 
 
 @query("H3_low_confidence", "select count(*) filter (confidence < 0.5) as n, case when count(*) filter (confidence < 0.5) > 0.3 * count(*) then 'high' else 'medium' end as severity from justifications", J)
 def h3(spark, d):
-    return _share(p.justifications(spark, d), F.col("confidence") < 0.5, 0.3)
+    return health.low_confidence(p.justifications(spark, d))
 
 
 @query("H4_untested_vertical", "select entity_id, case when count(*) over () > 5 then 'high' else 'medium' end as severity from justifications where taxonomy = 'VERTICAL' and confidence < 0.6", J)
 def h4(spark, d):
-    x = p.justifications(spark, d).where("taxonomy = 'VERTICAL' and confidence < 0.6").select("entity_id")
-    return x.join(F.broadcast(x.agg(F.when(F.count("*") > 5, "high").otherwise("medium").alias("severity"))), how="left")
+    return health.untested_vertical(p.justifications(spark, d))
 
 
 @query("H5_single_entity_feature", "select lang || source || (doc_id % 40) as feature, count(*) as n from documents group by 1 having count(*) = 1 order by feature limit 5")
 def h5(spark, d):
-    f = F.concat("lang", "source", (F.col("doc_id") % 40).cast("string"))
-    return p.table(spark, d, "documents").groupBy(f.alias("feature")).agg(F.count("*").alias("n")).where("n = 1").orderBy("feature").limit(5)
+    feature = F.concat("lang", "source", (F.col("doc_id") % 40).cast("string"))
+    features = p.table(spark, d, "documents").groupBy(feature.alias("feature_tag")).agg(F.count("*").alias("entity_count"))
+    return health.single_entity_features(features).select(F.col("feature_tag").alias("feature"), F.col("entity_count").alias("n"))
 
 
 @query("H6_high_utility_ratio", "select count(*) filter (taxonomy = 'UTILITY') > 0.7 * count(*) as hit, count(*) filter (taxonomy = 'UTILITY') as n from justifications", J)
 def h6(spark, d):
-    n = F.count_if(F.col("taxonomy") == "UTILITY")
-    return p.justifications(spark, d).agg((n > 0.7 * F.count("*")).alias("hit"), n.alias("n"))
+    return health.utility_ratio(p.justifications(spark, d))
 
 
 @query("H7_dead_code", "select id, name, case when (select count(*) from entities where id not in (select dst from edges where kind in ('calls', 'references', 'imports'))) > 0.05 * (select count(*) from entities) then 'high' else 'medium' end as severity from entities where id not in (select dst from edges where kind in ('calls', 'references', 'imports')) order by id limit 20", *G)
 def h7(spark, d):
-    v = p.entities(spark, d)
-    x = j.unreferenced(v, p.edges(spark, d)).select("id", "name")
-    share = x.agg(F.count("*").alias("n")).join(v.agg(F.count("*").alias("all")), how="inner").select(F.when(F.col("n") > 0.05 * F.col("all"), "high").otherwise("medium").alias("severity"))
-    return x.orderBy("id").limit(20).join(F.broadcast(share), how="left")
+    return health.dead_code(p.entities(spark, d), p.edges(spark, d)).orderBy("id").limit(health.SAMPLES)
 
 
-@query("H8_architectural_violation", "select count(*) as n, case when bool_or(taxonomy = 'VERTICAL') then 'high' else 'medium' end as severity from justifications where architectural_pattern = 'mixed'", J)
+@query("H8_architectural_violation", "select entity_id, taxonomy, case when bool_or(taxonomy = 'VERTICAL') over () then 'high' else 'medium' end as severity from justifications where architectural_pattern = 'mixed'", J)
 def h8(spark, d):
-    return p.justifications(spark, d).where("architectural_pattern = 'mixed'").agg(F.count("*").alias("n"), F.when(F.bool_or(F.col("taxonomy") == "VERTICAL"), "high").otherwise("medium").alias("severity"))
+    return health.mixed_architecture(p.justifications(spark, d))
 
 
 @query("H9_low_quality", "select count(*) filter (score < 0.5) as n, case when count(*) filter (score < 0.5) > 0.1 * count(*) then 'high' else 'medium' end as severity from scored", J, SCORE)
 def h9(spark, d):
-    return _share(scored(spark, d), F.col("score") < 0.5, 0.1)
+    return health.share_at_risk(scored(spark, d), F.col("score") < 0.5, 0.1)
 
 
 def _degree(end: str, high: int):
-    def run(spark, d):
-        x = p.edges(spark, d).where("kind = 'calls'").groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n")).where("n >= 10")
-        return x.join(F.broadcast(x.agg(F.when(F.max("n") >= high, "high").otherwise("medium").alias("severity"))), how="left")
-
-    return run
+    return lambda spark, d: health.crowded(p.edges(spark, d), end, high)
 
 
 query("H10_high_fan_in", "select dst as id, count(*) as n, case when max(count(*)) over () >= 20 then 'high' else 'medium' end as severity from edges where kind = 'calls' group by dst having count(*) >= 10", *G)(_degree("dst", 20))
@@ -285,21 +272,57 @@ def h12(spark, d):
 @query("H13_taxonomy_anomaly", """select j.entity_id, taxonomy, coalesce(n, 0) as callers from justifications j left join (select dst, count(*) as n from edges where kind = 'calls' group by dst) x on x.dst = j.entity_id
   where (taxonomy = 'VERTICAL' and coalesce(n, 0) = 0) or (taxonomy = 'HORIZONTAL' and n = 1)""", *G, J)
 def h13(spark, d):
-    n = p.edges(spark, d).where("kind = 'calls'").groupBy(F.col("dst").alias("entity_id")).agg(F.count("*").alias("callers"))
-    x = p.justifications(spark, d).select("entity_id", "taxonomy").join(n, "entity_id", "left").fillna(0, ["callers"])
-    return x.where("(taxonomy = 'VERTICAL' and callers = 0) or (taxonomy = 'HORIZONTAL' and callers = 1)")
+    return health.taxonomy_anomalies(p.justifications(spark, d), p.edges(spark, d))
 
 
 @query("H14_confidence_gap", "select feature_tag, round(avg(confidence), 6) as average, case when min(avg(confidence)) over () < 0.4 then 'high' else 'medium' end as severity from justifications group by feature_tag having avg(confidence) < 0.6", J)
 def h14(spark, d):
-    x = p.justifications(spark, d).groupBy("feature_tag").agg(F.avg("confidence").alias("a")).where("a < 0.6")
-    return x.join(F.broadcast(x.agg(F.when(F.min("a") < 0.4, "high").otherwise("medium").alias("severity"))), how="left").select("feature_tag", F.round("a", 6).alias("average"), "severity")
+    found = health.confidence_gaps(reports.feature_counts(p.justifications(spark, d)))
+    return found.select("feature_tag", F.round("average_confidence", 6).alias("average"), "severity")
 
 
 @query("H15_missing_justification", "select count(*) filter (j.entity_id is null) as n, case when count(*) filter (j.entity_id is null) > 0.2 * count(*) then 'high' else 'medium' end as severity from entities e left join justifications j on j.entity_id = e.id where e.kind <> 'variable'", p.ENTITIES, J)
 def h15(spark, d):
-    x = p.entities(spark, d).where("kind <> 'variable'").join(p.justifications(spark, d), F.col("id") == F.col("entity_id"), "left")
-    return _share(x, F.col("entity_id").isNull(), 0.2)
+    return health.missing_justifications(p.entities(spark, d), p.justifications(spark, d), exempt=("variable",)).select("n", "severity")
+
+
+def _listed(risk: str, category: str, severity: str, found: str) -> str:
+    return f"""select '{risk}' as risk, '{category}' as category, {severity} as severity, count(*) as affected, array_to_string(list(id order by id)[1:20], ',') as samples from ({found}) having count(*) > 0"""
+
+
+def _counted(risk: str, category: str, severity: str, n: str, hit: str, of: str = "justifications") -> str:
+    return f"select '{risk}', '{category}', {severity}, {n}, '' from {of} having {hit}"
+
+
+def _over(share: float, of: str) -> str:
+    return f"case when count(*) > {share} * (select count(*) from {of}) then 'high' else 'medium' end"
+
+
+STUB = "count(*) filter (confidence <= 0.3 and feature_tag = 'unclassified' and taxonomy = 'UTILITY')"
+LOW, UTIL = "count(*) filter (confidence < 0.5)", "count(*) filter (taxonomy = 'UTILITY')"
+REPORT = " union all ".join([
+    _listed("untested_vertical", "quality", "case when count(*) > 5 then 'high' else 'medium' end", "select entity_id as id from justifications where taxonomy = 'VERTICAL' and confidence < 0.6"),
+    _counted("llm_partial_failure", "quality", "'high'", STUB, f"{STUB} > 0.8 * count(*)"),
+    _counted("low_confidence", "quality", f"case when {LOW} > 0.3 * count(*) then 'high' else 'medium' end", LOW, f"{LOW} > 0"),
+    _listed("single_entity_feature", "taxonomy", "'low'", "select feature_tag as id from justifications group by 1 having count(*) = 1 order by 1 limit 5"),
+    _counted("high_utility_ratio", "taxonomy", "'medium'", UTIL, f"{UTIL} > 0.7 * count(*)"),
+    _listed("dead_code", "dead_code", _over(0.05, "entities"), "select id from entities where id not in (select dst from edges where kind in ('calls', 'references', 'imports'))"),
+    _listed("architectural_violation", "architecture", "case when bool_or(taxonomy = 'VERTICAL') then 'high' else 'medium' end", "select entity_id as id, taxonomy from justifications where architectural_pattern = 'mixed'"),
+    _listed("low_quality_justification", "quality", _over(0.1, "justifications"), "select entity_id as id from scored where score < 0.5"),
+    _listed("high_fan_in", "complexity", "case when max(n) >= 20 then 'high' else 'medium' end", "select dst as id, count(*) as n from edges where kind = 'calls' group by 1 having count(*) >= 10"),
+    _listed("high_fan_out", "complexity", "case when max(n) >= 15 then 'high' else 'medium' end", "select src as id, count(*) as n from edges where kind = 'calls' group by 1 having count(*) >= 10"),
+    _listed("circular_dependency", "architecture", "'high'", "select array_to_string(path, ',') as id from paths join ce on src = last and dst = first"),
+    _listed("taxonomy_anomaly", "taxonomy", "'medium'", "select entity_id as id from justifications left join (select dst, count(*) as n from edges where kind = 'calls' group by 1) x on dst = entity_id where (taxonomy = 'VERTICAL' and n is null) or (taxonomy = 'HORIZONTAL' and n = 1)"),
+    _listed("confidence_gap", "quality", "case when min(a) < 0.4 then 'high' else 'medium' end", "select feature_tag as id, avg(confidence) as a from justifications group by 1 having avg(confidence) < 0.6"),
+    _counted("missing_justification", "taxonomy", "case when count(*) filter (j.entity_id is null) > 0.2 * count(*) then 'high' else 'medium' end", "count(*) filter (j.entity_id is null)", "count(*) filter (j.entity_id is null) > 0.05 * count(*)", "entities e left join justifications j on j.entity_id = e.id"),
+])
+
+
+@query("A12_health_report", f"select * from ({REPORT}) where (select {STUB} < count(*) from justifications) union all " + _counted("llm_failure", "quality", "'high'", STUB, f"{STUB} = count(*) and count(*) > 0"), *G, J, SCORE, CYC)
+def health_report(spark, d):
+    js = p.justifications(spark, d)
+    found = health.report(js, reports.feature_counts(js), p.entities(spark, d), p.edges(spark, d), scored(spark, d))
+    return found.withColumn("samples", F.array_join("samples", ","))
 
 
 from ..operators import review as r  # noqa: E402

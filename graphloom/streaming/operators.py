@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType
+
+from ..operators.windows import ordered_fold
 
 
 def event_stream(spark: SparkSession, path: str, schema, watermark: str = "10 minutes", at: str = "ts") -> DataFrame:
@@ -34,18 +37,17 @@ def sliding_usage(events: DataFrame, keys: list[str], at: str, cost: str, second
 
 def fixed_window_table(events: DataFrame, keys: list[str], at: str, tie: str, limit: int, seconds: int) -> DataFrame:
     """(table) The limiter whose window opens with a key's first event and closes ``seconds`` later: each event with
-    its number in the window and whether it is allowed.  One ordered fold per key."""
-    item = F.struct(F.col(at).cast("timestamp").cast("double").alias("t"), F.col(tie).alias("id"))
-    start = F.struct(F.lit(None).cast("double").alias("open"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = a["open"].isNull() | (x["t"] - a["open"] >= seconds)
-        n = F.when(new, 1).otherwise(a["n"] + 1)
-        return F.struct(F.when(new, x["t"]).otherwise(a["open"]).alias("open"), n.alias("n"), F.concat(a["out"], F.array(n)).alias("out"))
-
-    g = events.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("xs")).withColumn("ns", F.aggregate("xs", start, step, lambda a: a["out"]))
-    z = g.select(*keys, F.explode(F.arrays_zip("xs", "ns")).alias("z"))
-    return z.select(*keys, F.col("z.xs.id").alias(tie), F.col("z.ns").alias("number"), (F.col("z.ns") <= limit).alias("allowed"))
+    its number in the window and whether it is allowed.  An event without a time belongs to the window that is open."""
+
+    def step(state: tuple, t: float | None) -> tuple[tuple, int]:
+        opened, n = state
+        if n == 0 or (t is not None and (opened is None or t - opened >= seconds)):
+            opened, n = t, 0
+        return (opened, n + 1), n + 1
+
+    x = events.select(*keys, tie, F.col(at).cast("timestamp").cast("double").alias("t_"))
+    x = ordered_fold(x, keys, ["t_", tie], lambda: (None, 0), step, ["t_"], "number", IntegerType())
+    return x.select(*keys, tie, "number", (F.col("number") <= limit).alias("allowed"))
 
 
 def fixed_window_stream(events: DataFrame, key: str, at: str, tie: str, limit: int, seconds: int) -> DataFrame:

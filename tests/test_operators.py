@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from graphloom.functions import providers
 from graphloom.functions import scalars as s
@@ -478,3 +479,24 @@ def test_review_helpers(spark):
 def test_projections_match_measured_size(spark):
     sf = "/root/testdata/sf0.01"
     assert p.edges(spark, sf).where("kind = 'calls'").count() == 9102
+
+
+def test_ordered_fold_over_batches(spark):
+    """State is carried over the batches of a hot key and starts anew with each key; null keys are one key."""
+    rows = spark.range(50_000).selectExpr("case when id % 3 = 0 then null when id % 1000 = 1 then id else -1 end as k", "id as i", "'x' as first_")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        out = w.ordered_fold(rows, ["k"], ["i"], lambda: 0, lambda s, i: (s + i, s + i), ["i"], "total", LongType()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sums, want = {}, {}
+    for r in sorted(out, key=lambda r: r.i):
+        sums[r.k] = sums.get(r.k, 0) + r.i
+        want[r.i] = sums[r.k]
+    assert len(out) == 50_000 and all(r.total == want[r.i] and r.first_ == "x" for r in out)
+
+
+def test_token_batches_of_odd_rows(spark):
+    x = w.token_batches(spark.createDataFrame([(None, 1, None), (None, 1, 70), (None, 2, 40)], "k string, i int, cost long"), ["k"], "i", "cost", 100)
+    assert [(r.cost, r.batch) for r in x.orderBy("i", "cost").collect()] == [(None, 0), (70, 0), (40, 1)]
+    assert w.token_batches(x.where("false").select("k", "i", "cost"), ["k"], "i", "cost", 100).count() == 0
