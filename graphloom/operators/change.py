@@ -222,3 +222,24 @@ def merge_tags(tags: DataFrame, least: float = 0.75) -> DataFrame:
     t = tags.select("tag", "n").join(roots.select(F.col("node").alias("tag"), "root"), "tag", "left").withColumn("root", F.coalesce("root", "tag"))
     best = t.groupBy("root").agg(F.min_by("tag", F.struct(-F.col("n"), "tag")).alias("canonical"))
     return t.join(best, "root").select("tag", "canonical")
+
+
+def fingerprint(text: Column) -> Column:
+    """32 hex digits of a text's SHA-256 with its white space made one space each."""
+    return F.substring(F.sha2(F.trim(F.regexp_replace(text, "[ \\t\\n]+", " ")), 256), 1, 32)
+
+
+def quarantine(files: DataFrame, size: str, most: int = 5 * 1024 * 1024, failed: Column | None = None) -> DataFrame:
+    """Files with the reason they are not parsed: too large, failed (a condition), or null for those that are."""
+    reason = F.when(F.col(size) > most, "file_too_large")
+    return files.withColumn("reason", reason if failed is None else reason.when(failed, "extraction_error"))
+
+
+def healed(quarantined: DataFrame, files: DataFrame) -> DataFrame:
+    """Placeholders (file_path) whose files parse again, to be replaced: those with a row and no reason in ``files``."""
+    return quarantined.join(files.where("reason is null").select("file_path"), "file_path", "left_semi")
+
+
+def merge_significance(events: DataFrame, keys: list[str], significant: Column, least: int = 10) -> DataFrame:
+    """(keys, significant): the added entities of (keys, added) reach ``least``, or any row is significant by itself."""
+    return events.groupBy(*keys).agg((F.coalesce(F.sum("added"), F.lit(0)) >= least).alias("many_"), F.bool_or(F.coalesce(significant, F.lit(False))).alias("any_")).select(*keys, F.expr("many_ or any_").alias("significant"))

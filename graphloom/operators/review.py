@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cut_lines
+from . import graph
 
 # What third-party packages are for, by prefix, in order.
 CATEGORIES = (
@@ -97,3 +98,65 @@ def review_comments(findings: DataFrame, keys: list[str]) -> DataFrame:
     g = findings.groupBy(*keys).agg(n("error").alias("errors"), n("warning").alias("warnings"), F.count("*").alias("findings"), rows.alias("rows"))
     head = F.concat(F.lit("## Review: "), F.when(F.col("errors") > 0, "changes requested").otherwise("comments"), F.lit("\n\n"), F.col("errors").cast("string"), F.lit(" errors, "), F.col("warnings").cast("string"), F.lit(" warnings\n\n"))
     return g.select(*keys, "errors", "warnings", "findings", F.concat(head, F.array_join("rows", "\n"), F.lit("\n")).alias("body"))
+
+
+# Names that show what an entity does.
+VALIDATES = "(?i)auth|valid|sanitiz|middleware|guard|protect|verify|permission"
+MUTATES = "(?i)insert|update|delete|upsert|save|create|remove|destroy|drop|write"
+TRIGGERED = "(?i)webhook|handler|on[A-Z]\\w*Event|trigger|consumer|listener|subscriber"
+WRITES = "(?i)insert|update|delete|upsert|save|create|remove|destroy|write|put|post"
+ONCE = "(?i)idempoten|dedup|upsert|lock|mutex|semaphore|once|unique.*constraint"
+CALLABLE = ("function", "method")
+
+
+def _met(found: DataFrame, flags: DataFrame) -> DataFrame:
+    """(id and, for each flag of ``flags`` (id, flags…), whether any entity reached from it (seed, id) has it)."""
+    names = [c for c in flags.columns if c != "id"]
+    return found.select("seed", "id").join(flags, "id").groupBy(F.col("seed").alias("id")).agg(*[F.bool_or(n).alias(n) for n in names])
+
+
+def trust_boundary(changed: DataFrame, edges: DataFrame, entities: DataFrame, route: Column, mutation: Column, validator: Column, vouched: DataFrame | None = None, hops: int = 3) -> DataFrame:
+    """Changed callables between a route that reaches them and a mutation they reach within ``hops`` calls, with no
+    validator among callers, callees or themselves; route, mutation and validator are conditions on entities.  Those in
+    ``vouched`` (id) are left out."""
+    calls = edges.where("kind = 'calls'")
+    seeds = changed.where(F.col("kind").isin(*CALLABLE))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    flags = entities.select("id", flag(route).alias("route"), flag(mutation).alias("mutation"), flag(validator).alias("guard"))
+    up = _met(graph.traverse(calls, seeds.select("id"), hops), flags.select("id", "route", "guard")).withColumnRenamed("guard", "guard_up")
+    down = _met(graph.traverse(calls, seeds.select("id"), hops, inbound=False), flags.select("id", "mutation", "guard"))
+    own = flags.select("id", F.col("guard").alias("guard_own"))
+    out = seeds.join(up, "id").join(down, "id").join(own, "id", "left").where("route and mutation and not guard and not guard_up and not coalesce(guard_own, false)").select(*changed.columns)
+    return out if vouched is None else out.join(vouched.select("id"), "id", "left_anti")
+
+
+def idempotency(changed: DataFrame, edges: DataFrame, entities: DataFrame, triggered: Column, mutation: Column, guard: Column, hops: int = 2) -> DataFrame:
+    """Changed callables that ``triggered`` holds for and that reach a mutation within ``hops`` calls, neither they nor
+    anything reached being a guard."""
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    flags = entities.select("id", flag(mutation).alias("mutation"), flag(guard).alias("guard"))
+    seeds = changed.where(F.col("kind").isin(*CALLABLE)).where(triggered)
+    down = _met(graph.traverse(edges.where("kind = 'calls'"), seeds.select("id"), hops, inbound=False), flags)
+    own = flags.select("id", F.col("guard").alias("guard_own"))
+    return seeds.join(down, "id").join(own, "id", "left").where("mutation and not guard and not coalesce(guard_own, false)").select(*changed.columns)
+
+
+def contract_check(changed: DataFrame, edges: DataFrame, entities: DataFrame, kinds: tuple[str, ...] = ("api_route", "webhook_handler"), hops: int = 1) -> DataFrame:
+    """Changed entities that something of those kinds calls within ``hops``."""
+    ends = entities.where(F.col("kind").isin(*kinds)).select("id")
+    hit = graph.traverse(edges.where("kind = 'calls'"), changed.select("id"), hops).join(ends, "id", "left_semi").select(F.col("seed").alias("id")).distinct()
+    return changed.join(hit, "id", "left_semi")
+
+
+def looks_good(changed: DataFrame, justifications: DataFrame, edges: DataFrame, keys: list[str], callers: int = 5, errors: DataFrame | None = None, areas: tuple[str, ...] | None = None) -> DataFrame:
+    """(keys, approve): all changed entities are justified, none is business code, outside the ``areas`` of low risk (None:
+    any feature) or has more than ``callers`` callers, and no finding (``errors``: keys) stands against them."""
+    n = edges.where("kind = 'calls'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers_"))
+    x = changed.select("id", *keys).join(justifications.select(F.col("entity_id").alias("id"), "taxonomy", "feature_tag"), "id", "left").join(n, "id", "left")
+    ok = F.coalesce(F.col("taxonomy") != "VERTICAL", F.lit(False)) & (F.coalesce("callers_", F.lit(0)) <= callers)
+    if areas is not None:
+        ok = ok & F.coalesce(F.col("feature_tag").isin(*areas), F.lit(False))
+    out = x.groupBy(*keys).agg(F.bool_and(ok).alias("approve"))
+    if errors is None:
+        return out
+    return out.join(errors.select(*keys).distinct().withColumn("wrong_", F.lit(True)), keys, "left").withColumn("approve", F.col("approve") & F.col("wrong_").isNull()).drop("wrong_")

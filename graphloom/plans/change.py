@@ -71,12 +71,12 @@ def keywords(spark, d):
 
 @query("C8_semantic_fingerprint", "select doc_id, left(sha256(trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'))), 32) as fingerprint from documents")
 def fingerprint(spark, d):
-    return p.table(spark, d, "documents").select("doc_id", F.substring(F.sha2(F.trim(F.regexp_replace("text", "[ \\t\\n]+", " ")), 256), 1, 32).alias("fingerprint"))
+    return p.table(spark, d, "documents").select("doc_id", c.fingerprint(F.col("text")).alias("fingerprint"))
 
 
 @query("C10_quarantine", "select case when n_chars > 3000 then 'quarantined' else 'ok' end as state, count(*) as n from documents group by 1")
 def quarantine(spark, d):
-    return p.table(spark, d, "documents").groupBy(F.when(F.col("n_chars") > 3000, "quarantined").otherwise("ok").alias("state")).agg(F.count("*").alias("n"))
+    return reports.histogram(c.quarantine(p.table(spark, d, "documents"), "n_chars", 3000), state=F.when(F.col("reason").isNull(), "ok").otherwise("quarantined"))
 
 
 NONE = "array<struct<subject:string,predicate:string,object:string>>"
@@ -187,7 +187,8 @@ def category(spark, d):
 
 @query("C23_merge_significance", "select user_id, count(*) filter (event_type = 'error') >= 10 or max(value) > 95 as significant from events group by 1")
 def significance(spark, d):
-    return p.table(spark, d, "events").groupBy("user_id").agg(((F.count_if(F.col("event_type") == "error") >= 10) | (F.max("value") > 95)).alias("significant"))
+    e = p.table(spark, d, "events").withColumn("added", (F.col("event_type") == "error").cast("int"))
+    return c.merge_significance(e, ["user_id"], F.col("value") > 95)
 
 
 @query("C24_drift_alerts", "select event_id from (select *, lag(value) over (partition by user_id, event_type order by valid_from, event_id) as before from scd) where before is not null and abs(value - before) > 50", p.SCD)
@@ -358,20 +359,27 @@ def r4(spark, d):
     return r.without_tests(files, tests).select("id")
 
 
-@query("R6_trust_boundary", """select b.id from changed b where exists (select 1 from edges e where e.dst = b.id and e.kind = 'calls' and e.src % 9 = 0) and exists (select 1 from edges e where e.src = b.id and e.kind = 'calls' and e.dst % 9 = 1)
-  and not exists (select 1 from edges e where e.dst = b.id and e.kind = 'calls' and e.src % 9 = 2)""", *G, CHANGED)
+CALLS = "calls as (select distinct src, dst from edges where kind = 'calls')"
+
+
+def _walk(name: str, to: str, at: str, hops: int) -> list[str]:
+    """What each changed entity reaches within that many calls."""
+    steps = [f"{name}1 as (select c.id as seed, e.{to} as id from changed c join calls e on e.{at} = c.id)"]
+    steps += [f"{name}{k} as (select seed, e.{to} as id from {name}{k - 1} x join calls e on e.{at} = x.id)" for k in range(2, hops + 1)]
+    return [*steps, f"{name} as (" + " union ".join(f"select seed, id from {name}{k}" for k in range(1, hops + 1)) + ")"]
+
+
+@query("R6_trust_boundary", """select id from changed where kind in ('function', 'method') and id % 499 <> 2 and id in (select seed from up where id % 9 = 0) and id in (select seed from down where id % 9 = 1)
+  and id not in (select seed from up where id % 499 = 2) and id not in (select seed from down where id % 499 = 2)""", *G, CHANGED, CALLS, *_walk("up", "src", "dst", 3), *_walk("down", "dst", "src", 3))
 def r6(spark, d):
-    calls = p.edges(spark, d).where("kind = 'calls'")
-    up = changed(spark, d).join(calls, F.col("id") == F.col("dst")).groupBy("id").agg(F.bool_or(F.col("src") % 9 == 0).alias("route"), F.bool_or(F.col("src") % 9 == 2).alias("guard"))
-    down = calls.groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("dst") % 9 == 1).alias("mutation"))
-    return up.join(down, "id").where("route and mutation and not guard").select("id")
+    i = F.col("id")
+    return r.trust_boundary(changed(spark, d), p.edges(spark, d), p.entities(spark, d), i % 9 == 0, i % 9 == 1, i % 499 == 2).select("id")
 
 
-@query("R7_idempotency", "select c.id from changed c where c.kind in ('function', 'method') and exists (select 1 from edges e where e.src = c.id and e.kind = 'calls' and e.dst % 5 = 1) and not exists (select 1 from edges e where e.src = c.id and e.kind = 'calls' and e.dst % 5 = 2)", *G, CHANGED)
+@query("R7_idempotency", """select id from changed where kind in ('function', 'method') and complexity % 2 = 0 and id % 89 <> 2 and id in (select seed from down where id % 5 = 1) and id not in (select seed from down where id % 89 = 2)""", *G, CHANGED, CALLS, *_walk("down", "dst", "src", 2))
 def r7(spark, d):
-    calls = p.edges(spark, d).where("kind = 'calls'")
-    x = changed(spark, d).where("kind in ('function', 'method')").join(calls.drop("kind"), F.col("id") == F.col("src")).groupBy("id").agg(F.bool_or(F.col("dst") % 5 == 1).alias("mutates"), F.bool_or(F.col("dst") % 5 == 2).alias("guard"))
-    return x.where("mutates and not guard").select("id")
+    i = F.col("id")
+    return r.idempotency(changed(spark, d), p.edges(spark, d), p.entities(spark, d), F.col("complexity") % 2 == 0, i % 5 == 1, i % 89 == 2).select("id")
 
 
 @query("R8_env_check", "select distinct p_brand as variable from part where p_partkey % 2 = 0 and p_brand not in ('Brand#11', 'Brand#12')")
@@ -384,17 +392,13 @@ def r8(spark, d):
 
 @query("R9_contract", "select c.id from changed c where exists (select 1 from edges e join entities v on v.id = e.src where e.dst = c.id and e.kind = 'calls' and v.kind = 'interface')", *G, CHANGED)
 def r9(spark, d):
-    v = p.entities(spark, d).where("kind = 'interface'").select(F.col("id").alias("src"))
-    return changed(spark, d).join(p.edges(spark, d).where("kind = 'calls'").join(v, "src").select(F.col("dst").alias("id")), "id", "left_semi").select("id")
+    return r.contract_check(changed(spark, d), p.edges(spark, d), p.entities(spark, d), ("interface",)).select("id")
 
 
 @query("R10_semantic_lgtm", """select c.file as file, bool_and(coalesce(j.taxonomy, '') in ('HORIZONTAL', 'UTILITY') and coalesce(n, 0) <= 5) as approve from (select id, id % 30 as file from changed) c
   left join justifications j on j.entity_id = c.id left join (select dst, count(*) as n from edges where kind = 'calls' group by dst) x on x.dst = c.id group by 1""", *G, J, CHANGED)
 def r10(spark, d):
-    n = p.edges(spark, d).where("kind = 'calls'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-    x = changed(spark, d).select("id", (F.col("id") % 30).alias("file")).join(p.justifications(spark, d).select(F.col("entity_id").alias("id"), "taxonomy"), "id", "left").join(n, "id", "left")
-    ok = F.coalesce(F.col("taxonomy").isin("HORIZONTAL", "UTILITY"), F.lit(False)) & (F.coalesce("n", F.lit(0)) <= 5)
-    return x.groupBy("file").agg(F.bool_and(ok).alias("approve"))
+    return r.looks_good(changed(spark, d).withColumn("file", F.col("id") % 30), p.justifications(spark, d), p.edges(spark, d), ["file"])
 
 
 @query("P4_secret_scrub", "select doc_id, regexp_matches(text, '(?i)(password|secret|token|api_key|apikey|auth_token|access_token|private_key)\\s*[=:]\\s*[\"'']?[^\\s\"'',;}{]{3,}') as had_secret from documents")

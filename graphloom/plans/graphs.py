@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import context as x
 from ..operators import graph as g
 from ..sources import projections as p
 from .base import query
@@ -104,7 +105,7 @@ def centrality(spark, d):
 
 @query("G14_hubs", "select dst as id, count(*) as callers from edges where kind = 'calls' group by dst having count(*) >= 10", *G)
 def hubs(spark, d):
-    return p.edges(spark, d).where("kind = 'calls'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers")).where("callers >= 10")
+    return x.hubs(p.edges(spark, d), 10)
 
 
 CASCADE = """hubs as (select dst as h from edges where kind = 'calls' group by dst having count(*) >= 12),
@@ -129,9 +130,7 @@ def blast_radius(spark, d):
 @query("G18_graph_context", """select id, count(*) filter (dir = 'in') as inbound, count(*) filter (dir = 'out') as outbound,
   string_agg(distinct kind, ',' order by kind) as kinds from (select dst as id, 'in' as dir, kind from edges union all select src, 'out', kind from edges) group by id""", *G)
 def context(spark, d):
-    e = p.edges(spark, d)
-    ends = e.select(F.col("dst").alias("id"), F.lit("in").alias("dir"), "kind").unionAll(e.select("src", F.lit("out"), "kind"))
-    return ends.groupBy("id").agg(F.count_if(F.col("dir") == "in").alias("inbound"), F.count_if(F.col("dir") == "out").alias("outbound"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    return x.neighbourhood(p.edges(spark, d)).withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query("G21_broken_edges", "select src, dst, kind from edges where src % 37 = 0 or dst % 37 = 0", *G)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import context as x
 from ..operators import joins as j
+from ..operators.health import unjustified as unjustified_of
 from ..operators import windows as w
 from ..sources import projections as p
 from .base import query
@@ -15,36 +17,29 @@ G = (p.ENTITIES, p.EDGES)
 
 @query("J1_edge_vertex_lookup", "select src, dst, e.kind, v.name, v.kind as dst_kind from edges e join entities v on v.id = e.dst where e.kind = 'calls'", *G)
 def edge_vertex(spark, d):
-    e, v = p.edges(spark, d).where("kind = 'calls'"), p.entities(spark, d).select("id", "name", F.col("kind").alias("dst_kind"))
-    return e.join(v, F.col("dst") == F.col("id")).select("src", "dst", "kind", "name", "dst_kind")
+    return x.edge_ends(p.edges(spark, d).where("kind = 'calls'"), p.entities(spark, d))
 
 
 @query("J2_entity_left_justification", "select e.id, e.name, j.taxonomy, j.confidence from entities e left join justifications j on j.entity_id = e.id", p.ENTITIES, p.JUSTIFICATIONS)
 def entity_justification(spark, d):
-    return p.entities(spark, d).join(p.justifications(spark, d), F.col("id") == F.col("entity_id"), "left").select("id", "name", "taxonomy", "confidence")
+    return x.justified(p.entities(spark, d), p.justifications(spark, d)).select("id", "name", "taxonomy", "confidence")
 
 
 @query("J3_entity_by_taxonomy", "select e.id, e.name, j.feature_tag, count(*) over () as total from entities e join justifications j on j.entity_id = e.id where taxonomy = 'VERTICAL'", p.ENTITIES, p.JUSTIFICATIONS)
 def by_taxonomy(spark, d):
-    x = p.entities(spark, d).join(p.justifications(spark, d).where("taxonomy = 'VERTICAL'"), F.col("id") == F.col("entity_id")).select("id", "name", "feature_tag")
-    return x.join(F.broadcast(x.agg(F.count("*").alias("total"))), how="left")
+    return x.with_total(x.justified(p.entities(spark, d), p.justifications(spark, d).where("taxonomy = 'VERTICAL'"), "inner").select("id", "name", "feature_tag"))
 
 
 @query("J4_cross_feature_calls", """select e.src, e.dst, a.feature_tag as from_feature, b.feature_tag as to_feature, v.name from edges e
   join justifications a on a.entity_id = e.src join justifications b on b.entity_id = e.dst join entities v on v.id = e.dst
   where e.kind = 'calls' and a.feature_tag <> b.feature_tag and regexp_matches(v.name, '(?i)(1|3|5|7|9)$')""", *G, p.JUSTIFICATIONS)
 def cross_feature(spark, d):
-    e, js = p.edges(spark, d).where("kind = 'calls'"), p.justifications(spark, d)
-    v = p.entities(spark, d).where(F.col("name").rlike("(?i)(1|3|5|7|9)$")).select(F.col("id").alias("dst"), "name")
-    a = js.select(F.col("entity_id").alias("src"), F.col("feature_tag").alias("from_feature"))
-    b = js.select(F.col("entity_id").alias("dst"), F.col("feature_tag").alias("to_feature"))
-    return e.join(v, "dst").join(a, "src").join(b, "dst").where("from_feature <> to_feature").select("src", "dst", "from_feature", "to_feature", "name")
+    return x.cross_feature_calls(p.edges(spark, d), p.justifications(spark, d), p.entities(spark, d), "(?i)(1|3|5|7|9)$")
 
 
 @query("J5_imported_file_entities", "select e.src, string_agg(v.id::varchar, ',' order by v.id) as members, count(*) as n from edges e join entities v on v.id = e.dst where e.kind = 'imports' group by e.src", *G)
 def imported(spark, d):
-    x = p.edges(spark, d).where("kind = 'imports'").join(p.entities(spark, d).select("id"), F.col("dst") == F.col("id"))
-    return x.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda v: v.cast("string")), ",").alias("members"), F.count("*").alias("n"))
+    return x.imported_entities(p.edges(spark, d), p.entities(spark, d)).withColumn("members", F.array_join(F.transform("members", lambda v: v.cast("string")), ","))
 
 
 HUNKS = "hunks as (select 'src/' || p_brand || '/' || p_type as file_path, l_orderkey as hunk, (l_orderkey % 90)::int as start, (l_orderkey % 90 + l_linenumber)::int as \"end\" from lineitem join part on p_partkey = l_partkey)"
@@ -71,7 +66,7 @@ def containing(spark, d):
 
 @query("J10_position_lookup", "select id, name from entities where start_line <= 42 and coalesce(end_line, 1000000) >= 42", p.ENTITIES)
 def position(spark, d):
-    return p.entities(spark, d).where((F.col("start_line") <= 42) & (F.coalesce("end_line", F.lit(1_000_000)) >= 42)).select("id", "name")
+    return x.at_line(p.entities(spark, d), 42).select("id", "name")
 
 
 @query("J11_band_first", """select violation, line, arg_min(id, s * 10000000 + id) as entity_id from
@@ -96,13 +91,12 @@ def class_methods(spark, d):
 
 @query("J13_boundary_imports", "select distinct src from edges where kind = 'imports' and dst not in (select id from entities where kind <> 'variable')", *G)
 def boundary(spark, d):
-    known = p.entities(spark, d).where("kind <> 'variable'").select("id")
-    return p.edges(spark, d).where("kind = 'imports'").join(known, F.col("dst") == F.col("id"), "left_anti").select("src").distinct()
+    return x.boundary(p.edges(spark, d), p.entities(spark, d).where("kind <> 'variable'")).withColumnRenamed("id", "src")
 
 
 @query("J14_unjustified", "select id, name from entities where id not in (select entity_id from justifications)", p.ENTITIES, p.JUSTIFICATIONS)
 def unjustified(spark, d):
-    return p.entities(spark, d).join(p.justifications(spark, d), F.col("id") == F.col("entity_id"), "left_anti").select("id", "name")
+    return unjustified_of(p.entities(spark, d), p.justifications(spark, d)).select("id", "name")
 
 
 @query("J15_dead_code", """select id, name, kind from entities where kind in ('function', 'method', 'class') and not regexp_matches(file_path, '(?i)(\\.test\\.|__tests__|/index\\.ts$)') and id % 11 <> 0
@@ -130,9 +124,7 @@ def diff(spark, d):
 @query("J18_edge_delta", "select src, dst, kind, 'added' as change from (select * from edges where src % 7 <> 0 except select * from edges where src % 5 <> 0) union all select src, dst, kind, 'deleted' from (select * from edges where src % 5 <> 0 except select * from edges where src % 7 <> 0)", *G)
 def edge_delta(spark, d):
     e = p.edges(spark, d)
-    base, branch = e.where("src % 5 <> 0"), e.where("src % 7 <> 0")
-    keys = ["src", "dst", "kind"]
-    return branch.join(base, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(base.join(branch, keys, "left_anti").withColumn("change", F.lit("deleted")))
+    return x.edge_delta(e.where("src % 5 <> 0"), e.where("src % 7 <> 0"))
 
 
 FP = "fp as (select p_partkey as id, p_brand as kind, left(sha256(p_type || p_size), 16) as fingerprint from part)"
@@ -161,15 +153,13 @@ def lookup(spark, d):
 
 @query("J22_test_files", "select e.dst as id, e.src as test_id from edges e where kind = 'calls' and src % 10 = 3 and dst % 10 <> 3", *G)
 def tests(spark, d):
-    return p.edges(spark, d).where("kind = 'calls' and src % 10 = 3 and dst % 10 <> 3").select(F.col("dst").alias("id"), F.col("src").alias("test_id"))
+    return x.tests_of(p.edges(spark, d), p.entities(spark, d), F.col("id") % 10 == 3)
 
 
 @query("J23_parent_siblings", """select a.p_partkey as id, string_agg(b.p_partkey::varchar, ',' order by b.p_partkey) as siblings from part a join part b on a.p_type = b.p_type and a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey group by 1""")
 def siblings(spark, d):
-    part = p.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_brand")
-    s = part.groupBy("p_type", "p_brand").agg(F.array_sort(F.collect_list("id")).alias("all"))
-    x = part.join(s, ["p_type", "p_brand"]).withColumn("rest", F.array_remove("all", F.col("id"))).where(F.size("rest") > 0)
-    return x.select("id", F.array_join(F.transform("rest", lambda v: v.cast("string")), ",").alias("siblings"))
+    found = x.siblings(p.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_brand"), ["p_type", "p_brand"])
+    return found.withColumn("siblings", F.array_join(F.transform("siblings", lambda v: v.cast("string")), ","))
 
 
 @query("J24_entity_profile", """select e.id, coalesce(i.s, '') as callers, coalesce(o.s, '') as callees, j.taxonomy, (x.dst is null) as dead from entities e
@@ -185,10 +175,10 @@ def profile(spark, d):
     return v.join(i, "id", "left").join(o, "id", "left").join(js, "id", "left").join(used, "id", "left").select("id", text("callers").alias("callers"), text("callees").alias("callees"), "taxonomy", F.coalesce("dead", F.lit(True)).alias("dead"))
 
 
-@query("J25_new_dependencies", "select distinct p_type as dep from part where p_partkey % 3 = 0 and p_type not in (select p_type from part where p_partkey % 50 = 1)")
+@query("J25_new_dependencies", "select distinct p_type as dep from part where p_partkey % 3 = 0 and p_type not in (select p_type from part where p_partkey % 400 = 1)")
 def dependencies(spark, d):
-    part = p.table(spark, d, "part")
-    return part.where("p_partkey % 3 = 0").select(F.col("p_type").alias("dep")).distinct().join(part.where("p_partkey % 50 = 1").select(F.col("p_type").alias("dep")), "dep", "left_anti")
+    part = p.table(spark, d, "part").withColumnRenamed("p_type", "dep")
+    return x.new_dependencies(part.where("p_partkey % 3 = 0"), part.where("p_partkey % 400 = 1"))
 
 
 @query("J28_cochange_pairs", "select a.file as a, b.file as b, count(*) as support from commits a join commits b on a.sha = b.sha and a.file < b.file group by 1, 2", p.commits_sql("p_type"))

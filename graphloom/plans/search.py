@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import search as se
+from ..operators import texts
 from ..operators import windows as w
+from ..operators.context import rank_rules
 from ..sources import projections as p
 from .base import query
 
@@ -118,7 +120,7 @@ def hybrid(spark, d):
 @query("V12_variants", "select p_partkey % 100 as key, count(*) as n from part group by 1")
 def variants(spark, d):
     k = F.concat((F.col("p_partkey") % 100).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "::code").otherwise(""))
-    return p.table(spark, d, "part").groupBy(F.regexp_replace(k, "::code$", "").cast("long").alias("key")).agg(F.count("*").alias("n"))
+    return p.table(spark, d, "part").groupBy(texts.plain_key(k).cast("long").alias("key")).agg(F.count("*").alias("n"))
 
 
 @query("V14_context", """select s.id, s.depth, round(least(count(x.a) / (2.0 * ((select count(*) from entities) - 1)), 1.0), 9) as centrality from
@@ -133,10 +135,11 @@ def context(spark, d):
     return found.join(g.centrality(e, v), "id").orderBy(F.desc("centrality"), "id").limit(5).select("id", "depth", F.round("centrality", 9).alias("centrality"))
 
 
-@query("V15_embedding_text", "select id, kind || ': ' || name || chr(10) || 'file: ' || file_path || case when kind in ('function', 'method') then chr(10) || 'signature: ' || signature else '' end as text from entities", p.ENTITIES)
+@query("V15_embedding_text", """select e.id::varchar || case v when 'code' then '::code' else '' end as key, v as variant, upper(kind[1]) || kind[2:] || ': ' || name || chr(10) || 'File: ' || file_path || chr(10)
+  || case kind when 'interface' then 'Contract: ' else 'Signature: ' end || signature || case when v = 'semantic' and j.entity_id is not null then chr(10) || 'Domain: ' || array_to_string(domain_concepts, ', ') || coalesce(chr(10) || 'Feature: ' || feature_tag, '') else '' end as text
+  from entities e cross join (values ('semantic'), ('code')) t(v) left join justifications j on j.entity_id = e.id""", p.ENTITIES, p.JUSTIFICATIONS)
 def embedding_text(spark, d):
-    sig = F.when(F.col("kind").isin("function", "method"), F.concat(F.lit("signature: "), "signature"))
-    return p.entities(spark, d).select("id", F.concat_ws("\n", F.concat_ws(": ", "kind", "name"), F.concat(F.lit("file: "), "file_path"), sig).alias("text"))
+    return texts.embedding_texts(p.entities(spark, d), p.justifications(spark, d)).select("key", "variant", "text")
 
 
 @query("V16_hash_embedding")
@@ -166,8 +169,7 @@ def drift(spark, d):
 @query("V19_rule_ranking", """select p_partkey as rule, p_size % 10 + 5 * (select count(*) from entities e where e.id in (select dst from edges where src = 100) and e.kind = case p_partkey % 5 when 0 then 'function' when 1 then 'method' when 2 then 'class' when 3 then 'interface' else 'variable' end)
   + case when p_brand = 'Brand#11' then 20 else 0 end as score from part order by score desc, rule limit 10""", p.ENTITIES, p.EDGES)
 def rule_ranking(spark, d):
-    near = p.edges(spark, d).where("src = 100").select(F.col("dst").alias("id")).distinct().join(p.entities(spark, d), "id").groupBy("kind").agg(F.count("*").alias("n"))
+    near = p.edges(spark, d).where("src = 100").select(F.col("dst").alias("id")).join(p.entities(spark, d), "id")
     kind = F.get(F.array(*map(F.lit, p.KINDS)), (F.col("p_partkey") % 5).cast("int"))
-    rules = p.table(spark, d, "part").withColumn("kind", kind)
-    score = F.col("p_size") % 10 + 5 * F.coalesce("n", F.lit(0)) + F.when(F.col("p_brand") == "Brand#11", 20).otherwise(0)
-    return rules.join(near, "kind", "left").select(F.col("p_partkey").alias("rule"), score.alias("score")).orderBy(F.desc("score"), "rule").limit(10)
+    rules = p.table(spark, d, "part").select(F.col("p_partkey").alias("rule"), (F.col("p_size") % 10).alias("priority"), F.array(kind).alias("kinds"), (F.col("p_brand") == "Brand#11").alias("fits_file"))
+    return rank_rules(rules, near).select("rule", "score")
\ No newline at end of file

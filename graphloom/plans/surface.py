@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import providers
 from ..functions import scalars as s
 from ..operators import change as c
 from ..operators import mutations as m
+from ..operators import texts
 from ..sources import code, workspace
 from ..sources import projections as p
 from ..streaming import operators as st
+from ..streaming import steps
 from ..tools import TOOLS, Repo
+from . import lineage
 from .base import query
 
 
@@ -126,7 +131,7 @@ def similar_tags(spark, d):
     return c.similar_pairs(p.table(spark, d, "part").select(F.lower("p_type").alias("t")), "t", 0.75)
 
 
-@query("R5_dependency_check", "select distinct p_type as dep from part where p_partkey % 3 = 0 and p_type not in (select p_type from part where p_partkey % 50 = 1)")
+@query("R5_dependency_check", "select distinct p_type as dep from part where p_partkey % 3 = 0 and p_type not in (select p_type from part where p_partkey % 400 = 1)")
 def dependency(spark, d):
     from .joins import dependencies
 
@@ -331,3 +336,29 @@ def deprecations(spark, d):
     k = F.col("o_custkey") % 10
     score = c.decay_score(F.lit(100), F.when(k < 3, 100).otherwise(0), F.when(k < 3, 80).otherwise(0), F.lit(100), F.lit(0))
     return p.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (score < 0.4).alias("deprecate"))
+
+
+@query("S16_pattern_catalog", "select * from (values ('p1', 'eval\\(', 'error'), ('p2', 'TODO', 'warning')) t(id, regex, severity)")
+def catalog(spark, d):
+    text = "- id: p1\n  regex: 'eval\\('\n  severity: error\n- id: p2\n  regex: TODO\n  severity: warning\n"
+    return workspace.load_catalog(spark, text).select("id", "regex", "severity")
+
+
+@query("FN_name_phrases", "select p_partkey as id, case p_partkey % 3 when 0 then 'fetches ' when 1 then 'notifies ' else 'processes ' end || p_name as phrase from part")
+def phrases(spark, d):
+    verb = F.get(F.array(*map(F.lit, ["fetch", "notify", "process"])), (F.col("p_partkey") % 3).cast("int"))
+    return p.table(spark, d, "part").select(F.col("p_partkey").alias("id"), texts.name_phrase(F.concat_ws("_", verb, F.regexp_replace("p_name", " ", "_"))).alias("phrase"))
+
+
+@query("FN_body_summaries", "select p_partkey as id, 'if (x) {' || chr(10) || '[SETUP: 3 lines]' || chr(10) || 'return ' || p_size as summary from part")
+def summaries(spark, d):
+    body = F.concat(F.lit("if (x) {\nconst a = 1\nlet b = 2\nvar c = 3\nreturn "), F.col("p_size").cast("string"))
+    return p.table(spark, d, "part").select(F.col("p_partkey").alias("id"), texts.summarize(body, 40).alias("summary"))
+
+
+@query("ST14_resumable_steps", "select event_type, count(*) as n from events where value > 50 group by 1")
+def resumable(spark, d):
+    folder = f"{lineage.shared_dir(spark)}/graphloom/steps-{uuid.uuid4().hex}"
+    first = ("select", lambda s, _: p.table(s, d, "events").where("value > 50").select("event_type"))
+    steps.run_steps(spark, folder, "run", [first])
+    return steps.run_steps(spark, folder, "run", [first, ("count", lambda s, rows: rows.groupBy("event_type").agg(F.count("*").alias("n")))])[0]
