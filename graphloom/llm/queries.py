@@ -102,3 +102,25 @@ def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve(pages, measured(stored))
     mine = found.where(F.col("caption") == F.concat(F.lit("payload of document "), number))
     return mine.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import clustered
+
+    c = clustered(_read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
+    return c.withColumnRenamed("id", "vec_id")
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    labels = _read(spark, sf_dir, "labels")
+    good, toxic = (labels.where(w).select(F.col("doc_id").alias("id")) for w in ("quality = 1", "toxic = 1"))
+    return audit(_read(spark, sf_dir, "documents"), good, toxic)
+
+
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .curve import curve_pack
+
+    p = curve_pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return p.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
