@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.lineage import materialise, release
+from . import structure
 
 # Which edge kinds have a collection of their own; all others are stored with the calls.
 OWN_COLLECTIONS = ("contains", "imports", "extends", "implements", "rule_exceptions", "language_implementations", "logically_coupled")
 # Edge weights of the page rank.
 RANK_WEIGHTS = {"calls": 0.5, "references": 0.3, "mutates_state": 0.9, "implements": 0.7, "emits": 0.6, "listens_to": 0.6, "extends": 0.3, "imports": 0.1, "member_of": 0.05, "contains": 0.0}
-SMALL_GRAPH = 2_000_000  # edges that one task ranks or peels in memory
 
 
 def connected(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -119,60 +115,33 @@ def _weight() -> Column:
     return F.coalesce(F.try_element_at(kinds, F.col("kind")), F.lit(0.0))
 
 
-def rank_arrays(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, damping: float = 0.85, tol: float = 1e-4, rounds: int = 100) -> tuple[np.ndarray, int]:
-    """Weighted page rank of one graph in memory; dangling mass is spread evenly; stops when no score moves by tol."""
-    n = len(ids)
-    order = np.argsort(ids, kind="stable")
-    s, d = (order[np.searchsorted(ids, x, sorter=order)] for x in (src, dst))
-    out = np.bincount(s, weight, minlength=n)
-    r = np.full(n, 1.0 / n)
-    for k in range(1, rounds + 1):
-        dangling = r[out == 0].sum()
-        new = (1 - damping) / n + damping * (np.bincount(d, r[s] * weight / out[s], minlength=n) + dangling / n)
-        moved = np.abs(new - r).max()
-        r = new
-        if moved < tol:
-            break
-    return r, k
-
-
-def page_rank(edges: DataFrame, entities: DataFrame, damping: float = 0.85, tol: float = 1e-4, rounds: int = 100, small: int = SMALL_GRAPH) -> DataFrame:
+def page_rank(edges: DataFrame, entities: DataFrame, damping: float = 0.85, tol: float = 1e-4, rounds: int = 100) -> DataFrame:
     """(id, pagerank, percentile): weighted page rank, and the place in ascending order (ties by id) in percent.
 
-    A graph of up to ``small`` edges is ranked in one task; a larger one by joins, a materialised table per round."""
+    Vertices without weight out spread their rank evenly; it stops when no rank moves by ``tol``.  A round is one join of the
+    weight shares with the ranks and one table, whose aggregate gives the next round's even share."""
     w = edges.select("src", "dst", _weight().alias("w")).where("w > 0")
-    known = entities.select("id").distinct()
-    w = w.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    w = materialise(w, "weights")
+    known = materialise(entities.select("id").distinct(), "known")
+    w = materialise(w.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi"), "weights")
     n = known.count()
     if n == 0:
         return known.select("id", F.lit(0.0).alias("pagerank"), F.lit(0.0).alias("percentile"))
-    if w.count() + n <= small:
-
-        def one(_key, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-            ids = v["id"].to_numpy()
-            r, _ = rank_arrays(ids, e["src"].to_numpy(), e["dst"].to_numpy(), e["w"].to_numpy(), damping, tol, rounds)
-            return pd.DataFrame({"id": ids, "pagerank": r})
-
-        ranks = known.withColumn("g", F.lit(0)).groupBy("g").cogroup(w.withColumn("g", F.lit(0)).groupBy("g")).applyInPandas(one, f"id {entities.schema['id'].dataType.simpleString()}, pagerank double")
-    else:
-        out = w.groupBy("src").agg(F.sum("w").alias("total"))
-        share = materialise(w.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "shares")
-        ranks = known.withColumn("pagerank", F.lit(1.0 / n)).join(out.select(F.col("src").alias("id"), F.lit(True).alias("sends")), "id", "left")
-        last = ranks = materialise(ranks, "rank")
-        for _ in range(rounds):
-            dangling = ranks.where("sends is null").agg(F.sum("pagerank")).first()[0] or 0.0
-            got = share.join(ranks.select(F.col("id").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
-            new = ranks.join(got, "id", "left").select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + dangling / n)).alias("pagerank"), "sends", F.col("pagerank").alias("old"))
-            new = materialise(new, "rank")
-            release(last)
-            last = new
-            moved = new.agg(F.max(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
-            ranks = new.drop("old")
-            if moved < tol:
-                break
-        ranks = ranks.select("id", "pagerank")
-    return percentile(ranks, "pagerank", n)
+    out = w.groupBy("src").agg(F.sum("w").alias("total"))
+    share = materialise(w.join(out, "src").groupBy("src", "dst").agg((F.sum("w") / F.max("total")).alias("share")), "shares")
+    ranks = materialise(known.join(out.select(F.col("src").alias("id"), F.lit(True).alias("sends")), "id", "left").withColumn("pagerank", F.lit(1.0 / n)), "rank")
+    idle = F.sum(F.when(F.col("sends").isNull(), F.col("pagerank"))).alias("idle")
+    dangling = ranks.agg(idle).first()["idle"] or 0.0
+    for _ in range(rounds):
+        got = share.join(ranks.select(F.col("id").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
+        new = ranks.join(got, "id", "left").select("id", "sends", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + dangling / n)).alias("pagerank"), F.col("pagerank").alias("old"))
+        new = materialise(new, "rank")
+        state = new.agg(F.max(F.abs(F.col("pagerank") - F.col("old"))).alias("moved"), idle).first()
+        release(ranks)
+        ranks, dangling = new, state["idle"] or 0.0
+        if state["moved"] < tol:
+            break
+    release(w, share)
+    return percentile(ranks.select("id", "pagerank"), "pagerank", n)
 
 
 def percentile(rows: DataFrame, col: str, n: int) -> DataFrame:
@@ -197,106 +166,20 @@ def places(rows: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def communities(edges: DataFrame, entities: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, community): label propagation in rounds, each vertex taking its neighbours' most frequent label (ties: the
-    smallest).  Synchronous, so order plays no part; a vertex without neighbours keeps its own."""
-    both = edges.select("src", "dst").where("src <> dst").distinct()
-    both = materialise(both.unionAll(both.select("dst", "src")).distinct(), "both")
-    last, labels = None, entities.select("id", F.col("id").alias("community"))
-    for _ in range(rounds):
-        votes = both.join(labels, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("v"), "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy("v").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("new"))
-        new = labels.join(best, F.col("id") == F.col("v"), "left").select("id", F.least("community", "new").alias("community"), (F.coalesce(F.least("community", "new"), "community") != F.col("community")).alias("moved"))
-        new = materialise(new, "labels")
-        release(last)
-        last, labels = new, new.select("id", "community")
-        if not new.where("moved").head(1):
-            break
-    return labels
-
-
-def peel(src: np.ndarray, dst: np.ndarray, n: int, first: int = 0) -> np.ndarray:
-    """Levels of vertices 0..n-1 in memory: all without remaining edges out, or the one of least (out-degree, number).
-
-    ``first``: the level at which a break of a cycle may come at the earliest."""
-    degree = np.bincount(src, minlength=n).tolist()
-    into: list[list[int]] = [[] for _ in range(n)]
-    for a, b in zip(src.tolist(), dst.tolist()):
-        into[b].append(a)
-    level, at, left = [-1] * n, 0, n
-    heap = [(d, v) for v, d in enumerate(degree)]
-    heapq.heapify(heap)
-    now = [v for v, d in enumerate(degree) if d == 0]
-    at = 0 if now else first
-    while left:
-        while not now:
-            d, v = heapq.heappop(heap)  # stale where the vertex has gone or its degree fell
-            if level[v] < 0 and degree[v] == d:
-                now = [v]
-        for v in now:
-            level[v] = at
-        left -= len(now)
-        freed = []
-        for v in now:
-            for u in into[v]:
-                degree[u] -= 1
-                if level[u] < 0:
-                    if degree[u]:
-                        heapq.heappush(heap, (degree[u], u))
-                    else:
-                        freed.append(u)
-        now, at = freed, at + 1
-    return np.array(level, np.int32)
-
-
-def levels(edges: DataFrame, entities: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
-    """(id, level): leaves (no calls or references to others) first, then whatever only depends on lower levels.
-
-    Where only cycles are left, the one vertex of least remaining out-degree (ties: the smallest id) is a level of its
-    own, so every vertex gets a level.  Up to ``small`` edges one task peels them in memory; above, rounds of joins."""
-    e = edges.where(F.col("kind").isin("calls", "references")).select("src", "dst").where("src <> dst").distinct()
-    known = entities.select("id").distinct()
-    e = materialise(e.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi"), "depends")
-    if e.count() <= small:
-        ends = e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct()
-        lone = materialise(known.join(ends, "id", "left_anti").select("id", F.lit(0).alias("level")), "lone")
-        first = 1 if lone.head(1) else 0  # they make up the first level where the others are all in or above cycles
-
-        def solve(x: pd.DataFrame) -> pd.DataFrame:
-            ids = sorted(set(x["src"]) | set(x["dst"]))
-            at = {v: i for i, v in enumerate(ids)}
-            got = peel(x["src"].map(at).to_numpy(np.int64), x["dst"].map(at).to_numpy(np.int64), len(ids), first)
-            return pd.DataFrame({"id": ids, "level": got})
-
-        schema = f"id {entities.schema['id'].dataType.simpleString()}, level int"
-        return lone.unionAll(e.groupBy(F.lit(0).alias("all")).applyInPandas(solve, schema))
-    left, level = materialise(known, "left"), 0
-    out = left.limit(0).select("id", F.lit(0).alias("level"))
-    while left.head(1):
-        degree = left.join(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "id", "left").fillna(0, ["d"])
-        degree = materialise(degree, "degree")
-        least = degree.agg(F.min(F.struct("d", "id")).alias("x")).first()["x"]
-        now = degree.where(F.col("d") == 0 if least["d"] == 0 else F.col("id") == F.lit(least["id"])).select("id", F.lit(level).alias("level"))
-        out = out.unionAll(now)
-        if level % 50 == 49:
-            out = materialise(out, "levels")
-        left = materialise(left.join(now.select("id"), "id", "left_anti"), "left")
-        e = materialise(e.join(now.select(F.col("id").alias("dst")), "dst", "left_anti").join(now.select(F.col("id").alias("src")), "src", "left_anti"), "depends")
-        level += 1
-    return out
-
-
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """Simple cycles of up to ``longest`` calls or imports, each once, as the array of its vertices from the smallest.
-
-    Paths grow only through vertices above their first, so each cycle is found from its smallest vertex alone."""
-    e = edges.where(F.col("kind").isin("calls", "imports")).select("src", "dst").where("src <> dst").distinct()
-    paths = e.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last"))
-    found = None
-    for _ in range(2, longest + 1):
-        closed = paths.join(e, (F.col("last") == F.col("src")) & (F.col("first") == F.col("dst"))).select(F.col("path").alias("cycle"))
-        found = closed if found is None else found.unionAll(closed)
-        paths = paths.join(e, F.col("last") == F.col("src")).where((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), "first", F.col("dst").alias("last"))
-    return found
+    """(id, community) by label propagation: see ``structure.propagated_labels``."""
+    return structure.propagated_labels(edges, entities.select("id"), rounds)
+
+
+def levels(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, level, turn) by what calls and references depend on: see ``structure.levels``."""
+    return structure.levels(edges, entities)
+
+
+def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(component, cycle) over calls and imports, of any length and at least one of every strong component: see
+    ``structure.witness_cycles``.  With ``most`` the shortest ones (ties: the smallest ids)."""
+    found = structure.witness_cycles(edges.where(F.col("kind").isin("calls", "imports")))
+    return found if most is None else found.orderBy(F.size("cycle"), "cycle").limit(most)
 
 
 def centrality(edges: DataFrame, entities: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def missing_justifications(entities: DataFrame, justifications: DataFrame, high:
     return x.agg(n.alias("n"), F.count("*").alias("total"), _high(n > high * F.count("*")).alias("severity"))
 
 
-def report(justifications: DataFrame, features: DataFrame, entities: DataFrame, edges: DataFrame, scores: DataFrame, cycle_length: int = 4) -> DataFrame:
+def report(justifications: DataFrame, features: DataFrame, entities: DataFrame, edges: DataFrame, scores: DataFrame, most_cycles: int = 10) -> DataFrame:
     """(risk, category, severity, affected, samples): one row per risk found, with at most ``SAMPLES`` ids as strings.
 
     ``scores``: (entity_id, score) of each justification's quality.  If all justifications are stubs that is the only
@@ -137,7 +137,7 @@ def report(justifications: DataFrame, features: DataFrame, entities: DataFrame,
         listed("low_quality_justification", "quality", low.join(F.broadcast(quality), how="left"), "entity_id"),
         listed("high_fan_in", "complexity", crowded(edges, "dst", 20), "id"),
         listed("high_fan_out", "complexity", crowded(edges, "src", 15), "id"),
-        listed("circular_dependency", "architecture", graph.cycles(edges, cycle_length).select(F.array_join(F.transform("cycle", lambda v: v.cast("string")), ",").alias("cycle")), "cycle", "high"),
+        listed("circular_dependency", "architecture", graph.cycles(edges, most_cycles).select(F.array_join(F.transform("cycle", lambda v: v.cast("string")), ",").alias("cycle")), "cycle", "high"),
         listed("taxonomy_anomaly", "taxonomy", taxonomy_anomalies(justifications, edges), "entity_id", "medium"),
         listed("confidence_gap", "quality", confidence_gaps(features), "feature_tag"),
         counted("missing_justification", "taxonomy", missing_justifications(entities, justifications), "n > 0.05 * total"),

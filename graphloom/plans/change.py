@@ -12,7 +12,7 @@ from ..operators import joins as j
 from ..operators import windows as w
 from ..sources import projections as p
 from .base import query
-from .graphs import CYC
+from .graphs import CYCLES
 
 G = (p.ENTITIES, p.EDGES)
 VERSIONS = """versions as (select o_orderkey as id, 'f(a)' as old_sig, case when o_orderkey % 5 = 0 then 'f(a, b)' else 'f(a)' end as new_sig,
@@ -264,10 +264,9 @@ query("H10_high_fan_in", "select dst as id, count(*) as n, case when max(count(*
 query("H11_high_fan_out", "select src as id, count(*) as n, case when max(count(*)) over () >= 15 then 'high' else 'medium' end as severity from edges where kind = 'calls' group by src having count(*) >= 10", *G)(_degree("src", 15))
 
 
-@query("H12_circular_dependency", """select (select count(*) from ce a join ce b on a.src = b.dst and a.dst = b.src where a.src < a.dst) + (select count(*) from ce a join ce b on b.src = a.dst join ce c on c.src = b.dst and c.dst = a.src
-  where a.src < b.src and a.src < c.src and b.src <> c.src) as n""", *G, "ce as (select distinct src, dst from edges where kind in ('calls', 'imports') and src <> dst)")
+@query("H12_circular_dependency", "select count(*) as n from (select * from ring limit 10)", *G, *CYCLES)
 def h12(spark, d):
-    return g.cycles(p.edges(spark, d), 3).agg(F.count("*").alias("n"))
+    return g.cycles(p.edges(spark, d), 10).agg(F.count("*").alias("n"))
 
 
 @query("H13_taxonomy_anomaly", """select j.entity_id, taxonomy, coalesce(n, 0) as callers from justifications j left join (select dst, count(*) as n from edges where kind = 'calls' group by dst) x on x.dst = j.entity_id
@@ -312,14 +311,14 @@ REPORT = " union all ".join([
     _listed("low_quality_justification", "quality", _over(0.1, "justifications"), "select entity_id as id from scored where score < 0.5"),
     _listed("high_fan_in", "complexity", "case when max(n) >= 20 then 'high' else 'medium' end", "select dst as id, count(*) as n from edges where kind = 'calls' group by 1 having count(*) >= 10"),
     _listed("high_fan_out", "complexity", "case when max(n) >= 15 then 'high' else 'medium' end", "select src as id, count(*) as n from edges where kind = 'calls' group by 1 having count(*) >= 10"),
-    _listed("circular_dependency", "architecture", "'high'", "select array_to_string(path, ',') as id from paths join ce on src = last and dst = first"),
+    _listed("circular_dependency", "architecture", "'high'", "select array_to_string(cycle, ',') as id from (select cycle from ring order by len(cycle), cycle limit 10)"),
     _listed("taxonomy_anomaly", "taxonomy", "'medium'", "select entity_id as id from justifications left join (select dst, count(*) as n from edges where kind = 'calls' group by 1) x on dst = entity_id where (taxonomy = 'VERTICAL' and n is null) or (taxonomy = 'HORIZONTAL' and n = 1)"),
     _listed("confidence_gap", "quality", "case when min(a) < 0.4 then 'high' else 'medium' end", "select feature_tag as id, avg(confidence) as a from justifications group by 1 having avg(confidence) < 0.6"),
     _counted("missing_justification", "taxonomy", "case when count(*) filter (j.entity_id is null) > 0.2 * count(*) then 'high' else 'medium' end", "count(*) filter (j.entity_id is null)", "count(*) filter (j.entity_id is null) > 0.05 * count(*)", "entities e left join justifications j on j.entity_id = e.id"),
 ])
 
 
-@query("A12_health_report", f"select * from ({REPORT}) where (select {STUB} < count(*) from justifications) union all " + _counted("llm_failure", "quality", "'high'", STUB, f"{STUB} = count(*) and count(*) > 0"), *G, J, SCORE, CYC)
+@query("A12_health_report", f"select * from ({REPORT}) where (select {STUB} < count(*) from justifications) union all " + _counted("llm_failure", "quality", "'high'", STUB, f"{STUB} = count(*) and count(*) > 0"), *G, J, SCORE, *CYCLES)
 def health_report(spark, d):
     js = p.justifications(spark, d)
     found = health.report(js, reports.feature_counts(js), p.entities(spark, d), p.edges(spark, d), scored(spark, d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import context as x
 from ..operators import graph as g
+from ..operators import structure
 from ..sources import projections as p
 from .base import query
 
@@ -82,19 +83,51 @@ def label_propagation(spark, d):
     return g.communities(p.edges(spark, d), p.entities(spark, d))
 
 
-@query("G11_topological_levels")
+def _components(name: str, of: str) -> str:
+    """CTEs: ``name`` (id, component) of the strong components of two vertices or more of the edges ``of``."""
+    return f"""{name}_reach(src, dst) as (select src, dst from {of} union select r.src, e.dst from {name}_reach r join {of} e on e.src = r.dst),
+{name} as (select a.src as id, min(a.dst) as component from {name}_reach a join {name}_reach b on b.src = a.dst and b.dst = a.src group by a.src having count(distinct a.dst) > 1)"""
+
+
+LEVELS = (
+    "dep as (select distinct src, dst from edges where kind in ('calls', 'references') and src in (select id from entities) and dst in (select id from entities))",
+    _components("parts", "dep"),
+    "units as (select e.id, coalesce(component, e.id) as unit, component is not null as cyclic from entities e left join parts p on p.id = e.id)",
+    "between as (select distinct a.unit as src, b.unit as dst from dep join units a on a.id = dep.src join units b on b.id = dep.dst where a.unit <> b.unit)",
+    "walks(unit, level) as (select distinct unit, 0 from units union select src, level + 1 from walks join between on dst = unit)",
+    "inner_edges as (select dep.src as id, count(*) as n from dep join units a on a.id = dep.src join units b on b.id = dep.dst where a.unit = b.unit group by 1)",
+)
+
+
+@query("G11_topological_levels", """select u.id, w.level::int as level, case when cyclic then row_number() over (partition by u.unit order by n, u.id) - 1 else 0 end as turn
+  from units u join (select unit, max(level) as level from walks group by 1) w on w.unit = u.unit left join inner_edges i on i.id = u.id""", *G, *LEVELS)
 def levels(spark, d):
     return g.levels(p.edges(spark, d), p.entities(spark, d))
 
 
-CYC = """ce as (select distinct src, dst from edges where kind in ('calls', 'imports')),
-paths(path, first, last, n) as (select [src, dst], src, dst, 2 from ce where src < dst
-  union all select list_append(path, dst), first, dst, n + 1 from paths join ce on src = last where dst > first and not list_contains(path, dst) and n < 4)"""
+# Every vertex of a component points to the successor nearest to the component's least vertex (up to 4 edges off), else the smallest one.
+CYCLES = (
+    "ce as (select distinct src, dst from edges where kind in ('calls', 'imports'))",
+    _components("rings", "ce"),
+    "inside as (select src, dst, a.component as part from ce join rings a on a.id = src join rings b on b.id = dst and b.component = a.component)",
+    "off(id, away) as (select id, 0 from rings where id = component union select i.src, away + 1 from off join inside i on i.dst = off.id where away < 4)",
+    "nearest as (select id, min(away) as away from off group by id)",
+    "pointers as (select src as id, part, arg_min(dst, (coalesce(away, 5), dst)) as next from inside left join nearest n on n.id = dst group by src, part)",
+    "follow(begin_id, spot) as (select id, next from pointers union select begin_id, next from follow join pointers on id = spot)",
+    "on_ring as (select begin_id as id, min(spot) as low from follow group by begin_id having bool_or(spot = begin_id))",
+    "ring_walk(component, low, spot, path) as (select part, low, next, [low] from on_ring join pointers using (id) where low = id union all select component, low, next, list_append(path, spot) from ring_walk join pointers on id = spot where spot <> low)",
+    "ring as (select component, path as cycle from ring_walk where spot = low)",
+)
 
 
-@query("G12_cycles", "select array_to_string(path, ',') as cycle from paths join ce on src = last and dst = first", *G, CYC)
+@query("G12_cycles", "select component, array_to_string(cycle, ',') as cycle from ring", *G, *CYCLES)
 def cycles(spark, d):
-    return g.cycles(p.edges(spark, d), 4).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
+    return g.cycles(p.edges(spark, d)).select("component", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
+
+
+@query("G12_strong_components", "select id, component from rings", *G, *CYCLES[:2])
+def components(spark, d):
+    return structure.strong_components(p.edges(spark, d).where("kind in ('calls', 'imports')"))
 
 
 @query("G13_degree_centrality", """select e.id, count(x.id) as degree, round(least(count(x.id) / (2.0 * ((select count(*) from entities) - 1)), 1.0), 9) as centrality

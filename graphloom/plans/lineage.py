@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: list[str] = []  # folders that stand, in the order of writing
 
@@ -37,6 +37,13 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def materialise_telling(df: DataFrame, tag: str, **told: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, and aggregates of the rows written, from the same job: whether a round changed anything."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[c.alias(n) for n, c in told.items()]), tag)
+    return out, seen.get
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
