@@ -53,11 +53,14 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
 PUNCTUATION = re.compile(r"[,.;:!?…、。，！？]")
 SPACE = re.compile(r"\s+")
+SHOWN_RAW = frozenset("noscript template svg math".split())  # those whose content is markup
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 
 # Weights of a block's characters and marks, multiplied: inside an element that announces other things by its tag or
-# role, by its names, and inside an article or main element.
-MARKED, NAMED, ARTICLE = 0.05, 0.25, 4.0
+# role, by its names, and inside an article or main element; and where the blocks of a path, ITEMS or more, nearly all stand in
+# elements of their own, as comments and teasers do, not the paragraphs of one text.
+MARKED, NAMED, ARTICLE, APART = 0.05, 0.25, 4.0, 0.2
+ITEMS, OWN_SHARE = 5, 0.45
 PLAIN, BY_NAME, BY_TAG, HIDDEN = range(4)
 
 
@@ -163,11 +166,10 @@ class Page:
                     if open_ and open_[-1] > fence:
                         lowest = min(lowest, open_[bisect_right(open_, fence)])
                 pop_to(lowest)
-            if tag in RAW:  # its content is not markup; what the page cuts off ends with the page
+            if tag in RAW and tag not in SHOWN_RAW:  # its content is not markup; what the page cuts off ends with the page
                 e = RAW_END[tag].search(page, at)
-                if tag not in ("noscript", "template", "svg", "math"):
-                    at = e.end() if e else size
-                    continue
+                at = e.end() if e else size
+                continue
             _, above, path, region, article, hidden, fence = stack[-1]
             said, advert = _announced(tag, m[3], article)
             number, block = above, tag in BLOCKS
@@ -215,22 +217,25 @@ def content_paths(fused: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _weights(p: Page) -> np.ndarray:
-    """Each block's weight by what is announced around it."""
+    """Each block's weight by what is announced around it and by whether its path's blocks stand apart."""
     per = [1.0]
     for _, around, said, _ in p.regions[1:]:
         per.append(per[around] * (NAMED if said == BY_NAME else MARKED))
-    return np.maximum(np.array(per)[p.region], 1e-6) * np.where(p.article, ARTICLE, 1.0)
+    path, parent = np.array(p.path), np.array(p.parent)[np.array(p.at)]
+    nodes = np.bincount(path)
+    homes = np.bincount(np.unique(np.stack([path, parent]), axis=1)[0], minlength=len(nodes))
+    apart = (nodes >= ITEMS) & (homes >= OWN_SHARE * nodes)
+    return np.maximum(np.array(per)[p.region], 1e-6) * np.where(p.article, ARTICLE, 1.0) * np.where(apart[path], APART, 1.0)
 
 
 def _dropped(p: Page, use: np.ndarray, chars: np.ndarray, marks: np.ndarray, chosen: np.ndarray, root: int) -> list[bool]:
     """Which announced regions inside ``root`` go: those of which most text is on paths that are not content, and text
     level ones (whose path their names do not set apart) that are much shorter or plainer than the content around."""
-    total, on_path, nodes, points = (np.zeros(len(p.regions)) for _ in range(4))
-    for i, n, m, c in zip(use.tolist(), chars.tolist(), marks.tolist(), chosen.tolist()):
-        r = p.region[i]
-        while r:  # regions around a block: few, as each is an announcement inside another
-            total[r], on_path[r], nodes[r], points[r] = total[r] + n, on_path[r] + n * c, nodes[r] + 1, points[r] + m
-            r = p.regions[r][1]
+    region = np.array(p.region)[use]
+    sums = np.stack([np.bincount(region, w, minlength=len(p.regions)) for w in (chars, chars * chosen, np.ones(len(use)), marks)], 1)
+    for r in range(len(p.regions) - 1, 0, -1):  # an announcement inside another comes after it
+        sums[p.regions[r][1]] += sums[r]
+    total, on_path, nodes, points = sums.T
     plain = [k for k, i in enumerate(use.tolist()) if chosen[k] and not p.region[i]] or np.flatnonzero(chosen).tolist()
     usual, usual_marks = chars[plain].mean(), marks[plain].mean()
     out = [False]

@@ -22,19 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, trimmed
+from .html import RAW, RAW_END, SHOWN_RAW, TAG
 
 PAD = 64
 RATE = 8000  # samples a second that the container states
 SCHEME = "sha256:"
-_TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 MEDIA_TAGS = frozenset(("img", "audio", "video", "source", "embed"))
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 
 
 def sequence(page: str | None) -> list[dict]:
     """Elements in page order.  Text runs are one element up to the next medium or block; a figure's caption, else the
-    alternative text, is its medium's caption.  Null or empty: no elements."""
+    alternative text, is its medium's caption.  Scripts, styles and the like are no text; a tag that is never closed ends with
+    the page.  Time grows in proportion to the page, however malformed.  Null or empty: no elements."""
     out: list[dict] = []
     text: list[str] = []
     figure: dict | None = None
@@ -47,11 +48,18 @@ def sequence(page: str | None) -> list[dict]:
             out.append({"position": len(out), "kind": "text", "text": s, "digest": None, "caption": None})
 
     at, page = 0, page or ""
-    for m in _TOKEN.finditer(page):
-        (text if caption is None else caption).append(page[at : m.start()])
+    while at < len(page):
+        m = TAG.search(page, at)
+        end = m.start() if m else len(page)
+        (text if caption is None else caption).append(page[at:end])
+        if not m:
+            break
         at = m.end()
         tag = (m[2] or "").lower()
-        if tag in MEDIA_TAGS and not m[1]:
+        if tag in RAW and tag not in SHOWN_RAW and not m[1]:
+            close = RAW_END[tag].search(page, at)
+            at = close.end() if close else len(page)
+        elif tag in MEDIA_TAGS and not m[1]:
             a = {k.lower(): unescape(x or y or z) for k, x, y, z in _ATTR.findall(m[3])}
             src = a.get("src", "")
             if src:
@@ -70,7 +78,6 @@ def sequence(page: str | None) -> list[dict]:
             flush()
             if tag == "figure":
                 figure = None
-    text.append(page[at:])
     flush()
     return out
 

@@ -288,3 +288,32 @@ def test_url_query(spark):
         want = brute_rule(r.host, r.path)
         assert (r.rule, r.verdict) == ((want[1], want[0]) if want else (None, "block" if r.bad_rate_low > urls.MAX_BAD else "allow"))
     assert F  # the query's columns are judged above
+
+
+def test_comments_under_untelling_names_are_not_the_article():
+    """What stands in an element of its own again and again, like comments, is not one text; longer or not."""
+    body = [f"Article paragraph {i} with some words, and others. It goes on for a while, too." for i in range(6)]
+    says = [f"Reader comment number {i}, which is long and has many words, too. It never ends, does it? No, it goes on and on." for i in range(20)]
+    article = "".join(f"<p>{x}</p>" for x in body)
+    comments = "".join(f"<div><b>Ann</b><p>{x}</p></div>" for x in says)
+    for page in (f"<body><div>{article}</div><div class='x3'>{comments}</div></body>", f"<body><h1>Title</h1><div>{article}</div><div class='x3'>{comments}</div></body>"):
+        assert html.content(page) == "\n".join(body)
+
+
+def test_deep_announcements_take_linear_time():
+    began = time.time()
+    html.content("<body>" + "<div class=ad>" * 3000 + "<p>word word, word.</p>" * 3000)
+    html.content("<svg>" * 20_000)
+    assert time.time() - began < 3
+
+
+def test_malformed_media_pages_take_linear_time():
+    began = time.time()
+    for page in ("<a x " * 20_000, '<a b="' * 8000, "<img " + "a" * 100_000, "<img " + "a " * 50_000 + ">", "<script>" * 10_000, "<img a" + " " * 100_000):
+        media.sequence(page)
+    assert time.time() - began < 3
+
+
+def test_scripts_and_styles_are_no_text():
+    got = media.sequence("<style>p{}</style>a<script>var x = '<p>1';</script>b<p>c <img src='sha256:ab' alt='x'> d</p><noscript>n</noscript><title>t</title><textarea><p>u</textarea>")
+    assert [x["text"] for x in got] == ["ab", "c", None, "d", "n"] and got[2]["digest"] == "ab"
