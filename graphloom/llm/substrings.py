@@ -6,9 +6,10 @@
 2. Confirmation.  Candidate windows go to shards by a 96-bit hash of their words; a shard tells each block which of its
    windows recur and which start earlier elsewhere.  Whole texts that repeat an earlier text are confirmed by a 128-bit
    hash of all their words instead.
-3. Automata.  Runs of confirmed windows are the recurring passages.  They are compiled into Aho-Corasick automata over
-   words, sharded so that each holds the passages of one block's documents and at most ``PATTERN_WORDS`` words.
-4. Streaming.  All documents, copies included, run through the automata of their block.  Which windows occur where is
+3. Automata.  A block writes down each of its windows at one place only, the first.  Runs of confirmed windows there
+   that follow each other wherever they occur in the block are its passages.  They are compiled into Aho-Corasick automata
+   over words, sharded so that each holds at most ``PATTERN_WORDS`` words.
+4. Streaming.  All documents of the block, copies included, run through the automata.  Where else a window occurs is
    known from these matches alone; of each passage's windows the first occurrence stays and the others' words go.
 """
 
@@ -106,14 +107,31 @@ class Texts:
         return np.flatnonzero(_slide(np.concatenate([pad, low, pad]), span, np.maximum) == g)
 
 
-def passages(confirmed: np.ndarray, width: int) -> list[tuple[int, int]]:
+def bound(cand: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+    """Of each window number below ``n``, whether it follows one and the same window wherever it occurs, and that one is
+    followed by it wherever it occurs: the two are in one passage.  cand: places of windows, rising; number: of each."""
+    nxt, prv = np.full(len(cand), -1, np.int64), np.full(len(cand), -1, np.int64)
+    beside = np.flatnonzero(np.diff(cand) == 1)  # neighbours are of one document: its last words start no window
+    nxt[beside], prv[beside + 1] = number[beside + 1], number[beside]
+    order = np.argsort(number, kind="stable")
+    begin = np.flatnonzero(np.diff(number[order], prepend=-1))
+    only = lambda x: np.where(np.minimum.reduceat(x[order], begin) == np.maximum.reduceat(x[order], begin), x[order][begin], -1)
+    after, before = only(nxt), only(prv)
+    return (before >= 0) & (after[before] == np.arange(n))
+
+
+def passages(confirmed: np.ndarray, width: int, tight: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(word place, words) of the runs of confirmed windows, long ones in pieces of ``RUN`` windows.
 
-    ``confirmed``: at each word place, the number of the confirmed window that starts there, or -1."""
+    ``confirmed``: at each word place, the number of the confirmed window that starts there, or -1.  ``tight``: of each
+    number, whether its window goes on the passage of the one before it; None: all do."""
     at = np.flatnonzero(confirmed >= 0)
     if not len(at):
         return []
-    cuts = np.flatnonzero(np.diff(at) > 1)
+    parts = np.diff(at) > 1
+    if tight is not None:
+        parts |= ~tight[confirmed[at[1:]]]
+    cuts = np.flatnonzero(parts)
     out = []
     for s, e in zip(at[np.r_[0, cuts + 1]].tolist(), at[np.r_[cuts, len(at) - 1]].tolist()):
         out += [(p, min(RUN, e - p + 1) + width - 1) for p in range(s, e + 1, RUN)]
@@ -181,25 +199,24 @@ class Block:
         n = self.sizes[self.text_of]
         self.doc_starts = np.cumsum(n + 1) - n - 1
 
-    def covered(self, windows: np.ndarray, later: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
+    def covered(self, windows: np.ndarray, later: np.ndarray, earlier: np.ndarray, tight: np.ndarray | None = None) -> list[np.ndarray]:
         """Per document the places of its windows that also start earlier.
 
-        windows: at each word place of ``ids``, the number of the recurring window there, or -1.  later: of each
-        number, whether it starts earlier in another block.  earlier: of each text, whether another block has an
-        earlier copy of it."""
-        windows = windows.copy()
-        whole = np.full(len(windows), -1, np.int64)
+        windows: at one word place of ``ids`` for each recurring window, its number, else -1.  later: of each number,
+        whether it starts earlier in another block.  earlier: of each text, whether another block has an earlier copy
+        of it.  tight: as in ``passages``."""
+        whole, copied_here = np.full((2, len(windows)), -1, np.int64)
         fresh = len(later)
         for t in np.flatnonzero((earlier | (self.copies > 1)) & (self.sizes >= self.width)).tolist():
             s, e = int(self.starts[t]), int(self.starts[t] + self.sizes[t] - self.width + 1)
             if earlier[t]:
-                windows[s:e], whole[s:e] = -1, 0
+                whole[s:e] = 0
             else:  # copies within the block: their windows recur, whether shards were asked about them or not
-                new = s + np.flatnonzero(windows[s:e] < 0)
-                windows[new] = fresh + np.arange(len(new))
-                fresh += len(new)
+                copied_here[s:e] = fresh + np.arange(e - s)
+                fresh += e - s
         located = np.full(len(self.stream), -1, np.int64)
-        self._locate(windows, located)
+        self._locate(copied_here, located)
+        self._locate(windows, located, tight)  # the numbers that shards know count before those of copies
         n = np.diff(np.append(self.doc_starts, len(self.stream)))
         copied = np.repeat(earlier[self.text_of], n) if len(n) else np.empty(0, bool)
         located[copied] = -1
@@ -215,9 +232,9 @@ class Block:
         gone[at[~stays | outside[located[at]]]] = True
         return [np.flatnonzero(x) for x in np.split(gone, self.doc_starts[1:])] if len(self.docs) else []
 
-    def _locate(self, windows: np.ndarray, out: np.ndarray) -> None:
+    def _locate(self, windows: np.ndarray, out: np.ndarray, tight: np.ndarray | None = None) -> None:
         """Write the numbers of ``windows`` to all places of ``out`` at which the automata find them."""
-        to, of, words = occurrences(self.ids, passages(windows, self.width), self.stream, self.known)
+        to, of, words = occurrences(self.ids, passages(windows, self.width, tight), self.stream, self.known)
         n = words - self.width + 1
         if len(n):
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -320,8 +337,10 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
             back[np.concatenate(groups_of)] = np.arange(len(lead))  # windows are numbered in the order of the answers
             ends = np.cumsum([len(p) for p in groups_of])
             which = [s for s, _ in WINDOWS.order(k1[lead], groups)]
-            local = np.stack([np.diff(cand, prepend=0), back[number]]).astype("<i4")
-            out[0] = (*out[0], B.pack(local), B.pack(np.stack([which, ends]).astype("<i8")), B.pack(np.packbits(np.bincount(back[number]) > 1)))
+            place = np.sort(lead)
+            local = np.stack([np.diff(cand[place], prepend=0), back[number[place]]]).astype("<i4")
+            told = np.stack([np.bincount(back[number]) > 1, bound(cand, back[number], len(lead))])
+            out[0] = (*out[0], B.pack(local), B.pack(np.stack([which, ends]).astype("<i8")), B.pack(np.packbits(told, axis=1)))
         return B.table(out)
 
     replies = ANCHORS.ask(held, shards, fan, bundle).unionAll(WHOLES.ask(held, shards, fan, bundle))
@@ -333,18 +352,18 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         docs_, ids, none = _load(next(r for r in got if r["kind"] == 0))
         mine = next(r for r in got if r["kind"] == 6)
         block = Block(docs_, width)
-        windows, later = np.full(len(block.ids), -1, np.int64), np.empty(0, bool)
+        windows, later, tight = np.full(len(block.ids), -1, np.int64), np.empty(0, bool), None
         if mine["b"] is not None:
             cand, number = B.unpack(mine["b"], "<i4").reshape(2, -1)
             which, ends = B.unpack(mine["c"], "<i8").reshape(2, -1)
-            recurs = np.unpackbits(B.unpack(mine["d"], "u1"))[: ends[-1]] > 0  # within the block
+            recurs, tight = np.unpackbits(B.unpack(mine["d"], "u1").reshape(2, -1), axis=1)[:, : ends[-1]] > 0  # recurs: within the block
             later = np.zeros(ends[-1], bool)
             answers = {r["shard"]: WINDOWS.given(r) for r in got if r["kind"] == -WINDOWS.kind}
             for s, a, b in zip(which.tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist()):
                 recurs[a:b] |= answers[s][0] > 0
                 later[a:b] = answers[s][1] > 0
             windows[np.cumsum(cand)] = np.where(recurs[number], number, -1)
-        gone = block.covered(windows, later, B.unpack(mine["a"], "u1") > 0)
+        gone = block.covered(windows, later, B.unpack(mine["a"], "u1") > 0, tight)
         n_words, n_removed, kept, spans = [], [], [], []
         for d, n, p in zip(docs_, block.sizes[block.text_of].tolist(), gone):
             s = []

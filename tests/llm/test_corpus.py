@@ -135,6 +135,58 @@ def test_occurrences_come_from_the_automata_alone(monkeypatch):
     assert not any(len(x) for x in block.covered(windows, np.ones(len(keys), bool), earlier))
 
 
+def test_confirmed_places_alone_are_not_enough(spark, monkeypatch):
+    """A window is written down at one place of its block; all others are known from the automata only."""
+    rows = data.rows()
+    df = data.frame(spark).coalesce(1)
+    total = lambda: substrings.repeated_spans(df).agg(F.sum("n_removed")).first()[0]
+    right = sum(x[2] for x in brute_removed(rows))
+    assert total() == right
+
+    def places_only(self, windows, out, tight=None):
+        for d, t in enumerate(self.text_of.tolist()):
+            s, n, to = int(self.starts[t]), int(self.sizes[t]), int(self.doc_starts[d])
+            at = np.flatnonzero(windows[s : s + n] >= 0)
+            out[to + at] = windows[s + at]
+
+    # Tasks run in workers of their own, so a block is asked here: with its windows at all places but through the lead ones.
+    docs = [" ".join(x).encode() for x in ([f"p{i}" for i in range(60)], ["a"] + [f"p{i}" for i in range(10, 50)], ["b"] + [f"p{i}" for i in range(30)])]
+    block, keys = substrings.Block(docs, 20), {}
+    cand = np.concatenate([np.arange(s, s + n - 19) for s, n in zip(block.starts, block.sizes)])
+    number = np.array([keys.setdefault(tuple(block.ids[p : p + 20].tolist()), len(keys)) for p in cand.tolist()])
+    tight = substrings.bound(cand, number, len(keys))
+    first = np.unique(number, return_index=True)[1]
+    windows = np.full(len(block.ids), -1, np.int64)
+    windows[cand[first]] = number[first]
+    windows[np.bincount(number, minlength=len(keys))[windows] < 2] = -1
+    ask = lambda: [len(x) for x in block.covered(windows, np.zeros(len(keys), bool), np.zeros(3, bool), tight)]
+    assert ask() == [0, 21, 11] and len(substrings.passages(windows, 20, tight)) == 3
+    monkeypatch.setattr(substrings.Block, "_locate", places_only)
+    assert ask() == [0, 0, 0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=30), min_size=1, max_size=6))
+def test_passages_bound_together(texts):
+    """Every text over few words: all repeats of windows of three words are located through the tight passages."""
+    docs = [b" ".join(b"w%d" % x for x in t) for t in texts]
+    block, keys = substrings.Block(docs, 3), {}
+    cand = np.concatenate([np.arange(s, max(s, s + n - 2)) for s, n in zip(block.starts, block.sizes)]).astype(np.int64)
+    number = np.array([keys.setdefault(tuple(block.ids[p : p + 3].tolist()), len(keys)) for p in cand.tolist()], np.int64)
+    windows, tight = np.full(len(block.ids), -1, np.int64), None
+    if len(cand):
+        tight = substrings.bound(cand, number, len(keys))
+        first = np.unique(number, return_index=True)[1]
+        windows[cand[first]] = number[first]
+        windows[np.bincount(number, minlength=len(keys))[windows] < 2] = -1
+    got = block.covered(windows, np.zeros(len(keys), bool), np.zeros(len(block.texts), bool), tight)
+    seen, want = set(), []
+    for d in docs:
+        w = d.split()
+        want.append([p for p in range(len(w) - 2) if tuple(w[p : p + 3]) in seen or seen.add(tuple(w[p : p + 3]))])
+    assert [x.tolist() for x in got] == want
+
+
 def test_more_words_than_characters():
     ids = np.concatenate([np.arange(1_200_000), np.arange(1_199_000, 1_199_050)])
     to, of, n = substrings.occurrences(ids, [(1_199_000, 50)], ids, 1_200_000)
