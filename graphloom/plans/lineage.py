@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: list[str] = []  # folders that stand, in the order of writing
+_runs: ContextVar[tuple[list[str], ...]] = ContextVar("runs", default=())  # the lists of the runs around this code
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +36,8 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     _written.append(path)
+    for run in _runs.get():
+        run.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -58,13 +64,19 @@ def release(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, path)
 
 
-def mark() -> int:
-    """How many tables stand now, for ``release_since``."""
-    return len(_written)
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """A run: the tables that code within it writes, for ``release_run``.  Other threads' tables are not among them."""
+    mine: list[str] = []
+    token = _runs.set((*_runs.get(), mine))
+    try:
+        yield mine
+    finally:
+        _runs.reset(token)
 
 
-def release_since(spark: SparkSession, before: int, keep: DataFrame) -> None:
-    """Delete the tables written after ``mark`` gave ``before``, but for ``keep``: the result that came of them."""
-    for path in _written[before:]:
-        if path != getattr(keep, "_written_at", None):
+def release_run(spark: SparkSession, run: list[str], keep: DataFrame | None = None) -> None:
+    """Delete what stands of a run's tables, but for ``keep``: the result that came of them."""
+    for path in run:
+        if path in _written and path != getattr(keep, "_written_at", None):
             _delete(spark, path)

@@ -4,6 +4,8 @@ except where it says that it keeps state (stream) or folds rows in order (table)
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,10 +87,14 @@ def alive(rows: DataFrame, at: str, as_of: Column, ttl: str) -> DataFrame:
     return rows.where(F.col(at) >= as_of - F.expr(f"interval {ttl}"))
 
 
-def first_seen(events: DataFrame, keys: str | list[str]) -> DataFrame:
-    """Each key once; of a stream, once within the watermark."""
+def first_seen(events: DataFrame, keys: str | list[str], order: list[str] | None = None) -> DataFrame:
+    """Each key once: of a stream, what comes first, once within the watermark; of a table, the row of least ``order``
+    (ties: least in all columns; no order given: all columns in turn)."""
     keys = [keys] if isinstance(keys, str) else keys
-    return events.dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    if events.isStreaming:
+        return events.dropDuplicatesWithinWatermark(keys)
+    first = events.groupBy(*keys).agg(F.min(F.struct(*(order or []), F.struct(*events.columns).alias("row_")))["row_"].alias("row_"))
+    return first.select("row_.*")
 
 
 def changes(rows: DataFrame, keys: list[str], order: list[str], compared: list[str]) -> DataFrame:
@@ -116,26 +122,93 @@ def changed_files(prior: DataFrame, batch: DataFrame, files: DataFrame | None =
     return prior.join(files, "file_path", "left_anti").unionByName(batch)
 
 
-def incremental_index(store: str, full_scan: Callable[[SparkSession], DataFrame] | None = None, full_above: int = 200) -> Callable[[DataFrame, int], None]:
-    """A batch handler that keeps a versioned entity store: rows of changed files replace those files' rows.  With more
-    than ``full_above`` changed files ``full_scan``, where given, indexes everything anew; rows of files that did not
-    change are never dropped otherwise.  Batches are idempotent: a batch that was written is not written again."""
+class IndexStore:
+    """An entity store by file that batches of a change feed keep up to date.
+
+    Files are dealt into ``buckets`` by hash.  A batch reads and writes only the buckets of its files, as
+    ``v=<batch>/bucket=<b>``; ``manifest/<batch>`` then names the version of every bucket, so readers see all of a batch or
+    nothing.  Versions that neither the last manifest nor the one before it names are deleted.
+
+    A batch holds the rows of changed files.  A row whose columns but file_path are all null stands for a file that was
+    deleted or emptied: its old rows go."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[int]:
+        """Numbers of the batches that were written whole, rising; only the last two remain."""
+        base = self._path(f"{self.path}/manifest")
+        if not self.fs.exists(base):
+            return []
+        names = [(s.getPath().getName(), s.getPath()) for s in self.fs.listStatus(base)]
+        return sorted(int(n) for n, p in names if n.isdigit() and self.fs.exists(self._path(p, "_SUCCESS")))
+
+    def versions(self, batch: int) -> dict[int, int]:
+        """The version of each bucket that has one; at most ``buckets`` rows."""
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version long").parquet(f"{self.path}/manifest/{batch}").collect()}
+
+    def _rows(self, versions: dict[int, int], buckets: list[int]) -> DataFrame:
+        places = [f"{self.path}/v={versions[b]}/bucket={b}" for b in buckets if b in versions]
+        places = [p for p in places if self.fs.exists(self._path(p))]  # a bucket whose last row went has no folder
+        return self.spark.read.schema(self.schema).parquet(*places) if places else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        """All rows as of the last batch."""
+        done = self.batches()
+        return self._rows(self.versions(done[-1]), list(range(self.buckets))) if done else self.spark.createDataFrame([], self.schema)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int")
+
+    def apply(self, batch: DataFrame, number: int, whole: DataFrame | None = None) -> list[int]:
+        """Take ``batch`` in; ``whole``, where given, replaces the store's rows altogether.  Returns the buckets written;
+        none where the batch was taken in before."""
+        done = self.batches()
+        if number in done or (done and number < done[-1]):
+            return []
+        old = self.versions(done[-1]) if done else {}
+        if whole is None:
+            files = batch.select("file_path").distinct()
+            touched = sorted(r["b"] for r in files.select(self._bucket().alias("b")).distinct().collect())  # at most ``buckets``
+            rows = batch.where(reduce(or_, [F.col(c).isNotNull() for c in batch.columns if c != "file_path"]))
+            out = changed_files(self._rows(old, touched), rows, files)
+        else:
+            touched, out = list(range(self.buckets)), whole
+        out.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={number}")
+        now = old | dict.fromkeys(touched, number)
+        self.spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{number}")
+        self._clean(now, old, done[:-1])
+        return touched
+
+    def _clean(self, now: dict[int, int], before: dict[int, int], manifests: list[int]) -> None:
+        for n in manifests:
+            self.fs.delete(self._path(f"{self.path}/manifest/{n}"), True)
+        used = {(v, b) for x in (now, before) for b, v in x.items()}
+        for s in self.fs.listStatus(self._path(self.path)):
+            name = s.getPath().getName()
+            if not name.startswith("v="):
+                continue
+            version = int(name[2:])
+            parts = [p.getPath() for p in self.fs.listStatus(s.getPath()) if p.getPath().getName().startswith("bucket=")]
+            stale = [p for p in parts if (version, int(p.getName()[7:])) not in used]
+            if len(stale) == len(parts) and version not in now.values():
+                self.fs.delete(s.getPath(), True)
+            else:
+                for p in stale:
+                    self.fs.delete(p, True)
+
+
+def incremental_index(store: str, schema: str, full_scan: Callable[[SparkSession], DataFrame] | None = None, full_above: int = 200, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A batch handler that keeps an ``IndexStore``.  With more than ``full_above`` changed files ``full_scan``, where given,
+    indexes everything anew; rows of files that did not change are never dropped otherwise.  A batch that was taken in is
+    not taken in again."""
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/v={number}/_SUCCESS")
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            return
-        base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-        done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(base) if s.getPath().getName().startswith("v=")] if fs.exists(base) else []
-        out = batch
-        old = max((d for d in done if d < number), default=None)
-        if old is not None:
-            if full_scan is not None and batch.select("file_path").distinct().limit(full_above + 1).count() > full_above:
-                out = full_scan(spark)
-            else:
-                out = changed_files(spark.read.schema(batch.schema).parquet(f"{store}/v={old}"), batch)
-        out.write.mode("overwrite").parquet(f"{store}/v={number}")
+        many = full_scan is not None and batch.select("file_path").distinct().limit(full_above + 1).count() > full_above
+        IndexStore(spark, store, schema, buckets).apply(batch, number, full_scan(spark) if many else None)
 
     return each

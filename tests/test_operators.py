@@ -244,16 +244,24 @@ def test_traverse_from_a_seed_without_edges(spark):
 
 def test_tables_are_released(spark):
     import os
+    import threading
 
     from graphloom.plans import lineage
 
-    before = lineage.mark()
-    a, b, kept = (lineage.materialise(spark.range(n), "t") for n in (2, 3, 4))
+    other = lineage.materialise(spark.range(1), "t")
+    with lineage.collecting() as run:
+        a, b = (lineage.materialise(spark.range(n), "t") for n in (2, 3))
+        with lineage.collecting() as inner:
+            kept = lineage.materialise(spark.range(4), "t")
+        thread = threading.Thread(target=lambda: lineage.materialise(spark.range(5), "t"))  # another query of the session
+        thread.start()
+        thread.join()
+    assert len(run) == 3 and inner == run[2:]
     at = [x._written_at.removeprefix("file://").removeprefix("file:") for x in (a, b, kept)]
     lineage.release(a, None, spark.range(1))
     assert [os.path.exists(x) for x in at] == [False, True, True]
-    lineage.release_since(spark, before, kept)
-    assert [os.path.exists(x) for x in at] == [False, False, True] and kept.count() == 4
+    lineage.release_run(spark, run, kept)
+    assert [os.path.exists(x) for x in at] == [False, False, True] and kept.count() == 4 and other.count() == 1
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.root) for r in g.connected(pairs, "a", "b").collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 

@@ -79,20 +79,51 @@ def test_window_counts_stream(spark, tmp_path):
 def test_incremental_index(spark, tmp_path):
     schema = "file_path string, id long, body string"
     put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    run = lambda: st.run_to_end(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), st.incremental_index(f"{tmp_path}/store"), f"{tmp_path}/ck")
-    put([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")])
+    run = lambda: st.run_to_end(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), st.incremental_index(f"{tmp_path}/store", schema, buckets=8), f"{tmp_path}/ck")
+    now = lambda name="store": sorted((tuple(r) for r in st.IndexStore(spark, f"{tmp_path}/{name}", schema, 8).read().collect()), key=str)
+    assert now() == []
+    put([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z"), ("c", 4, "w")])
     run()
     put([("a", 1, "new")])
     run()
-    last = max(int(x[2:]) for x in os.listdir(f"{tmp_path}/store") if x.startswith("v="))
-    assert sorted(tuple(r) for r in spark.read.schema(schema).parquet(f"{tmp_path}/store/v={last}").collect()) == [("a", 1, "new"), ("b", 3, "z")]
-    many = spark.createDataFrame([(f"new{i}", i, "n") for i in range(5)] + [("a", 1, "newer")], schema)
-    st.incremental_index(f"{tmp_path}/big", full_above=3)(spark.createDataFrame([("a", 1, "x"), ("b", 3, "z")], schema), 0)
-    st.incremental_index(f"{tmp_path}/big", full_above=3)(many, 1)  # many changed files and no full scan: nothing else is lost
-    assert {tuple(r) for r in spark.read.schema(schema).parquet(f"{tmp_path}/big/v=1").collect()} == {tuple(r) for r in many.collect()} | {("b", 3, "z")}
-    whole = lambda spark: spark.createDataFrame([("w", 7, "w")], schema)
-    st.incremental_index(f"{tmp_path}/big", whole, full_above=3)(many, 2)
-    assert [tuple(r) for r in spark.read.schema(schema).parquet(f"{tmp_path}/big/v=2").collect()] == [("w", 7, "w")]
-    again = st.incremental_index(f"{tmp_path}/store")
-    again(spark.createDataFrame([("q", 9, "q")], schema), last)  # a batch written before is not written again
-    assert spark.read.parquet(f"{tmp_path}/store/v={last}").count() == 2
+    assert now() == [("a", 1, "new"), ("b", 3, "z"), ("c", 4, "w")]
+    put([("b", None, None), ("c", 5, None)])  # b was deleted; a row with any value is a row
+    run()
+    assert now() == [("a", 1, "new"), ("c", 5, None)]
+    # The same as the whole table with the changes applied, batch by batch.
+    table = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z"), ("c", 4, "w")], schema)
+    for rows, files in (([("a", 1, "new")], "a"), ([("c", 5, None)], "bc")):
+        table = st.changed_files(table, spark.createDataFrame(rows, schema), spark.createDataFrame([(f,) for f in files], "file_path string"))
+    assert now() == sorted((tuple(r) for r in table.collect()), key=str)
+
+
+def test_incremental_index_writes_touched_buckets_only(spark, tmp_path):
+    schema = "file_path string, id long"
+    store = st.IndexStore(spark, f"{tmp_path}/s", schema, 16)
+    rows = [(f"f{i}", i) for i in range(200)]
+    assert len(store.apply(spark.createDataFrame(rows, schema), 0)) == 16
+    for n in range(1, 5):
+        assert len(store.apply(spark.createDataFrame([("f7", n)], schema), n)) == 1
+    assert sorted(tuple(r) for r in store.read().collect()) == sorted([*((f, i) for f, i in rows if f != "f7"), ("f7", 4)])
+    assert store.batches() == [3, 4] and store.apply(spark.createDataFrame([("f8", 9)], schema), 4) == []
+    folders = {v: [b for b in os.listdir(f"{tmp_path}/s/{v}") if b.startswith("bucket=")] for v in os.listdir(f"{tmp_path}/s") if v.startswith("v=")}
+    assert set(folders) == {"v=0", "v=3", "v=4"} and len(folders["v=0"]) == 15  # no other version stays
+    gone = spark.createDataFrame([(f"f{i}", None) for i in range(200)], schema)
+    store.apply(gone, 5)
+    assert store.read().count() == 0
+
+
+def test_incremental_index_full_scans(spark, tmp_path):
+    schema = "file_path string, id long"
+    read = lambda: {tuple(r) for r in st.IndexStore(spark, f"{tmp_path}/big", schema).read().collect()}
+    many = spark.createDataFrame([(f"new{i}", i) for i in range(5)] + [("a", 1)], schema)
+    st.incremental_index(f"{tmp_path}/big", schema, full_above=3)(spark.createDataFrame([("a", 0), ("b", 3)], schema), 0)
+    st.incremental_index(f"{tmp_path}/big", schema, full_above=3)(many, 1)  # many changed files and no full scan: nothing else is lost
+    assert read() == {tuple(r) for r in many.collect()} | {("b", 3)}
+    st.incremental_index(f"{tmp_path}/big", schema, lambda s: s.createDataFrame([("w", 7)], schema), full_above=3)(many, 2)
+    assert read() == {("w", 7)}
+
+
+def test_first_seen_of_a_table_is_the_earliest(spark):
+    rows = spark.createDataFrame([("a", 3, "x"), ("a", 1, "z"), ("a", 1, "y"), ("b", 2, "w")], "k string, at int, v string").repartition(3)
+    assert sorted(tuple(r) for r in st.first_seen(rows, "k", ["at"]).collect()) == [("a", 1, "y"), ("b", 2, "w")]
