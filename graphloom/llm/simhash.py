@@ -479,22 +479,28 @@ def _exact(groups: DataFrame, similarity: float, group: int) -> DataFrame:
 def _placed(docs: DataFrame, similarity: float, width: int, id_col: str, text_col: str, radius: int, bucket: int, group: int) -> tuple[DataFrame, DataFrame]:
     """The rows' sketches, and (node, least, root): each node's smallest id and the component it is in."""
     rows = materialise(sketches(docs, id_col, text_col, width), "sketches")
-    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("lead")
+    nodes = rows.groupBy("node").agg(lead, F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.select("node", F.col("lead.id").alias("least"), F.col("lead.text_hash").alias("hash"), "fp", "bands"), "nodes")
     links = materialise(similar_links(nodes, radius, bucket), "candidates")
     ends = links.select(F.col("a").alias("end_")).unionAll(links.select("b")).distinct()
-    ends = materialise(ends.join(nodes.select(F.col("node").alias("end_"), "least"), "end_"), "ends")
+    ends = materialise(ends.join(nodes.select(F.col("node").alias("end_"), "least", "hash"), "end_"), "ends")
 
     @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()  # of repeated rows a task hashes one
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                got = [t for n, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if n == np.array([text_node(t)], np.uint64).view(np.int64)[0]]
+                new = {n: t for n, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if n not in known}
+                got = [t for n, t in new.items() if n == np.array([text_node(t)], np.uint64).view(np.int64)[0]]
                 nodes_ = np.array([text_node(t) for t in got], np.uint64).view(np.int64)
+                known.update(nodes_.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_), pa.array([np.unique(shingles(t, width)).view(np.int64) for t in got], pa.list_(pa.int64()))], names=["node", "s"])
 
-    # One row of each candidate text: the one with the smallest id; rows of that id with other texts are passed over.
-    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("t_")).join(ends, F.col("id_").eqNullSafe(F.col("least"))).select("end_", "t_")
+    # The rows of each candidate text that are its first by id and hash; other texts of that id have other hashes.
+    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("t_"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h_"))
+    texts = texts.join(ends, F.col("id_").eqNullSafe(F.col("least")) & (F.col("h_") == F.col("hash"))).select("end_", "t_")
     s = texts.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"])
     groups = components(links).join(s, "node").select("root", "node", "s")
     true = _exact(materialise(groups, "groups", "zstd"), similarity, group)

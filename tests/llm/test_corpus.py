@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -499,3 +500,15 @@ def test_empty(spark):
     ids = spark.createDataFrame([], "doc_id long")
     assert substrings.repeated_spans(e).collect() == [] and simhash.near_duplicates(e).collect() == [] and quality.judge(e).collect() == []
     assert scoring.cross_entropy_difference(e, ids, tokenizer_path()).collect() == []
+
+
+def test_many_null_ids_are_no_hot_key(spark):
+    """5000 rows without an id, or all with one id, of which 1500 have a near copy: every candidate text is looked up by its
+    own hash, so texts met are about as many as candidates, not their product with the rows of that id."""
+    rng = np.random.default_rng(8)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 100_000, 40)) for _ in range(3500)]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(base + [t + " end" for t in base[:1500]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.time()
+    assert simhash.drop_near_copies(df).count() == 3500
+    assert time.time() - began < 200  # hashing each of 5000 rows for each of 3000 candidates takes far longer
