@@ -29,7 +29,7 @@ HEX = r"(?<!\w)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})(?!\w)"
 ANY = "|".join([EMAIL, IPV4, DATE, SSN, PHONE, CARD, HEX])
 MAYBE = "[0-9]{2}|@|[0-9][.][0-9]|[0-9a-f]{32}"  # texts without it hold none of the formats: one alternative each at least
 DATE_FORMATS = (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy"))
-DATE_RADIX = (229, 319)  # 229 * 319 days: 1900-01-01 to 2099-12-31
+DATE_RADIX = (17, 4297)  # 17 * 4297 days, all from 1900-01-01 to 2099-12-31
 ROUNDS = 4
 KINDS = ("email", "ipv4", "date", "ssn", "phone", "card", "secret")
 

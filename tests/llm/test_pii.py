@@ -57,10 +57,10 @@ def brute_value(m):
                 n = (date(*(int(x[k]) for k in order)) - date(1900, 1, 1)).days
             except ValueError:
                 return m
-            if not 0 <= n < 229 * 319:
+            if not 0 <= n < 17 * 4297:
                 return m
-            a, b = brute("date", [n // 319, n % 319], [229, 319])
-            return (date(1900, 1, 1) + timedelta(a * 319 + b)).strftime(fmt)
+            a, b = brute("date", [n // 4297, n % 4297], [17, 4297])
+            return (date(1900, 1, 1) + timedelta(a * 4297 + b)).strftime(fmt)
     if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
         return fill(brute("ssn", digits, [10] * 9))
     if m[0] in "+(" or re.fullmatch(r"\d{3}[-.]\d{3}[-.]\d{4}", m):
