@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..operators import neighbours
 from ..operators import search as se
 from ..operators import texts
 from ..operators import windows as w
@@ -54,6 +55,15 @@ def find_similar(spark, d):
     return x.withColumn("rank", rank).where("rank <= 10").select("q_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("V3_neighbour_graph")
+def neighbour_graph(spark, d):
+    """Neighbours through a graph of every row; recall and the share of rows met are measured in the tests."""
+    v = p.vectors(spark, d)
+    q = v.where(EVERY).select(F.col("id").alias("q_id"), F.col("v").alias("q"))
+    found, _ = neighbours.graph_search(neighbours.neighbour_graph(v), v, q, 10)
+    return found.select("q_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("V3_quantised_index")
 def quantised(spark, d):
     """Neighbours through the index over every row; recall is measured in the tests."""
