@@ -381,10 +381,10 @@ def r7(spark, d):
     return r.idempotency(changed(spark, d), p.edges(spark, d), p.entities(spark, d), F.col("complexity") % 2 == 0, i % 5 == 1, i % 89 == 2).select("id")
 
 
-@query("R8_env_check", "select distinct p_brand as variable from part where p_partkey % 2 = 0 and p_brand not in ('Brand#11', 'Brand#12')")
+@query("R8_env_check", "select distinct p_brand as variable from part where p_brand not in ('Brand#11', 'Brand#12')")
 def r8(spark, d):
     text = F.concat(F.lit("const x = process.env."), F.upper(F.regexp_replace("p_brand", "#", "_")), F.lit("; "))
-    used = r.env_usage(p.table(spark, d, "part").where("p_partkey % 2 = 0").select(text.alias("line")))
+    used = r.env_usage(p.table(spark, d, "part").select(text.alias("line")))
     known = spark.createDataFrame([("BRAND_11",), ("BRAND_12",)], "variable string")
     return used.join(F.broadcast(known), "variable", "left_anti").select(F.regexp_replace(F.initcap("variable"), "_", "#").alias("variable"))
 

@@ -37,9 +37,9 @@ def callees(spark, d):
     return g.callees(p.edges(spark, d), p.entities(spark, d), _seeds(spark, d), 2).select("seed", "id", "depth", "name", "kind")
 
 
-@query("G3_impact_analysis", "select seed, r.id, depth, file_path from reached r join entities e on e.id = r.id", *G, CALLS, reach(True, 4, 100))
+@query("G3_impact_analysis", "select seed, r.id, depth, file_path from reached r join entities e on e.id = r.id", *G, CALLS, reach(True, 10, 100))
 def impact(spark, d):
-    return g.impact(p.edges(spark, d), p.entities(spark, d), _seeds(spark, d, 100), 4).select("seed", "id", "depth", "file_path")
+    return g.impact(p.edges(spark, d), p.entities(spark, d), _seeds(spark, d, 100), 10).select("seed", "id", "depth", "file_path")
 
 
 ANY = """anyway as (select distinct src, dst from edges union select dst, src from edges)"""
@@ -58,9 +58,9 @@ def subgraph_edges(spark, d):
     return g.subgraph(p.edges(spark, d), _seeds(spark, d, 100), 2)[1]
 
 
-@query("G6_import_chain", "select seed, r.id, depth as distance, file_path from reached r join entities e on e.id = r.id", *G, "imp as (select distinct src, dst from edges where kind = 'imports')", reach(False, 3, 50, "imp"))
+@query("G6_import_chain", "select seed, r.id, depth as distance, file_path from reached r join entities e on e.id = r.id", *G, "imp as (select distinct src, dst from edges where kind = 'imports')", reach(False, 10, 50, "imp"))
 def imports(spark, d):
-    found = g.traverse(p.edges(spark, d).where("kind = 'imports'"), _seeds(spark, d), 3, inbound=False)
+    found = g.traverse(p.edges(spark, d).where("kind = 'imports'"), _seeds(spark, d), 10, inbound=False)
     return found.join(p.entities(spark, d), "id").select("seed", "id", F.col("depth").alias("distance"), "file_path")
 
 
@@ -70,12 +70,12 @@ def pagerank(spark, d):
 
 
 BFS = """dep as (select distinct src, dst from edges where kind in ('calls', 'references', 'imports')),
-bfs(id, depth) as (select id, 0 from entities where id % 100 = 0 union select e.dst, b.depth + 1 from bfs b join dep e on e.src = b.id where b.depth < 3)"""
+bfs(id, depth) as (select id, 0 from entities where id % 100 = 0 union select e.dst, b.depth + 1 from bfs b join dep e on e.src = b.id where b.depth < 20)"""
 
 
 @query("G8_entry_depth", "select e.id, coalesce(min(b.depth), 99) as depth from entities e left join bfs b on b.id = e.id group by e.id", *G, BFS)
 def entry_depth(spark, d):
-    return g.depth_from(p.edges(spark, d), p.entities(spark, d), _seeds(spark, d, 100), 3)
+    return g.depth_from(p.edges(spark, d), p.entities(spark, d), _seeds(spark, d, 100), 20)
 
 
 @query("G9_label_propagation")
@@ -185,3 +185,23 @@ def nearest_indexed(spark, d):
     c = o.select("branch", F.col("o_orderkey").alias("sha"), F.row_number().over(W.partitionBy("branch").orderBy("o_orderdate", "o_orderkey")).alias("ordinal"), (F.col("o_orderkey") % 7 == 0).alias("indexed"))
     n = g.nearest_indexed(c)
     return n.select("branch", "ordinal", "sha", (F.col("ordinal") - F.col("distance")).alias("at"), "distance")
+
+
+# Orders as commits: each follows the one before it of its branch and, as a merge, the one before it of its priority.
+HISTORY = (
+    "placed as (select o_orderkey as id, o_orderkey % 40 = 0 as indexed, lag(o_orderkey) over (partition by o_custkey % 50 order by o_orderdate, o_orderkey) as a, case when o_orderkey % 3 = 0 then lag(o_orderkey) over (partition by o_orderpriority order by o_orderdate, o_orderkey) end as b from orders)",
+    "parents as (select id, a as parent from placed where a is not null union select id, b from placed where b is not null)",
+    "ways(id, near, distance) as (select id, id, 0 from placed where indexed union select p.id, w.near, w.distance + 1 from ways w join parents p on p.parent = w.id where w.distance < 12)",
+)
+
+
+@query("G22_merge_histories", "select id, distance, min(near) as near from (select id, near, distance, min(distance) over (partition by id) as least from ways) where distance = least group by id, distance", *HISTORY)
+def merge_histories(spark, d):
+    from pyspark.sql import Window as W
+
+    order = ("o_orderdate", "o_orderkey")
+    o = p.table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey", "o_orderpriority")
+    before = lambda *by: F.lag("o_orderkey").over(W.partitionBy(*by).orderBy(*order))
+    placed = o.select(F.col("o_orderkey").alias("id"), before(F.col("o_custkey") % 50).alias("a"), F.when(F.col("o_orderkey") % 3 == 0, before("o_orderpriority")).alias("b"))
+    parents = placed.select("id", F.explode(F.array("a", "b")).alias("parent"))
+    return structure.nearest_marked(parents, o.where("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("id")), 12)

@@ -119,7 +119,7 @@ def load(spark, d):
     return spark.read.parquet(path).select("id", "kind")
 
 
-@query("J26_env_vars", "select distinct p_brand as variable from part where p_partkey % 2 = 0 and p_brand not in ('Brand#11', 'Brand#12')")
+@query("J26_env_vars", "select distinct p_brand as variable from part where p_brand not in ('Brand#11', 'Brand#12')")
 def env(spark, d):
     from .change import r8
 

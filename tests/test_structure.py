@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import graph as g
 from graphloom.operators import hierarchy as h
 from graphloom.operators import structure as st
-from graphloom.plans import graphs
+from graphloom.plans import graphs, lineage
 from graphloom.sources import projections as p
 
 SF = "/root/testdata/sf0.001"
@@ -21,6 +21,14 @@ def vertices(spark, ids):
     return spark.createDataFrame([(x, "function") for x in ids], "id long, kind string")
 
 
+def counted(monkeypatch):
+    """The tables written from now on, by tag: a round or two each."""
+    calls, real = [], lineage.materialise
+    for module in (st, lineage):
+        monkeypatch.setattr(module, "materialise", lambda *a: calls.append(a[1]) or real(*a))
+    return calls
+
+
 def reach(pairs):
     out = {}
     for a, b in pairs:
@@ -128,10 +136,9 @@ def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     n = 5000
     ids = list(range(n))
     random.Random(9).shuffle(ids)
-    calls, real = [], st.materialise
-    monkeypatch.setattr(st, "materialise", lambda *a: calls.append(a[1]) or real(*a))
+    calls = counted(monkeypatch)
     got = {r.id: r.level for r in g.levels(edges(spark, list(zip(ids[1:], ids))), vertices(spark, ids)).collect()}
-    assert got == {v: i for i, v in enumerate(ids)} and len(calls) < 60
+    assert got == {v: i for i, v in enumerate(ids)} and len(calls) < 90
 
 
 def test_communities_of_cliques(spark):
@@ -241,3 +248,40 @@ def test_queries_take_the_whole_graph(spark):
     got = {r.id: (r.level, r.turn) for r in graphs.levels(spark, SF).collect()}
     depends = [tuple(x) for x in p.edges(spark, SF).where("kind in ('calls', 'references')").select("src", "dst").distinct().collect()]
     assert got == brute_levels(depends, [r.id for r in p.entities(spark, SF).select("id").collect()])
+
+
+def brute_nearest(parents, marked, ids):
+    up = {}
+    for i, x in parents:
+        up.setdefault(i, []).append(x)
+    out = {}
+    for v in ids:
+        front, seen, d = {v}, {v}, 0
+        while front:
+            if hit := front & marked:
+                out[v] = (min(hit), d)
+                break
+            front = {x for y in front for x in up.get(y, ())} - seen
+            seen |= front
+            d += 1
+    return out
+
+
+def test_nearest_marked_over_merges(spark, monkeypatch):
+    """A diamond, random merges and a long chain: fewest edges over all parents, ties to the smallest, in few rounds."""
+    rng = random.Random(7)
+    diamond = [(4, 2), (4, 3), (2, 1), (3, 0), (5, 4), (6, 5), (6, 3)]
+    merges = [(100 + i, 100 + x) for i in range(1, 120) for x in {i - 1, rng.randrange(max(0, i - 9), i)}]
+    order = list(range(1000, 5000))
+    rng.shuffle(order)
+    chain = list(zip(order[1:], order))
+    parents = diamond + merges + chain + [(900, 901)]
+    marked = {0, 1, 104, 150, 183, order[0], order[2500], 8000}
+    calls = counted(monkeypatch)
+    df = spark.createDataFrame(parents, "id long, parent long").repartition(3)
+    m = spark.createDataFrame([(x,) for x in marked], "id long")
+    ids = {x for e in parents for x in e} | marked
+    want = brute_nearest(parents, marked, ids)
+    got = {r.id: (r.near, r.distance) for r in st.nearest_marked(df, m, 10_000).collect()}
+    assert got == want and 900 not in got and got[8000] == (8000, 0) and len(calls) < 40
+    assert {r.id for r in st.nearest_marked(df, m, 3).collect()} == {v for v, (_, d) in want.items() if d <= 3}
