@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, change, graphs, joins, more, reads, search, streams, surface  # noqa: F401  (registering)
+from . import aggregates, change, graphs, joins, more, reads, search, streams, surface, tooling  # noqa: F401  (registering)
 from .base import QUERIES, SQL
 from .shipping import shipped
 
