@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from ..sources import projections as p
 from ..tools import TOOLS, Repo
 from .base import query
-from .surface import NAMED, repo
+from .surface import repo
 
-PATH = "wanted as (select file_path as path from entities where id = 10)"
+# The entity that the tools are asked about: the first that imports another.
+ASKED = "asked as (select name, file_path as path from entities where id = (select min(src) from edges where kind = 'imports'))"
+NAMED = "named as (select e.id from entities e, asked a where contains(lower(e.name), lower(a.name)) or contains(lower(e.signature), lower(a.name)) order by length(a.name) / length(e.name) desc, e.id limit 1)"
 
 
-def _path(spark, d) -> str:
-    return p.entities(spark, d).where("id = 10").first()["file_path"]  # one value
+def _asked(spark, d):
+    """Its row."""
+    first = p.edges(spark, d).where("kind = 'imports'").agg(F.min("src").alias("id"))
+    return p.entities(spark, d).join(first, "id").first()
 
 
 @query("X5_tool_get_blueprint", """select feature_tag, count(*) as entity_count, count(*) filter (taxonomy = 'VERTICAL') as vertical, count(*) filter (taxonomy = 'HORIZONTAL') as horizontal,
@@ -31,9 +35,9 @@ def by_purpose(spark, d):
 
 
 @query("X5_tool_file_context", """select feature_tag, count(*) as n, array_to_string(list_sort(list_distinct(flatten(list(domain_concepts)))), ',') as concepts
-  from entities e join wanted on file_path = path join justifications on entity_id = e.id group by feature_tag""", p.ENTITIES, p.JUSTIFICATIONS, PATH)
+  from entities e join asked on file_path = path join justifications on entity_id = e.id group by feature_tag""", p.ENTITIES, p.EDGES, p.JUSTIFICATIONS, ASKED)
 def file_context(spark, d):
-    found = TOOLS["file_context"](repo(spark, d), path=_path(spark, d))
+    found = TOOLS["file_context"](repo(spark, d), path=_asked(spark, d)["file_path"])
     return found.select("feature_tag", "n", F.array_join(F.array_sort("concepts"), ",").alias("concepts"))
 
 
@@ -41,15 +45,15 @@ NEAR = "near as (select id from named union select dst from edges join named on
 DEGREE = "degrees as (select id, least(count(*) / (2.0 * ((select count(*) from entities) - 1)), 1.0) as centrality from (select src as id from edges union all select dst from edges) group by id)"
 
 
-@query("X5_tool_assemble_context", "select e.id, name, round(coalesce(centrality, 0), 9) as centrality, taxonomy, feature_tag from near join entities e using (id) left join degrees using (id) left join justifications j on j.entity_id = e.id order by centrality desc, e.id limit 5", p.ENTITIES, p.EDGES, p.JUSTIFICATIONS, NAMED, NEAR, DEGREE)
+@query("X5_tool_assemble_context", "select e.id, name, round(coalesce(centrality, 0), 9) as centrality, taxonomy, feature_tag from near join entities e using (id) left join degrees using (id) left join justifications j on j.entity_id = e.id order by centrality desc, e.id limit 5", p.ENTITIES, p.EDGES, p.JUSTIFICATIONS, ASKED, NAMED, NEAR, DEGREE)
 def assemble(spark, d):
-    return TOOLS["assemble_context"](repo(spark, d), name="#100").select("id", "name", F.round("centrality", 9).alias("centrality"), "taxonomy", "feature_tag")
+    return TOOLS["assemble_context"](repo(spark, d), name=_asked(spark, d)["name"]).select("id", "name", F.round("centrality", 9).alias("centrality"), "taxonomy", "feature_tag")
 
 
-@query("X5_tool_get_imports", "select file_path, min(depth) as distance, count(distinct r.id) as entities from reach r join entities e on e.id = r.id where depth > 0 group by file_path", p.ENTITIES, p.EDGES, PATH,
-  "reach(id, depth) as (select id, 0 from entities join wanted on file_path = path union select e.dst, r.depth + 1 from reach r join edges e on e.src = r.id where e.kind = 'imports' and r.depth < 5)")
+@query("X5_tool_get_imports", "select file_path, min(depth) as distance, count(distinct r.id) as entities from reach r join entities e on e.id = r.id where depth > 0 group by file_path", p.ENTITIES, p.EDGES, ASKED,
+  "reach(id, depth) as (select id, 0 from entities join asked on file_path = path union select e.dst, r.depth + 1 from reach r join edges e on e.src = r.id where e.kind = 'imports' and r.depth < 5)")
 def imports(spark, d):
-    return TOOLS["get_imports"](repo(spark, d), path=_path(spark, d), hops=5).select("file_path", "distance", F.size("entities").cast("long").alias("entities"))
+    return TOOLS["get_imports"](repo(spark, d), path=_asked(spark, d)["file_path"], hops=5).select("file_path", "distance", F.size("entities").cast("long").alias("entities"))
 
 
 def _events(spark, d):
@@ -86,8 +90,8 @@ def rules(spark, d):
 
 
 @query("X5_tool_relevant_rules", """select r.id, priority + 5 * coalesce(n, 0) as score from rules r left join (select kind, count(*) as n from (select distinct v.id, v.kind from edges e join named on e.src = named.id join entities v on v.id = e.dst where e.kind in ('calls', 'references')) group by kind) c using (kind)
-  order by score desc, r.id limit 10""", p.ENTITIES, p.EDGES, NAMED, RULES)
+  order by score desc, r.id limit 10""", p.ENTITIES, p.EDGES, ASKED, NAMED, RULES)
 def relevant(spark, d):
     x = repo(spark, d)
     x.rules = _rules(spark, d)
-    return TOOLS["get_relevant_rules"](x, name="#100").select("id", F.col("score").cast("long").alias("score"))
+    return TOOLS["get_relevant_rules"](x, name=_asked(spark, d)["name"]).select("id", F.col("score").cast("long").alias("score"))
