@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, change, graphs, greedy, joins, more, reads, search, streams, surface, tooling, trees  # noqa: F401  (registering)
+from . import aggregates, change, graphs, greedy, indexes, joins, more, reads, search, streams, surface, tooling, trees  # noqa: F401  (registering)
 from .base import QUERIES, SQL
 from .shipping import shipped
 

@@ -100,7 +100,11 @@ def symbol_parts(symbol):
 def decode(files: DataFrame, repo: str, packages: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Entities and edges of index files.  A reference leads from the entity that starts last at or before its line to
     the symbol's definition: a call for functions and methods, else a reference."""
-    occ = read_occurrences(files)
+    return linked(read_occurrences(files), repo, packages)
+
+
+def linked(occ: DataFrame, repo: str, packages: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``decode`` of occurrences that are read already."""
     if packages:
         occ = occ.where(F.col("symbol").rlike("(?:^| )(?:" + "|".join(map(re.escape, packages)) + ") "))
     kind, name = symbol_parts(F.col("symbol"))
