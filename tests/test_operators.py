@@ -462,3 +462,20 @@ def test_token_batches_of_odd_rows(spark):
     x = w.token_batches(spark.createDataFrame([(None, 1, None), (None, 1, 70), (None, 2, 40)], "k string, i int, cost long"), ["k"], "i", "cost", 100)
     assert [(r.cost, r.batch) for r in x.orderBy("i", "cost").collect()] == [(None, 0), (70, 0), (40, 1)]
     assert w.token_batches(x.where("false").select("k", "i", "cost"), ["k"], "i", "cost", 100).count() == 0
+
+
+def test_band_first_counts_a_position_once(spark):
+    v = spark.range(3000).select(F.col("id").alias("violation"), (F.col("id") % 2).alias("f"), (F.col("id") % 7 * 6).alias("line"))
+    e = spark.range(2000).select("id", (F.col("id") % 3).alias("f"), (F.col("id") * 7 % 60).alias("s"))
+    starts = [(i, i % 3, i * 7 % 60) for i in range(2000)]
+    want = {}
+    for n in range(3000):
+        near = [(s_, i) for i, f, s_ in starts if f == n % 2 and abs(s_ - n % 7 * 6) < 10]
+        if near:
+            want[n] = min(near)[1]
+    found = j.band_first(v, e, ["f"], "line", "s", 10)
+    assert {x.violation: x.entity_id for x in found.collect()} == want
+    # Rows meet by position: both sides are aggregated before they are joined by bucket.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    met = plan[plan.index("abs("):]
+    assert met.count("Aggregate") >= 2
