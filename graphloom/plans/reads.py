@@ -257,7 +257,8 @@ def top_distance(spark, d):
 
 @query("T2_top_by_score", "select p_partkey as id, p_name from part order by p_retailprice desc, p_name limit 25")
 def top_score(spark, d):
-    return p.table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_name").limit(25).select(F.col("p_partkey").alias("id"), "p_name")
+    # Rows of equal price and name, which the SQL leaves open, go by their key: the first ones of a table in its order.
+    return p.table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_name", "p_partkey").limit(25).select(F.col("p_partkey").alias("id"), "p_name")
 
 
 @query("T3_multi_key", "select o_orderkey as id from orders order by case o_orderstatus when 'O' then 3 when 'P' then 2 else 1 end desc, o_totalprice desc, o_orderkey limit 40")

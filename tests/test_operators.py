@@ -479,3 +479,10 @@ def test_band_first_counts_a_position_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     met = plan[plan.index("abs("):]
     assert met.count("Aggregate") >= 2
+
+
+def test_top_by_score_breaks_ties_by_place(spark, tmp_path):
+    parts = spark.createDataFrame([(k, "same", 9.0) for k in range(200)], "p_partkey long, p_name string, p_retailprice double")
+    parts.repartition(7, "p_partkey").sortWithinPartitions(F.desc("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.queries()["T2_top_by_score"](spark, str(tmp_path))
+    assert sorted(x.id for x in got.collect()) == list(range(25))
