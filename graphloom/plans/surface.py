@@ -22,9 +22,10 @@ from .base import query
 
 @query("S1_scan_files", "select unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' as name")
 def scan(spark, d):
-    """The folder's own files as a workspace: their bytes are read only for the columns asked for."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
-    return f.where(~code.ignored(F.col("path"))).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    """The folder's own files as a workspace: their bytes are read only for the columns asked for.  A table kept as a folder of
+    part files is one name; what is ignored goes by the path below the folder."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(d)
+    return f.select(code.below(spark, d, F.col("path")).alias("path")).where(~code.ignored(F.col("path"))).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("name")).distinct()
 
 
 @query("S3_text_or_binary", "select case when p_partkey % 3 = 0 then 'binary' else 'text' end as kind, count(*) as n from part group by 1")

@@ -38,6 +38,13 @@ def ignored(path: Column, patterns: tuple[str, ...] = ()) -> Column:
     return out
 
 
+def below(spark: SparkSession, root: str, path: Column) -> Column:
+    """Full paths as paths from ``root`` on, in whatever store it lies."""
+    r = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = r.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(r).toString()
+    return F.substr(path, F.lit(len(full) + 2))
+
+
 def language(path: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     return F.coalesce(F.try_element_at(names, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("unknown"))

@@ -486,3 +486,12 @@ def test_top_by_score_breaks_ties_by_place(spark, tmp_path):
     parts.repartition(7, "p_partkey").sortWithinPartitions(F.desc("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
     got = registry.queries()["T2_top_by_score"](spark, str(tmp_path))
     assert sorted(x.id for x in got.collect()) == list(range(25))
+
+
+def test_scan_names_tables_that_are_folders(spark, tmp_path):
+    root = tmp_path / "build" / "data"  # above the workspace an ignored name plays no part
+    for name, n in (("part", 1), ("documents", 3)):
+        spark.range(9).repartition(n).write.parquet(f"{root}/{name}.parquet")
+    spark.range(9).write.parquet(f"{root}/node_modules/x.parquet")
+    got = registry.queries()["S1_scan_files"](spark, str(root))
+    assert sorted(x.name for x in got.collect()) == ["documents.parquet", "part.parquet"]
