@@ -285,3 +285,20 @@ def test_nearest_marked_over_merges(spark, monkeypatch):
     got = {r.id: (r.near, r.distance) for r in st.nearest_marked(df, m, 10_000).collect()}
     assert got == want and 900 not in got and got[8000] == (8000, 0) and len(calls) < 40
     assert {r.id for r in st.nearest_marked(df, m, 3).collect()} == {v for v, (_, d) in want.items() if d <= 3}
+
+
+def test_louvain_rounds_run_on_numbers(spark, monkeypatch):
+    from graphloom.operators import structure
+
+    e = spark.createDataFrame([("r", f"n{a}", f"n{b}") for a in range(8) for b in range(a) if a // 4 == b // 4 or (a, b) == (4, 3)], "repo_id string, src string, dst string")
+    v = spark.createDataFrame([("r", f"n{k}", "function") for k in range(8)], "repo_id string, id string, kind string")
+    types, better = set(), structure._better
+
+    def seen(v_, e_, mine):
+        types.update(dict(e_.dtypes)[c] for c in ("src", "dst"))
+        return better(v_, e_, mine)
+
+    monkeypatch.setattr(structure, "_better", seen)
+    got = {r.id: r.community for r in h.louvain(e, v, ["repo_id"]).collect()}
+    assert got == {f"n{k}": f"n{k // 4 * 4}" for k in range(8)}
+    assert types == {"bigint"}
