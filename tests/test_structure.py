@@ -302,3 +302,18 @@ def test_louvain_rounds_run_on_numbers(spark, monkeypatch):
     got = {r.id: r.community for r in h.louvain(e, v, ["repo_id"]).collect()}
     assert got == {f"n{k}": f"n{k // 4 * 4}" for k in range(8)}
     assert types == {"bigint"}
+
+
+def test_few_edges_to_a_marked_one_take_as_many_rounds(spark, monkeypatch):
+    chain = spark.range(1, 3000).select("id", (F.col("id") - 1).alias("parent"))
+    rows, told = [], st.materialise_telling
+
+    def counted_rows(df, tag, **k):
+        out = told(df, tag, **k)
+        rows.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(st, "materialise_telling", counted_rows)
+    got = {r.id: (r.near, r.distance) for r in st.nearest_marked(chain, spark.range(0, 3000, 100), 5).collect()}
+    assert got == {i: (i - i % 100, i % 100) for i in range(3000) if i % 100 <= 5}
+    assert sum(rows) == 5 * 30  # a vertex is written when it is found, not in every round
