@@ -317,3 +317,12 @@ def test_few_edges_to_a_marked_one_take_as_many_rounds(spark, monkeypatch):
     got = {r.id: (r.near, r.distance) for r in st.nearest_marked(chain, spark.range(0, 3000, 100), 5).collect()}
     assert got == {i: (i - i % 100, i % 100) for i in range(3000) if i % 100 <= 5}
     assert sum(rows) == 5 * 30  # a vertex is written when it is found, not in every round
+
+
+def test_tables_of_rounds_are_not_sent_through_the_driver(spark):
+    for out in (st.materialise(spark.range(50), "t"), st.materialise_telling(spark.range(50), "t", n=F.count("*"))[0]):
+        for side in (out.join(spark.range(9), "id"), spark.range(9).join(out.groupBy("id").count(), "id", "left_anti")):
+            plan = side._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        st.release(out)
+        assert out._written_at not in lineage._written
