@@ -127,6 +127,17 @@ def test_overlaps_meet_once(spark):
     assert sorted(x.id for x in j.overlaps(h, e).collect()) == [1, 3]
 
 
+def test_overlaps_of_a_crowded_bucket_go_in_parts(spark):
+    h = spark.range(40).select(F.lit("f").alias("file_path"), F.col("id").alias("hunk"), (F.col("id") * 3).cast("int").alias("start"), (F.col("id") * 3 + 5).cast("int").alias("end"))
+    e = spark.range(200).select(F.lit("f").alias("file_path"), "id", (F.col("id") % 60).cast("int").alias("start_line"), (F.col("id") % 60 + F.col("id") % 30).cast("int").alias("end_line"))
+    found = j.overlaps(h, e, 64, 20)
+    want = {(a, b) for a in range(40) for b in range(200) if 3 * a <= b % 60 + b % 30 and 3 * a + 5 >= b % 60}
+    got = [(x.hunk, x.id) for x in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    keys = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert any("p_" in x for x in keys)  # parts of a bucket meet, not whole buckets
+
+
 def test_globs(spark):
     ok = lambda path, glob: one(spark, F.rlike(F.lit(path), j.glob_regex(F.lit(glob))))
     assert ok("src/a/b/x.ts", "src/**/x.ts") and not ok("src/a/b.ts", "src/*.ts") and ok("src/b.ts", "src/*.ts") and not ok("srcxb.ts", "src.b.ts")
