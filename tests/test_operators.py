@@ -188,6 +188,27 @@ def test_cosine_in_blocks(spark, block):
     assert {(r.q_id, r.id) for r in se.cosine_above(df, q, 0.6, block).collect()} == {(i, k) for i in (0, 8, 20, 30, 40, 50) for k in range(60) if c[i, k] > 0.6}
 
 
+@pytest.mark.parametrize("block", [4096, 300])
+def test_a_scan_holds_few_scores_at_a_time(spark, block, monkeypatch):
+    """Cells of a task's scores: the worker fails above the bound."""
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((700, 5)).round(1)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    whole, most = se._cosines, 5000
+
+    def bounded(a, b):
+        assert len(a) * len(b) <= most, (len(a), len(b))
+        return whole(a, b)
+
+    monkeypatch.setattr(se, "CELLS", most)
+    monkeypatch.setattr(se, "_cosines", bounded)
+    n = np.linalg.norm(v, axis=1)
+    c = v @ v.T / np.outer(n, n)
+    got = {(r.q_id, r["rank"]): round(r.score, 9) for r in se.cosine_top(df, df.select(F.col("id").alias("q_id"), F.col("v").alias("q")), 3, block).collect()}
+    want = -np.sort(-c, axis=1)[:, :3]
+    assert got == {(i, r + 1): round(want[i, r], 9) for i in range(700) for r in range(3)}
+
+
 def test_index_recall(spark):
     """Over the queried vectors' exact ten nearest."""
     sf = "/root/testdata/sf0.01"
