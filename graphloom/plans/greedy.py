@@ -54,7 +54,7 @@ def trigram_search(spark, d):
     part = p.table(spark, d, "part")
     rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("signature"))
     asked = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.substring("p_name", 2, 7).alias("query"))
-    return postings.Postings(rows, "id", ["name", "signature"]).search(asked)
+    return postings.Postings(rows, "id", ["name", "signature"], copies=True).search(asked)
 
 
 @query("V6_indexed_keyword", "select doc_id from documents where contains(lower(text), 'ing the ')")
