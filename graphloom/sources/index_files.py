@@ -11,14 +11,17 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .scip import OCCURRENCES, occurrences
 
 RANGE = 64 * 1024 * 1024
+FILE = 16 * 1024 * 1024
 BATCH = 10_000
 DOCUMENT = 2  # the field number of a document
 WRITTEN = "relative_path string, occurrences array<struct<symbol:string,line:int,end_line:int,definition:boolean>>"
@@ -108,8 +111,7 @@ class IndexReader(DataSourceReader):
 
 @dataclass
 class Done(WriterCommitMessage):
-    temporary: str
-    final: str
+    files: list[tuple[str, str]]  # (temporary, final) names
 
 
 def _varint(n: int) -> bytes:
@@ -125,46 +127,73 @@ def _field(number: int, value: int | bytes) -> bytes:
     return _varint(number << 3) + _varint(value) if isinstance(value, int) else _varint(number << 3 | 2) + _varint(len(value)) + value
 
 
+@lru_cache(1 << 16)
+def _occurrence(symbol: str, line: int, end_line: int | None, definition: bool) -> bytes:
+    first, last = line - 1, (end_line or line) - 1
+    span = (first, 0, last, 0) if last != first else (first, 0, 0)
+    return _field(2, _field(1, b"".join(map(_varint, span))) + _field(2, symbol.encode()) + _field(3, int(definition)))
+
+
 def document(path: str, found: list) -> bytes:
     """A document message of occurrences (symbol, line, end_line, definition), lines from 1."""
-    out = [_field(1, path.encode())]
-    for o in found:
-        first, last = o["line"] - 1, (o["end_line"] or o["line"]) - 1
-        span = (first, 0, last, 0) if last != first else (first, 0, 0)
-        out.append(_field(2, _field(1, b"".join(map(_varint, span))) + _field(2, o["symbol"].encode()) + _field(3, int(o["definition"]))))
-    return _field(DOCUMENT, b"".join(out))
+    each = [_occurrence(o["symbol"], o["line"], o["end_line"], o["definition"]) for o in found]
+    return _field(DOCUMENT, _field(1, path.encode()) + b"".join(each))
+
+
+def documents(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The document messages of rows (relative_path, occurrences); those without a path are left out."""
+    lists = batch.column("occurrences").fill_null([])
+    inner = lists.flatten()
+    parts = [inner.field(k).to_pylist() for k in ("symbol", "line", "end_line", "definition")]
+    valid, at = inner.is_valid().to_pylist(), 0
+    for path, n in zip(batch.column("relative_path").to_pylist(), pc.list_value_length(lists).to_pylist()):
+        if path is not None:
+            each = [_occurrence(parts[0][i], parts[1][i], parts[2][i], parts[3][i]) for i in range(at, at + n) if valid[i]]
+            yield _field(DOCUMENT, _field(1, path.encode()) + b"".join(each))
+        at += n
 
 
-class IndexWriter(DataSourceWriter):
-    """A file a task, named with a dot until the job commits: readers never see what a lost or repeated task left."""
+class IndexWriter(DataSourceArrowWriter):
+    """Files of about ``FILE`` bytes, named with a dot until the job commits: readers never see what a lost or repeated task
+    left.  A reader's task hops over the heads before its range, so no file grows with the table."""
 
     def __init__(self, options: dict, overwrite: bool):
         if overwrite:
             raise ValueError("index files are only appended")
         self.path = options["path"]
 
-    def write(self, iterator) -> Done:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Done:
         where, path = _place(self.path)
         where.create_dir(path, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.scip"
-        message = Done(f"{path}/.{name}", f"{path}/{name}")
-        with where.open_output_stream(message.temporary) as out:
-            for row in iterator:
-                if row["relative_path"] is not None:
-                    out.write(document(row["relative_path"], [o for o in row["occurrences"] or [] if o is not None]))
+        message, out, size = Done([]), None, 0
+        try:
+            for b in iterator:
+                for body in documents(b):
+                    if out is None:
+                        name = f"part-{uuid.uuid4().hex}.scip"
+                        message.files.append((f"{path}/.{name}", f"{path}/{name}"))
+                        out, size = where.open_output_stream(message.files[-1][0]), 0
+                    size += out.write(body)
+                    if size >= FILE:
+                        out.close()
+                        out = None
+        finally:
+            if out is not None:
+                out.close()
         return message
 
     def commit(self, messages: list) -> None:
         where, _ = _place(self.path)
         for m in messages:
-            if m is not None:
-                where.move(m.temporary, m.final)
+            for temporary, final in m.files if m is not None else ():
+                where.move(temporary, final)
 
     def abort(self, messages: list) -> None:
         where, _ = _place(self.path)
         for m in messages:
-            if m is not None and where.get_file_info(m.temporary).type == fs.FileType.File:
-                where.delete_file(m.temporary)
+            for temporary, _final in m.files if m is not None else ():
+                if where.get_file_info(temporary).type == fs.FileType.File:
+                    where.delete_file(temporary)
 
 
 class IndexSource(DataSource):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import entity_id
 from ..operators.joins import containing
+from ..plans.lineage import materialise
 
 OCCURRENCES = "relative_path string, symbol string, line int, end_line int, definition boolean"
 
@@ -31,15 +33,17 @@ def varint(b: bytes, at: int) -> tuple[int, int]:
 
 def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of a message; fixed-width fields are skipped over."""
-    at = 0
-    while at < len(b):
-        key, at = varint(b, at)
+    at, end = 0, len(b)
+    while at < end:
+        key = b[at]
+        key, at = (key, at + 1) if key < 0x80 else varint(b, at)
         kind = key & 7
         if kind == 0:
             value, at = varint(b, at)
             yield key >> 3, value
         elif kind == 2:
-            n, at = varint(b, at)
+            n = b[at] if at < end else 0x80
+            n, at = (n, at + 1) if n < 0x80 else varint(b, at)
             yield key >> 3, b[at : at + n]
             at += n
         elif kind in (1, 5):
@@ -48,6 +52,26 @@ def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
             raise ValueError(f"wire type {kind}")
 
 
+@lru_cache(1 << 16)
+def occurrence(occ: bytes) -> tuple[str, int, int, bool]:
+    """(symbol, first line, last line, definition), lines from 1 and 0 where there is no range.  Equal ones are frequent:
+    the same symbol on the same line of many files."""
+    span, symbol, roles = [], "", 0
+    for n, v in fields(occ):
+        if n == 1:
+            at = 0
+            while isinstance(v, bytes) and at < len(v):
+                x, at = varint(v, at)
+                span.append(x)
+            if isinstance(v, int):
+                span.append(v)
+        elif n == 2:
+            symbol = v.decode()
+        elif n == 3:
+            roles = v
+    return symbol, span[0] + 1 if span else 0, (span[2] if len(span) > 3 else span[0]) + 1 if span else 0, bool(roles & 1)
+
+
 def occurrences(index: bytes) -> Iterator[tuple[str, str, int, int, bool]]:
     """(path, symbol, first line, last line, definition), lines from 1; local symbols are left out."""
     for number, doc in fields(index):
@@ -60,22 +84,9 @@ def occurrences(index: bytes) -> Iterator[tuple[str, str, int, int, bool]]:
             elif n == 2:
                 found.append(v)
         for occ in found:
-            span, symbol, roles = [], "", 0
-            for n, v in fields(occ):
-                if n == 1:
-                    at = 0
-                    while isinstance(v, bytes) and at < len(v):
-                        x, at = varint(v, at)
-                        span.append(x)
-                    if isinstance(v, int):
-                        span.append(v)
-                elif n == 2:
-                    symbol = v.decode()
-                elif n == 3:
-                    roles = v
-            if path and symbol and span and not symbol.startswith("local "):
-                last = span[2] if len(span) > 3 else span[0]
-                yield path, symbol, span[0] + 1, last + 1, bool(roles & 1)
+            symbol, first, last, definition = occurrence(occ)
+            if path and symbol and first and not symbol.startswith("local "):
+                yield path, symbol, first, last, definition
 
 
 def read_occurrences(files: DataFrame) -> DataFrame:
@@ -109,8 +120,10 @@ def linked(occ: DataFrame, repo: str, packages: list[str] | None = None) -> tupl
         occ = occ.where(F.col("symbol").rlike("(?:^| )(?:" + "|".join(map(re.escape, packages)) + ") "))
     kind, name = symbol_parts(F.col("symbol"))
     occ = occ.withColumn("kind", kind).withColumn("name", name).where((F.col("kind") != "module") & (F.col("name") != ""))
+    occ = materialise(occ, "occurrences")  # read and decoded once
     defs = occ.where("definition").withColumn("key", entity_id(F.lit(repo), F.col("relative_path"), F.col("kind"), F.col("name"), F.col("symbol")))
     ents = defs.groupBy("key", "kind", "name", F.col("relative_path").alias("file_path"), "symbol").agg(F.min("line").alias("start_line"), F.max("end_line").alias("end_line"))
+    ents = materialise(ents, "defined")
     number = ents.withColumn("id", F.xxhash64("key"))
     refs = occ.where("not definition").select(F.col("relative_path").alias("file_path"), "symbol", "line", F.col("kind").alias("target_kind"))
     placed = containing(refs, number.select("file_path", "id", "start_line"), ["file_path"]).where("entity_id is not null")

@@ -43,3 +43,35 @@ def test_a_file_cut_short_is_an_error(spark, tmp_path):
     (tmp_path / "x.scip").write_bytes(whole + whole[:-1])
     with pytest.raises(Exception, match="ends inside a message"):
         spark.read.format("code_index").load(str(tmp_path / "x.scip")).collect()
+
+
+def test_a_task_writes_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    ship(spark)
+    spark.dataSource.register(index_files.IndexSource)
+    path = f"{tmp_path}/index"
+    monkeypatch.setattr(index_files, "FILE", 4000)
+    writer = index_files.IndexWriter({"path": path}, False)
+    done = writer.write(docs(spark, 500).coalesce(1).toArrow().to_batches(max_chunksize=70))
+    assert len(done.files) > 10 and all(x.name.startswith(".") for x in (tmp_path / "index").iterdir())
+    writer.commit([done, None])
+    sizes = [x.stat().st_size for x in (tmp_path / "index").iterdir()]
+    assert max(sizes) < 4000 + 200
+    got = spark.read.format("code_index").load(path)
+    assert got.count() == 1000 and got.select("relative_path").distinct().count() == 500
+
+
+def test_linked_occurrences_are_read_once(spark, tmp_path):
+    counted = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            counted.add(b.num_rows)
+            yield b
+
+    n = 20
+    symbols = [(f"a{k}.ts", f"scip ts npm app 1 a{k}.ts/f{k}().", 1, 1, True) for k in range(n)] + [(f"a{k}.ts", f"scip ts npm app 1 a{k + 1}.ts/f{k + 1}().", 2, 2, False) for k in range(n - 1)]
+    occ = spark.createDataFrame(symbols, scip.OCCURRENCES).mapInArrow(count, scip.OCCURRENCES)
+    ents, edges = scip.linked(occ, "repo", ["app"])
+    named = edges.join(ents.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(ents.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst")
+    assert sorted((r.a, r.b, r.kind) for r in named.collect()) == sorted((f"f{k}", f"f{k + 1}", "calls") for k in range(n - 1))
+    assert counted.value == len(symbols)
