@@ -49,10 +49,13 @@ def boundary(edges: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def edge_delta(base: DataFrame, branch: DataFrame) -> DataFrame:
-    """(src, dst, kind, change): edges that only the branch has (added) or only the base (deleted)."""
+    """(src, dst, kind, change): edges that only the branch has (added) or only the base (deleted).
+
+    Both sides meet in one aggregate: a task holds a row an edge, no sorted copies of either side."""
     keys = ["src", "dst", "kind"]
-    one_sided = lambda a, b, change: a.select(*keys).distinct().join(b, keys, "left_anti").withColumn("change", F.lit(change))
-    return one_sided(branch, base, "added").unionByName(one_sided(base, branch, "deleted"))
+    side = lambda df, is_branch: df.select(*keys, F.lit(is_branch).alias("in_"))
+    seen = side(branch, True).unionAll(side(base, False)).groupBy(*keys).agg(F.bool_or("in_").alias("new_"), F.bool_and("in_").alias("only_"))
+    return seen.where("not new_ or only_").select(*keys, F.when(F.col("new_"), "added").otherwise("deleted").alias("change"))
 
 
 def tests_of(edges: DataFrame, entities: DataFrame, is_test: Column, stem: Column | None = None) -> DataFrame:

@@ -172,3 +172,15 @@ def test_steps_go_on(spark, tmp_path):
     with pytest.raises(ValueError):
         steps.run_steps(spark, str(tmp_path), "s", [("one", one), ("one", one)])
     assert json.dumps(record.columns) == '["ordinal", "step", "status"]'
+
+
+def test_edge_delta_is_one_aggregate(spark):
+    from graphloom.operators import context
+
+    schema = "src long, dst long, kind string"
+    base = spark.createDataFrame([(1, 2, "a"), (1, 2, "a"), (3, 4, "a"), (5, None, "a")], schema)
+    branch = spark.createDataFrame([(1, 2, "a"), (1, 2, "b"), (1, 2, "b"), (5, None, "a")], schema)
+    got = context.edge_delta(base, branch)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, "b", "added"), (3, 4, "a", "deleted")]
+    plan = context.edge_delta(base, branch)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
