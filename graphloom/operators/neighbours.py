@@ -31,7 +31,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _meet(id_type: str, most: int):
-    """Each row's best ``most`` others in one bounded group of (id, v)."""
+    """Each row's best ``most`` others in one bounded group of (id, v); with (id, v, least) those at ``least`` or nearer only,
+    as no others can enter the row's list."""
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("id").combine_chunks()
@@ -41,12 +42,20 @@ def _meet(id_type: str, most: int):
         np.fill_diagonal(c, -2)
         m = min(most, len(ids) - 1)
         at = np.argpartition(-c, m - 1, axis=1)[:, :m] if m > 0 else np.zeros((len(ids), 0), np.int64)
-        rows = np.repeat(np.arange(len(ids)), m)
-        return pa.table({"id": ids.take(pa.array(rows)), "near": ids.take(pa.array(at.ravel())), "score": pa.array(c[rows, at.ravel()])})
+        rows, at = np.repeat(np.arange(len(ids)), m), at.ravel()
+        if "least" in t.column_names:
+            enters = c[rows, at] >= t.column("least").to_numpy()[rows] - 1e-9  # a score's last digits depend on its group
+            rows, at = rows[enters], at[enters]
+        return pa.table({"id": ids.take(pa.array(rows)), "near": ids.take(pa.array(at)), "score": pa.array(c[rows, at])})
 
     return run, f"id {id_type}, near {id_type}, score double"
 
 
+def _kept(vectors: DataFrame) -> str:
+    """Floats stay floats, which halves what is shuffled; scores are computed from them as doubles."""
+    return "array<float>" if vectors.schema["v"].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def _best(lists: DataFrame, key: str, k: int) -> DataFrame:
     w = W.partitionBy(key).orderBy(F.desc("score"), "near" if key == "id" else "id")
     return lists.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= k).drop("n_")
@@ -57,21 +66,23 @@ def neighbour_graph(vectors: DataFrame, k: int = 24, rounds: int = 8, directions
 
     Groups that meet in a task hold ``block`` rows, or ``k`` neighbours and ``k`` that name the row: no group grows with the
     table.  Null vectors and those with nulls are at no angle to anything; ids are taken as distinct."""
-    v = materialise(vectors.select("id", F.col("v").cast("array<double>").alias("v")), "vectors")
+    v = materialise(vectors.select("id", F.col("v").cast(_kept(vectors)).alias("v")), "vectors")
     run, schema = _meet(v.schema["id"].dataType.simpleString(), k)
     dims = v.agg(F.max(F.size("v"))).first()[0] or 0
     first = None
     for d in range(directions):
         axis = np.random.default_rng(seed + d).normal(size=max(dims, 1))
-        along = F.aggregate(F.zip_with("v", F.array(*map(F.lit, axis.tolist())), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+        along = F.aggregate(F.zip_with("v", F.array(*map(F.lit, axis.tolist())), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
         placed = places(v.select("id", along.alias("x")), [F.col("x"), F.col("id")])
         groups = placed.select("id", F.expr(f"place div {block}").alias("g")).join(v, "id")
         found = groups.groupBy("g").applyInArrow(run, schema)
         first = found if first is None else first.unionAll(found)
     lists = materialise(_best(first.dropDuplicates(["id", "near"]), "id", k), "lists")
     for _ in range(rounds):
+        full = F.when(F.count("*") == k, F.min("score"))
+        least = lists.groupBy("id").agg(full.alias("least"))
         named = _best(lists, "near", k).select(F.col("near").alias("g"), "id")
-        groups = lists.select(F.col("id").alias("g"), F.col("near").alias("id")).unionAll(named).unionAll(v.select(F.col("id").alias("g"), "id")).distinct().join(v, "id")
+        groups = lists.select(F.col("id").alias("g"), F.col("near").alias("id")).unionAll(named).unionAll(v.select(F.col("id").alias("g"), "id")).distinct().join(v.join(least, "id", "left").fillna(-3.0, ["least"]), "id")
         found = groups.groupBy("g").applyInArrow(_meet(v.schema["id"].dataType.simpleString(), 8)[0], schema)
         new = lists.select("id", "near", "score", F.lit(1).alias("old")).unionAll(found.withColumn("old", F.lit(0))).groupBy("id", "near").agg(F.max("score").alias("score"), F.max("old").alias("old"))
         new, told = materialise_telling(_best(new, "id", k), "lists", fresh=F.count_if(F.col("old") == 0), n=F.count("*"))
@@ -89,12 +100,12 @@ def graph_search(lists: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     ``starts`` rows, the same for all queries, are met first (their number is the bound of what is broadcast); then each hop
     leaves the best ``step`` rows not yet left among a query's best ``breadth``, and meets the first ``degree`` of their lists and
     the rows that name them so."""
-    v = vectors.select("id", F.col("v").cast("array<double>").alias("v"))
+    v = vectors.select("id", F.col("v").cast(_kept(vectors)).alias("v"))
     links = _best(lists, "id", degree).select("id", "near")
     links = materialise(links.unionAll(links.select("near", "id")).distinct(), "links")
     q = materialise(queries.select("q_id", F.col("q").cast("array<double>").alias("q")), "queries")
     begin = F.broadcast(v.orderBy(F.xxhash64("id")).limit(starts))
-    met = q.join(begin).select("q_id", "id", s.cosine(F.col("v"), F.col("q")).alias("score"), F.lit(False).alias("left"))
+    met = q.join(begin).select("q_id", "id", s.cosine(F.col("v").cast("array<double>"), F.col("q")).alias("score"), F.lit(False).alias("left"))
     met = materialise(met, "met")
     order = W.partitionBy("q_id").orderBy(F.desc("score"), "id")
     while True:
@@ -105,7 +116,7 @@ def graph_search(lists: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
             break
         seen = met.select("q_id", "id")
         new = front.join(links, "id").select("q_id", F.col("near").alias("id")).distinct().join(seen, ["q_id", "id"], "left_anti")
-        new = new.join(v, "id").join(q, "q_id").select("q_id", "id", s.cosine(F.col("v"), F.col("q")).alias("score"), F.lit(False).alias("left"))
+        new = new.join(v, "id").join(q, "q_id").select("q_id", "id", s.cosine(F.col("v").cast("array<double>"), F.col("q")).alias("score"), F.lit(False).alias("left"))
         gone = front.withColumn("now_", F.lit(True))
         kept = met.join(gone, ["q_id", "id"], "left").select("q_id", "id", "score", (F.col("left") | F.coalesce("now_", F.lit(False))).alias("left"))
         after = materialise(kept.unionAll(new), "met")

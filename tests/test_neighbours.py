@@ -1,6 +1,7 @@
 """The nearest-neighbour graph against exact search: recall, and the share of rows that a search meets."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.operators import neighbours as nb
@@ -34,3 +35,14 @@ def test_few_and_awkward_rows(spark):
     assert [(r.rank, r.id) for r in top.orderBy("rank").collect()] == [(1, 0), (2, 1), (3, 3)]
     assert nb.neighbour_graph(v.limit(0)).collect() == []
     assert {(r.id, r.near) for r in nb.neighbour_graph(v.where("id < 1")).collect()} == set()
+
+
+def test_a_group_tells_what_can_enter_a_list_only():
+    """Few rows leave the rounds' groups once lists are full; with no bound all of them do."""
+    rng = np.random.default_rng(4)
+    run, _ = nb._meet("bigint", 8)
+    rows = {"id": pa.array(range(40)), "v": pa.array(rng.standard_normal((40, 6)).astype(np.float32).tolist(), pa.list_(pa.float32()))}
+    every = run(pa.table(rows)).to_pylist()
+    least = [0.5 if k % 2 else -3.0 for k in range(40)]
+    some = run(pa.table(rows | {"least": pa.array(least)})).to_pylist()
+    assert some == [r for r in every if r["score"] >= least[r["id"]]] and len(some) < len(every) == 320
