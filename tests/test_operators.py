@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -355,6 +356,22 @@ def test_co_occurrence_of_crowds(spark):
     assert [tuple(r) for r in j.co_occurrence(df, "sha", "file", 3, 7).collect()] == [("f001", "f002", 3, 3, 3)]
 
 
+def test_co_occurrence_is_dealt_out_by_its_pairs(spark, monkeypatch):
+    """Parts grow with the pairs, unless items are so few that pairs must recur; commits' parts grow with their rows."""
+    rows = [(f"s{k}", f"f{(7 * k + i) % 90:02}") for k in range(40) for i in range(5)]
+    df = spark.createDataFrame(rows, "sha string, file string")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    whole, dealt = j.co_occurrence(df, "sha", "file"), j.co_occurrence(df, "sha", "file", share=100)
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in dealt.collect()}
+    assert re.search(r"hashpartitioning\(a#\d+, b#\d+, 5\), REPARTITION_BY_NUM", plan(dealt))  # 40 * 10 pairs
+    few = j.co_occurrence(spark.createDataFrame([(f"s{k}", f"f{i}") for k in range(40) for i in range(5)], "sha string, file string"), "sha", "file", share=100)
+    assert not re.search(r"hashpartitioning\(a#\d+, b#\d+, \d+\), REPARTITION_BY_NUM", plan(few)) and {r.support for r in few.collect()} == {40}
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(p, "SHARE", 1000)
+    assert plan(p.commits(spark, sf)).count(f", {n // 1000 + 1}), REPARTITION_BY_NUM") == 2
+
+
 def test_orphans_and_circles_stay(spark):
     rows = [(1, None, "a", ["x"], 0.5), (2, 1, "misc", ["y"], 0.7), (3, 99, "b", ["z"], 0.9), (4, 3, "misc", [], 0.1), (5, 6, "c", ["u"], 0.2), (6, 5, "d", ["v"], 0.3)]
     got = {r.id: r for r in h.propagate(spark.createDataFrame(rows, "id long, parent long, tag string, concepts array<string>, confidence double")).collect()}
