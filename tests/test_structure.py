@@ -326,3 +326,11 @@ def test_tables_of_rounds_are_not_sent_through_the_driver(spark):
             assert "SortMergeJoin" in plan and "Broadcast" not in plan
         st.release(out)
         assert out._written_at not in lineage._written
+
+
+def test_turns_are_not_sent_through_the_driver(spark):
+    members = spark.createDataFrame([(i, i % 3, 9 - i) for i in range(9)], "id long, unit long, inner long")
+    out = st._turns(members)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r.id: r.turn for r in out.collect()} == {i: 2 - i // 3 for i in range(9)}
