@@ -103,6 +103,22 @@ def test_review_paths(spark):
     assert ok(ch.where("id < 2"), areas=("auth",)) == {0: False} and ok(ch.where("id in (2, 3)"), callers=0) == {1: False}
 
 
+def test_a_crowded_parent_is_listed_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(x, "MEMBERS", 7, raising=False)
+    monkeypatch.setattr(x, "LISTED", 500, raising=False)
+    ids = [*range(100), 6, 6, 50]  # equal ids across the edge of a part
+    v = spark.createDataFrame([(i, "a") for i in ids] + [(200, "b"), (201, "b"), (300, "c"), (400, None), (500, "d"), (500, "d")], "id long, name string").coalesce(1)
+    want = sorted([(i, [k for k in sorted(ids) if k != i]) for i in ids] + [(200, [201]), (201, [200])])
+    got = x.siblings(v, ["name"])
+    assert sorted((q.id, q.siblings) for q in got.collect()) == want
+    held = [q["count"] for q in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 8 and max(held) < 30
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(q) for q in x.siblings(v, ["name"], joined_by=",").collect()) == [(i, ",".join(map(str, s))) for i, s in want]
+    assert sorted(tuple(q) for q in x.siblings(v, ["name"], 5, joined_by="-").collect()) == [(q.id, "-".join(map(str, q.siblings))) for q in x.siblings(v, ["name"], 5).orderBy("id").collect()]
+    assert {q.id: q.siblings for q in x.siblings(v, ["name"], 5).collect()}[3] == [0, 1, 2, 4, 5]
+
+
 def test_context(spark):
     v = ents(spark, (1, "class", "a"), (2, "class", "a"), (3, "class", "a"), (4, "class", None))
     assert {q.id: q.siblings for q in x.siblings(v, ["name"]).collect()} == {1: [2, 3], 2: [1, 3], 3: [1, 2]}
