@@ -334,3 +334,17 @@ def test_turns_are_not_sent_through_the_driver(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert {r.id: r.turn for r in out.collect()} == {i: 2 - i // 3 for i in range(9)}
+
+
+def test_label_rounds_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans, write = [], lineage.materialise_telling
+
+    def seen(df, tag, **told):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag, **told)
+
+    monkeypatch.setattr(lineage, "materialise_telling", seen)
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8)], "src long, dst long")
+    got = {r.id: r.community for r in st.propagated_labels(e, spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 8, 9)], "id long")).collect()}
+    assert got[1] == got[2] == got[3] and got[7] == got[8] != got[1] and got[9] == 9
+    assert len(plans) > 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
