@@ -573,3 +573,14 @@ def test_traverse_of_many_seeds_writes_vertices_not_pairs(spark, monkeypatch):
     found = g.traverse(edges(spark, *pairs), seeds, 6, inbound=False).collect()
     assert len(found) == len(want) and {(x.seed, x.id): x.depth for x in found} == want
     assert rows and sum(rows) < len(want)  # 64 seeds share a row
+
+
+@pytest.mark.parametrize("block", [4096, 1])
+def test_a_scan_of_batches_without_a_hit(spark, block):
+    v = spark.createDataFrame([(i, [0.0, 1.0] if i in (3, 9) else [1.0, 0.0]) for i in range(12)], "id long, v array<double>").coalesce(1)
+    q = spark.createDataFrame([("b", [0.0, 1.0]), ("a", [0.0, -1.0])], "q_id string, q array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # most batches have no row near a query
+    try:
+        assert sorted((r.q_id, r.id) for r in se.cosine_above(v, q, 0.75, block).collect()) == [("b", 3), ("b", 9)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
