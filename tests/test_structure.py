@@ -1,6 +1,8 @@
 """Strong components, cycles, levels and communities against brute force."""
 
 import random
+import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -348,3 +350,16 @@ def test_label_rounds_are_not_sent_through_the_driver(spark, monkeypatch):
     got = {r.id: r.community for r in st.propagated_labels(e, spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 8, 9)], "id long")).collect()}
     assert got[1] == got[2] == got[3] and got[7] == got[8] != got[1] and got[9] == 9
     assert len(plans) > 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
+def test_shuffles_go_once_a_table_stands(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {f for d in env.blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    was, before = spark.conf.get(lineage.CLEANUP), files()
+    out = lineage.materialise(spark.range(5000).repartition(5, "id").groupBy((F.col("id") % 50).alias("k")).count(), "table")
+    for _ in range(50):  # Spark deletes them in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 50
+    assert spark.conf.get(lineage.CLEANUP) == was
